@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, warc
+from . import chat_format, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,9 +63,26 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 FROM g"""
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.format_chats(chat_format.hostile(table(spark, sf_dir, "conversations")))).drop("history_rewritten")
+
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(t, '(\\*)(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE=|\[/ROLE\])', '\1\1\\\2', 'g')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + CASE r WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 19 ELSE 16 + length(r) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc}
+    return {"op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op8_warc": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op8_warc": OP8_SQL, "op10_chat_format": OP10_SQL}
