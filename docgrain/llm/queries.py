@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, warc
+from . import chat_format, html_extract, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -81,7 +85,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
+    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
