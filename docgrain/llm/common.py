@@ -19,6 +19,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one round of array work takes; a longer text makes a round of its own.
 ROUND_BYTES = 2_000_000
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -49,7 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context; they need not have it installed."""
+    """Sends this package to the executors, once a context; they need not have it installed.
+
+    Also bounds what Spark holds for a Python worker at a time: Arrow batches get BATCH_ROWS rows at the most.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_docgrain_shipped", False):
         return

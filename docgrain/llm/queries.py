@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, html_extract, quality_rules, warc
+from . import chat_format, html_extract, quality_rules, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,24 @@ judged AS (SELECT f.*, NOT (base_failed OR rejected OR (symbols_failed AND stric
 OP3_SQL = f"WITH {OP3_CTES}\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+#: CTEs up to ``cut``: every document with its words and, of each, whether it stays. Needs a table ``src``.
+OP5_CTES = r"""
+a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM src),
+wn AS (SELECT doc_id, i, list_slice(ws, i, i + 19) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM a)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(k, ' ')) ORDER BY doc_id, i) AS n FROM wn) WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + j) AS g FROM late, (SELECT unnest(range(20)) AS j) GROUP BY doc_id),
+words AS (SELECT a.doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM a),
+marked AS (SELECT w.doc_id, w.w, w.i, g.i IS NULL AS stays FROM words w LEFT JOIN (SELECT doc_id, unnest(g) AS i FROM gone) g ON w.doc_id = g.doc_id AND w.i = g.i),
+cut AS (SELECT a.doc_id, len(ws) AS n_words, len(ws) - coalesce(m.n, 0) AS n_removed, coalesce(m.t, '') AS kept
+        FROM a LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS t FROM marked WHERE stays GROUP BY doc_id) m USING (doc_id))"""
+
+OP5_SQL = f"WITH src AS (SELECT * FROM documents), {OP5_CTES}\nSELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM cut"
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -85,8 +103,8 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
+    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op5_substring_dedup": op5_substring_dedup, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op8_warc": OP8_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_chat_format": OP10_SQL}
