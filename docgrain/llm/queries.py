@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, html_extract, quality_rules, substring_dedup, warc
+from . import chat_format, html_extract, minhash_dedup, quality_rules, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,29 @@ judged AS (SELECT f.*, NOT (base_failed OR rejected OR (symbols_failed AND stric
 OP3_SQL = f"WITH {OP3_CTES}\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.linked(table(spark, sf_dir, "documents"))
+
+
+def near_ctes(width: int) -> str:
+    """CTEs up to ``comp`` (doc_id, component_id), comparing all documents of a table ``src`` that share a shingle."""
+    return rf"""
+nw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM src),
+sh AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - {width} + 2), lambda i: array_to_string(list_slice(ws, i, i + {width} - 1), ' '))) END AS s FROM nw),
+el AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sh),
+sim AS (SELECT p.doc_id AS u, q.doc_id AS v FROM el p JOIN el q ON p.x = q.x AND p.doc_id < q.doc_id
+          AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+        GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+both_ways AS (SELECT u, v FROM sim UNION ALL SELECT v, u FROM sim),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM sh UNION SELECT b.v, reach.r FROM reach JOIN both_ways b ON b.u = reach.doc_id AND reach.r < b.v),
+comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)"""
+
+
+OP4_SQL = f"""WITH RECURSIVE src AS (SELECT * FROM documents), {near_ctes(2)}
+SELECT sh.doc_id, len(s) AS n_shingles, component_id, sh.doc_id = component_id AS kept FROM sh JOIN comp USING (doc_id)"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
@@ -103,8 +126,8 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op5_substring_dedup": op5_substring_dedup, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
+    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_chat_format": OP10_SQL}
