@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, ctph, html_extract, minhash_dedup, quality_rules, substring_dedup, warc
+from . import chat_format, crf_quality, ctph, html_extract, minhash_dedup, quality_rules, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,11 @@ cut AS (SELECT a.doc_id, len(ws) AS n_words, len(ws) - coalesce(m.n, 0) AS n_rem
 OP5_SQL = f"WITH src AS (SELECT * FROM documents), {OP5_CTES}\nSELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM cut"
 
 
+def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf_quality.score(docs, crf_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.against_next(table(spark, sf_dir, "documents"))
 
@@ -130,7 +135,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
+    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
