@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, crf_quality, ctph, html_extract, minhash_dedup, quality_rules, substring_dedup, warc
+from . import chat_format, crf_quality, ctph, html_extract, minhash_dedup, mixing, quality_rules, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +117,52 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 FROM g"""
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def mix_ctes() -> str:
+    """CTEs up to ``mixed`` (rid, doc_id, domain, lang, source, tokens, copies). Needs a table ``msrc`` (rid, ...)."""
+    mix = mixing.MIX
+
+    def weight(level: str) -> str:
+        cases = "".join(f" WHEN {level} = '{k}' THEN {v}" for k, v in mix.weights.get(level, {}).items())
+        return f"CAST(CASE{cases} ELSE 1 END AS HUGEINT)"
+
+    out = rf"""
+mt AS (SELECT rid, doc_id, CASE WHEN right(coalesce(source, ''), 1) IN ('0', '1', '2', '3') THEN 'web'
+         WHEN right(coalesce(source, ''), 1) IN ('4', '5', '6') THEN 'books' ELSE 'reference' END AS domain,
+         coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM msrc),
+lv AS (SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens, CAST(sum(tokens) * {mix.max_epochs} AS HUGEINT) AS cap FROM mt GROUP BY ALL),
+b0 AS (SELECT *, (SELECT CAST(least(sum(tokens) * {mix.percent} // 100, sum(cap)) AS HUGEINT) FROM lv) AS b FROM lv)"""
+    for depth, level in enumerate(mix.levels):
+        node = ", ".join(mix.levels[: depth + 1])
+        parent = ", ".join(mix.levels[:depth])
+        part = f"PARTITION BY {parent}" if parent else ""
+        out += f""",
+n{depth} AS (SELECT {node}, CAST(sum(cap) AS HUGEINT) AS c, any_value(b) AS b, any_value({weight(level)}) AS w FROM b{depth} GROUP BY {node}),
+o{depth} AS (SELECT *, coalesce(sum(c) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef,
+         sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS beh FROM n{depth}
+       WINDOW q AS ({part} ORDER BY CAST(c AS DOUBLE) / CAST(w AS DOUBLE), {level})),
+f{depth} AS (SELECT *, c * beh <= (b - bef) * w AS isfull FROM o{depth}),
+s{depth} AS (SELECT *, b - coalesce(sum(c) FILTER (WHERE isfull) OVER ({part}), 0) AS rest,
+         sum(w) FILTER (WHERE NOT isfull) OVER ({part}) AS shared FROM f{depth}),
+b{depth + 1} AS (SELECT l.domain, l.lang, l.source, l.tokens, l.cap,
+         CAST(CASE WHEN isfull THEN c WHEN shared > 0 THEN rest * w // shared ELSE 0 END AS HUGEINT) AS b
+       FROM b{depth} l JOIN s{depth} USING ({node}))"""
+    last = f"b{len(mix.levels)}"
+    return out + f""",
+ep AS (SELECT *, CASE WHEN tokens > 0 THEN b // tokens ELSE 0 END AS epochs FROM {last}),
+ky AS (SELECT mt.*, ep.tokens AS have, epochs, b - epochs * ep.tokens AS rest,
+         md5(concat_ws(':', '{mix.seed}', CAST(epochs + 1 AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM mt JOIN ep USING (domain, lang, source)),
+mixed AS (SELECT rid, doc_id, domain, lang, source, tokens, CAST(epochs + CASE WHEN have > 0
+           AND sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ky)"""
+
+
+OP9_SQL = f"WITH msrc AS (SELECT row_number() OVER () AS rid, * FROM documents), {mix_ctes()}\nSELECT doc_id, domain, lang, source, tokens AS n_tokens, copies FROM mixed"
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chat_format.hostile(table(spark, sf_dir, "conversations")))).drop("history_rewritten")
 
@@ -135,8 +181,8 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op10_chat_format": op10_chat_format}
+    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL}
