@@ -6,10 +6,10 @@ every pair of one sub-key of either collection. ``side`` sub-keys a collection g
 (12 a side, 3 rows) a pair of similarity 0.8 shares a table with probability 0.9996, one of 0.9 with 1 - 5e-7.
 
 Documents with equal sets form a class first, so copies cost nothing further. In each table bucket the smallest class
-is the hub, all others are compared with it, and links make components. Buckets whose members are in several components
-get another hub, again and again; when the pairs that are left are no more than a few for each document, they
-are compared all at once. A bucket is left only when its members are in one component or were all compared, so no link
-between members of a bucket is lost, and no bucket's pairs are written out while they grow with its square.
+is the hub, all others are compared with it, and links make components. What remains are pairs of one bucket in
+different components: each is compared once, in tiles that hold a bounded number of sets, and only until its
+components are linked. So no link between members of a bucket is lost, pairs are never rows of a table, and large
+groups of near copies, which their hub links, cost no more than a row for each member and table.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .common import Words, column_bytes, map_arrow, mixed, rounds, ship, windows
 
 @dataclass(frozen=True)
 class Near:
-    """width: words of a shingle. percent: least similarity. side, rows: see above. pairs_a_row: pairs that may be
-    compared at once, for each document. broadcast_rows: ids that may be broadcast. block_bytes: of sets that one task
+    """width: words of a shingle. percent: least similarity. side, rows: see above. bucket_rows: members of a
+    bucket that one task pairs. lot: documents of half a tile. broadcast_rows: ids that may be broadcast. block_bytes: of sets that one task
     compares at a time."""
 
     width: int = 2
@@ -36,7 +36,8 @@ class Near:
     side: int = 12
     rows: int = 3
     seed: int = 1
-    pairs_a_row: int = 4
+    bucket_rows: int = 4096
+    lot: int = 512
     broadcast_rows: int = 500_000
     block_bytes: int = 8 << 20
 
@@ -132,6 +133,20 @@ def _chosen(docs: DataFrame, ids: DataFrame, n: int, near: Near, how: str) -> Da
     return docs.join(F.broadcast(ids) if n <= near.broadcast_rows else ids, "doc_id", how)
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
+    """doc_id and hashes, the sorted set, of the documents whose ids a written table lists."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            for a, b in rounds(np.diff(offsets)):
+                hashes, starts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], near.width)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([hashes[x:y].tobytes() for x, y in zip(starts, starts[1:])], pa.binary())], ["doc_id", "hashes"])
+
+    wanted = _chosen(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, ids.count(), near, "left_semi")
+    return map_arrow(wanted, work, "doc_id long, hashes binary")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
     """Those of ``pairs`` (u, v, n: the larger set's size) whose documents' sets are as similar as asked; written.
 
@@ -141,17 +156,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
     total = pairs.agg(F.count("*").alias("n"), F.sum("n").alias("size")).first()
     if not total["n"]:
         return pairs.select("u", "v")
-    ids = written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            for a, b in rounds(np.diff(offsets)):
-                hashes, starts = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], near.width)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([hashes[x:y].tobytes() for x, y in zip(starts, starts[1:])], pa.binary())], ["doc_id", "hashes"])
-
-    wanted = _chosen(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, ids.count(), near, "left_semi")
-    found = map_arrow(wanted, sets, "doc_id long, hashes binary")
+    found = sets_of(docs, written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids"), near)
     n_blocks = 1 + int(8 * total["size"] // near.block_bytes)
     share = max(1, total["n"] // n_blocks)
     degrees = pairs.groupBy("u").agg(F.count("*").alias("degree"))
@@ -184,6 +189,98 @@ def _keys() -> Column:
     return F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b)))))
 
 
+def across(docs: DataFrame, rows: DataFrame, of: DataFrame, classes: DataFrame, near: Near) -> DataFrame | None:
+    """Links between members of one bucket, hubs left out, that are in different components so far.
+
+    rows: (key, rep) of buckets. of: components() so far. A pair belongs to the first table that it shares, which its
+    sub-keys tell, and is compared once. Pairs go packed to tiles, a tile being two lots of about ``near.lot`` documents
+    that have to do with the same component; sets go to each of the tiles that need them. Buckets of more than
+    ``near.bucket_rows`` members are taken in blocks.
+    """
+    placed = rows.join(of.select(F.col("u").alias("rep"), "v"), "rep", "left").select("key", "rep", F.coalesce("v", "rep").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most")
+    mixed_rows = written(placed.join(several.select("key", "least", "n"), "key"), "mixed")
+    if mixed_rows.isEmpty():
+        return None
+    anchors = mixed_rows.groupBy("rep").agg(F.min("least").alias("anchor"))
+    lots = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / near.lot).alias("lots"))
+    lot = F.pmod(F.xxhash64("rep"), F.col("lots"))
+    known = written(anchors.join(lots, "anchor").select("rep", F.xxhash64("anchor", lot).alias("lot")), "lots")
+    # a rep's row of classes() that is in the bucket: where the key is among its table keys
+    tables = F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))
+    full = mixed_rows.join(known, "rep").join(classes.select("rep", "n_shingles", "a", "b"), "rep").withColumn("table", F.array_position(tables, F.col("key")) - 1).where("table >= 0")
+    blocks = F.ceil(F.col("n") / near.bucket_rows).cast("long")
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), blocks)
+    full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    full = full.select("key", "table", "rep", "component", "n_shingles", "lot", "a", "b", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        low, high, at = table["low"][0].as_py(), table["high"][0].as_py(), table["table"][0].as_py()
+        own = table["own"].to_numpy()
+        rep, component, size, lot = (table[c].to_numpy() for c in ("rep", "component", "n_shingles", "lot"))
+        i, j = divmod(at, near.side)
+        earlier = [np.stack(table[c].to_numpy())[:, :k] for c, k in (("a", i), ("b", j))]
+        xs, ys = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        out: dict[tuple[int, int], list[np.ndarray]] = {}
+        for start in range(0, len(xs), 256):
+            x = xs[start : start + 256]
+            take = component[x][:, None] != component[ys][None, :]
+            take &= 100 * np.minimum(size[x][:, None], size[ys][None, :]) >= near.percent * np.maximum(size[x][:, None], size[ys][None, :])
+            if low == high:
+                take &= x[:, None] < ys[None, :]
+            for keys in earlier:
+                for k in range(keys.shape[1]):
+                    take &= keys[x, k][:, None] != keys[ys, k][None, :]
+            p, q = np.nonzero(take)
+            p, q = x[p], ys[q]
+            swap = lot[p] > lot[q]
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            order = np.lexsort((lot[q], lot[p]))
+            p, q = p[order], q[order]
+            edge = np.flatnonzero((np.diff(lot[p], prepend=0) != 0) | (np.diff(lot[q], prepend=0) != 0)) if len(p) else p
+            if len(p) and (not len(edge) or edge[0]):
+                edge = np.append(0, edge)
+            for s, e in zip(edge, np.append(edge[1:], len(p))):
+                out.setdefault((int(lot[p[s]]), int(lot[q[s]])), []).append(np.stack([rep[p[s:e]], component[p[s:e]], rep[q[s:e]], component[q[s:e]]]))
+        rows = [(k[0], k[1], np.ascontiguousarray(np.concatenate(v, axis=1)).tobytes()) for k, v in out.items()]
+        return pa.table({"x": pa.array([r[0] for r in rows], pa.int64()), "y": pa.array([r[1] for r in rows], pa.int64()), "pairs": pa.array([r[2] for r in rows], pa.binary())})
+
+    def join(table: pa.Table) -> pa.Table:
+        pairs = np.concatenate([np.frombuffer(raw.as_buffer(), np.int64).reshape(4, -1) for raw in table["pairs"]], axis=1)
+        ids = np.unique(pairs[[0, 2]])
+        return pa.table({"x": table["x"][:1], "y": table["y"][:1], "pairs": pa.array([np.ascontiguousarray(pairs).tobytes()], pa.binary()), "ids": pa.array([ids.tolist()], pa.list_(pa.int64()))})
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        by: dict[int, list[np.ndarray]] = {}
+        for doc_id, raw in zip(right["doc_id"].to_pylist(), right["hashes"]):
+            by.setdefault(doc_id, []).append(np.frombuffer(raw.as_buffer(), np.uint64))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            top = c
+            while top in parent:
+                top = parent[top]
+            while c in parent:
+                parent[c], c = top, parent[c]
+            return top
+
+        links = []
+        for raw in left["pairs"]:
+            for u, cu, v, cv in zip(*np.frombuffer(raw.as_buffer(), np.int64).reshape(4, -1).tolist()):
+                cu, cv = root(cu), root(cv)
+                if cu != cv and any(similar(x, y, near.percent) for x in by.get(u, ()) for y in by.get(v, ())):
+                    parent[max(cu, cv)] = min(cu, cv)
+                    links.append((u, v))
+        return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
+
+    packed = full.groupBy("key", "low", "high").applyInArrow(pack, "x long, y long, pairs binary")
+    tiles = written(packed.groupBy("x", "y").applyInArrow(join, "x long, y long, pairs binary, ids array<long>"), "tiles")
+    needed = tiles.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode("ids").alias("doc_id"))
+    ids = written(needed.select("doc_id").distinct(), "ids")
+    sent = needed.join(sets_of(docs, ids, near), "doc_id")
+    return written(tiles.select("x", "y", "pairs").groupBy("x", "y").cogroup(sent.groupBy("p", "q")).applyInArrow(compare, "u long, v long"), "links")
+
+
 def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text); see the module.
 
@@ -194,7 +291,6 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     ship(docs.sparkSession)
     rows = signatures(docs, near)
     classes = written(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
-    n_classes = classes.count()
     sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("m"))
     # a document with several texts links its own classes by sharing their rep
     buckets = classes.select("rep", _keys().alias("key"))
@@ -210,34 +306,9 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     compared = written(bucket_rows.select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct(), "compared")
     links = confirmed(docs, sized(compared), near)
     of = components(links)
-    # the hubs were compared with all others of their buckets; what may be left is among buckets of two others or more
-    rest = bucket_rows.where("members > 2").select("key", "rep")
-    while True:
-        placed = rest.join(of.select(F.col("u").alias("rep"), "v"), "rep", "left").select("key", "rep", F.coalesce("v", "rep").alias("component"))
-        mixed_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rest = written(placed.join(mixed_keys, "key", "left_semi"), "mixed")
-        counts = rest.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        left = counts.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0]
-        if not left:
-            break
-        last = left <= max(10_000, near.pairs_a_row * n_classes)
-        if last:
-            other = rest.select("key", F.col("rep").alias("v"), F.col("component").alias("other"))
-            pairs = rest.join(other, "key").where("rep < v AND component <> other").select(F.col("rep").alias("u"), "v").distinct()
-        else:
-            hubs = rest.groupBy("key").agg(F.min(F.struct("rep", "component")).alias("hub")).select("key", "hub.rep", F.col("hub.component").alias("other")).withColumnRenamed("rep", "hub")
-            with_hub = rest.join(hubs, "key")
-            pairs = with_hub.where("component <> other").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-            rest = written(with_hub.where("rep <> hub").select("key", "rep"), "mixed")
-        fresh = written(pairs.join(compared, ["u", "v"], "left_anti"), "fresh")
-        found = confirmed(docs, sized(fresh), near)
-        if not found.isEmpty():
-            links = written(links.unionByName(found), "links")
-            of = components(links)
-        if last:
-            break
-        compared = written(compared.unionByName(fresh), "compared")
-        rest = rest.select("key", "rep")
+    found = across(docs, bucket_rows.where("members > 2").select("key", "rep"), of, classes, near)
+    if found is not None:
+        of = components(links.unionByName(found))
     roots = of.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     of_class = classes.select("s1", "s2", "n_shingles", "rep").join(roots, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
