@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, crf_quality, ctph, html_extract, minhash_dedup, mixing, quality_rules, substring_dedup, warc
+from . import chat_format, crf_quality, ctph, html_extract, minhash_dedup, mixing, quality_rules, sentencepiece_bpe, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -181,7 +185,7 @@ FROM e GROUP BY conv_id"""
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_html_extract": op1_html_extract, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_chat_format": op10_chat_format}
+    return {"op1_html_extract": op1_html_extract, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
