@@ -1,20 +1,54 @@
-"""Corpus pipeline over documents: quality rules."""
+"""From documents to token ids: quality rules, near-duplicate removal, repeated-passage removal, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docgrain.llm import quality_rules
+from docgrain.llm import minhash_dedup, mixing, quality_rules, sentencepiece_bpe, substring_dedup
 from docgrain.llm.common import written
 
+#: Near duplicates share 0.8 or more of their shingles of five words.
+NEAR = minhash_dedup.Near(width=5, percent=80)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules and their hosts' verdicts keep."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id."""
+    return minhash_dedup.keep_one(docs, NEAR)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 20 words and more that start earlier elsewhere; n_chars is of what is left.
+
+    Kept words are joined by one space. A document that loses all its words goes.
+    """
+    cut = substring_dedup.remove_repeats(docs)
+    left = cut.where("repeats.n_removed = 0 OR repeats.n_removed < repeats.n_words")
+    return left.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights take them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and lossless of every document of the mix."""
+    return sentencepiece_bpe.encode(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("encode", encode)]
 
+#: SQL has no byte-pair merges; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
