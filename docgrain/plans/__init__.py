@@ -1,0 +1 @@
+"""Plans composed of operators."""
