@@ -1,17 +1,15 @@
-"""What the operators of this subpackage share: the shared folder, written tables, words and their hashes."""
+"""What the operators of this subpackage share: words and their hashes, and what cluster.py has."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from ..cluster import map_arrow, new_dir, on_cogroup, on_group, ship, written
+
+__all__ = ["ROUND_BYTES", "SPACE", "Words", "column_bytes", "map_arrow", "mixed", "new_dir", "on_cogroup", "on_group", "rounds", "ship", "windows", "written"]
 
 #: Fixed pattern: white space is these six characters, a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,64 +17,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one round of array work takes; a longer text makes a round of its own.
 ROUND_BYTES = 2_000_000
 
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session may go without that setting; it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        java = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = java.get() if java.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        found = "file://" + tempfile.mkdtemp(prefix="docgrain-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docgrain-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here and its size is known to the planner."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context; they need not have it installed.
-
-    Also bounds what Spark holds for a Python worker at a time: Arrow batches get BATCH_ROWS rows at the most.
-    """
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
-    context = spark.sparkContext
-    if getattr(context, "_docgrain_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="docgrain-")), "docgrain_package.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
-    context.addPyFile(target)
-    context._docgrain_shipped = True
-
-
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow() with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
-
-
 def rounds(sizes: np.ndarray, most: int = ROUND_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of consecutive rows whose sizes sum to ``most`` at the most, or single larger rows."""
     start, total = 0, 0

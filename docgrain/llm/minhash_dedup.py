@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column_bytes, map_arrow, mixed, rounds, ship, windows, written
+from .common import Words, column_bytes, map_arrow, mixed, on_cogroup, on_group, rounds, ship, windows, written
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
         keep = [any(similar(x, y, near.percent) for x in by.get(u, ()) for y in by.get(v, ())) for u, v in zip(left["u"].to_pylist(), left["v"].to_pylist())]
         return left.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    links = placed.groupBy("block").cogroup(needed.join(found, "doc_id").groupBy("at")).applyInArrow(compare, "u long, v long")
+    links = placed.groupBy("block").cogroup(needed.join(found, "doc_id").groupBy("at")).applyInArrow(on_cogroup(compare), "u long, v long")
     return written(links, "links")
 
 
@@ -273,12 +273,12 @@ def across(docs: DataFrame, rows: DataFrame, of: DataFrame, classes: DataFrame,
                     links.append((u, v))
         return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
 
-    packed = full.groupBy("key", "low", "high").applyInArrow(pack, "x long, y long, pairs binary")
-    tiles = written(packed.groupBy("x", "y").applyInArrow(join, "x long, y long, pairs binary, ids array<long>"), "tiles")
+    packed = full.groupBy("key", "low", "high").applyInArrow(on_group(pack), "x long, y long, pairs binary")
+    tiles = written(packed.groupBy("x", "y").applyInArrow(on_group(join), "x long, y long, pairs binary, ids array<long>"), "tiles")
     needed = tiles.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode("ids").alias("doc_id"))
     ids = written(needed.select("doc_id").distinct(), "ids")
     sent = needed.join(sets_of(docs, ids, near), "doc_id")
-    return written(tiles.select("x", "y", "pairs").groupBy("x", "y").cogroup(sent.groupBy("p", "q")).applyInArrow(compare, "u long, v long"), "links")
+    return written(tiles.select("x", "y", "pairs").groupBy("x", "y").cogroup(sent.groupBy("p", "q")).applyInArrow(on_cogroup(compare), "u long, v long"), "links")
 
 
 def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column_bytes, map_arrow, rounds, ship, windows
+from .common import Words, column_bytes, map_arrow, on_cogroup, on_group, rounds, ship, windows
 
 WIDTH = 20
 #: Stands for a null doc_id: such rows come first and are one document.
@@ -119,7 +119,7 @@ def repeated_windows(docs: DataFrame, width: int, n_buckets: int, n_groups: int,
             return pa.table({"dst": pa.array([-1 - b for b in table["bucket"].to_pylist()], pa.int64()), "docs": table["docs"], "places": table["places"]})
         return meet(table)
 
-    return own.groupBy("bucket").applyInArrow(reduce, "dst long, docs binary, places binary")
+    return own.groupBy("bucket").applyInArrow(on_group(reduce), "dst long, docs binary, places binary")
 
 
 def kept_words(raw: bytes, starts: np.ndarray, width: int) -> tuple[list[bytes], int]:
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False, bu
             n_removed.append(n - len(words))
         return pa.table({"rest": left["rest"], "kept_sha256" if digest else "text": pa.array(out, pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
 
-    done = texts.groupBy("dst").cogroup(marks.groupBy("dst")).applyInArrow(cut, f"rest {shape}, {kept}, n_words long, n_removed long")
+    done = texts.groupBy("dst").cogroup(marks.groupBy("dst")).applyInArrow(on_cogroup(cut), f"rest {shape}, {kept}, n_words long, n_removed long")
     if digest:
         return done.select("rest.doc_id", "n_words", "n_removed", "kept_sha256")
     return done.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], F.struct("n_words", "n_removed").alias("repeats"))
