@@ -17,6 +17,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one round of array work takes; a longer text makes a round of its own.
 ROUND_BYTES = 2_000_000
 
+
 def rounds(sizes: np.ndarray, most: int = ROUND_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of consecutive rows whose sizes sum to ``most`` at the most, or single larger rows."""
     start, total = 0, 0

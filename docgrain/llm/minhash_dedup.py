@@ -290,7 +290,10 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = signatures(docs, near)
-    classes = written(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    grouped = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
+    # a class makes side ** 2 rows next, so classes are dealt to as many files as those rows to partitions
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = written(grouped.repartition(parts, "rep"), "classes")
     sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("m"))
     # a document with several texts links its own classes by sharing their rep
     buckets = classes.select("rep", _keys().alias("key"))
