@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it comes in fewer parts than there are cores, as one small file does.
+
+    A table of many files has more parts than cores and stays as it is: nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context; they need not have it installed.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions import text as T
 
 #: Fixed question templates; {s} is the section, {t} the title.
@@ -99,29 +100,44 @@ def negative_items(questions: DataFrame) -> DataFrame:
 def generate(chunks: DataFrame, negatives: DataFrame, hard: int = 24, multi: int = 12, target: int | None = None) -> DataFrame:
     """All items, numbered q001 and on: easy, hard, multi-hop, negative, each in order of chunk, document or question.
 
-    ValueError if there are not ``target`` of them. The set is small by design: it is for people to read.
+    ValueError if there are not ``target`` of them.
     """
     parts = [easy_items(chunks), hard_items(chunks, hard), multi_hop_items(chunks, multi), negative_items(negatives)]
     out = None
     for i, part in enumerate(parts):
         part = part.withColumn("part", F.lit(i))
         out = part if out is None else out.unionByName(part)
-    numbered = out.withColumn("n", F.row_number().over(Window.orderBy("part", "place"))).select(F.format_string("q%03d", F.col("n")).alias("id"), "question", "gold", "reference_answer", "difficulty", "query_type", "domain")
+    numbered = with_numbers(out, "part", "place").select(F.format_string("q%03d", F.col("n")).alias("id"), "question", "gold", "reference_answer", "difficulty", "query_type", "domain")
     if target is not None and (found := numbered.count()) != target:
         raise ValueError(f"{found} items, not {target}")
     return numbered
 
 
+def with_numbers(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``n``, from 1 in that order. Rows are sorted by ranges; only one count a range meets in one task."""
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("size"))
+    before = sizes.select("__part", F.coalesce(F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(before, "__part").withColumn("n", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
+
+
 def stratified_split(items: DataFrame, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """``items`` with ``holdout``: of each (query_type, difficulty) the rounded share, one at least and not all; none of
     a single item. Which ones is by hash of id and seed."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must be between 0 and 1")
-    group = Window.partitionBy("query_type", "difficulty")
-    order = group.orderBy(F.md5(F.concat_ws(":", F.col("id"), F.lit(str(seed))).cast("binary")), "id")
-    n = F.count("*").over(group)
-    wanted = F.when(F.col("n") <= 1, 0).otherwise(F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * ratio).cast("long"))))
-    return items.withColumn("n", n).withColumn("place", F.row_number().over(order)).withColumn("holdout", F.col("place") <= wanted).drop("n", "place")
+    stratum = ["query_type", "difficulty"]
+    keyed = items.withColumn("__key", F.md5(F.concat_ws(":", F.col("id"), F.lit(str(seed))).cast("binary"))).withColumn("__range", F.substring("__key", 1, 3))
+    # places are counted by range of keys first, so that no task orders a stratum
+    sizes = keyed.groupBy(*stratum, "__range").agg(F.count("*").alias("size"))
+    whole = Window.partitionBy(*stratum)
+    before = sizes.select(*stratum, "__range", F.sum("size").over(whole).alias("__n"), F.coalesce(F.sum("size").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    wanted = F.when(F.col("__n") <= 1, 0).otherwise(F.greatest(F.lit(1), F.least(F.col("__n") - 1, F.bround(F.col("__n") * ratio).cast("long"))))
+    inside = F.row_number().over(Window.partitionBy(*stratum, "__range").orderBy("__key", "id"))
+    same = [keyed[c].eqNullSafe(before[c]) for c in stratum]
+    joined = keyed.join(before, [*same, keyed["__range"] == before["__range"]]).select(keyed["*"], "__n", "__before")
+    return joined.withColumn("holdout", F.col("__before") + inside <= wanted).drop("__key", "__range", "__n", "__before")
 
 
 def summarize(items: DataFrame) -> DataFrame:

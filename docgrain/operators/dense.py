@@ -73,19 +73,20 @@ class Embedding:
                 pass
         return dimension, lambda _, tokens: hash_vectors(tokens, dimension)
 
-    def encode(self, rows: DataFrame, key: str, text: Column) -> DataFrame:
-        """key and vector (array of double) of every row."""
+    def encode(self, rows: DataFrame, key: str, text: Column, *keep: str) -> DataFrame:
+        """key, the columns in ``keep`` (text) and vector (array of double) of every row."""
         backend = self
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, encode = backend.encoder()
             for batch in batches:
-                vectors = encode(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                vectors = encode(*(batch.column(i).to_pylist() for i in (len(kept), len(kept) + 1)))
                 flat = pa.array(vectors.reshape(-1))
                 ends = pa.array(np.arange(0, flat.__len__() + 1, vectors.shape[1] or 1, dtype=np.int32)) if len(vectors) else pa.array([0], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], [key, "vector"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.ListArray.from_arrays(ends, flat)], [*kept, "vector"])
 
-        return map_arrow(rows.select(key, text.alias("text"), T.index_tokens(text).alias("tokens")), work, f"{key} string, vector array<double>")
+        kept = (key, *keep)
+        return map_arrow(rows.select(*kept, text.alias("__text"), T.index_tokens(text).alias("__tokens")), work, ", ".join(f"{c} string" for c in kept) + ", vector array<double>")
 
 
 @dataclass(frozen=True)
@@ -98,8 +99,7 @@ class DenseIndex:
 
 def build_index(chunks: DataFrame, model: str = "hash://384") -> DenseIndex:
     text = T.index_text(F.col("title"), F.col("section_path"), F.col("text"))
-    vectors = Embedding(model).encode(chunks, "chunk_id", text).join(chunks.select("chunk_id", "department", "access_level"), "chunk_id")
-    return DenseIndex(written(vectors, "vectors"), model)
+    return DenseIndex(written(Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level"), "vectors"), model)
 
 
 def nearest(vectors: DataFrame, query_vectors: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:

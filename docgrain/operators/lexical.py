@@ -38,12 +38,13 @@ def build_index(chunks: DataFrame) -> LexicalIndex:
     """Terms are counted within each chunk's row and summed by term once; the postings are a written table."""
     tokens = T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
     rows = chunks.select("chunk_id", "department", "access_level", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-    lengths = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     exploded = rows.select("chunk_id", "department", "access_level", "dl", F.explode("tokens").alias("term"))
     postings = written(exploded.groupBy("chunk_id", "term", "dl", "department", "access_level").agg(F.count("*").alias("tf")), "postings")
+    n = chunks.count()
+    mean = (postings.agg(F.sum("tf")).first()[0] or 0) / max(1, n)
     terms = written(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    mean_idf = terms.agg(F.avg(raw_idf(lengths["n"], F.col("df")))).first()[0] or 0.0
-    return LexicalIndex(postings, terms, lengths["n"], lengths["mean"] or 0.0, mean_idf)
+    mean_idf = terms.agg(F.avg(raw_idf(n, F.col("df")))).first()[0] or 0.0
+    return LexicalIndex(postings, terms, n, mean, mean_idf)
 
 
 def fallback_idf(index: LexicalIndex) -> DataFrame:

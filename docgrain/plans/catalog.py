@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import written
+from ..cluster import spread, written
 from ..config import Settings
 from ..functions import text as T
 from ..operators import answering, chunking, datasets, dense, evaluation, fusion, lexical
@@ -22,7 +22,7 @@ K, CANDIDATES = 5, 24
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,13 +142,13 @@ def citation_signatures(spark, sf):
 
 
 def term_df_idf(spark, sf):
-    index = lexical.build_index(chunks(spark, sf))
+    index = lexical.build_index(written(chunks(spark, sf), "chunks"))
     both = lexical.okapi_idf(index).join(lexical.fallback_idf(index).select("term", F.col("idf").alias("plain_idf")), "term")
     return both.select("term", "df", six("idf"), six("plain_idf"))
 
 
 def _lexical(spark, sf, asked, scorer):
-    found = lexical.search(lexical.build_index(chunks(spark, sf)), retrieval.normalized_queries(asked), CANDIDATES, scorer)
+    found = lexical.search(lexical.build_index(written(chunks(spark, sf), "chunks")), retrieval.normalized_queries(asked), CANDIDATES, scorer)
     return found.select("query_id", "chunk_id", six("score"), "rank")
 
 
