@@ -21,11 +21,6 @@ def gathered(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.withColumn("hits", F.coalesce("hits", empty))
 
 
-def draft_answer(hits: Column) -> Column:
-    """What the heuristic backend says of the first three hits."""
-    return F.when(F.size(hits) == 0, fixed.NOT_FOUND).otherwise(F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: T.draft_bullet(h["text"])), "\n"))
-
-
 def relevance(h: Column, q: Column, titles: Column, sections: Column, preferred: Column, settings: Settings) -> Column:
     """Struct of a hit's relevance as a citation; relevance 0 and less, and null, mean none."""
     overlap = _overlap(q, T.token_set(h["text"]))
@@ -47,22 +42,21 @@ def _overlap(q: Column, c: Column) -> Column:
 
 
 def select_citations(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``rows`` of gathered() with ``q``, ``targets``, ``n_candidates``, ``selected`` (hits in order) and ``coverage``.
+    """``rows`` of gathered() and drafted() with ``q``, ``targets``, ``n_candidates``, ``selected`` (hits in order) and ``coverage``.
 
     Coverage is of candidates before equal texts are dropped.
     """
     rows = rows.withColumn("q", T.token_set(F.col("question"))).withColumn("targets", T.query_targets(F.col("question")))
     titles = F.transform(F.col("targets.doc_titles"), T.token_set)
     sections = F.transform(F.col("targets.sections"), T.token_set)
-    preferred = F.transform(F.slice("hits", 1, 3), lambda h: h["chunk_id"])
-    rows = rows.withColumn("titles", titles).withColumn("sections", sections).withColumn("preferred", preferred)
+    rows = rows.withColumn("titles", titles).withColumn("sections", sections)
     rated = F.transform("hits", lambda h: F.struct(F.round(-relevance(h, F.col("q"), F.col("titles"), F.col("sections"), F.col("preferred"), settings), 9).alias("minus"), h["rank"].alias("rank"), T.signature(h["text"]).alias("sig"), h.alias("hit")))
     rows = rows.withColumn("candidates", F.array_sort(F.filter(rated, lambda x: x["minus"] < 0)))
     kind = rows.schema["candidates"].dataType.simpleString()
     first = F.aggregate("candidates", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: y["sig"] == x["sig"]), acc).otherwise(F.array_append(acc, x)))
     rows = rows.withColumn("selected", F.transform(F.slice(first, 1, settings.max_citations), lambda x: x["hit"])).withColumn("n_candidates", F.size("candidates"))
     coverage = F.when(F.col("n_candidates") == 0, 0.0).otherwise(F.size("selected") / F.greatest(F.lit(1), F.least(F.lit(settings.max_citations), F.col("n_candidates"))))
-    return rows.withColumn("coverage", coverage).drop("titles", "sections", "preferred", "candidates")
+    return rows.withColumn("coverage", coverage).drop("titles", "sections", "candidates")
 
 
 def confidence(top: Column, coverage: Column, n_hits: Column) -> Column:
@@ -98,7 +92,7 @@ def gates(settings: Settings = Settings()) -> dict[str, Column]:
     """Reasons to refuse, by name, over the columns of features(); any of them refuses."""
     c = F.col
     open_query = ~c("reference")
-    draft = F.trim(F.upper(draft_answer(c("hits"))))
+    draft = F.trim(F.upper(c("draft")))
     return {
         "n1_no_hits": c("n_hits") == 0,
         "n2_low_score": c("top_score") < settings.min_score,
@@ -134,7 +128,7 @@ def answers(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row a query: answer, citations, confidence, status, clarifying_question and a struct ``debug``."""
     cited = F.transform("selected", lambda h: F.struct(h["title"].alias("title"), h["section_path"].alias("section_path"), h["chunk_id"].alias("chunk_id")))
     bullets = F.array_join(F.transform("selected", lambda h: T.snippet(h["text"])), "\n")
-    text = bullets if settings.llm_backend == "heuristic" else draft_answer(F.col("hits"))
+    text = bullets if settings.llm_backend == "heuristic" else F.col("draft")
     no = F.col("refused")
     return rows.select(
         "query_id",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cluster import written
+from ..functions import fixed
 from ..functions import text as T
 
 #: Fixed question templates; {s} is the section, {t} the title.
@@ -92,16 +93,23 @@ def multi_hop_items(chunks: DataFrame, limit: int | None = None) -> DataFrame:
     return pairs.select(F.col("doc_id").alias("place"), *item_columns(question, F.array("first.chunk_id", "second.chunk_id"), reference, "hard", "positive_multi", T.domain_from_department(F.col("first.department"))))
 
 
+def fixed_negatives(spark: SparkSession) -> DataFrame:
+    """The fixed questions that must be refused, in their order."""
+    return spark.createDataFrame([(f"{i:03d}", q) for i, q in enumerate(fixed.NEGATIVE_QUESTIONS)], "place string, question string")
+
+
 def negative_items(questions: DataFrame) -> DataFrame:
-    """Items that must be refused, from a table with ``question``."""
-    return questions.select(F.col("question").alias("place"), *item_columns(F.col("question"), F.array().cast("array<string>"), F.lit("NOT_FOUND"), "hard", "negative", F.lit("General")))
+    """Items that must be refused, from a table with ``question``, in order of ``place`` if it has that."""
+    place = F.col("place") if "place" in questions.columns else F.col("question")
+    return questions.select(place.alias("place"), *item_columns(F.col("question"), F.array().cast("array<string>"), F.lit("NOT_FOUND"), "hard", "negative", F.lit("General")))
 
 
-def generate(chunks: DataFrame, negatives: DataFrame, hard: int = 24, multi: int = 12, target: int | None = None) -> DataFrame:
+def generate(chunks: DataFrame, negatives: DataFrame | None = None, hard: int = 24, multi: int = 12, target: int | None = None) -> DataFrame:
     """All items, numbered q001 and on: easy, hard, multi-hop, negative, each in order of chunk, document or question.
 
     ValueError if there are not ``target`` of them.
     """
+    negatives = fixed_negatives(chunks.sparkSession) if negatives is None else negatives
     parts = [easy_items(chunks), hard_items(chunks, hard), multi_hop_items(chunks, multi), negative_items(negatives)]
     out = None
     for i, part in enumerate(parts):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..cluster import spread, written
 from ..config import Settings
 from ..functions import text as T
-from ..operators import answering, chunking, datasets, dense, evaluation, fusion, lexical
+from ..operators import answering, chunking, datasets, dense, evaluation, fusion, generation, lexical
 from . import retrieval
 
 SETTINGS = Settings()
@@ -283,7 +283,7 @@ def ask_pipeline(spark, sf):
 
 def heuristic_answer(spark, sf):
     rows = answering.gathered(retrieval.normalized_queries(questions(spark, sf)), retrieval.retrieve(corpus(spark, sf), questions(spark, sf), SETTINGS).hits)
-    return rows.select("query_id", answering.draft_answer(F.col("hits")).alias("draft"))
+    return rows.select("query_id", generation.draft_answer(F.col("hits")).alias("draft"))
 
 
 def sentence_snippets(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..cluster import written
 from ..config import Settings
 from ..functions import text as T
-from ..operators import answering, dense, fusion, lexical
+from ..operators import answering, dense, fusion, generation, lexical
 
 
 @dataclass(frozen=True)
@@ -120,10 +120,10 @@ def search_debug(corpus: Corpus, queries: DataFrame, settings: Settings = Settin
 
 def judged(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row a query with citations, features and gates."""
-    queries = normalized_queries(queries)
-    rows = answering.gathered(queries, retrieve(corpus, queries, settings).hits)
+    queries, settings = normalized_queries(queries), generation.effective(settings)
+    rows = generation.drafted(answering.gathered(queries, retrieve(corpus, queries, settings).hits), settings)
     return answering.gated(answering.features(answering.select_citations(rows, settings), settings), settings)
 
 
 def ask(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    return answering.answers(judged(corpus, queries, settings), settings)
+    return answering.answers(judged(corpus, queries, settings), generation.effective(settings))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from docgrain import config
 from docgrain.engine import Engine
-from docgrain.operators import answering, datasets, evaluation
+from docgrain.operators import answering, datasets, evaluation, generation
 from docgrain.sources import files
 from docgrain.streaming import incremental
 
@@ -71,7 +71,7 @@ def rows_of(spark, question, hits):
     schema = "query_id string, rank int, score double, doc_id string, chunk_id string, title string, section_path string, text string"
     table = spark.createDataFrame([("q", i + 1, *h) for i, h in enumerate(hits)], schema)
     queries = spark.createDataFrame([("q", question, 5)], "query_id string, query string, top_k int")
-    return answering.gated(answering.features(answering.select_citations(answering.gathered(queries, table))))
+    return answering.gated(answering.features(answering.select_citations(generation.drafted(answering.gathered(queries, table), config.Settings()))))
 
 
 GATES = {
@@ -108,6 +108,19 @@ def test_citations_prefer_targets(spark):
     assert row["selected"][0].chunk_id == "right"
 
 
+def test_generation(spark):
+    hits = [(0.9, "d", "c1", "t", "s", "Alpha beta gamma."), (0.8, "e", "c2", "t", "s", "Delta.")]
+    table = spark.createDataFrame([("q", i + 1, *h) for i, h in enumerate(hits)], "query_id string, rank int, score double, doc_id string, chunk_id string, title string, section_path string, text string")
+    rows = answering.gathered(spark.createDataFrame([("q", "alpha", 5)], "query_id string, query string, top_k int"), table)
+    model = config.Settings(llm_backend="transformers")
+    assert generation.effective(model).llm_backend == "heuristic"
+    said = generation.drafted(rows, model, lambda _: lambda prompt: 'x\n{"answer": "yes", "citations": [{"chunk_id": "c2"}, 3]}').first()
+    assert (said.draft, said.preferred) == ("yes", ["c2"])
+    unread = generation.drafted(rows, model, lambda _: lambda prompt: "no json").first()
+    assert (unread.draft, unread.preferred) == ("- Alpha beta gamma\n- Delta", ["c1", "c2"])
+    assert generation.read_output("[1]") is None and generation.read_output("{}") == ("NOT_FOUND", [])
+
+
 def test_evaluation(engine, spark):
     chunks = files.read_chunks(spark, engine.settings.chunk_output_path)
     negatives = spark.createDataFrame([("Công ty có chính sách nuôi thú cưng tại văn phòng không?",), ("Quy định sử dụng drone là gì?",)], "question string")
@@ -116,6 +129,7 @@ def test_evaluation(engine, spark):
     assert ids[0] == "q001" and ids[-1] == "q019"
     with pytest.raises(ValueError):
         datasets.generate(chunks, negatives, target=1)
+    assert datasets.generate(chunks, hard=0, multi=0).count() == 10 + 30
     found, answered = engine.evaluate(items)
     by = {r["mode"]: r for r in found.collect()}
     assert by["bm25"].recall_at_k == 1.0 and by["hybrid"].recall_at_k > 0.9 and by["bm25"].n == 17

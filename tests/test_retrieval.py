@@ -42,7 +42,7 @@ def test_bm25(spark, chunks):
 
 def test_access_and_department(spark, chunks):
     index = lexical.build_index(chunks)
-    rows = [("alpha", 5, None, level) for level in ("public", "restricted", None, "", "internal")] + [("alpha epsilon", 5, "Engineering", None)]
+    rows = [("beta delta", 5, None, level) for level in ("public", "restricted", None, "", "internal")] + [("beta epsilon", 5, "Engineering", None)]
     got = {}
     for r in lexical.search(index, asked(spark, *rows), 10).collect():
         got.setdefault(r.query_id, set()).add(r.chunk_id)
