@@ -14,6 +14,7 @@ Windows are told apart by 64-bit hashes: among n different windows about n * n /
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import Words, column_bytes, map_arrow, on_cogroup, on_group, rounds, ship, windows
 
 WIDTH = 20
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Stands for a null doc_id: such rows come first and are one document.
 NO_ID = -(2**63)
 
@@ -122,27 +124,38 @@ def repeated_windows(docs: DataFrame, width: int, n_buckets: int, n_groups: int,
     return own.groupBy("bucket").applyInArrow(on_group(reduce), "dst long, docs binary, places binary")
 
 
-def kept_words(raw: bytes, starts: np.ndarray, width: int) -> tuple[list[bytes], int]:
-    """The words of a text outside the windows at ``starts``, and how many words it has."""
-    words = raw.split()
-    if not len(starts):
-        return words, len(words)
-    edges = np.zeros(len(words) + 1, np.int64)
+def kept(n_words: int, starts: np.ndarray, width: int) -> np.ndarray:
+    """Which words of a text are outside the windows at ``starts``, of which those count that fit in it."""
+    starts = starts[starts + width <= n_words]
+    edges = np.zeros(n_words + 1, np.int64)
     np.add.at(edges, starts, 1)
-    np.add.at(edges, np.minimum(starts + width, len(words)), -1)
-    keep = np.cumsum(edges[:-1]) == 0
-    return [words[i] for i in np.flatnonzero(keep).tolist()], len(words)
+    np.add.at(edges, starts + width, -1)
+    return np.cumsum(edges[:-1]) == 0
+
+
+def cut_out(raw: bytes, keep: np.ndarray) -> bytes:
+    """A text without the intervals of words that aren't kept; a line break, or else a space, closes a gap."""
+    spans = [m.span() for m in _WORD.finditer(raw)]
+    edges = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=0, append=0))
+    out, last = [], None
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if last is not None:
+            out.append(b"\n" if b"\n" in raw[last : spans[a][0]] else b" ")
+        last = spans[b - 1][1]
+        out.append(raw[spans[a][0] : last])
+    return b"".join(out)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False, bucket_bytes: int = 8 << 20, group_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` without the words of windows of ``width`` words that also start earlier, by doc_id and then by place.
 
-    The columns are those of ``docs`` with ``text`` made of the kept words, joined by one space; two struct fields
-    beside them can't clash: the column ``repeats`` has n_words and n_removed. With ``digest``: doc_id, n_words,
-    n_removed and kept_sha256 alone.
+    The columns are those of ``docs``, ``text`` being what is left of it (as it was if nothing goes), and ``repeats``, a
+    struct of n_words and n_removed. With ``digest``: doc_id, n_words, n_removed and kept_sha256 (of the kept words
+    joined by one space) alone.
 
-    Null texts have no words and stay null. Rows of one doc_id count as one document of which each has its own words;
-    equal windows at one place of it are the same occurrence. Null doc_ids come before all others. Texts shorter than
+    Null texts have no words and stay null. Rows of one doc_id are one document: equal windows at one place of it are the
+    same occurrence, and a window that goes at a place goes in all its rows that reach so far. Null doc_ids are one
+    document, before all others. Texts shorter than
     ``width`` words lose nothing. An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -153,7 +166,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False, bu
     rest = [c for c in docs.columns if c != "text"]
     row = F.struct(*[docs[c] for c in rest]).alias("rest") if not digest else F.struct(docs["doc_id"]).alias("rest")
     texts = docs.select(F.pmod(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.lit(n_groups)).cast("long").alias("dst"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), row)
-    kept = "kept_sha256 string" if digest else "text string"
+    result = "kept_sha256 string" if digest else "text string"
     shape = texts.select("rest").schema["rest"].dataType.simpleString()
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -168,14 +181,20 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False, bu
         out, n_words, n_removed = [], [], []
         for text, a, b in zip(left["text"], np.searchsorted(of, ids, "left"), np.searchsorted(of, ids, "right")):
             raw = text.as_buffer()
-            words, n = kept_words(raw.to_pybytes() if raw is not None else b"", starts[a:b], width)
-            joined = b" ".join(words)
-            out.append(hashlib.sha256(joined).hexdigest() if digest else None if raw is None else joined.decode())
-            n_words.append(n)
-            n_removed.append(n - len(words))
-        return pa.table({"rest": left["rest"], "kept_sha256" if digest else "text": pa.array(out, pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
-
-    done = texts.groupBy("dst").cogroup(marks.groupBy("dst")).applyInArrow(on_cogroup(cut), f"rest {shape}, {kept}, n_words long, n_removed long")
+            raw = None if raw is None else raw.to_pybytes()
+            words = (raw or b"").split()
+            keep = kept(len(words), starts[a:b], width) if a < b else None
+            gone = 0 if keep is None else len(words) - int(keep.sum())
+            if digest:
+                left_over = words if keep is None else [words[i] for i in np.flatnonzero(keep).tolist()]
+                out.append(hashlib.sha256(b" ".join(left_over)).hexdigest())
+            else:
+                out.append(raw if keep is None else cut_out(raw, keep))
+            n_words.append(len(words))
+            n_removed.append(gone)
+        return pa.table({"rest": left["rest"], "kept_sha256" if digest else "text": pa.array(out, pa.string() if digest else pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
+
+    done = texts.groupBy("dst").cogroup(marks.groupBy("dst")).applyInArrow(on_cogroup(cut), f"rest {shape}, {result}, n_words long, n_removed long")
     if digest:
         return done.select("rest.doc_id", "n_words", "n_removed", "kept_sha256")
     return done.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], F.struct("n_words", "n_removed").alias("repeats"))

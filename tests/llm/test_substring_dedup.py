@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from docgrain.llm import substring_dedup as S
 
 from .helpers import ODD, frame, prose
@@ -16,9 +18,10 @@ def brute(rows, width=20):
         for s in range(len(words) - width + 1):
             key = tuple(words[s : s + width])
             first[key] = min(first.get(key, (i, s)), (i, s))
+    late = {(n, s) for n, words in texts for s in range(len(words) - width + 1) if first[tuple(words[s : s + width])] < (n, s)}
     out = []
     for (i, _), (n, words) in zip(rows, texts):
-        gone = {s + j for s in range(len(words) - width + 1) if first[tuple(words[s : s + width])] < (n, s) for j in range(width)}
+        gone = {s + j for s in range(len(words) - width + 1) if (n, s) in late for j in range(width)}
         out.append((i, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
     return out
 
@@ -45,6 +48,7 @@ def test_odd_rows(spark):
     check(spark, ODD)
     long = prose(25, 4)
     check(spark, [(5, long), (5, long), (None, long), (2, long)])
+    check(spark, [(5, prose(30, 1)), (5, prose(25, 2)), (5, prose(90, 3) + " " + long), (5, "short"), (7, prose(90, 3)), (3, long)])
     assert S.remove_repeats(frame(spark, []), digest=True).count() == 0
 
 
@@ -54,4 +58,13 @@ def test_texts(spark):
     assert out.columns == [*docs.drop("repeats").columns, "repeats"]
     got = {r.doc_id: r.text for r in out.collect()}
     assert got.pop(30) is None
-    assert got == {i: t for i, _, _, t in brute(passages())}
+    was = dict(passages())
+    for i, _, gone, text in brute(passages()):
+        assert re.findall(r"[^\x20\x09-\x0D]+", got[i]) == text.split(" ") * bool(text)
+        assert gone or got[i] == was[i], "untouched texts stay as they are"
+
+
+def test_cut_out():
+    keep = np.array([True, False, True, True, False, False, True, False])
+    assert S.cut_out(b" a  b\tc\n\nd e\nf g h ", keep) == b"a c\n\nd\ng"
+    assert S.cut_out(b"a b", np.array([False, False])) == b""
