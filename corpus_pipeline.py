@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 words and more that start earlier elsewhere; n_chars is of what is left.
 
-    Kept words are joined by one space. A document that loses all its words goes.
+    Other texts stay as they are. A document that loses all its words goes.
     """
     cut = substring_dedup.remove_repeats(docs)
     left = cut.where("repeats.n_removed = 0 OR repeats.n_removed < repeats.n_words")
