@@ -35,7 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docgrain-{name}-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one; clean() deletes it."""
+    made = f"{shared_dir(spark)}/docgrain-{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._docgrain_dirs = [*getattr(context, "_docgrain_dirs", ()), made]
+    return made
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the folders that this context has made, and with them the results that still read them."""
+    context = spark.sparkContext
+    made, context._docgrain_dirs = getattr(context, "_docgrain_dirs", []), []
+    for folder in made:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
