@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..cluster import map_arrow, new_dir, on_cogroup, on_group, ship, written
 
-__all__ = ["ROUND_BYTES", "SPACE", "Words", "column_bytes", "map_arrow", "mixed", "new_dir", "on_cogroup", "on_group", "rounds", "ship", "windows", "written"]
+__all__ = ["ROUND_BYTES", "SPACE", "Words", "column_bytes", "map_arrow", "mixed", "new_dir", "on_cogroup", "on_group", "rounds", "ship", "whole_row", "windows", "written"]
 
 #: Fixed pattern: white space is these six characters, a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,6 +20,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 ROUND_BYTES = 2_000_000
 
 
+def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """A struct of all columns, or of those that aren't in ``but``, whatever their names hold."""
+    return F.struct(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns if c not in but])
+
+
 def rounds(sizes: np.ndarray, most: int = ROUND_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of consecutive rows whose sizes sum to ``most`` at the most, or single larger rows."""
     start, total = 0, 0

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, whole_row, written
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
     """``docs``, with their columns, each row as often as the mix takes it."""
     rows = written(leveled(docs, mix), "tokens")
     planned = plan(rows, mix)
-    row = F.struct(*[docs[c] for c in docs.columns])
+    row = whole_row(docs)
     found = docs if "domain" in docs.columns or "domain" not in mix.levels else docs.withColumn("domain", domain(docs["source"]))
     keyed = found.select(row.alias("__row"), found["doc_id"].alias("doc_id"), *[F.coalesce(found[x].cast("string"), F.lit("")).alias(x) for x in mix.levels])
     taken = copies(keyed, planned, mix).where("copies > 0")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, whole_row, written
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,8 @@ def host_verdicts(rows: DataFrame, host: str = "source", rules: Rules = RULES) -
 def _judged(rows: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
     """``rows`` with their hosts' verdicts. The planner broadcasts the written verdicts if they are small; else it
     shuffles both sides and splits a hot host's rows."""
-    joined = rows.join(verdicts.select("host", "host_rejected", "enforce_symbols", "enforce_lines"), rows[host].eqNullSafe(F.col("host")), "left")
+    of_host = verdicts.select(F.col("host").alias("__of"), "host_rejected", "enforce_symbols", "enforce_lines")
+    joined = rows.join(of_host, F.col(host).eqNullSafe(F.col("__of")), "left").drop("__of")
     bad = F.col("base_failed") | F.col("host_rejected") | (F.col("symbols_failed") & F.col("enforce_symbols")) | (F.col("lines_failed") & F.col("enforce_lines"))
     return joined.withColumn("kept", ~bad)
 
@@ -137,6 +138,5 @@ def keep_good(docs: DataFrame, host: str = "source", rules: Rules = RULES) -> Da
     Two scans: one for the hosts' sums, one that filters, so that texts are not shuffled while verdicts are few.
     """
     verdicts = written(host_verdicts(measured(docs, host, rules=rules), host, rules), "verdicts")
-    row = F.struct(*[docs[c] for c in docs.columns])
-    rows = measured(docs.select(row.alias("__row"), docs[host].alias("__host"), docs["text"].alias("text")), "__row", "__host", rules=rules)
+    rows = measured(docs.select(whole_row(docs).alias("__row"), docs[host].alias("__host"), docs["text"].alias("text")), "__row", "__host", rules=rules)
     return _judged(rows, verdicts, "__host").where("kept").select("__row.*")

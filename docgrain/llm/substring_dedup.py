@@ -22,8 +22,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Words, column_bytes, map_arrow, on_cogroup, on_group, rounds, ship, windows
+from .common import Words, column_bytes, map_arrow, on_cogroup, on_group, rounds, ship, whole_row, windows
 
 WIDTH = 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -163,11 +164,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False, bu
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_buckets, n_groups = 1 + size // bucket_bytes, 1 + size // group_bytes
     marks = repeated_windows(docs, width, n_buckets, n_groups)
-    rest = [c for c in docs.columns if c != "text"]
-    row = F.struct(*[docs[c] for c in rest]).alias("rest") if not digest else F.struct(docs["doc_id"]).alias("rest")
+    row = (F.struct(docs["doc_id"]) if digest else whole_row(docs, ("text",))).alias("rest")
     texts = docs.select(F.pmod(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.lit(n_groups)).cast("long").alias("dst"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), row)
-    result = "kept_sha256 string" if digest else "text string"
-    shape = texts.select("rest").schema["rest"].dataType.simpleString()
+    shape = StructType([texts.schema["rest"], StructField("kept_sha256" if digest else "text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if right.num_rows:
@@ -194,7 +193,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False, bu
             n_removed.append(gone)
         return pa.table({"rest": left["rest"], "kept_sha256" if digest else "text": pa.array(out, pa.string() if digest else pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
 
-    done = texts.groupBy("dst").cogroup(marks.groupBy("dst")).applyInArrow(on_cogroup(cut), f"rest {shape}, {result}, n_words long, n_removed long")
+    done = texts.groupBy("dst").cogroup(marks.groupBy("dst")).applyInArrow(on_cogroup(cut), shape)
     if digest:
         return done.select("rest.doc_id", "n_words", "n_removed", "kept_sha256")
     return done.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], F.struct("n_words", "n_removed").alias("repeats"))
