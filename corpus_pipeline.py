@@ -33,7 +33,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     cut = substring_dedup.remove_repeats(docs)
     left = cut.where("repeats.n_removed = 0 OR repeats.n_removed < repeats.n_words")
-    return left.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
+    return left.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
