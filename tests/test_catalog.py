@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from docgrain.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -22,6 +23,26 @@ def rows(columns, found):
     return sorted(tuple(shown(r[i]) for i in order) for r in found)
 
 
+def once(build):
+    made = {}
+
+    def get(spark, sf):
+        if sf not in made:
+            made[sf] = build(spark, sf)
+        return made[sf]
+
+    return get
+
+
+@pytest.fixture(scope="module", autouse=True)
+def built_once():
+    """What several queries build is built once here."""
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("corpus", "_evaluated", "_full", "_judged"):
+            patch.setattr(catalog, name, once(getattr(catalog, name)))
+        yield
+
+
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
