@@ -1,15 +1,14 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding, without loss.
 
 A text, a word mark before it and its spaces turned to word marks, is merged pair by pair, best piece first and
-leftmost first. Each candidate merge is put to a keyed hash of the seed, the unit's variant, its characters and the
-candidate's place in it; if the hash falls below ``dropout`` the candidate is skipped. The hash alone decides, so a
-task that runs again gives the same pieces, and dropout 0 gives the model's own segmentation.
+leftmost first. Each merge whose turn comes is put to a keyed hash of the seed, doc_id, the copy of the row, the unit's
+place in the text and the number of the draw; if the hash falls below ``dropout`` the merge is skipped for good. The
+hash alone decides, so a task that runs again gives the same pieces, and dropout 0 gives the model's own segmentation.
 
 Merges never cross the border before a word mark that follows another character, nor a character that no longer piece
-holds. Texts are therefore cut into units there. Equal units of one variant are merged once for a run of texts, all
-units of the run together, one merge of each at a time, by array operations; units of over LONG symbols have an agenda
-(a heap) of their own. ``variants`` is how many segmentations a unit can have; which one an occurrence gets is hashed
-from doc_id and its place.
+holds. Texts are therefore cut into units there. Every occurrence of a unit has draws of its own; those whose draws are
+equal as far as merging can use them are merged once for a run of texts, all units of the run together, one merge of
+each at a time, by array operations; units of over LONG symbols have an agenda (a heap) of their own.
 
 Characters without a piece, and the word mark itself where a text holds it, become byte pieces, so decoding gives
 every text back byte for byte.
@@ -31,6 +30,8 @@ from .common import column_bytes, map_arrow, mixed, rounds, ship
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONG = 200
+#: Draws that a pattern holds; occurrences that may need more are merged alone.
+DRAWS = 62
 NONE = np.int64(2**62)
 #: Bits of a candidate: its rank, its place in the unit, its piece.
 RANK_AT, PLACE_AT = 26, 17
@@ -41,7 +42,6 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 class Dropout:
     rate: float = 0.1
     seed: int = 11
-    variants: int = 4
 
     @property
     def below(self) -> np.uint64:
@@ -139,10 +139,43 @@ class Vocabulary:
         return out
 
 
-def _skipped(keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, below: np.uint64) -> np.ndarray:
-    """Which candidates the keyed hash skips; places are in symbols of the unit as it was cut."""
+def _skipped(keys: np.ndarray, draw: np.ndarray | np.uint64, below: np.uint64) -> np.ndarray:
+    """Which merges the keyed hash skips; draws are numbered from 0 in each unit."""
     with np.errstate(over="ignore"):
-        return mixed(keys + start.astype(np.uint64) * _M1 + middle.astype(np.uint64) * _M2 + end.astype(np.uint64) * _M3) < below
+        return mixed(keys + draw * _M1) < below
+
+
+def _draws(key: int, dropout: Dropout) -> Iterator[bool]:
+    """One unit's draws in turn."""
+    keyed, at = np.array([key & (2**64 - 1)], np.uint64), 0
+    while True:
+        yield from _skipped(keyed, np.arange(at, at + LONG, dtype=np.uint64), dropout.below).tolist()
+        at += LONG
+
+
+def patterns(keys: np.ndarray, sizes: np.ndarray, dropout: Dropout) -> np.ndarray:
+    """Of each unit the draws that its merging can come to, as bits; equal units with equal patterns have equal pieces.
+
+    A unit of n symbols merges n - 1 times at the most, and has n - 1 candidates and two more for each merge, so its
+    draws end with the (n - 1)th that passes or when candidates must have run out. Beyond DRAWS the key is the pattern.
+    """
+    out = np.zeros(len(keys), np.uint64)
+    if dropout.rate <= 0:
+        return out
+    which = np.flatnonzero(sizes > 1)
+    key, merges = keys[which], sizes[which] - 1
+    left = merges.copy()
+    for draw in range(DRAWS):
+        if not len(which):
+            return out
+        skip = _skipped(key, np.uint64(draw), dropout.below)
+        out[which[skip]] |= np.uint64(1 << draw)
+        merges -= ~skip
+        left += np.where(skip, -1, 1)
+        more = (merges > 0) & (left > 0)
+        which, key, merges, left = which[more], key[more], merges[more], left[more]
+    out[which] = key | np.uint64(1 << 63)
+    return out
 
 
 def merge_unit(vocabulary: Vocabulary, symbols: list[int], key: int, dropout: Dropout) -> list[tuple[int, int]]:
@@ -151,20 +184,16 @@ def merge_unit(vocabulary: Vocabulary, symbols: list[int], key: int, dropout: Dr
     symbol, end, before, after = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     agenda: list[tuple[int, int, int, int, int]] = []
     alive = [True] * n
-    keyed = np.array([key & (2**64 - 1)], np.uint64)
+    draws = _draws(key, dropout)
 
     def offer(lefts: list[int]) -> None:
         lefts = [i for i in lefts if i >= 0 and after[i] < n]
         if not lefts:
             return
-        i = np.array(lefts)
         j = np.array([after[x] for x in lefts])
         ends = np.array([end[x] for x in j.tolist()])
         found = vocabulary.merges(np.array([symbol[x] for x in lefts]), np.array([symbol[x] for x in j.tolist()]))
-        good = found != NONE
-        if dropout.rate > 0:
-            good &= ~_skipped(np.repeat(keyed, len(i)), i, j, ends, dropout.below)
-        for k in np.flatnonzero(good).tolist():
+        for k in np.flatnonzero(found != NONE).tolist():
             heapq.heappush(agenda, (int(found[k]) >> RANK_AT, lefts[k], int(j[k]), int(ends[k]), int(found[k]) & (1 << PLACE_AT) - 1))
 
     offer(list(range(n - 1)))
@@ -172,6 +201,8 @@ def merge_unit(vocabulary: Vocabulary, symbols: list[int], key: int, dropout: Dr
         _, i, j, stop, piece = heapq.heappop(agenda)
         if not alive[i] or not alive[j] or end[i] != j or end[j] != stop:
             continue
+        if dropout.rate > 0 and next(draws):
+            continue
         symbol[i], end[i], after[i], alive[j] = piece, stop, after[j], False
         if after[j] < n:
             before[after[j]] = i
@@ -182,7 +213,7 @@ def merge_unit(vocabulary: Vocabulary, symbols: list[int], key: int, dropout: Dr
 def merge_units(vocabulary: Vocabulary, symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, dropout: Dropout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of many units: symbols, their places among the symbols given, and the first piece of each unit.
 
-    Every step takes the best candidate of each unit that has one.
+    Every step takes the best candidate of each unit that has one, so steps number the draws of all units.
     """
     sizes = np.diff(starts)
     unit = np.repeat(np.arange(len(sizes)), sizes)
@@ -201,16 +232,11 @@ def merge_units(vocabulary: Vocabulary, symbols: np.ndarray, starts: np.ndarray,
     at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= LONG), sizes))
     sym = final_symbol[at]
 
-    def offered(i: np.ndarray, end: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Candidates of symbols i with the next ones, which end at ``end``, in units u."""
+    def offered(i: np.ndarray) -> np.ndarray:
+        """Candidates of symbols i with the next ones."""
         out = vocabulary.merges(sym[i], sym[i + 1])
         some = np.flatnonzero(out != NONE)
-        start = place[at[i[some]]]
-        if dropout.rate > 0:
-            stay = ~_skipped(keys[u[some]], start, place[at[i[some] + 1]], end[some], dropout.below)
-            out[some[~stay]] = NONE
-            some, start = some[stay], start[stay]
-        out[some] |= start << PLACE_AT
+        out[some] |= place[at[i[some]]] << PLACE_AT
         return out
 
     best = np.full(len(at), NONE)
@@ -219,7 +245,8 @@ def merge_units(vocabulary: Vocabulary, symbols: np.ndarray, starts: np.ndarray,
         inner = np.ones(len(at), bool)
         inner[first + counts - 1] = False
         i = np.flatnonzero(inner)
-        best[i] = offered(i, place[at[i + 1]] + 1, np.repeat(unit_of, counts - 1))
+        best[i] = offered(i)
+    step = 0
     while len(at):
         first = np.append(0, np.cumsum(counts))[:-1]
         least = np.minimum.reduceat(best, first)
@@ -230,23 +257,24 @@ def merge_units(vocabulary: Vocabulary, symbols: np.ndarray, starts: np.ndarray,
             if not busy.any():
                 break
         i = np.flatnonzero((best == np.repeat(least, counts)) & stay)  # one in each busy unit: places differ
+        unit_of, counts = unit_of[busy], counts[busy]
+        merged = np.ones(len(i), bool)
+        if dropout.rate > 0:
+            merged = ~_skipped(keys[unit_of], np.uint64(step), dropout.below)
+            best[i[~merged]] = NONE
+            i = i[merged]
+        step += 1
         sym[i] = best[i] & (1 << PLACE_AT) - 1
         kept[at[i + 1]] = False
         stay[i + 1] = False
         i = np.cumsum(stay)[i] - 1
-        unit_of, counts = unit_of[busy], counts[busy] - 1
+        counts -= merged
         sym, at, best = sym[stay], at[stay], best[stay]
         first = np.append(0, np.cumsum(counts))
-        first, last = first[:-1], first[1:] - 1
+        first, last = first[:-1][merged], first[1:][merged] - 1
         best[i] = NONE
-
-        def ends(j: np.ndarray, which: np.ndarray) -> np.ndarray:
-            """Where the symbols after j end."""
-            return np.where(j + 2 <= last[which], place[at[np.minimum(j + 2, len(at) - 1)]], sizes[unit_of[which]])
-
-        for which, j in ((np.flatnonzero(i < last), i), (np.flatnonzero(i > first), i - 1)):
-            j = j[which]
-            best[j] = offered(j, ends(j, which), unit_of[which])
+        for j in (i[i < last], i[i > first] - 1):
+            best[j] = offered(j)
     where = np.flatnonzero(kept)
     return final_symbol[where], where, np.searchsorted(where, starts)
 
@@ -284,16 +312,17 @@ def encode_run(vocabulary: Vocabulary, texts: list[str], salts: np.ndarray, drop
         hashes.append(mixed((sums[starts[1:]] - sums[begin]) * inverses[begin] + sizes.astype(np.uint64)))
     text_of = np.searchsorted(text_at, begin, "right") - 1
     seed = np.uint64(dropout.seed & (2**64 - 1))
-    variant = mixed(salts[text_of] + mixed((begin - text_at[text_of]).astype(np.uint64) + seed)) % np.uint64(max(1, dropout.variants)) if dropout.rate > 0 else np.zeros(len(begin), np.uint64)
-    keys = mixed(hashes[0] ^ mixed(variant * _M3 + seed))
+    draws = mixed(salts[text_of] + mixed((begin - text_at[text_of]).astype(np.uint64) + seed))
+    pattern = patterns(draws, sizes, dropout)
+    keys = mixed(hashes[0] ^ mixed(pattern * _M3 + seed))
     _, pick, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    if np.any((hashes[1][pick][inverse] != hashes[1]) | (variant[pick][inverse] != variant)):
-        both = np.stack([keys, hashes[1], variant], axis=1)
+    if np.any((hashes[1][pick][inverse] != hashes[1]) | (pattern[pick][inverse] != pattern)):
+        both = np.stack([keys, hashes[1], pattern], axis=1)
         _, pick, inverse = np.unique(both, axis=0, return_index=True, return_inverse=True)
     own_sizes = sizes[pick]
     own_starts = np.append(0, np.cumsum(own_sizes))
     chars = np.repeat(begin[pick] - own_starts[:-1], own_sizes) + np.arange(own_starts[-1])
-    pieces, where, firsts = merge_units(vocabulary, symbols[chars], own_starts, keys[pick], dropout)
+    pieces, where, firsts = merge_units(vocabulary, symbols[chars], own_starts, draws[pick], dropout)
     # symbols without a piece become bytes
     odd = (pieces < 0) | (pieces >= vocabulary.n_pieces)
     if odd.any():
@@ -324,11 +353,12 @@ def decode_run(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple
     return data[keep], text_at - np.searchsorted(head, text_at)
 
 
-def encode(docs: DataFrame, model_file: str = MODEL_FILE, dropout: Dropout = Dropout(), ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_file: str = MODEL_FILE, dropout: Dropout = Dropout(), ids: bool = True, copy: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and lossless of every row of ``docs`` (doc_id, text), over whole texts.
 
-    lossless: decoding the ids gave the text back. Null and empty texts have no ids. Equal rows get equal ids; null
-    doc_ids count as 0. Other columns are not read; an empty table gives an empty one. The model is read on the driver
+    lossless: decoding the ids gave the text back. Null and empty texts have no ids. ``copy`` names a column of whole
+    numbers that tells copies of a document apart, which then have draws of their own; without it equal rows get equal
+    ids. Null doc_ids and copies count as 0. Other columns are not read; an empty table gives an empty one. The model is read on the driver
     and sent to the executors once, as a broadcast as small as the vocabulary.
     """
     spark = docs.sparkSession
@@ -340,6 +370,8 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, dropout: Dropout = Dro
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             numbers = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if copy is not None:
+                numbers = numbers + batch.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _M2
             for a, b in rounds(np.diff(offsets)):
                 raw = data[offsets[a] : offsets[b]]
                 whole = raw.tobytes()
@@ -354,7 +386,10 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, dropout: Dropout = Dro
                     out.insert(2, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found)))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", *["ids"] * ids, "lossless"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, f"doc_id long, n_tokens long, {'ids array<int>, ' if ids else ''}lossless boolean")
+    read = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    if copy is not None:
+        read.append(F.col(f"`{copy}`").cast("long").alias("copy"))
+    return map_arrow(docs.select(*read), work, f"doc_id long, n_tokens long, {'ids array<int>, ' if ids else ''}lossless boolean")
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:

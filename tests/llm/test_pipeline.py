@@ -53,3 +53,9 @@ def test_stages_return_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_copies_of_the_mix_are_encoded_apart(spark, tmp_path):
+    docs = frame(spark, [(1, prose(300, 1), "en", "src1")] * 2 + [(2, prose(300, 1), "en", "src1")])
+    got = corpus_pipeline.encode(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2] and len({tuple(r.ids) for r in got}) == 3 and all(r.lossless for r in got)

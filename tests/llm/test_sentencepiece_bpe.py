@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 import sentencepiece
@@ -60,6 +62,48 @@ def test_dropout_varies_by_key_alone(vocabulary):
     assert len(run(vocabulary, texts, B.Dropout(rate=1))[0]) == len(texts[0]) + 1, "no merge at all"
 
 
+def drawn(model, text, rate, rng):
+    """Pieces of a text by brute force: the best merge not skipped yet is drawn for, again and again."""
+    pieces, skipped = [text[i : i + 1].replace(" ", B.MARK) for i in range(len(text))], set()
+    while True:
+        ends = np.cumsum([0, *map(len, pieces)]).tolist()
+        found = [(-model.get_score(i), k) for k in range(len(pieces) - 1) if not model.is_unknown(i := model.piece_to_id(pieces[k] + pieces[k + 1])) and tuple(ends[k : k + 3]) not in skipped]
+        if not found:
+            return tuple(model.piece_to_id(p) for p in pieces)
+        k = min(found)[1]
+        if rng.random() < rate:
+            skipped.add(tuple(ends[k : k + 3]))
+        else:
+            pieces[k : k + 2] = [pieces[k] + pieces[k + 1]]
+
+
+def test_every_occurrence_has_draws_of_its_own(vocabulary, model):
+    for word in (" people", " unbelievable"):
+        n, rng = 4000, np.random.default_rng(1)
+        ids, _ = B.encode_run(vocabulary, [word[1:] + word * (n - 1)], np.zeros(1, np.uint64), B.Dropout())
+        ends = np.cumsum(np.diff(vocabulary.byte_ends)[ids])
+        got = Counter(tuple(x.tolist()) for x in np.split(ids, np.searchsorted(ends, np.arange(1, n) * len(word)) + 1))
+        want = Counter(drawn(model, word, 0.1, rng) for _ in range(n))
+        assert got.total() == n and len(got) > 4
+        assert all(abs(got[x] - want[x]) < 0.03 * n for x in got | want)
+
+
+def test_shared_merges_equal_lone_ones(vocabulary, monkeypatch):
+    texts = [prose(300, 1), *TEXTS]
+    for rate in (0.1, 0.5, 1.0):
+        shared = run(vocabulary, texts, B.Dropout(rate=rate))
+        with monkeypatch.context() as m:
+            m.setattr(B, "DRAWS", 0)
+            assert run(vocabulary, texts, B.Dropout(rate=rate)) == shared
+
+
+def test_copies_have_draws_of_their_own(spark):
+    text = prose(300, 1)
+    table = spark.createDataFrame([(1, text, 1), (1, text, 2), (1, text, 2), (1, text, None)], "doc_id long, text string, `a.b` int")
+    got = [tuple(r.ids) for r in B.encode(table, copy="a.b").collect()]
+    assert len(set(got)) == 3 and len({tuple(r.ids) for r in B.encode(table).collect()}) == 1
+
+
 def test_rows(spark):
     got = B.encode(frame(spark, ODD, clashing=True)).collect()
     assert len(got) == len(ODD) and all(r.lossless for r in got)
