@@ -253,18 +253,17 @@ def second_pass(found: list[Block]) -> None:
 def main_text(html: str | None, limits: Limits = LIMITS) -> str:
     """The page's main text: good blocks joined by an empty line. Null and empty pages give an empty text.
 
-    If any article holds a good block, blocks outside articles are bad.
+    If any article holds a good block, blocks outside articles are bad; if all that its good blocks hold is short, they
+    give way to running text outside.
     """
     found = blocks(html or "")
     for b in found:
         b.label = first_pass(b, limits)
-    inside = any(b.region and not b.bad for b in found)
-    if inside:
-        for b in found:
-            if not b.region:
-                b.label = "bad"
+    first = [b.label for b in found]
     second_pass(found)
-    return "\n\n".join(b.text for b in found if b.label == "good")
+    good = [(b.region > 0, label != "short") for b, label in zip(found, first) if b.label == "good"]
+    inside = (True, True) in good or (True, False) in good and (False, True) not in good
+    return "\n\n".join(b.text for b in found if b.label == "good" and (b.region or not inside))
 
 
 def extract(pages: DataFrame, limits: Limits = LIMITS) -> DataFrame:

@@ -44,6 +44,13 @@ def test_form_around_the_whole_page():
     assert H.main_text(page(f"<form><nav>menu</nav><main><p>{LONG}</p></main></form>")) == LONG
 
 
+def test_articles_without_good_text_leave_the_rest():
+    assert H.main_text(page(f"<div id=content><p>{LONG}</p></div><article class=card><a href=x>Next story</a></article>")) == LONG
+    assert H.main_text(page(f"<div id=content><p>{LONG}</p></div><article class=card><p>Next</p></article>")).startswith(LONG)
+    assert H.main_text(page(f"<p>{LONG}</p><article><p>{LONG[5:]}</p></article>")) == LONG[5:]
+    assert H.main_text(page("<p>Out</p><article><p>One</p><p>Two</p></article>")) == "One\n\nTwo"
+
+
 def test_broken_markup():
     for html in (None, "", "<", "<a", '<a "', "<!--", "</", "<p", "&#xZZ;", "<div><div><div>", "</div></p>", "<script>", "a < b & c", "<p>" * 3000, "<span>" * 3000, "\x00"):
         assert isinstance(H.main_text(html), str)
