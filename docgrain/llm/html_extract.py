@@ -50,7 +50,8 @@ _NAMES = (
     r"related|recommended|recommendations|sidebar|sidenav|widgets?|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|"
     r"comments?|commentlist|disqus|replies|respond|popup|modal|overlay|notice|notices|alert|toolbar|login|search|teasers?|banner|disclaimer|copyright|paywall"
 )
-_BAD_NAME = re.compile(rf"(?:(?!with|has|no\b|without|layout|col).*[-_])?(?:{_NAMES})(?:[-_].*)?", re.I)
+#: Names of layouts (page-with-sidebar, main-no-sidebar) are not bad.
+_BAD_NAME = re.compile(rf"(?:(?!with|has|no\b|without|layout|col)(?:(?!(?:with|has|no|without|layout|cols?)[-_])[^-_]*[-_])+)?(?:{_NAMES})(?:[-_].*)?", re.I)
 _BAD_ARTICLE = re.compile(r"(?:.*[-_])?(?:comments?|replies|reply|related|promo|teasers?|ads?|advert\w*)(?:[-_].*)?", re.I)
 _GOOD_NAME = re.compile(r"(?:article|post|entry|story|page|main)[-_]?(?:body|content|text)", re.I)
 _HEADER_NAME = re.compile(r"(?:(?:page|site|top|main)[-_])?header", re.I)
@@ -95,6 +96,8 @@ class _Open:
     #: Number of the article it stands in, 0 for none.
     region: int
     unread: bool = False
+    #: Why it is bad: 1 for a name alone, 2 for a name of lists of articles (comments, related), 3 for anything else.
+    cause: int = 0
 
 
 @dataclass
@@ -151,20 +154,24 @@ class _Cutter:
         landmark = tag in LANDMARKS or role == "main" or "articlebody" in named.get("itemprop", "").lower() or any(map(_GOOD_NAME.fullmatch, names))
         if landmark and bad and any(x.tag == "form" for x in self.stack) and all(not x.bad or x.tag == "form" for x in self.stack[: 1 + next(i for i, x in enumerate(self.stack) if x.bad)]):
             bad = False  # the form holds the whole page
+        main = tag == "main" or role == "main"
+        if bad and (main and top.cause < 3 or tag == "article" and top.cause < 2):
+            bad = False  # a wrapper whose name says what else it holds
+        cause = top.cause if bad else 0
         if tag in BOILERPLATE or role in BAD_ROLES or "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")):
-            bad = True
+            bad, cause = True, 3
         elif tag == "header" and not region:
-            bad = True
+            bad, cause = True, 3
         elif names and tag not in ("html", "body") and (any(map(_BAD_ARTICLE.fullmatch, names)) if landmark else any(map(_BAD_NAME.fullmatch, names))):
-            bad = True
+            bad, cause = True, max(cause, 2 if any(map(_BAD_ARTICLE.fullmatch, names)) else 1)
         elif not region and any(map(_HEADER_NAME.fullmatch, names)):
-            bad = True
+            bad, cause = True, max(cause, 1)
         if landmark and not bad and not region:
             self.articles += 1
             region = self.articles
         if bad != top.bad or region != top.region:
             self.end_block()
-        self.stack.append(_Open(tag, bad, region, top.unread or tag in UNREAD))
+        self.stack.append(_Open(tag, bad, region, top.unread or tag in UNREAD, cause))
         self.count[tag] += 1
 
     def close(self, tag: str) -> None:

@@ -51,6 +51,18 @@ def test_articles_without_good_text_leave_the_rest():
     assert H.main_text(page("<p>Out</p><article><p>One</p><p>Two</p></article>")) == "One\n\nTwo"
 
 
+def test_wrappers_named_for_what_else_they_hold():
+    for name in ("page-with-sidebar", "content-with-sidebar", "wp-has-sidebar", "main-no-sidebar", "page_no_sidebar"):
+        assert H.main_text(page(f"<div class={name}><p>{LONG}</p></div>")) == LONG, name
+    for name in ("left-sidebar", "sidebar-with-ads", "left-sidebar-with-ads", "site_footer"):
+        assert H.main_text(page(f"<div class={name}><p>{LONG}</p></div>")) == "", name
+    for tag in ("main", "article"):
+        assert H.main_text(page(f"<div class=content-sidebar-wrap><div><{tag}><p>{LONG}</p></{tag}></div><p>Side {LONG}</p></div>")) == LONG
+        for bad in ("<aside>", "<div role=dialog>", "<div class=sidebar><nav>"):
+            assert H.main_text(page(f"{bad}<{tag}><p>{LONG}</p></{tag}>")) == ""
+    assert H.main_text(page(f"<div class=related-posts><article class=post><p>{LONG}</p></article></div>")) == ""
+
+
 def test_broken_markup():
     for html in (None, "", "<", "<a", '<a "', "<!--", "</", "<p", "&#xZZ;", "<div><div><div>", "</div></p>", "<script>", "a < b & c", "<p>" * 3000, "<span>" * 3000, "\x00"):
         assert isinstance(H.main_text(html), str)
