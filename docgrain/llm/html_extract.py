@@ -206,17 +206,36 @@ def blocks(html: str) -> list[Block]:
     return cutter.blocks
 
 
-def first_pass(block: Block, limits: Limits = LIMITS) -> str:
-    """"good", "bad", or undecided: "near" for running text too short to be sure of, "short" for the rest."""
+def _links(block: Block, limits: Limits) -> bool:
+    """Whether it holds too many links."""
+    return block.link_chars / len(block.text) > (limits.links_in_article if block.region else limits.links)
+
+
+def _stop_words(words: list[str]) -> int:
+    return sum(_NO_LETTERS.sub("", w) in STOP_WORDS for w in words)
+
+
+def known_language(found: list[Block], limits: Limits = LIMITS) -> bool:
+    """Whether the page's longer blocks have stop words; pages without such blocks count as known."""
+    words = [b.text.lower().split() for b in found if not b.bad and len(b.text) >= limits.short and not _links(b, limits)]
+    return not words or sum(map(_stop_words, words)) >= limits.few_stop_words * sum(map(len, words))
+
+
+def first_pass(block: Block, limits: Limits = LIMITS, known: bool = True) -> str:
+    """"good", "bad", or undecided: "near" for running text too short to be sure of, "short" for the rest.
+
+    If the language isn't ``known``, stop words tell nothing: length and links decide.
+    """
     if block.bad:
         return "bad"
-    links = block.link_chars / len(block.text)
-    if links > (limits.links_in_article if block.region else limits.links):
+    if _links(block, limits):
         return "bad"
-    words = block.text.lower().split()
     if len(block.text) < limits.short:
-        return "bad" if links and not block.region else "short"
-    stop = sum(_NO_LETTERS.sub("", w) in STOP_WORDS for w in words) / len(words)
+        return "bad" if block.link_chars and not block.region else "short"
+    if not known:
+        return "good" if len(block.text) > limits.long else "near"
+    words = block.text.lower().split()
+    stop = _stop_words(words) / len(words)
     if stop >= limits.stop_words:
         return "good" if len(block.text) > limits.long else "near"
     if stop >= limits.few_stop_words:
@@ -264,8 +283,9 @@ def main_text(html: str | None, limits: Limits = LIMITS) -> str:
     give way to running text outside.
     """
     found = blocks(html or "")
+    known = known_language(found, limits)
     for b in found:
-        b.label = first_pass(b, limits)
+        b.label = first_pass(b, limits, known)
     first = [b.label for b in found]
     second_pass(found)
     good = [(b.region > 0, label != "short") for b, label in zip(found, first) if b.label == "good"]

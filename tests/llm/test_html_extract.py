@@ -63,6 +63,15 @@ def test_wrappers_named_for_what_else_they_hold():
     assert H.main_text(page(f"<div class=related-posts><article class=post><p>{LONG}</p></article></div>")) == ""
 
 
+def test_languages_without_known_stop_words():
+    polish = "Wczoraj wieczorem nad rzeką zebrali się mieszkańcy wszystkich okolicznych wsi, ponieważ burmistrz obiecał przedstawić nowy plan ochrony przed powodzią. "
+    chinese = "昨天晚上，附近所有村庄的居民都聚集在河边，因为市长答应介绍新的防洪计划。" * 6
+    for text in (polish * 2, chinese):
+        html = page(f"<div><a href=1>{text[:80]}</a></div><div class=body><p>{text.strip()}</p><p>{text[:90].strip()}</p></div><footer>{text}</footer>")
+        assert H.main_text(html).split("\n\n") == [text.strip(), text[:90].strip()]
+    assert H.main_text(page(f"<p>{LONG}</p><p>{'zq ' * 30}</p>")) == LONG, "among known text it is still junk"
+
+
 def test_broken_markup():
     for html in (None, "", "<", "<a", '<a "', "<!--", "</", "<p", "&#xZZ;", "<div><div><div>", "</div></p>", "<script>", "a < b & c", "<p>" * 3000, "<span>" * 3000, "\x00"):
         assert isinstance(H.main_text(html), str)
