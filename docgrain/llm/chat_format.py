@@ -33,8 +33,6 @@ TURNS = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "syste
 OTHER = ("[ROLE={}] ", " [/ROLE]")
 _TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>\n(?P<system>.*?)\n<</SYS>>\n\n|\[ROLE=(?P<role>[^\]]*)\] (?P<text>.*?) \[/ROLE\]| (?P<assistant>.*?) </s>", re.DOTALL)
 
-#: Turns up to which every prefix is rendered in full.
-BLOCK = 256
 PROBE = "probe"
 FORMATTED = "conv_id long, n_turns long, formatted string, mask array<struct<start: int, end: int>>, history_rewritten boolean"
 
@@ -85,8 +83,7 @@ class Rendered:
 def _added(messages: list[Message], template: Template, block: int) -> list[str] | None:
     """What each turn adds; None if a turn changes what was there before it.
 
-    Beyond ``block`` turns prefixes start at the turn before the block, which costs as many renderings of bounded
-    length; render() holds the sum against the whole output and asks for full prefixes if they differ.
+    Beyond ``block`` turns prefixes start at the turn before the block.
     """
     out = []
     for start in range(0, len(messages), block):
@@ -103,8 +100,14 @@ def _added(messages: list[Message], template: Template, block: int) -> list[str]
     return out
 
 
-def render(messages: list[Message], template: Template = instruct, block: int = BLOCK) -> Rendered:
-    """Output and spans for messages whose texts are escaped."""
+def render(messages: list[Message], template: Template = instruct, block: int | None = None) -> Rendered:
+    """Output and spans for messages whose texts are escaped.
+
+    Every prefix is rendered whole, as only that shows each rewriting; the cost grows with the square of the turns.
+    ``block`` is for templates known to look at no more than the turn before: prefixes are cut to blocks of so many turns
+    then, and rewriting that the whole output no longer shows goes unseen.
+    """
+    block = block or max(1, len(messages))
     whole = template(messages) if messages else ""
     added = _added(messages, template, block)
     if len(messages) > block and (added is None or "".join(added) != whole):

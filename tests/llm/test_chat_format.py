@@ -40,6 +40,17 @@ def test_templates_that_rewrite_history():
     assert not C.render([("system", "s"), ("user", "a")], hoists).rewritten
 
 
+def test_passing_rewrites_of_long_conversations():
+    def hides(messages):
+        return C.instruct([m for m in messages if m[0] != "system"] if messages[-1][0] == "tool" else messages)
+
+    for n in (200, 300, 600):
+        turns = [("system", "s"), *[(("user", "assistant")[i % 2], f"text {i}") for i in range(n)]]
+        assert not C.render(turns, hides).rewritten
+        turns[n - 20] = ("tool", "found")
+        assert C.render(turns, hides).rewritten
+
+
 def test_blocks_equal_whole_prefixes():
     turns = [(("user", "assistant")[i % 2], f"text {i}") for i in range(50)]
     assert C.render(turns, block=7) == C.render(turns, block=100)
