@@ -298,12 +298,15 @@ def prompt_build(spark, sf):
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """A question for each benchmark text; gold are the chunks whose text holds it whole."""
     asked = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.array_join(T.words_of(F.col("text")), " ").alias("question"))
-    # a chunk that holds a text holds its first eight words: an equal key, not every pair
+    # a chunk that holds a text holds the words between its first and last, which can be parts of longer words: an equal
+    # key of eight of them at the most, not every pair
     words = T.words_of(F.col("text"))
-    eight = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 8, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, F.lit(8)), " ")))
-    cut = chunks(spark, sf).select("chunk_id", "text", words.alias("w")).select("chunk_id", "text", F.explode(F.array_distinct(eight)).alias("k"))
-    first = asked.select("id", "question", F.xxhash64(F.array_join(F.slice(T.words_of(F.col("question")), 1, 8), " ")).alias("k"))
-    gold = cut.join(first, "k").where(F.contains("text", "question")).groupBy("id").agg(F.sort_array(F.collect_set("chunk_id")).alias("gold"))
+    first = asked.select("id", "question", T.words_of(F.col("question")).alias("w")).withColumn("m", F.greatest(F.lit(0), F.least(F.lit(8), F.size("w") - 2)))
+    first = first.select("id", "question", "m", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("m")), " ")).alias("k"))
+    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - F.col("m"), F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, F.col("m")), " ")))
+    cut = chunks(spark, sf).select("chunk_id", "text", words.alias("w")).join(F.broadcast(first.select("m").distinct()))
+    cut = cut.select("chunk_id", "text", "m", F.explode(F.array_distinct(keys)).alias("k"))
+    gold = cut.join(first, ["m", "k"]).where(F.contains("text", "question")).groupBy("id").agg(F.sort_array(F.collect_set("chunk_id")).alias("gold"))
     rows = asked.join(gold, "id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
     none = F.lit(None).cast("string")
     return evaluation.with_defaults(rows.select("id", "question", "gold", none.alias("reference_answer"), none.alias("difficulty"), none.alias("query_type"), none.alias("domain")))
