@@ -1,8 +1,9 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand (menus, forms,
-adverts, ...), link density, stop-word density and length; short or doubtful blocks stay undecided. The second pass
-gives these the label of the nearest decided block of the same region, a region being one article or what is outside.
+A page is cut into blocks at block-level tags. The first pass decides blocks by link density, stop-word density and
+length; tags and names are features of single blocks: they veto menus, forms, adverts and the like, and set the limits
+that hold in and outside articles. Short and doubtful blocks stay undecided. The second pass gives these the label of
+the nearest decided block, borders of containers counting as blocks. Each block keeps the rule that decided it.
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ INLINE = frozenset("abbr acronym b bdi bdo big cite code data del dfn em font i
 #: Other tags that don't bound a block.
 RUNNING = INLINE | frozenset("a span label img wbr".split())
 #: Elements whose contents are no text of the page.
-UNREAD = frozenset("applet audio button canvas datalist embed head iframe map math meter noframes noscript object optgroup option output picture progress script select style svg template textarea title video xmp".split())
+UNREAD = frozenset("applet audio button canvas datalist embed iframe map math meter noframes noscript object optgroup option output picture progress script select style svg template textarea title video xmp".split())
 BOILERPLATE = frozenset("aside dialog footer form menu nav".split())
 LANDMARKS = frozenset("article main".split())
+#: Elements whose borders part blocks.
+CONTAINERS = frozenset("article aside body details dialog div fieldset footer form header main nav section table".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar tooltip".split())
 
 _NAMES = (
@@ -54,6 +58,8 @@ _NAMES = (
 _BAD_NAME = re.compile(rf"(?:(?!with|has|no\b|without|layout|col)(?:(?!(?:with|has|no|without|layout|cols?)[-_])[^-_]*[-_])+)?(?:{_NAMES})(?:[-_].*)?", re.I)
 _BAD_ARTICLE = re.compile(r"(?:.*[-_])?(?:comments?|replies|reply|related|promo|teasers?|ads?|advert\w*)(?:[-_].*)?", re.I)
 _GOOD_NAME = re.compile(r"(?:article|post|entry|story|page|main)[-_]?(?:body|content|text)", re.I)
+#: Names of elements that hold a whole page or article, whatever else is named beside.
+_WHOLE_NAME = re.compile(r"page|site|layout|(?:.*[-_])?(?:page|layout|template|theme)|(?:.*[-_])?(?:article|post|entry|story)[-_]?(?:body|text)", re.I)
 _HEADER_NAME = re.compile(r"(?:(?:page|site|top|main)[-_])?header", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _MARKUP = re.compile(
@@ -67,14 +73,18 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Limits:
-    """The first pass. Lengths are in characters, densities shares of words or characters."""
+    """Lengths are in characters, densities shares of words or characters. alone: length of text that is good outside
+    the articles of a page that has some. border: how many blocks a container's border counts as."""
 
     short: int = 70
     long: int = 200
+    alone: int = 400
+    no_stop_words: float = 0.02
     few_stop_words: float = 0.10
     stop_words: float = 0.25
     links: float = 0.2
     links_in_article: float = 0.5
+    border: int = 8
 
 
 LIMITS = Limits()
@@ -82,11 +92,18 @@ LIMITS = Limits()
 
 @dataclass
 class Block:
+    """region: number of its article, 0 outside. container, borders: its element that bounds blocks, and how many such
+    borders come before it. rule: what decided it."""
+
     text: str
     link_chars: int
     bad: bool
     region: int
     label: str = ""
+    container: int = 0
+    borders: int = 0
+    heading: bool = False
+    rule: str = ""
 
 
 @dataclass
@@ -98,6 +115,8 @@ class _Open:
     unread: bool = False
     #: Why it is bad: 1 for a name alone, 2 for a name of lists of articles (comments, related), 3 for anything else.
     cause: int = 0
+    #: Number of the container.
+    container: int = 0
 
 
 @dataclass
@@ -109,6 +128,10 @@ class _Cutter:
     link_chars: int = 0
     articles: int = 0
     breaks: int = 0
+    containers: int = 0
+    borders: int = 0
+    #: Block in which the open link began.
+    link_from: int = 0
 
     def text(self, raw: str) -> None:
         top = self.stack[-1]
@@ -127,11 +150,20 @@ class _Cutter:
             top = self.stack[-1]
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.blocks.append(Block(text, self.link_chars, top.bad, top.region))
+                self.blocks.append(Block(text, self.link_chars, top.bad, top.region, "", top.container, self.borders, top.tag in HEADINGS))
             self.pieces, self.link_chars = [], 0
 
-    def pop(self) -> None:
-        self.count[self.stack.pop().tag] -= 1
+    def pop(self, closed: bool = False) -> None:
+        """Takes off the innermost element. A link that its own end tag doesn't close ends with the block it began in."""
+        tag = self.stack.pop().tag
+        self.count[tag] -= 1
+        if tag in CONTAINERS:
+            self.borders += 1
+        elif tag == "a" and not closed:
+            for b in self.blocks[self.link_from + 1 :]:
+                b.link_chars = 0
+            if len(self.blocks) > self.link_from:
+                self.link_chars = 0
 
     def open(self, tag: str, rest: str) -> None:
         if tag == "br":
@@ -146,6 +178,10 @@ class _Cutter:
                 self.pop()
         if tag in VOID or tag in INLINE:
             return
+        if tag == "a":
+            while self.count["a"]:
+                self.pop()
+            self.link_from = len(self.blocks)
         top = self.stack[-1]
         bad, region = top.bad, top.region
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest and not rest.isspace() else {}
@@ -162,7 +198,7 @@ class _Cutter:
             bad, cause = True, 3
         elif tag == "header" and not region:
             bad, cause = True, 3
-        elif names and tag not in ("html", "body") and (any(map(_BAD_ARTICLE.fullmatch, names)) if landmark else any(map(_BAD_NAME.fullmatch, names))):
+        elif names and tag not in ("html", "body") and not any(map(_WHOLE_NAME.fullmatch, names)) and (any(map(_BAD_ARTICLE.fullmatch, names)) if landmark else any(map(_BAD_NAME.fullmatch, names))):
             bad, cause = True, max(cause, 2 if any(map(_BAD_ARTICLE.fullmatch, names)) else 1)
         elif not region and any(map(_HEADER_NAME.fullmatch, names)):
             bad, cause = True, max(cause, 1)
@@ -171,8 +207,12 @@ class _Cutter:
             region = self.articles
         if bad != top.bad or region != top.region:
             self.end_block()
-        self.stack.append(_Open(tag, bad, region, top.unread or tag in UNREAD, cause))
+        self.stack.append(_Open(tag, bad, region, top.unread or tag in UNREAD, cause, top.container))
         self.count[tag] += 1
+        if tag in CONTAINERS:
+            self.borders += 1
+            self.containers += 1
+            self.stack[-1].container = self.containers
 
     def close(self, tag: str) -> None:
         if tag not in RUNNING:
@@ -183,7 +223,7 @@ class _Cutter:
             if self.stack[-1].tag not in RUNNING or self.stack[-1].bad != self.stack[-2].bad:
                 self.end_block()
             found = self.stack[-1].tag == tag
-            self.pop()
+            self.pop(found)
             if found:
                 break
 
@@ -221,76 +261,100 @@ def known_language(found: list[Block], limits: Limits = LIMITS) -> bool:
     return not words or sum(map(_stop_words, words)) >= limits.few_stop_words * sum(map(len, words))
 
 
-def first_pass(block: Block, limits: Limits = LIMITS, known: bool = True) -> str:
+def first_pass(block: Block, limits: Limits = LIMITS, known: bool = True, alone: bool = False) -> str:
     """"good", "bad", or undecided: "near" for running text too short to be sure of, "short" for the rest.
 
-    If the language isn't ``known``, stop words tell nothing: length and links decide.
+    If the language isn't ``known``, stop words tell nothing: length and links decide. ``alone``: the block stands outside
+    the articles of a page that has good ones.
     """
-    if block.bad:
-        return "bad"
+
+    def decided(label: str, rule: str) -> str:
+        block.rule = rule
+        return label
+
+    long = limits.alone if alone else limits.long
+    n = len(block.text)
     if _links(block, limits):
-        return "bad"
-    if len(block.text) < limits.short:
-        return "bad" if block.link_chars and not block.region else "short"
+        return decided("bad", "link density")
+    if block.bad:
+        return decided("bad", "place")
+    if n < limits.short:
+        return decided("bad", "short with a link") if block.link_chars and not block.region else "short"
     if not known:
-        return "good" if len(block.text) > limits.long else "near"
+        return decided("good", "length") if n > long else "near"
     words = block.text.lower().split()
     stop = _stop_words(words) / len(words)
     if stop >= limits.stop_words:
-        return "good" if len(block.text) > limits.long else "near"
+        return decided("good", "stop words and length") if n > long else "near"
     if stop >= limits.few_stop_words:
-        return "good" if block.region and len(block.text) > limits.long else "near"
-    return "short" if block.region else "bad"
+        return decided("good", "some stop words, length and article") if block.region and n > long else "near"
+    return decided("bad", "no stop words") if stop < limits.no_stop_words and not block.region else "short"
 
 
-def second_pass(found: list[Block]) -> None:
-    """Decides "near" and "short" blocks by the nearest decided block before and after in their region.
+def seed(found: list[Block]) -> None:
+    """Where the first pass decides no block good, the undecided blocks of the likeliest article or container are: the
+    one of the most characters, running text, headings and articles counting double."""
+    weight: Counter = Counter()
+    headed = {b.container for b in found if b.heading and not b.bad}
+    for b in found:
+        if b.label in ("near", "short"):
+            weight[b.region > 0, b.region or b.container] += len(b.text) * (1 + (b.label == "near")) * (1 + (b.container in headed)) * (1 + (b.region > 0))
+    if weight:
+        best = max(weight, key=lambda x: (weight[x], x[0], -x[1]))
+        for b in found:
+            if b.label in ("near", "short") and (b.region > 0, b.region or b.container) == best:
+                b.label, b.rule = "good", "likeliest"
+
 
-    If both are as near: good in an article; outside, good if "near" and bad if "short". Good if there is none.
-    Blocks that are bad for where they stand (menus, adverts, ...) are a region of their own.
+def second_pass(found: list[Block], limits: Limits = LIMITS) -> None:
+    """Decides "near" and "short" blocks by the nearest decided block before and after, in the same article or outside.
+
+    If both are as near: good in an article; outside, good if "near" and bad if "short". If there is none: good in an
+    article; outside, good if nothing else is. What is vetoed inside an article (a form, an advert) interrupts it and is no neighbour.
     """
-    before: dict[int, int] = {}
-    behind: dict[int, int] = {}
+    decided = [b.label if b.label in ("good", "bad") and not (b.bad and b.region) else "" for b in found]
     nearest: list[list[tuple[int, str]]] = [[] for _ in found]
-    decided = [b.label for b in found]
-    order = Counter()
-    place = []
-    regions = [-1 if b.bad else b.region for b in found]
-    for region in regions:
-        place.append(order[region])
-        order[region] += 1
-    for seen, indexes in ((before, range(len(found))), (behind, range(len(found) - 1, -1, -1))):
+    for indexes in (range(len(found)), range(len(found) - 1, -1, -1)):
+        seen: dict[int, int] = {}
         for i in indexes:
-            region = regions[i]
-            if decided[i] in ("good", "bad"):
+            region = found[i].region
+            if decided[i]:
                 seen[region] = i
             elif region in seen:
-                nearest[i].append((abs(place[i] - place[seen[region]]), decided[seen[region]]))
+                j = seen[region]
+                nearest[i].append((abs(i - j) + limits.border * abs(found[i].borders - found[j].borders), decided[j]))
+    some = any(b.label == "good" for b in found)
     for b, near in zip(found, nearest):
         if b.label in ("good", "bad"):
             continue
         labels = {label for distance, label in near if distance == min(near)[0]}
         if len(labels) == 1:
-            b.label = labels.pop()
+            b.label, b.rule = labels.pop(), "nearest"
+        elif labels:
+            b.label, b.rule = "good" if b.region or b.label == "near" else "bad", "as near"
         else:
-            b.label = "good" if b.region or b.label == "near" or not near else "bad"
-
+            b.label, b.rule = "good" if b.region or not some else "bad", "no neighbour"
 
-def main_text(html: str | None, limits: Limits = LIMITS) -> str:
-    """The page's main text: good blocks joined by an empty line. Null and empty pages give an empty text.
 
-    If any article holds a good block, blocks outside articles are bad; if all that its good blocks hold is short, they
-    give way to running text outside.
-    """
+def judged(html: str | None, limits: Limits = LIMITS) -> list[Block]:
+    """All blocks of a page with labels, "good" or "bad", and the rules that decided them."""
     found = blocks(html or "")
     known = known_language(found, limits)
     for b in found:
         b.label = first_pass(b, limits, known)
-    first = [b.label for b in found]
-    second_pass(found)
-    good = [(b.region > 0, label != "short") for b, label in zip(found, first) if b.label == "good"]
-    inside = (True, True) in good or (True, False) in good and (False, True) not in good
-    return "\n\n".join(b.text for b in found if b.label == "good" and (b.region or not inside))
+    if any(b.region and b.label == "good" for b in found):
+        for b in found:
+            if not b.region and b.label == "good":
+                b.label = first_pass(b, limits, known, alone=True)
+    if all(b.label != "good" for b in found):
+        seed(found)
+    second_pass(found, limits)
+    return found
+
+
+def main_text(html: str | None, limits: Limits = LIMITS) -> str:
+    """The page's main text: good blocks joined by an empty line. Null and empty pages give an empty text."""
+    return "\n\n".join(b.text for b in judged(html, limits) if b.label == "good")
 
 
 def extract(pages: DataFrame, limits: Limits = LIMITS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import pandas
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside or return.
 CLASHING = ", kept string, n_words string, score string, component_id int, key int, rank int, dst int, label string, copies string, host string, tokens string, repeats string, h int, `a.b` string, host_rejected string, __row int, rest string, id int"
@@ -28,3 +30,10 @@ def edited(text, share, seed):
 
 #: Null, empty, blank, one word, repeated rows, a null id, other scripts, one very long text.
 ODD = [(None, "a text without an id, of ten words and some more"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "same row"), (5, "same row"), (6, "日本語 テキスト 😀\u00a0x"), (7, prose(30_000, 1)), (-3, "negative id")]
+
+#: The smallest tables at hand.
+TINY = "/root/testdata/sf0.001"
+
+
+def table(folder, name):
+    return pandas.read_parquet(f"{folder}/{name}.parquet")

@@ -1,5 +1,10 @@
+import re
+from collections import Counter
+
 from docgrain.llm import html_extract as H
 
+from .helpers import TINY, table
+
 LONG = "This is the text of the article and it goes on for a while, so that it is beyond the limit at which a block is seen as running text by the rules of the first pass, which look at the share of the stop words that it has and at its length."
 
 
@@ -40,6 +45,70 @@ def test_passes():
     assert [b.label for b in found] == ["bad", "bad", "good", "good", "good", "good"]
 
 
+def bare(html):
+    """The page without articles, navs, classes and ids: what is left are densities, lengths, neighbours and the footer."""
+    return re.sub(r"(<[a-z][^>]*?)\s(?:class|id)=(?:\"[^\"]*\"|[^\s>]+)(?=[\s>])", r"\1", re.sub(r"<(/?)(?:article|nav)\b", r"<\1div", html))
+
+
+def marked(html):
+    """What the pages at hand mark as their article, block by block, by a reading of its own."""
+    body = html[html.index("<article>") + 9 : html.index("</article>")]
+    from html import unescape
+
+    found = (" ".join(unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:h1|p)>", body))
+    return [x for x in found if x]
+
+
+def test_articles_of_the_pages_with_and_without_their_marks():
+    pages = [h for h in table(TINY, "pages").html if h]
+    right = got = want = 0
+    for html in pages:
+        asked = marked(html)
+        assert H.main_text(html) == "\n\n".join(asked)
+        found = H.main_text(bare(html)).split("\n\n")
+        assert found != [""] or not asked
+        right, got, want = right + sum((Counter(found) & Counter(asked)).values()), got + len(found), want + len(asked)
+    assert len(pages) > 20 and right / got >= 0.97 and right / want >= 0.97
+
+
+def test_each_rule_decides_some_blocks():
+    pages = [f(h) for h in table(TINY, "pages").html if h for f in (str, bare)]
+    pages += [page(f"<div><p>{LONG}</p><p>short <a href=x>l</a> {'and so on of it all ' * 3}</p><p><a href=x>a</a> bcdefghij</p><p>{'zq ' * 80}</p></div>")]
+    pages += [page("<p><a href=/x>link here</a></p><div><p>so be it</p></div><div><p>" + LONG + "</p></div>"), page(f"<aside>{LONG}</aside><p>so be it</p><p>{LONG}</p>"), page(f"<article><p>{LONG}</p></article><p>so be it</p>")]
+    pages += [page(f"<p>{'昨天晚上附近所有村庄的居民都聚集在河边' * 15}</p>"), page(f"<p>see <a href=/x>it</a> and more of the rest of it here</p><p>{LONG}</p>")]
+    pages += [page(f"<article><p>{'the zq zq zq zq zq ' * 20}</p></article>")]
+    rules = Counter((b.rule, b.label) for h in pages for b in H.judged(h))
+    for rule in ("place", "link density", "short with a link", "no stop words"):
+        assert rules[rule, "bad"] and not rules[rule, "good"], (rule, rules)
+    for rule in ("stop words and length", "some stop words, length and article", "length", "likeliest"):
+        assert rules[rule, "good"] and not rules[rule, "bad"], (rule, rules)
+    for label in ("good", "bad"):
+        assert rules["nearest", label], rules
+    assert rules["no neighbour", "bad"] and rules["as near", "bad"] and not rules["", "good"] and not rules["", "bad"]
+
+
+def test_densities_decide_inside_articles():
+    links = "<p><a href=/a>Another page of this site</a> | <a href=/b>and one more of them</a></p>"
+    assert H.main_text(page(f"<article><p>{LONG}</p>{links}<p>Short.</p><p>{LONG}</p></article>")) == f"{LONG}\n\nShort.\n\n{LONG}"
+    assert H.main_text(page(f"<article>{links}<p>Short.</p>{links}<div><p>{LONG}</p></div></article>")) == LONG, "a short block among links"
+    far = (LONG + " " + LONG[:200]).strip()
+    assert H.main_text(page(f"<article><p>{LONG}</p></article><p>{far}</p><p>Short.</p>")) == f"{LONG}\n\n{far}\n\nShort.", "long text outside stands for itself"
+
+
+def test_pages_that_used_to_lose_their_text():
+    assert H.main_text(f"<html><head><title>t</title><meta charset=utf-8><body><p>{LONG}</p></body></html>") == LONG, "no </head>"
+    assert H.main_text(page(f"<article><p><a href=/x>Read</p><p>{LONG}</p><p>{LONG[:90]}</p></article>")) == f"{LONG}\n\n{LONG[:90]}", "<a> never closed"
+    assert H.main_text(page(f"<article><a href=/x><p>{LONG}</p><p>{LONG[:90]}</p><a href=/y>Other</a></article>")) == LONG[:90], "it ends with the block it begins in"
+    for name in ("page widget-page", "news-related-article-body", "site sidebar-layout"):
+        assert H.main_text(page(f'<div class="{name}"><p>{LONG}</p></div>')) == LONG, name
+    assert H.main_text(page(f"<div><p>{LONG}</p></div><article><a href=/x>Read more</a></article>")) == LONG
+
+
+def test_links_around_blocks():
+    inside = H.blocks(f"<div><a href=/x><p>{LONG}</p></a><p>{LONG}</p></div>")
+    assert [b.link_chars for b in inside] == [len(LONG), 0]
+
+
 def test_form_around_the_whole_page():
     assert H.main_text(page(f"<form><nav>menu</nav><main><p>{LONG}</p></main></form>")) == LONG
 
