@@ -1,7 +1,9 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
 Each document gets counts and rule failures. Failures are summed by host (the ``source`` column), each host's rate
-is shrunk by a beta prior fitted to all hosts by moments, and the host's verdicts are joined back to its documents.
+is shrunk by a beta prior fitted to all hosts by moments, and the host's verdicts are joined back to its documents: a
+host that mostly fails loses all its documents; the soft rules (symbols, repeated lines) are held against documents of
+all hosts but those whose shrunk rate is clearly below the prior's mean, where a lone failure is pardoned.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ class Rules:
     line_percent: int = 30
     #: A host whose shrunk rate of base failures is this high loses all its documents.
     reject_rate: float = 0.5
-    #: A host whose shrunk rate of a soft failure is this high has that rule enforced on its documents.
-    enforce_rate: float = 0.02
-    #: Bounds of the prior's weight in documents.
+    #: A host whose shrunk rate of a soft failure is below this share of the prior's mean has that failure pardoned.
+    pardon_share: float = 0.95
+    #: Bounds of the prior's weight in documents. Hosts that differ no more than chance would have them get the most.
     least_weight: float = 1.0
     most_weight: float = 1000.0
 
@@ -95,10 +97,13 @@ def host_verdicts(rows: DataFrame, host: str = "source", rules: Rules = RULES) -
     The sums are aggregated before the shuffle, so a hot host costs one row per task. The prior is one row.
     """
     hosts = written(rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *[F.sum(F.col(f).cast("long")).alias(f) for f in FAILURES]), "hosts")
-    moments = hosts.agg(*[x for f in FAILURES for x in (F.avg(F.col(f) / F.col("n")).alias(f"mean_{f}"), F.var_pop(F.col(f) / F.col("n")).alias(f"var_{f}"))]).first()
+    moments = hosts.agg(F.avg(1 / F.col("n")).alias("one"), *[x for f in FAILURES for x in (F.avg(F.col(f) / F.col("n")).alias(f"mean_{f}"), F.var_pop(F.col(f) / F.col("n")).alias(f"var_{f}"))]).first()
     out = hosts
+    means = {}
     for f in FAILURES:
         mean, var = moments[f"mean_{f}"] or 0.0, moments[f"var_{f}"] or 0.0
+        means[f] = mean
+        var -= mean * (1 - mean) * (moments["one"] or 0.0)  # what sampling alone makes
         weight = mean * (1 - mean) / var - 1 if var > 0 else rules.most_weight
         weight = min(max(weight, rules.least_weight), rules.most_weight)
         out = out.withColumn(f"rate_{f}", (F.col(f) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)))
@@ -107,8 +112,8 @@ def host_verdicts(rows: DataFrame, host: str = "source", rules: Rules = RULES) -
         "n",
         *[f"rate_{f}" for f in FAILURES],
         (F.col("rate_base_failed") >= rules.reject_rate).alias("host_rejected"),
-        (F.col("rate_symbols_failed") >= rules.enforce_rate).alias("enforce_symbols"),
-        (F.col("rate_lines_failed") >= rules.enforce_rate).alias("enforce_lines"),
+        (F.col("rate_symbols_failed") >= rules.pardon_share * means["symbols_failed"]).alias("enforce_symbols"),
+        (F.col("rate_lines_failed") >= rules.pardon_share * means["lines_failed"]).alias("enforce_lines"),
     )
 
 
@@ -133,10 +138,14 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: Rules = RULES) -
 
 
 def keep_good(docs: DataFrame, host: str = "source", rules: Rules = RULES) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns.
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns, whatever their names.
 
-    Two scans: one for the hosts' sums, one that filters, so that texts are not shuffled while verdicts are few.
+    Null and empty texts fail and go, as do all texts under the least words; repeated rows stay or go together; null
+    hosts are a host; an empty table gives an empty one. Texts are measured once, in one scan that writes what passes
+    the base rules beside the failures; the hosts' sums read the failures alone, and no text is shuffled while the
+    verdicts are few.
     """
-    verdicts = written(host_verdicts(measured(docs, host, rules=rules), host, rules), "verdicts")
     rows = measured(docs.select(whole_row(docs).alias("__row"), docs[host].alias("__host"), docs["text"].alias("text")), "__row", "__host", rules=rules)
+    rows = written(rows.select(F.when(~F.col("base_failed"), F.col("__row")).alias("__row"), "__host", *FAILURES), "rules")
+    verdicts = written(host_verdicts(rows, "__host", rules), "verdicts")
     return _judged(rows, verdicts, "__host").where("kept").select("__row.*")

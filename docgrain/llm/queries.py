@@ -43,13 +43,15 @@ f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_fa
         100 * n_symbols > 30 * n_words AS symbols_failed, 100 * n_dup_lines > 30 * n_lines AS lines_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS b, count(*) FILTER (WHERE symbols_failed) AS s,
         count(*) FILTER (WHERE lines_failed) AS l FROM f GROUP BY source),
-p AS (SELECT avg(b / n) AS mb, var_pop(b / n) AS vb, avg(s / n) AS ms, var_pop(s / n) AS vs, avg(l / n) AS ml, var_pop(l / n) AS vl FROM h),
+p AS (SELECT avg(b / n) AS mb, var_pop(b / n) AS vb, avg(s / n) AS ms, var_pop(s / n) AS vs, avg(l / n) AS ml, var_pop(l / n) AS vl,
+        avg(1 / n) AS one FROM h),
+e AS (SELECT mb, ms, ml, vb - mb * (1 - mb) * one AS vb, vs - ms * (1 - ms) * one AS vs, vl - ml * (1 - ml) * one AS vl FROM p),
 q AS (SELECT mb, ms, ml,
         least(greatest(CASE WHEN vb > 0 THEN mb * (1 - mb) / vb - 1 ELSE 1000.0 END, 1.0), 1000.0) AS wb,
         least(greatest(CASE WHEN vs > 0 THEN ms * (1 - ms) / vs - 1 ELSE 1000.0 END, 1.0), 1000.0) AS ws,
-        least(greatest(CASE WHEN vl > 0 THEN ml * (1 - ml) / vl - 1 ELSE 1000.0 END, 1.0), 1000.0) AS wl FROM p),
-v AS (SELECT source, (b + mb * wb) / (n + wb) >= 0.5 AS rejected, (s + ms * ws) / (n + ws) >= 0.02 AS strict_s,
-        (l + ml * wl) / (n + wl) >= 0.02 AS strict_l FROM h, q),
+        least(greatest(CASE WHEN vl > 0 THEN ml * (1 - ml) / vl - 1 ELSE 1000.0 END, 1.0), 1000.0) AS wl FROM e),
+v AS (SELECT source, (b + mb * wb) / (n + wb) >= 0.5 AS rejected, (s + ms * ws) / (n + ws) >= 0.95 * ms AS strict_s,
+        (l + ml * wl) / (n + wl) >= 0.95 * ml AS strict_l FROM h, q),
 judged AS (SELECT f.*, NOT (base_failed OR rejected OR (symbols_failed AND strict_s) OR (lines_failed AND strict_l)) AS kept
            FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source)"""
 

@@ -31,8 +31,9 @@ def edited(text, share, seed):
 #: Null, empty, blank, one word, repeated rows, a null id, other scripts, one very long text.
 ODD = [(None, "a text without an id, of ten words and some more"), (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "same row"), (5, "same row"), (6, "日本語 テキスト 😀\u00a0x"), (7, prose(30_000, 1)), (-3, "negative id")]
 
-#: The smallest tables at hand.
+#: The smallest tables at hand, and larger ones.
 TINY = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.1"
 
 
 def table(folder, name):

@@ -3,7 +3,7 @@ from collections import Counter
 
 from docgrain.llm import quality_rules
 
-from .helpers import ODD, frame, prose
+from .helpers import ODD, LARGER, frame, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,6 +40,32 @@ def test_hosts(spark):
     assert all(got[200 + i].kept == bool(i % 4) for i in range(20)), "symbols are held against a host that has them"
 
 
+def test_equal_documents_of_different_hosts(spark):
+    """A lone failure is pardoned on a host that seldom fails and held against its twin on a host that often does."""
+    marked = " ".join(w + "###" for w in prose(40, 5).split())
+    rows = [(i, prose(40, i), "en", "clean") for i in range(400)] + [(500 + i, marked if i % 3 else prose(40, i), "en", "dirty") for i in range(60)]
+    rows += [(1000, marked, "en", "clean"), (1001, marked, "en", "dirty")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    twins = got[1000], got[1001]
+    assert twins[0].symbols_failed and twins[1].symbols_failed and [r.kept for r in twins] == [True, False]
+    assert twins[0][1:7] == twins[1][1:7]
+    kept = {r.doc_id for r in quality_rules.keep_good(frame(spark, rows)).collect()}
+    assert kept == {i for i, r in got.items() if r.kept}
+
+
+def test_hosts_that_differ_by_chance_alone(spark):
+    """The prior takes sampling noise off: equal hosts are shrunk by the most, so small ones get no verdict of their own."""
+    rows = spark.createDataFrame([(f"h{i % 50}", False, i % 7 == 0, False) for i in range(500)], "source string, base_failed boolean, symbols_failed boolean, lines_failed boolean")
+    rates = [r.rate_symbols_failed for r in quality_rules.host_verdicts(rows).collect()]
+    assert len(rates) == 50 and max(rates) - min(rates) < 0.01
+
+
+def test_host_verdicts_change_documents_of_the_tables(spark):
+    got = quality_rules.quality_rules(spark.read.parquet(f"{LARGER}/documents.parquet"))
+    soft = got.where("NOT base_failed AND (symbols_failed OR lines_failed)").groupBy("kept").count().collect()
+    assert all(r["count"] > 5 for r in soft) and len(soft) == 2, soft
+
+
 def test_keep_good_and_empty(spark):
     docs = frame(spark, [(1, prose(40, 1)), (2, "short"), (3, prose(40, 2)), (3, prose(40, 2))], clashing=True)
     kept = quality_rules.keep_good(docs)
