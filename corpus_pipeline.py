@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgrain.llm import minhash_dedup, mixing, quality_rules, sentencepiece_bpe, substring_dedup
-from docgrain.llm.common import written
+from docgrain.llm.common import quoted, written
 
 #: Near duplicates share 0.8 or more of their shingles of five words.
 NEAR = minhash_dedup.Near(width=5, percent=80)
@@ -32,8 +32,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Other texts stay as they are. A document that loses all its words goes.
     """
     cut = substring_dedup.remove_repeats(docs)
-    left = cut.where("repeats.n_removed = 0 OR repeats.n_removed < repeats.n_words")
-    return left.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*[f"`{c}`" for c in docs.columns])
+    gone, words = (F.col(quoted(cut.columns[-1])).getField(x) for x in ("n_removed", "n_words"))
+    n_chars = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")
+    return cut.where((gone == 0) | (gone < words)).select(*[n_chars if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

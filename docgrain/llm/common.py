@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import map_arrow, new_dir, on_cogroup, on_group, ship, written
 
-__all__ = ["ROUND_BYTES", "SPACE", "Words", "column_bytes", "map_arrow", "mixed", "new_dir", "on_cogroup", "on_group", "rounds", "ship", "whole_row", "windows", "written"]
+__all__ = ["ROUND_BYTES", "SPACE", "Words", "column_bytes", "map_arrow", "mixed", "new_dir", "on_cogroup", "on_group", "quoted", "rounds", "ship", "unused", "whole_row", "windows", "written"]
 
 #: Fixed pattern: white space is these six characters, a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,9 +20,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 ROUND_BYTES = 2_000_000
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with as many underscores as make it none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
     """A struct of all columns, or of those that aren't in ``but``, whatever their names hold."""
-    return F.struct(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns if c not in but])
+    return F.struct(*[df[quoted(c)] for c in df.columns if c not in but])
 
 
 def rounds(sizes: np.ndarray, most: int = ROUND_BYTES) -> Iterator[tuple[int, int]]:
@@ -109,13 +122,24 @@ class Words:
 
 def windows(hashes: np.ndarray, of_text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rabin-Karp hash of every ``width`` consecutive words of one text; the text and the first word of each."""
+    (keys,), text, place = window_hashes([hashes], of_text, width)
+    return keys, text, place
+
+
+def window_hashes(word_hashes: list[np.ndarray], of_text: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The same by several hashes of each word."""
+    hashes = word_hashes[0]
     n = len(hashes)
     counts = np.diff(of_text)
     text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - of_text[:-1][text]
     whole = place + width <= counts[text]
     Words._grow(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * Words._powers[:n], out=sums[1:])
     at = np.flatnonzero(whole)
-    return mixed((sums[at + width] - sums[at]) * Words._inverses[at]), text[at], place[at]
+    inverses = Words._inverses[at]
+    out = []
+    for hashes in word_hashes:
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * Words._powers[:n], out=sums[1:])
+        out.append(mixed((sums[at + width] - sums[at]) * inverses))
+    return out, text[at], place[at]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column_bytes, map_arrow, mixed, on_cogroup, on_group, rounds, ship, windows, written
+from .common import Words, column_bytes, map_arrow, mixed, on_cogroup, on_group, quoted, rounds, ship, windows, written
 
 
 @dataclass(frozen=True)
@@ -322,4 +322,4 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
 def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """``docs``, with all columns, without the documents that are near duplicates of one with a smaller doc_id."""
     gone = written(linked(docs, near).where("NOT kept").select(F.col("doc_id")).distinct(), "gone")
-    return _chosen(docs, gone, gone.count(), near, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return _chosen(docs, gone, gone.count(), near, "left_anti").select(*[quoted(c) for c in docs.columns])

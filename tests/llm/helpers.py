@@ -6,7 +6,7 @@ import pandas
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside or return.
-CLASHING = ", kept string, n_words string, score string, component_id int, key int, rank int, dst int, label string, copies string, host string, tokens string, repeats string, h int, `a.b` string, host_rejected string, __row int, rest string, id int"
+CLASHING = ", kept string, n_words string, score string, component_id int, key int, rank int, dst int, label string, copies string, host string, tokens string, repeats string, h int, `a.b` string, host_rejected string, __row int, rest string, id int, `tick``ed` string, domain string, number int, `__of` string, repeats_x int"
 
 
 def frame(spark, rows, clashing=False):
@@ -14,7 +14,7 @@ def frame(spark, rows, clashing=False):
     full = [(i, t, *(rest or ("en", "s1")), None if t is None else len(t)) for i, t, *rest in rows]
     if not clashing:
         return spark.createDataFrame(full, DOCS)
-    extra = ("x", "x", "x", 1, 1, 1, 1, "x", "x", "x", "x", "x", 1, "x", "x", 1, "x", 1)
+    extra = ("x", "x", "x", 1, 1, 1, 1, "x", "x", "x", "x", "x", 1, "x", "x", 1, "x", 1, "x", "x", 1, "x", 1)
     return spark.createDataFrame([(*r, *extra) for r in full], DOCS + CLASHING)
 
 

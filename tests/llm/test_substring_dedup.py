@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docgrain.llm import substring_dedup as S
 
@@ -41,7 +42,25 @@ def check(spark, rows, **more):
 
 def test_matches_brute_force(spark):
     check(spark, passages())
-    check(spark, passages(), bucket_bytes=50, group_bytes=300)
+    for sizes in (S.Packs(pack_bytes=400, bucket_bytes=50, group_bytes=300), S.Packs(pack_bytes=300, bucket_bytes=60, group_bytes=100, fan=3), S.Packs(1, 1000, 1, 1)):
+        check(spark, passages(), packs=sizes)
+
+
+def test_groups_are_alike_on_both_sides(spark):
+    ids = [0, 15, 16, -1, -16, -17, 2**40 + 3, 2**62 + 17, S.NO_ID + 5, -(2**62) - 15]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(S._group(F.col("i"), 97)).collect()]
+    assert got == S._groups(np.array(ids), 97).tolist()
+    strided = S._groups(np.arange(0, 64 * 10_000, 64), 64)
+    assert np.bincount(strided, minlength=64).min() > 100, "ids in even steps fill all groups"
+
+
+def test_null_ids_are_dealt_out(spark):
+    rows = [(None, prose(30, i)) for i in range(60)]
+    numbers = {r[0] for r in frame(spark, rows).select(S._number(F.col("doc_id"), F.col("text"))).collect()}
+    assert len(numbers) == 60 and all(S.NO_ID <= n < -(2**61) for n in numbers)
+    shared = prose(25, 999)
+    got = S.remove_repeats(frame(spark, [*[(None, f"{shared} x{i}") for i in range(5)], (1, shared)]), digest=True).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("1", 25), ("None", 0), *[("None", 25)] * 4]
 
 
 def test_odd_rows(spark):
@@ -54,8 +73,9 @@ def test_odd_rows(spark):
 
 def test_texts(spark):
     docs = frame(spark, [*passages(), (30, None)], clashing=True)
-    out = S.remove_repeats(docs.drop("repeats"))
-    assert out.columns == [*docs.drop("repeats").columns, "repeats"]
+    out = S.remove_repeats(docs)
+    assert out.columns == [*docs.columns, "repeats_"]
+    assert S.remove_repeats(docs.drop("repeats")).columns == [*docs.drop("repeats").columns, "repeats"]
     got = {r.doc_id: r.text for r in out.collect()}
     assert got.pop(30) is None
     was = dict(passages())
