@@ -7,32 +7,38 @@ children only if the siblings can't make it up. Each leaf's budget is some whole
 order by hash that the seed, the epoch and doc_id give.
 
 The plan has one row a leaf and is all that the documents are joined with: copies = epochs, and one more up to the
-leaf's last key. Finding that key takes sums by leaf and key range first and single keys only in the one range where
-the budget ends, so that no task orders a leaf. All arithmetic is in whole numbers; shares are rounded down.
+leaf's last key. Finding that key takes sums by leaf and key range, then by narrower ranges of the one range where the
+budget ends, and single keys only in the last, so that no task orders a leaf. All arithmetic is in whole numbers; shares
+are rounded down.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import lcm
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, whole_row, written
+from .common import SPACE, quoted, whole_row, written
 
 
 @dataclass(frozen=True)
 class Mix:
     """percent: the budget, of all tokens. weights: by level, then by node name; whole numbers, 1 if not named.
-    range_digits: hexadecimal digits of a key that make a range."""
+    columns: the column of the documents that a level is read from, that of its own name if not named; the level domain is
+    derived from source unless it is named here. range_digits: hexadecimal digits of a key by which each step narrows its
+    range, in ``steps`` steps."""
 
     levels: tuple[str, ...] = ("domain", "lang", "source")
     weights: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
     percent: int = 80
     max_epochs: int = 2
     seed: int = 7
-    range_digits: int = 3
+    columns: Mapping[str, str] = field(default_factory=dict)
+    range_digits: int = 2
+    steps: int = 3
 
 
 def domain(source: Column) -> Column:
@@ -69,14 +75,16 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     for level in mix.levels:
         able = able & (_weight(level, mix) > 0)
     df = df.withColumn("capacity", F.when(able, F.col("tokens") * mix.max_epochs).otherwise(F.lit(0)).cast(whole))
-    total = df.agg(F.floor(F.sum("tokens") * mix.percent / 100).cast("long").alias("asked"), F.sum("capacity").cast("long").alias("most")).first()
-    root = min(total["asked"] or 0, total["most"] or 0)
+    total = df.agg(F.sum(F.col("tokens").cast(whole)).alias("tokens"), F.sum("capacity").alias("most")).first()
+    root = min(int(total["tokens"] or 0) * mix.percent // 100, int(total["most"] or 0))
     df = df.withColumn("budget", F.lit(root).cast(whole))
     for depth, level in enumerate(mix.levels):
         parent, node = list(mix.levels[:depth]), list(mix.levels[: depth + 1])
-        nodes = df.groupBy(*node).agg(F.sum("capacity").cast(whole).alias("c"), F.first("budget").alias("b")).withColumn("w", _weight(level, mix))
+        nodes = df.groupBy(*node).agg(F.sum("capacity").cast(whole).alias("c"), F.first("budget").alias("b")).withColumn("w", F.nullif(_weight(level, mix), F.lit(0)))
         group = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-        order = group.orderBy(F.when(F.col("w") > 0, F.col("c").cast("double") / F.col("w").cast("double")).otherwise(F.lit(float("inf"))), level)
+        # capacity by weight, in whole numbers
+        common = lcm(*(int(w) for w in mix.weights.get(level, {}).values() if w > 0))
+        order = group.orderBy(F.expr(f"c * ({common} div w)").asc_nulls_last(), level)
         nodes = nodes.withColumn("before", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(whole))
         nodes = nodes.withColumn("behind", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)).cast(whole))
         nodes = nodes.withColumn("full", F.col("c").cast(whole) * F.col("behind") <= (F.col("b") - F.col("before")) * F.col("w"))
@@ -88,28 +96,48 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return df.select(*mix.levels, F.col("tokens").cast("long").alias("tokens"), F.col("budget").cast("long").alias("budget"))
 
 
+def _levels(docs: DataFrame, mix: Mix) -> list[Column]:
+    """The levels of each document; null is the node ""."""
+    out = []
+    for level in mix.levels:
+        if level == "domain" and level not in mix.columns:
+            found = domain(docs[quoted(mix.columns.get("source", "source"))])
+        else:
+            found = docs[quoted(mix.columns.get(level, level))]
+        out.append(F.coalesce(found.cast("string"), F.lit("")).alias(level))
+    return out
+
+
 def leveled(docs: DataFrame, mix: Mix) -> DataFrame:
-    """doc_id, the levels (null is the node "") and tokens of every row of ``docs``, which may lack ``domain``."""
-    found = docs if "domain" in docs.columns or "domain" not in mix.levels else docs.withColumn("domain", domain(docs["source"]))
-    return found.select("doc_id", *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in mix.levels], n_tokens(F.col("text")).alias("tokens"))
+    """doc_id, the levels (null is the node "") and tokens of every row of ``docs``."""
+    return docs.select(docs["doc_id"], *_levels(docs, mix), n_tokens(docs["text"]).alias("tokens"))
 
 
 def plan(rows: DataFrame, mix: Mix) -> DataFrame:
     """One row a leaf, written: the levels, tokens, budget, epochs and ``upto``, the last key of the epoch after."""
-    leaves = written(rows.groupBy(*mix.levels).agg(F.sum("tokens").alias("tokens")), "leaves")
+    levels = list(mix.levels)
+    leaves = written(rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens")), "leaves")
     some = F.col("tokens") > 0
     dealt = budgets(leaves, mix).withColumn("epochs", F.when(some, F.expr("budget div nullif(tokens, 0)")).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.when(some, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(-1)).cast("long"))
     dealt = written(dealt, "budgets")
-    keyed = rows.join(dealt.select(*mix.levels, "epochs", "rest"), list(mix.levels)).where("rest >= 0").select(*mix.levels, "rest", "tokens", _key(mix).alias("key"))
-    keyed = keyed.withColumn("range", F.substring("key", 1, mix.range_digits))
-    sums = keyed.groupBy(*mix.levels, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy(*mix.levels).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    last = sums.withColumn("upto", upto).where("upto > rest").groupBy(*mix.levels).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("x")).select(*mix.levels, "x.range", "x.before")
-    last = written(last, "ranges")
-    inside = keyed.join(last, [*mix.levels, "range"]).withColumn("sum", F.col("before") + F.sum("tokens").over(Window.partitionBy(*mix.levels).orderBy("key")))
-    keys = inside.where("sum <= rest").groupBy(*mix.levels).agg(F.max("key").alias("key"))
-    ends = last.join(keys, list(mix.levels), "left").select(*mix.levels, F.coalesce("key", "range").alias("upto"))
-    out = dealt.join(ends, list(mix.levels), "left").select(*mix.levels, "tokens", "budget", "epochs", F.coalesce("upto", F.lit("")).alias("upto"))
+    # of each leaf the range where the budget ends, and the tokens before it
+    last = dealt.where("rest >= 0").select(*levels, "epochs", "rest", F.lit("").alias("range"), F.lit(0).cast("long").alias("before"))
+
+    def inside() -> DataFrame:
+        """Documents in the range of their leaf."""
+        keyed = rows.join(last, levels).withColumn("key", _key(mix))
+        return keyed.where(F.startswith("key", "range"))
+
+    for step in range(mix.steps):
+        narrow = F.substring("key", 1, mix.range_digits * (step + 1))
+        sums = inside().groupBy(*levels, "epochs", "rest", "before", narrow.alias("range")).agg(F.sum("tokens").alias("n"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+        ends = sums.withColumn("upto", upto).where("upto > rest").groupBy(*levels).agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"), "epochs", "rest")).alias("x"))
+        last = written(ends.select(*levels, "x.epochs", "x.rest", "x.range", "x.before"), "ranges")
+    keys = inside().withColumn("sum", F.col("before") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("key")))
+    keys = keys.where("sum <= rest").groupBy(*levels).agg(F.max("key").alias("key"))
+    ends = last.join(keys, levels, "left").select(*levels, F.coalesce("key", "range").alias("upto"))
+    out = dealt.join(ends, levels, "left").select(*levels, "tokens", "budget", "epochs", F.coalesce("upto", F.lit("")).alias("upto"))
     return written(out, "plan")
 
 
@@ -131,11 +159,13 @@ def mixture(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = MIX) -> DataFrame:
-    """``docs``, with their columns, each row as often as the mix takes it."""
-    rows = written(leveled(docs, mix), "tokens")
-    planned = plan(rows, mix)
-    row = whole_row(docs)
-    found = docs if "domain" in docs.columns or "domain" not in mix.levels else docs.withColumn("domain", domain(docs["source"]))
-    keyed = found.select(row.alias("__row"), found["doc_id"].alias("doc_id"), *[F.coalesce(found[x].cast("string"), F.lit("")).alias(x) for x in mix.levels])
+    """``docs``, with their columns, whatever their names, each row as often as the mix takes it.
+
+    Null levels are the node "", null and empty texts have no tokens and are taken as their leaf's keys fall, rows of one
+    doc_id in one leaf (repeated rows, null doc_ids) together or not at all. An empty table gives an empty one. Texts are
+    scanned twice and not shuffled while the plan is small.
+    """
+    planned = plan(written(leveled(docs, mix), "tokens"), mix)
+    keyed = docs.select(whole_row(docs).alias("__row"), docs["doc_id"], *_levels(docs, mix))
     taken = copies(keyed, planned, mix).where("copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")

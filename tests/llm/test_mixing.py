@@ -63,10 +63,10 @@ def corpus():
     return [*rows, *[(i, t, None, None) for i, t in ODD if i != 7], (7, "z", "de", ""), (900, "only " * 4, "it", "src5")]
 
 
-@pytest.mark.parametrize("mix", [X.MIX, X.Mix(percent=150, max_epochs=3), X.Mix(percent=30, weights={"lang": {"en": 0}, "source": {"src0": 5}}, range_digits=1), X.Mix(percent=1000, max_epochs=2)])
+@pytest.mark.parametrize("mix", [X.MIX, X.Mix(percent=150, max_epochs=3), X.Mix(percent=30, weights={"lang": {"en": 0}, "source": {"src0": 5}}, range_digits=1, steps=1), X.Mix(percent=60, steps=0), X.Mix(percent=1000, max_epochs=2)])
 def test_copies_match_brute_force(spark, mix):
     rows = corpus()
-    got = X.mixture(frame(spark, rows, clashing=True).drop("copies"), mix).collect()
+    got = X.mixture(frame(spark, rows, clashing=True), mix).collect()
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == brute(rows, mix)[0]
 
 
@@ -78,6 +78,22 @@ def test_shortage_goes_to_siblings_first(spark):
     assert sum(got.values()) <= 1505
 
 
+def test_a_column_of_domains_counts_where_it_is_named(spark):
+    docs = frame(spark, [(i, "a b c", "en", f"src{i % 8}") for i in range(80)], clashing=True)
+    assert {r.domain for r in X.mixture(docs).collect()} == {"web", "books", "reference"}
+    assert {r.domain for r in X.mixture(docs, X.Mix(columns={"domain": "domain"})).collect()} == {"x"}
+
+
+def test_capacities_are_ordered_in_whole_numbers(spark):
+    """Ratios that doubles can't tell apart."""
+    big = 3 * 10**16 + 1
+    leaves = spark.createDataFrame([("web", "en", "s0", big), ("web", "en", "s1", big - 1), ("web", "en", "s2", 10**17)], "domain string, lang string, source string, tokens long")
+    mix = X.Mix(percent=60, max_epochs=1, weights={"source": {"s0": 3, "s1": 3, "s2": 1}})
+    got = {r.source: r.budget for r in X.budgets(leaves, mix).collect()}
+    total = (2 * big - 1 + 10**17) * 60 // 100
+    assert got == dealt([("s0", big, 3), ("s1", big - 1, 3), ("s2", 10**17, 1)], total)
+
+
 def test_documents(spark):
     rows = corpus()
     docs = frame(spark, rows, clashing=True)
