@@ -122,6 +122,19 @@ def on_group(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], p
     return run
 
 
+def on_batches(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For applyInArrow() of groups whose results come in parts; such functions are told by their annotations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
 def on_cogroup(function: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For applyInArrow() of two sides' groups."""
 

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import map_arrow, new_dir, on_cogroup, on_group, ship, written
+from ..cluster import map_arrow, new_dir, on_batches, on_cogroup, on_group, ship, written
 
-__all__ = ["ROUND_BYTES", "SPACE", "Words", "column_bytes", "map_arrow", "mixed", "new_dir", "on_cogroup", "on_group", "quoted", "rounds", "ship", "unused", "whole_row", "windows", "written"]
+__all__ = ["ROUND_BYTES", "SPACE", "Words", "column_bytes", "map_arrow", "mixed", "new_dir", "on_batches", "on_cogroup", "on_group", "quoted", "rounds", "ship", "unused", "whole_row", "windows", "written"]
 
 #: Fixed pattern: white space is these six characters, a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -5,9 +5,10 @@ every pair of one sub-key of either collection. ``side`` sub-keys a collection g
 ``2 * side * rows`` minhashes; separate bands of the same width would need ``side ** 2 * 2 * rows``. With the defaults
 (12 a side, 3 rows) a pair of similarity 0.8 shares a table with probability 0.9996, one of 0.9 with 1 - 5e-7.
 
-Documents with equal sets form a class first, so copies cost nothing further. In each table bucket the smallest class
+Documents with equal sets form a class first, so copies cost nothing further. Sub-keys that one class alone has can't
+be part of a shared table key and go before the pairs are formed. In each table bucket the smallest class
 is the hub, all others are compared with it, and links make components. What remains are pairs of one bucket in
-different components: each is compared once, in tiles that hold a bounded number of sets, and only until its
+different components: each is compared once, in tiles whose sets have bounded bytes, and only until its
 components are linked. So no link between members of a bucket is lost, pairs are never rows of a table, and large
 groups of near copies, which their hub links, cost no more than a row for each member and table.
 """
@@ -19,17 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column_bytes, map_arrow, mixed, on_cogroup, on_group, quoted, rounds, ship, windows, written
+from .common import Words, column_bytes, map_arrow, mixed, on_batches, on_cogroup, on_group, quoted, rounds, ship, windows, written
 
 
 @dataclass(frozen=True)
 class Near:
     """width: words of a shingle. percent: least similarity. side, rows: see above. bucket_rows: members of a
-    bucket that one task pairs. lot: documents of half a tile. broadcast_rows: ids that may be broadcast. block_bytes: of sets that one task
-    compares at a time."""
+    bucket that one task pairs. lot, lot_bytes: documents, and bytes of their sets, of half a tile. broadcast_rows: ids
+    that may be broadcast. block_bytes: of sets that one task compares at a time."""
 
     width: int = 2
     percent: int = 80
@@ -37,7 +39,8 @@ class Near:
     rows: int = 3
     seed: int = 1
     bucket_rows: int = 4096
-    lot: int = 512
+    lot: int = 128
+    lot_bytes: int = 2 << 20
     broadcast_rows: int = 500_000
     block_bytes: int = 8 << 20
 
@@ -106,7 +109,8 @@ def signatures(docs: DataFrame, near: Near) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) with v the smallest node that u reaches, for every u that isn't that itself.
 
-    Large-star and small-star steps in turn until nothing changes; a step's result is a written table.
+    Large-star and small-star steps in turn until nothing changes; a step's result is a written table. So are each
+    node's least neighbours: a join with a table can be split where a hub's edges meet.
     """
 
     def state(e: DataFrame):
@@ -116,9 +120,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = written(small.distinct(), "edges")
         now = state(e)
@@ -185,49 +189,73 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def _keys() -> Column:
-    return F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b)))))
+def _keys(a: Column | str = "a", b: Column | str = "b") -> Column:
+    """Table keys of every pair of sub-keys."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x, y))))
+
+
+def bucket_keys(classes: DataFrame, near: Near) -> DataFrame:
+    """(rep, key): the table keys of every class, without those that a sub-key of this class alone rules out."""
+    subs = classes.select("rep", "s1", "s2", F.posexplode(F.concat("a", "b")).alias("at", "sub"))
+    often = written(subs.groupBy("sub").agg(F.count("*").alias("n")).where("n > 1").select("sub"), "subs")
+    of_class = subs.join(often, "sub").groupBy("rep", "s1", "s2").agg(F.collect_list(F.struct("at", "sub")).alias("subs"))
+
+    def side(first: bool) -> Column:
+        return F.transform(F.filter("subs", lambda x: (x["at"] < near.side) if first else (x["at"] >= near.side)), lambda x: x["sub"])
+
+    return of_class.select("rep", side(True).alias("a"), side(False).alias("b")).select("rep", F.explode(_keys()).alias("key"))
+
+
+def packed_pairs(pairs: np.ndarray) -> bytes:
+    """Four rows (id, component, id, component), compressed."""
+    return zstandard.compress(np.ascontiguousarray(pairs).tobytes(), 1)
+
+
+def unpacked_pairs(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), np.int64).reshape(4, -1)
 
 
 def across(docs: DataFrame, rows: DataFrame, of: DataFrame, classes: DataFrame, near: Near) -> DataFrame | None:
     """Links between members of one bucket, hubs left out, that are in different components so far.
 
     rows: (key, rep) of buckets. of: components() so far. A pair belongs to the first table that it shares, which its
-    sub-keys tell, and is compared once. Pairs go packed to tiles, a tile being two lots of about ``near.lot`` documents
-    that have to do with the same component; sets go to each of the tiles that need them. Buckets of more than
-    ``near.bucket_rows`` members are taken in blocks.
+    sub-keys tell, and is compared once. Pairs go packed to tiles, a tile being two lots of documents that have to do with
+    the same component, about ``near.lot`` of them or ``near.lot_bytes`` of sets; sets go to each of the tiles that need
+    them. Buckets of more than ``near.bucket_rows`` members are taken in blocks, of which a task holds the members and the
+    pairs of a few at a time.
     """
     placed = rows.join(of.select(F.col("u").alias("rep"), "v"), "rep", "left").select("key", "rep", F.coalesce("v", "rep").alias("component"))
     several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most")
     mixed_rows = written(placed.join(several.select("key", "least", "n"), "key"), "mixed")
     if mixed_rows.isEmpty():
         return None
-    anchors = mixed_rows.groupBy("rep").agg(F.min("least").alias("anchor"))
-    lots = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / near.lot).alias("lots"))
+    sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("size"))
+    anchors = mixed_rows.groupBy("rep").agg(F.min("least").alias("anchor")).join(sizes, "rep")
+    lots = anchors.groupBy("anchor").agg(F.greatest(F.ceil(F.count("*") / near.lot), F.ceil(8 * F.sum("size") / near.lot_bytes)).alias("lots"))
     lot = F.pmod(F.xxhash64("rep"), F.col("lots"))
     known = written(anchors.join(lots, "anchor").select("rep", F.xxhash64("anchor", lot).alias("lot")), "lots")
     # a rep's row of classes() that is in the bucket: where the key is among its table keys
-    tables = F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))
-    full = mixed_rows.join(known, "rep").join(classes.select("rep", "n_shingles", "a", "b"), "rep").withColumn("table", F.array_position(tables, F.col("key")) - 1).where("table >= 0")
+    full = mixed_rows.join(known, "rep").join(classes.select("rep", "n_shingles", "a", "b"), "rep").withColumn("table", F.array_position(_keys(), F.col("key")) - 1).where("table >= 0")
     blocks = F.ceil(F.col("n") / near.bucket_rows).cast("long")
     own = F.pmod(F.xxhash64("rep", F.lit(1)), blocks)
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     full = full.select("key", "table", "rep", "component", "n_shingles", "lot", "a", "b", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
-    def pack(table: pa.Table) -> pa.Table:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         low, high, at = table["low"][0].as_py(), table["high"][0].as_py(), table["table"][0].as_py()
         own = table["own"].to_numpy()
         rep, component, size, lot = (table[c].to_numpy() for c in ("rep", "component", "n_shingles", "lot"))
         i, j = divmod(at, near.side)
         earlier = [np.stack(table[c].to_numpy())[:, :k] for c, k in (("a", i), ("b", j))]
-        xs, ys = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        out: dict[tuple[int, int], list[np.ndarray]] = {}
+        del table
+        xs, ys = (x[np.lexsort((rep[x], lot[x]))] for x in (np.flatnonzero(own == low), np.flatnonzero(own == high)))
         for start in range(0, len(xs), 256):
             x = xs[start : start + 256]
             take = component[x][:, None] != component[ys][None, :]
             take &= 100 * np.minimum(size[x][:, None], size[ys][None, :]) >= near.percent * np.maximum(size[x][:, None], size[ys][None, :])
             if low == high:
-                take &= x[:, None] < ys[None, :]
+                take &= rep[x][:, None] < rep[ys][None, :]
             for keys in earlier:
                 for k in range(keys.shape[1]):
                     take &= keys[x, k][:, None] != keys[ys, k][None, :]
@@ -237,18 +265,16 @@ def across(docs: DataFrame, rows: DataFrame, of: DataFrame, classes: DataFrame,
             p, q = np.where(swap, q, p), np.where(swap, p, q)
             order = np.lexsort((lot[q], lot[p]))
             p, q = p[order], q[order]
-            edge = np.flatnonzero((np.diff(lot[p], prepend=0) != 0) | (np.diff(lot[q], prepend=0) != 0)) if len(p) else p
-            if len(p) and (not len(edge) or edge[0]):
-                edge = np.append(0, edge)
-            for s, e in zip(edge, np.append(edge[1:], len(p))):
-                out.setdefault((int(lot[p[s]]), int(lot[q[s]])), []).append(np.stack([rep[p[s:e]], component[p[s:e]], rep[q[s:e]], component[q[s:e]]]))
-        rows = [(k[0], k[1], np.ascontiguousarray(np.concatenate(v, axis=1)).tobytes()) for k, v in out.items()]
-        return pa.table({"x": pa.array([r[0] for r in rows], pa.int64()), "y": pa.array([r[1] for r in rows], pa.int64()), "pairs": pa.array([r[2] for r in rows], pa.binary())})
+            new = np.ones(len(p), bool)
+            new[1:] = (np.diff(lot[p]) != 0) | (np.diff(lot[q]) != 0)
+            edge = np.flatnonzero(new)
+            rows = [(int(lot[p[s]]), int(lot[q[s]]), packed_pairs(np.stack([rep[p[s:e]], component[p[s:e]], rep[q[s:e]], component[q[s:e]]]))) for s, e in zip(edge, np.append(edge[1:], len(p)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["x", "y", "pairs"])
 
     def join(table: pa.Table) -> pa.Table:
-        pairs = np.concatenate([np.frombuffer(raw.as_buffer(), np.int64).reshape(4, -1) for raw in table["pairs"]], axis=1)
+        pairs = np.concatenate([unpacked_pairs(raw.as_py()) for raw in table["pairs"]], axis=1)
         ids = np.unique(pairs[[0, 2]])
-        return pa.table({"x": table["x"][:1], "y": table["y"][:1], "pairs": pa.array([np.ascontiguousarray(pairs).tobytes()], pa.binary()), "ids": pa.array([ids.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"x": table["x"][:1], "y": table["y"][:1], "pairs": pa.array([packed_pairs(pairs)], pa.binary()), "ids": pa.array([ids.tolist()], pa.list_(pa.int64()))})
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         by: dict[int, list[np.ndarray]] = {}
@@ -266,14 +292,14 @@ def across(docs: DataFrame, rows: DataFrame, of: DataFrame, classes: DataFrame,
 
         links = []
         for raw in left["pairs"]:
-            for u, cu, v, cv in zip(*np.frombuffer(raw.as_buffer(), np.int64).reshape(4, -1).tolist()):
+            for u, cu, v, cv in zip(*unpacked_pairs(raw.as_py()).tolist()):
                 cu, cv = root(cu), root(cv)
                 if cu != cv and any(similar(x, y, near.percent) for x in by.get(u, ()) for y in by.get(v, ())):
                     parent[max(cu, cv)] = min(cu, cv)
                     links.append((u, v))
         return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
 
-    packed = full.groupBy("key", "low", "high").applyInArrow(on_group(pack), "x long, y long, pairs binary")
+    packed = full.groupBy("key", "low", "high").applyInArrow(on_batches(pack), "x long, y long, pairs binary")
     tiles = written(packed.groupBy("x", "y").applyInArrow(on_group(join), "x long, y long, pairs binary, ids array<long>"), "tiles")
     needed = tiles.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode("ids").alias("doc_id"))
     ids = written(needed.select("doc_id").distinct(), "ids")
@@ -291,13 +317,11 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
     ship(docs.sparkSession)
     rows = signatures(docs, near)
     grouped = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
-    # a class makes side ** 2 rows next, so classes are dealt to as many files as those rows to partitions
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    classes = written(grouped.repartition(parts, "rep"), "classes")
+    classes = written(grouped, "classes")
     sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("m"))
     # a document with several texts links its own classes by sharing their rep
-    buckets = classes.select("rep", _keys().alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    buckets = written(bucket_keys(classes, near), "keys")
+    hubs = written(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1"), "hubs")
     bucket_rows = written(buckets.join(hubs, "key").select("key", "hub", "rep", "members").where("rep <> hub"), "buckets")
 
     def sized(pairs: DataFrame) -> DataFrame:
@@ -320,6 +344,11 @@ def linked(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """``docs``, with all columns, without the documents that are near duplicates of one with a smaller doc_id."""
+    """``docs``, with all columns, whatever their names, without the near duplicates of a document with a smaller doc_id.
+
+    Texts without words (null, empty, blank) have no duplicates; rows of one doc_id are one document of several texts and
+    stay or go together, as they are; rows with null doc_id stay. An empty table gives an empty one. Ids to drop are
+    broadcast if they are few, else texts are shuffled by doc_id once.
+    """
     gone = written(linked(docs, near).where("NOT kept").select(F.col("doc_id")).distinct(), "gone")
     return _chosen(docs, gone, gone.count(), near, "left_anti").select(*[quoted(c) for c in docs.columns])
