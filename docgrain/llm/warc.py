@@ -2,6 +2,9 @@
 
 Files are written by tasks under names that hold the attempt, and count only if the manifest, which Spark commits,
 lists them; so a task can be run again after its executor is lost. Files are reached by ``pyarrow.fs``.
+
+Each file begins with a warcinfo record. Record ids are uuids by page_id and payload; rows that repeat both get their
+place in the files as well. Extension fields hold page ids, and tell URIs whose bytes can't stand in a header line.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,24 +35,64 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record. A revisit holds the HTTP head of its payload and names the record that holds the payload."""
+#: What can't stand in a header line; such URIs are escaped whole, others are kept as they are.
+_NO_HEADER = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029]")
+_ESCAPED = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029%]")
+
+
+def record_id(page_id: int | None, payload_digest: str, place: str = "") -> str:
+    """place: tells records apart that are equal otherwise."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {payload_digest} {place}').urn}>"
+
+
+def _uri_fields(name: str, url: str | None) -> list[str]:
+    if url is None:
+        return []
+    if not _NO_HEADER.search(url):
+        return [f"{name}: {url}"]
+    return [f"{name}: {_ESCAPED.sub(lambda m: ''.join(f'%{b:02X}' for b in m[0].encode()), url)}", f"X-Escaped: {name}"]
+
+
+def _bytes(head: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warcinfo(name: str, date: str = DATE) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: docgrain\r\nformat: WARC File Format 1.1\r\n"
+    return _bytes(["WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name)}", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], block)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, refers_url: str | None = None, refers_known: bool = True, place: str = "", date: str = DATE) -> bytes:
+    """One record. A revisit holds the HTTP head of its payload and names the record that holds the payload.
+
+    refers_known: one record alone has that page and payload, so its id is known.
+    """
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%\x85  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url))
-    head.append(f"WARC-Payload-Digest: sha1:{digest(payload)}")
+    kind, said = "response" if refers_to is None else "revisit", digest(payload)
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, said, place)}", f"WARC-Date: {date}"]
+    head += _uri_fields("WARC-Target-URI", url)
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
+    head.append(f"WARC-Payload-Digest: sha1:{said}")
     if refers_to is None:
         block += payload
     else:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        if refers_known:
+            head.append(f"WARC-Refers-To: {record_id(refers_to, said)}")
+        head += [*_uri_fields("WARC-Refers-To-Target-URI", refers_url), f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    return _bytes([*head, "Content-Type: application/http; msgtype=response"], block)
 
 
 def fields(head: bytes) -> dict[str, str]:
-    return {k.lower(): v for k, _, v in (line.partition(": ") for line in head.decode().split("\r\n")[1:])}
+    """Named fields of a record's or an HTTP head, names in lower case; X-Escaped fields have undone their escapes."""
+    pairs = [(k.lower(), v) for k, _, v in (line.partition(": ") for line in head.decode().split("\r\n")[1:])]
+    out = dict(pairs)
+    for k, name in pairs:
+        if k == "x-escaped":
+            out[name.lower()] = re.sub(r"(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode(), out[name.lower()])
+    return out
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -105,8 +149,9 @@ def _manifest(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def write_monolithic(records: DataFrame, out_dir: str, file_bytes: int = 1 << 28) -> DataFrame:
-    """``records`` (page_id, url, html, refers_to) as gzip WARC files of one stream each, of about ``file_bytes`` of
-    records; returns the manifest, written. Nulls: an html is empty, a refers_to makes a response, other fields stay out."""
+    """``records`` of with_revisits() as gzip WARC files of one stream each, of about ``file_bytes`` of
+    records; returns the manifest, written. Nulls: an html is empty, a refers_to makes a response, other fields stay out.
+    Row order, repeated rows and very long htmls stay; no rows give no file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = _files(out_dir)
@@ -119,14 +164,15 @@ def write_monolithic(records: DataFrame, out_dir: str, file_bytes: int = 1 << 28
             rows.append((f"{out_dir}/{name}", None, count))
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html", "refers_to")]
             for i in range(batch.num_rows):
-                page_id, url, html, refers_to = (c[i].as_py() for c in columns)
+                page_id, url, html, refers_to, refers_url, refers_known, repeated = (c[i].as_py() for c in batch.columns)
                 if out is None:
                     name = f"mono-{task.partitionId():06d}-{task.taskAttemptId()}-{len(rows)}.warc.gz"
                     where.create_dir(base, recursive=True)
-                    out, zipper, size, count = where.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, MEMBER), 0, 0
-                raw = record(page_id, url, (html or "").encode(), refers_to)
+                    out, zipper, size, count = where.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, MEMBER), 0, 1
+                    out.write(zipper.compress(warcinfo(name)))
+                place = f"{task.partitionId()} {len(rows)} {count}" if repeated or page_id is None else ""
+                raw = record(page_id, url, (html or "").encode(), refers_to, refers_url, bool(refers_known), place)
                 out.write(zipper.compress(raw))
                 size, count = size + len(raw), count + 1
                 if size >= file_bytes:
@@ -136,7 +182,7 @@ def write_monolithic(records: DataFrame, out_dir: str, file_bytes: int = 1 << 28
             finish()
         yield _manifest(rows)
 
-    return written(map_arrow(records.select("page_id", "url", "html", "refers_to"), write, MANIFEST), "warc-manifest")
+    return written(map_arrow(records.select("page_id", "url", "html", "refers_to", "refers_url", "refers_known", "repeated"), write, MANIFEST), "warc-manifest")
 
 
 def normalise(manifest: DataFrame, out_dir: str, level: int = 6) -> DataFrame:
@@ -174,8 +220,8 @@ def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
     """Every record that the indexes of normalised files list, read by its offset. A response's digest is checked
     against its payload; a revisit's size is that of its HTTP head. With ``payload`` comes a column of that name."""
 
-    def number(urn: str | None) -> int | None:
-        return int(urn[10:-1]) if urn and urn[10:-1] else None
+    def number(said: str | None) -> int | None:
+        return None if said is None else int(said)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + ([("payload", pa.binary())] if payload else []))
@@ -188,13 +234,13 @@ def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
                         offset, length, _ = line.split(" ", 2)
                         archive.seek(int(offset))
                         named, http, body = parse(zlib.decompress(archive.read(int(length)), MEMBER))
+                        if named["warc-type"] == "warcinfo":
+                            continue
                         said = named["warc-payload-digest"].removeprefix("sha1:")
                         revisit = named["warc-type"] == "revisit"
                         if not revisit and digest(body) != said:
                             raise ValueError(f"{path} at {offset}: the payload doesn't have its digest")
-                        uri = named.get("warc-target-uri")
-                        url = None if uri is None else re.sub(r"(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode(), uri)
-                        rows.append((number(named["warc-record-id"]), url, int(fields(http)["content-length"]), said, named["warc-type"], number(named.get("warc-refers-to")), *([None if revisit else body] if payload else [])))
+                        rows.append((number(named.get("x-page-id")), named.get("warc-target-uri"), int(fields(http)["content-length"]), said, named["warc-type"], number(named.get("x-refers-to-page-id")), *([None if revisit else body] if payload else [])))
                         held += len(body) if payload else 100
                         if held > CHUNK * 4:
                             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
@@ -206,18 +252,23 @@ def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with ``refers_to``: the smallest page_id of an equal payload of at least
-    ``least_bytes``, null for that page itself, for smaller payloads and for null page_ids.
+    """page_id, url and html of ``pages`` with ``refers_to``: the smallest page_id of an equal payload of at least
+    ``least_bytes``, null for that page itself, for smaller payloads and for null page_ids. refers_url is that page's
+    (the smallest), refers_known whether it has one row alone, repeated whether the row's page and payload have several.
 
-    Digests alone are shuffled, after counting by digest on the map side; the revisits, a written table, are
-    broadcast if the planner finds them small and joined by key otherwise.
+    Digests alone are shuffled, after counting by page and digest on the map side; what is said of revisits and repeated
+    rows, a written table, is broadcast if the planner finds it small. Else rows are joined by page and digest, which
+    shuffles them once and evenly.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("__digest"))
-    ids = keyed.where(F.octet_length("html") >= least_bytes).select("page_id", "__digest")
-    firsts = ids.groupBy("__digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = written(ids.join(firsts, "__digest").where("page_id > refers_to").distinct(), "revisits")
-    return keyed.join(revisits, ["page_id", "__digest"], "left").drop("__digest")
+    same = keyed.where("page_id IS NOT NULL").groupBy("__digest", "page_id").agg(F.min("url").alias("url"), F.count("*").alias("n"), F.first(F.octet_length("html") >= least_bytes).alias("counts"))
+    same = written(same, "payloads")
+    firsts = same.where("counts").groupBy("__digest").agg(F.min(F.struct("page_id", "url", "n")).alias("to"), F.count("*").alias("pages")).where("pages > 1").drop("pages")
+    later = F.col("page_id") > F.col("to.page_id")
+    said = same.join(written(firsts, "firsts"), "__digest", "left").select("__digest", "page_id", F.when(later, F.col("to.page_id")).alias("refers_to"), F.when(later, F.col("to.url")).alias("refers_url"), F.when(later, F.col("to.n") == 1).alias("refers_known"), (F.col("n") > 1).alias("repeated"))
+    said = written(said.where("refers_to IS NOT NULL OR repeated"), "revisits")
+    return keyed.join(said, ["page_id", "__digest"], "left").drop("__digest")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, payload: bool = False) -> DataFrame:
