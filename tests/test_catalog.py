@@ -1,6 +1,8 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -66,3 +68,12 @@ def test_every_query_is_known():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_without_a_package_of_the_other_queries():
+    """What the optional subpackage lacks doesn't take the rest with it."""
+    code = "import sys; sys.modules['zstandard'] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), len(e.oracle_sql()), sum(k.startswith('op') for k in e.queries()))"
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__))
+    n, n_sql, left = map(int, ran.stdout.split())
+    assert n == len(catalog.queries()) and 0 < n_sql <= n and left == 0
+    assert ran.stderr.count("can't be imported") == 1
