@@ -76,3 +76,24 @@ def test_digests(spark):
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
         assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert C.format_chats(table.limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["user", "assistant", "system", "tool"]), min_size=1, max_size=9), st.sampled_from(["user", "assistant", "system", "tool"]), st.integers(0, 8), st.sampled_from(["drop", "move", "count", "mark", "none"]))
+def test_random_rewriting_templates(roles, trigger, at, what):
+    """Rewriting is told exactly if some prefix's output doesn't begin with the one before it."""
+    def template(messages):
+        seen = list(messages)
+        if messages and messages[-1][0] == trigger:
+            if what == "drop" and at < len(seen) - 1:
+                del seen[at]
+            elif what == "move" and len(seen) > 1:
+                seen = [seen[-1], *seen[:-1]]
+        head = f"({len(messages)})" if what == "count" and len(messages) > at else ""
+        tail = "" if what != "mark" or messages[-1:] and messages[-1][0] != trigger else "!"
+        return head + "".join(f"<{r}>{t}" for r, t in seen) + tail
+
+    turns = [(r, f"t{i}") for i, r in enumerate(roles)]
+    outputs = [template(turns[:n]) if n else "" for n in range(len(turns) + 1)]
+    rewrites = not all(b.startswith(a) for a, b in zip(outputs, outputs[1:]))
+    assert C.render(turns, template).rewritten == rewrites

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from itertools import product
 
@@ -82,3 +83,38 @@ def test_odd_rows(spark):
     model = Q.train(docs, spark.createDataFrame([(5, 1, 0), (6, 0, 0), (7, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int"))
     assert all(0 <= r.score <= 1 for r in Q.score(docs, model).collect())
     assert Q.score(frame(spark, []), model).count() == 0
+
+
+def plain_features(text):
+    """A text's line features by plain string work, line by line."""
+    def words_of(line):
+        return re.findall(r"[^\x20\x09-\x0D]+", line)
+
+    lines = [x for x in text.split("\n") if words_of(x)]
+    low = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words_of(x)] for x in lines]
+    every = [w for line in low for w in line]
+    triples, seen, out, at = set(), [False] * len(every), [], 0
+    for i in range(len(every) - 2):
+        seen[i] = tuple(every[i : i + 3]) in triples
+        triples.add(tuple(every[i : i + 3]))
+    for line, words in zip(lines, low):
+        body = line.strip("\x20\t\n\x0b\x0c\r")
+        n, size = len(words), len(body.encode())
+        upper = sum("A" <= c <= "Z" or "À" <= c <= "Þ" for c in body)
+        letters = max(1, sum(c.isascii() and c.isalpha() or ord(c) > 127 for c in body))
+        doubled = sum(i > 0 and every[i] == every[i - 1] for i in range(at, at + n))
+        stops = sum(w in Q.STOP_WORDS for w in words)
+        out.append([np.log1p(n), sum(c in "#*$%&|<>{}[]=_~^\\@" for c in body) / n, upper / letters, sum("0" <= c <= "9" for c in body) / size, body.count("!") / n, size / n, len(set(words)) / n, doubled / n, stops / n, sum(seen[at : at + n]) / n, float(body[-1] in ".!?\"')"), float(len(lines) == 1)])
+        at += n
+    return out
+
+
+def test_features_match_plain_string_work():
+    texts = ["The end of it. Is it?\nUND das ist Über 12 # {x}\n\n \t\nfoo!! FOO foo foo", "one line, \"quoted\"", "a b c a b c\na b c", "ÉÀÞ ß ñ\n\x0b x \x0c y\r\nz", prose(200, 1).replace("w1", "W1\n").replace("w2", "the")]
+    for text in texts:
+        raw = text.encode()
+        got, _, _ = Q.line_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        want = np.array(plain_features(text))
+        assert got.shape == want.shape
+        for i, name in enumerate(Q.FEATURES):
+            assert np.allclose(got[:, i], want[:, i]), (name, text[:30])

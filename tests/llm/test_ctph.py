@@ -63,3 +63,45 @@ def test_small_tables(spark):
     alone = ctph.against_next(frame(spark, [(1, "abcdef")])).collect()[0]
     assert alone.near_next == 1 and alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
     assert {(r.doc_id, r.fingerprint) for r in ctph.fingerprint(frame(spark, [(1, None), (2, "abc")])).collect()} == {(1, "3::"), (2, one("abc"))}
+
+
+def finished(x):
+    """The 64-bit finaliser, by Python's integers."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def byte_by_byte(raw):
+    """A fingerprint by the definition: roll over seven bytes, cut, hash each chunk, one step a byte."""
+    roll_of = [finished((b + 1) * 0x632BE59BD9B4E019 % 2**64) >> 32 for b in range(256)]
+    code_of = [finished((b + 1) * 0x9E3779B97F4A7C15 % 2**64) for b in range(256)]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    last, rolls = [], []
+    for b in raw:
+        last = [b, *last][:7]
+        rolls.append(sum(roll_of[x] * 0x9E3779B1**k for k, x in enumerate(last)) % 2**32)
+
+    def ends(k):
+        return [i for i, r in enumerate(rolls) if (r + 1) % 2**32 % (3 << k) == 0]
+
+    def chunks(k):
+        out, start = "", 0
+        for stop in [*(i + 1 for i in ends(k)), len(raw)]:
+            if stop > start:
+                sum_ = sum(code_of[b] * pow(0xD6E8FEB86659FD93, i, 2**64) for i, b in enumerate(raw[start:stop]))
+                char = alphabet[finished((sum_ + stop - start) % 2**64) >> 58]
+                out += "" if out.endswith(char * 3) else char
+                start = stop
+        return out
+
+    k = 0
+    while len(ends(k + 1)) >= 32:
+        k += 1
+    return f"{3 << k}:{chunks(k)}:{chunks(k + 1)}"
+
+
+def test_fingerprints_match_byte_by_byte():
+    texts = ["", "a", "abcdefg", prose(50, 1), prose(900, 2), "x" * 300, "ab" * 400, "é😀" * 90, "\x00\n\t " * 50, edited(prose(300, 3), 0.05, 4)]
+    for text in texts:
+        assert one(text) == byte_by_byte(text.encode()), text[:40]
