@@ -13,8 +13,9 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch.
+#: Rows and bytes of an Arrow batch; one longer row is a batch.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,11 +72,12 @@ def spread(df: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context; they need not have it installed.
 
-    Also bounds what Spark holds for a Python worker at a time: Arrow batches get BATCH_ROWS rows at the most.
+    Also bounds what Spark holds for a Python worker at a time: Arrow batches get BATCH_ROWS rows and BATCH_BYTES bytes
+    at the most, for the rest of the session, as plans read the setting when they run. Smaller settings stay.
     """
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
+    for setting, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting)) <= most:
+            spark.conf.set(setting, str(most))
     context = spark.sparkContext
     if getattr(context, "_docgrain_shipped", False):
         return

@@ -1,5 +1,8 @@
 import os
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from docgrain import cluster
 
 
@@ -32,3 +35,23 @@ def test_executors_get_the_package(spark):
             yield batch
 
     assert cluster.map_arrow(spark.range(3), work, "id long").count() == 3
+
+
+def test_batches_are_bounded_by_rows_and_bytes(spark):
+    session = spark.newSession()
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    session.conf.set(size, "64m")
+    cluster.ship(session)
+    assert int(session.conf.get(rows)) == cluster.BATCH_ROWS and int(session.conf.get(size)) == cluster.BATCH_BYTES
+    session.conf.set(rows, "10")
+    session.conf.set(size, "1m")
+    cluster.ship(session)
+    assert session.conf.get(rows) == "10" and session.conf.get(size) == "1m"
+
+    def widths(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    big = session.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 500_000).alias("t"))
+    session.conf.set(rows, "1000")
+    assert max(r.n for r in cluster.map_arrow(big, widths, "n long").collect()) <= 4
