@@ -43,14 +43,24 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return made
 
 
-def clean(spark: SparkSession) -> int:
-    """Deletes the folders that this context has made, and with them the results that still read them."""
+def made(spark: SparkSession) -> list[str]:
+    """The folders that this context has made so far."""
+    return list(getattr(spark.sparkContext, "_docgrain_dirs", ()))
+
+
+def clean(spark: SparkSession, folders: list[str] | None = None, but: DataFrame | None = None) -> int:
+    """Deletes the folders that this context has made, or those of them that are listed, and with them the results that
+    still read them; folders that ``but`` reads stay."""
     context = spark.sparkContext
-    made, context._docgrain_dirs = getattr(context, "_docgrain_dirs", []), []
-    for folder in made:
+    gone = made(spark) if folders is None else [x for x in made(spark) if x in set(folders)]
+    if but is not None and gone:
+        read = {name for f in but.inputFiles() for name in f.split("/") if name.startswith("docgrain-")}
+        gone = [x for x in gone if x.rpartition("/")[2] not in read]
+    context._docgrain_dirs = [x for x in made(spark) if x not in set(gone)]
+    for folder in gone:
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    return len(made)
+    return len(gone)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

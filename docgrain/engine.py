@@ -33,7 +33,7 @@ class Engine:
         return self
 
     def load(self) -> "Engine":
-        chunks = retrieval.with_tokens(files.read_chunks(self.spark, self.settings.chunk_output_path))
+        chunks = files.read_chunks(self.spark, self.settings.chunk_output_path)
         self.corpus = retrieval.Corpus(chunks, indexes.load_lexical(self.spark, self.settings.bm25_index_path), indexes.load_dense(self.spark, self.settings.dense_index_dir))
         return self
 
@@ -59,12 +59,14 @@ class Engine:
     def evaluate(self, items: DataFrame, top_k: int = 5) -> tuple[DataFrame, DataFrame]:
         """Retrieval means by mode, and refusal precision, recall and F1."""
         corpus = self._built()
-        found = evaluation.run_retrieval_eval(corpus, items, top_k, settings=self.settings)
-        answered = retrieval.ask(corpus, evaluation.as_queries(items, top_k), self.settings)
-        return found, evaluation.answer_summary(evaluation.answer_rows(items, answered))
+        queries = evaluation.as_queries(items, top_k)
+        found = retrieval.retrieve(corpus, queries, self.settings)
+        answered = retrieval.ask(corpus, queries, self.settings, found)
+        return evaluation.run_retrieval_eval(corpus, items, top_k, settings=self.settings, found=found), evaluation.answer_summary(evaluation.answer_rows(items, answered))
 
     def report(self, items: DataFrame, top_k: int = 5) -> tuple[DataFrame, DataFrame]:
         """failure_rates() and failures() of the whole service."""
         corpus, queries = self._built(), evaluation.as_queries(items, top_k)
-        hits, answered = retrieval.retrieve(corpus, queries, self.settings).hits, retrieval.ask(corpus, queries, self.settings)
-        return evaluation.failure_rates(items, hits, answered), evaluation.failures(items, hits, answered)
+        found = retrieval.retrieve(corpus, queries, self.settings)
+        answered = retrieval.ask(corpus, queries, self.settings, found)
+        return evaluation.failure_rates(items, found.hits, answered), evaluation.failures(items, found.hits, answered)

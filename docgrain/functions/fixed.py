@@ -4,7 +4,9 @@
 TOKEN = "[0-9A-Za-zÀ-ỹ_]+"
 #: White space as Unicode has it, and the four separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1C-\x1F]+"
-LINE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+#: Characters that end a line, all of them white space; LINE is a pattern of line ends.
+BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}"
+LINE = rf"\r\n|[{BREAKS}]"
 QUOTED = "'[^']+'|\"[^\"]+\"|“[^”]+”|‘[^’]+’"
 
 ALIASES = {"branch": "nhanh", "team": "nhom", "thuat": "engineering"}

@@ -28,8 +28,8 @@ def normalize_text(text: Column) -> Column:
 
     Composition to normal form C is ingest's (see sources.documents.compose); texts of safe ranges have it.
     """
-    lines = F.transform(lines_of(F.replace(text, F.lit("\x00"), F.lit(" "))), lambda x: F.trim(F.regexp_replace(x, fixed.SPACE, " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    spaced = F.regexp_replace(F.replace(text, F.lit("\x00"), F.lit(" ")), rf"(?U)[\s\x1C-\x1F&&[^{fixed.BREAKS}]]+", " ")
+    return F.btrim(F.regexp_replace(spaced, f" ?[{fixed.BREAKS}][ {fixed.BREAKS}]*+", "\n"), F.lit(" \n"))
 
 
 def words_of(text: Column) -> Column:
@@ -69,7 +69,9 @@ def _aliased(tokens: Column) -> Column:
             out = out.when(x == token, other)
         return out.otherwise(x)
 
-    return F.transform(tokens, one)
+    # few texts have any
+    keys = F.array(*[F.lit(x) for x in fixed.ALIASES])
+    return let(tokens, lambda t: F.when(F.arrays_overlap(t, keys), F.transform(t, one)).otherwise(t))
 
 
 def index_tokens(text: Column) -> Column:
@@ -100,7 +102,7 @@ def all_tokens(text: Column) -> Column:
     """Lower-cased tokens without accents, aliases applied."""
     found = F.regexp_extract_all(text, F.lit(fixed.TOKEN), F.lit(0))
     # tokens are stripped together: a space is no token character and has no accent
-    return F.when(F.size(found) > 0, _aliased(F.split(strip_accents(F.lower(F.array_join(found, " "))), " "))).otherwise(F.array().cast("array<string>"))
+    return _aliased(F.array_remove(F.split(strip_accents(F.lower(F.array_join(found, " "))), " "), ""))
 
 
 def overlap_tokens(text: Column) -> Column:
@@ -109,7 +111,8 @@ def overlap_tokens(text: Column) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    return F.array_distinct(overlap_tokens(text))
+    """The distinct overlap_tokens(), in order."""
+    return F.filter(F.array_except(all_tokens(text), F.array(*[F.lit(w) for w in fixed.STOP_WORDS])), lambda x: F.length(x) > 1)
 
 
 def overlap_score(query: Column, chunk: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 
 CHUNK_COLUMNS = ("doc_id", "chunk_id", "text", "title", "section_path", "department", "updated_at", "access_level")
@@ -38,7 +39,10 @@ def section_blocks(text: Column) -> Column:
 
         return T.let(heads, build)
 
-    body = F.array_join(F.filter(F.transform(T.lines_of(text), T.trim_space), lambda x: x != ""), "\n")
+    # lines without outer white space, and none that are blank
+    begun = F.regexp_replace(text, rf"(?U)[{fixed.BREAKS}][\s\x1C-\x1F]*+", "\n")
+    space = r"[\s\x1C-\x1F&&[^\n]]"
+    body = T.trim_space(F.regexp_replace(begun, rf"(?U)(?<!{space}){space}++(?=\n)", ""))
     whole = T.trim_space(text)
     alone = F.array(F.struct(F.lit("General").alias("section_path"), whole.alias("text")))
     return T.let(T.let(body, of), lambda b: F.when((F.size(b) == 0) & (whole != ""), alone).otherwise(b))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..cluster import map_arrow, written
 from ..functions import text as T
 from .access import in_department, visible
-from .lexical import DIGITS
+from .lexical import DIGITS, INDEX_TOKENS
 
 #: Queries whose vectors go to the executors at once; more are taken in blocks.
 BLOCK = 2048
@@ -45,11 +45,14 @@ def _bucket(term: str, dimension: int) -> int:
     return int.from_bytes(hashlib.md5(term.encode()).digest()[:8], "little") % dimension
 
 
-def hash_vectors(token_lists: list[list[str]], dimension: int) -> np.ndarray:
-    """Counts by bucket, each row of length 1; rows without tokens are 0."""
-    out = np.zeros((len(token_lists), dimension))
-    for row, tokens in zip(out, token_lists):
-        np.add.at(row, [_bucket(t, dimension) for t in tokens], 1.0)
+def hash_vectors(token_lists: pa.ListArray | list[list[str]], dimension: int) -> np.ndarray:
+    """Counts by bucket, each row of length 1; rows without tokens are 0. Each different token is hashed once."""
+    lists = token_lists if isinstance(token_lists, pa.ListArray) else pa.array(token_lists, pa.list_(pa.string()))
+    n = len(lists)
+    coded = lists.flatten().dictionary_encode()
+    buckets = np.array([_bucket(t, dimension) for t in coded.dictionary.to_pylist()], np.int64)
+    row = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy())
+    out = np.bincount(row * dimension + buckets[coded.indices.to_numpy()], minlength=n * dimension).reshape(n, dimension).astype(float)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms > 0, norms, 1)
 
@@ -61,32 +64,33 @@ class Embedding:
 
     model: str = "hash://384"
 
-    def encoder(self) -> tuple[int, Callable[[list[str], list[list[str]]], np.ndarray]]:
+    def encoder(self) -> tuple[int, Callable[[pa.Array, pa.ListArray], np.ndarray]]:
         dimension = hash_dimension(self.model)
         if not self.model.startswith("hash://") and os.environ.get("DISABLE_EXTERNAL_MODELS") != "1":
             try:
                 from sentence_transformers import SentenceTransformer
 
                 loaded = SentenceTransformer(self.model)
-                return loaded.get_sentence_embedding_dimension(), lambda texts, _: np.asarray(loaded.encode(texts, normalize_embeddings=True), float)
+                return loaded.get_sentence_embedding_dimension(), lambda texts, _: np.asarray(loaded.encode(texts.to_pylist(), normalize_embeddings=True), float)
             except Exception:  # noqa: BLE001  any failure of an optional model means the built-in one
                 pass
         return dimension, lambda _, tokens: hash_vectors(tokens, dimension)
 
-    def encode(self, rows: DataFrame, key: str, text: Column, *keep: str) -> DataFrame:
-        """key, the columns in ``keep`` (text) and vector (array of double) of every row."""
+    def encode(self, rows: DataFrame, key: str, text: Column, *keep: str, tokens: Column | None = None) -> DataFrame:
+        """key, the columns in ``keep`` (text) and vector (array of double) of every row; tokens: of the text, if known."""
         backend = self
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, encode = backend.encoder()
             for batch in batches:
-                vectors = encode(*(batch.column(i).to_pylist() for i in (len(kept), len(kept) + 1)))
+                vectors = encode(batch.column(len(kept)), batch.column(len(kept) + 1))
                 flat = pa.array(vectors.reshape(-1))
                 ends = pa.array(np.arange(0, flat.__len__() + 1, vectors.shape[1] or 1, dtype=np.int32)) if len(vectors) else pa.array([0], pa.int32())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.ListArray.from_arrays(ends, flat)], [*kept, "vector"])
 
         kept = (key, *keep)
-        return map_arrow(rows.select(*kept, text.alias("__text"), T.index_tokens(text).alias("__tokens")), work, ", ".join(f"{c} string" for c in kept) + ", vector array<double>")
+        text = F.lit(None).cast("string") if tokens is not None and self.model.startswith("hash://") else text
+        return map_arrow(rows.select(*kept, text.alias("__text"), (T.index_tokens(text) if tokens is None else tokens).alias("__tokens")), work, ", ".join(f"{c} string" for c in kept) + ", vector array<double>")
 
 
 @dataclass(frozen=True)
@@ -99,7 +103,8 @@ class DenseIndex:
 
 def build_index(chunks: DataFrame, model: str = "hash://384") -> DenseIndex:
     text = T.index_text(F.col("title"), F.col("section_path"), F.col("text"))
-    return DenseIndex(written(Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level"), "vectors"), model)
+    tokens = F.col(INDEX_TOKENS) if INDEX_TOKENS in chunks.columns else None
+    return DenseIndex(written(Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens), "vectors"), model)
 
 
 def nearest(vectors: DataFrame, query_vectors: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
@@ -115,22 +120,36 @@ def nearest(vectors: DataFrame, query_vectors: DataFrame, k: int, key: str = "ch
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, matrix = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in names]
+            least = np.full(len(names), -np.inf)
+            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            held = 0
+
+            def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """The k best of each query among what is held: query, score, key."""
+                q, score, name = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((name, -score, q))
+                q, score, name = q[order], score[order], name[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                last = place == k - 1
+                least[q[last]] = score[last]
+                return tuple(x[place < k] for x in (q, score, name))
+
             for batch in batches:
-                if not batch.num_rows:
+                n = batch.num_rows
+                if not n:
                     continue
-                ids = np.array(batch.column(0).to_pylist(), object)
-                found = np.round(matrix @ batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float).T, DIGITS)
-                for i, row in enumerate(found):
-                    score, name = np.append(best[i][0], row), np.append(best[i][1], ids)
-                    if len(score) > k:
-                        least = np.partition(score, len(score) - k)[len(score) - k]
-                        stay = np.flatnonzero(score >= least)
-                        stay = np.array(sorted(stay, key=lambda j: (-score[j], name[j]))[:k])
-                        score, name = score[stay], name[stay]
-                    best[i] = score, name
-            query = [q for q, (s, _) in zip(names, best) for _ in s]
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.string()), pa.array([x for _, n in best for x in n], pa.string()), pa.array([x for s, _ in best for x in s], pa.float64())], ["query_id", key, "score"])
+                ids = np.array(batch.column(0).to_pylist(), str)
+                found = np.round(matrix @ batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float).T, DIGITS)
+                enough = np.maximum(least, np.partition(found, n - k, axis=1)[:, n - k]) if n > k else least
+                q, j = np.nonzero(found >= enough[:, None])
+                parts.append((q, found[q, j], ids[j]))
+                held += len(q)
+                if held > 4 * k * len(names):
+                    parts = [best()]
+                    held = len(parts[0][0])
+            if parts:
+                q, score, name = best()
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], pa.string()), pa.array(name.tolist(), pa.string()), pa.array(score, pa.float64())], ["query_id", key, "score"])
 
         parts.append(map_arrow(vectors.select(F.col(key).cast("string").alias(key), "vector"), work, f"query_id string, {key} string, score double"))
     if not parts:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..operators import dense, fusion, lexical
+from ..operators import fusion
 from ..plans import retrieval
 
 FAILURES = ("retrieval_miss_positive", "false_refusal_positive", "missing_citations_positive", "citation_mismatch_positive", "answered_negative_query", "citations_on_negative_query")
@@ -37,17 +37,19 @@ def as_queries(items: DataFrame, k: int) -> DataFrame:
     return items.select(F.col("id").alias("query_id"), F.col("question").alias("query"), F.lit(k).alias("top_k"), F.lit(None).cast("string").alias("department"), F.lit("restricted").alias("access_level"))
 
 
-def ranked_ids(corpus: retrieval.Corpus, queries: DataFrame, k: int, mode: str, settings: Settings = Settings()) -> DataFrame:
-    """query_id, chunk_id, rank by "bm25", "dense", "hybrid" (the whole service) or, else, plain fusion."""
-    if mode == "bm25":
-        return lexical.search(corpus.lexical, queries, k).select("query_id", "chunk_id", "rank")
-    if mode == "dense":
-        return dense.search(corpus.dense, queries, k).select("query_id", "chunk_id", "rank")
+def ranked_ids(found: retrieval.Retrieved, k: int, mode: str, settings: Settings = Settings()) -> DataFrame:
+    """query_id, chunk_id, rank by "bm25", "dense", "hybrid" (the whole service) or, else, plain fusion.
+
+    found: retrieve() of as_queries(), whose lists are longer than k and have no filters, so shorter ones are their heads.
+    """
     if mode == "hybrid":
-        return retrieval.retrieve(corpus, queries, settings).hits.select("query_id", "chunk_id", "rank")
-    n = max(10, k)
-    weights = queries.select("query_id", F.lit(settings.lexical_weight).alias("lexical"), F.lit(settings.dense_weight).alias("dense"))
-    return fusion.fuse(lexical.search(corpus.lexical, queries, n), dense.search(corpus.dense, queries, n), weights, k, settings.fusion_method).select("query_id", "chunk_id", "rank")
+        return found.hits.select("query_id", "chunk_id", "rank")
+    n = k if mode in ("bm25", "dense") else max(10, k)
+    lex, den = (hits.where(F.col("rank") <= n) for hits in (found.lexical, found.dense))
+    if mode in ("bm25", "dense"):
+        return (lex if mode == "bm25" else den).select("query_id", "chunk_id", "rank")
+    weights = found.weights.select("query_id", F.lit(settings.lexical_weight).alias("lexical"), F.lit(settings.dense_weight).alias("dense"))
+    return fusion.fuse(lex, den, weights, k, settings.fusion_method).select("query_id", "chunk_id", "rank")
 
 
 def listed(ranked: DataFrame) -> DataFrame:
@@ -68,11 +70,12 @@ def retrieval_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), mean["recall"].alias("recall_at_k"), mean["mrr"].alias("mrr"), mean["recall"].alias("evidence_hit_rate"))
 
 
-def run_retrieval_eval(corpus: retrieval.Corpus, items: DataFrame, k: int, modes: tuple[str, ...] = ("bm25", "dense", "hybrid"), settings: Settings = Settings()) -> DataFrame:
-    """A row of retrieval_summary() for each mode."""
+def run_retrieval_eval(corpus: retrieval.Corpus, items: DataFrame, k: int, modes: tuple[str, ...] = ("bm25", "dense", "hybrid"), settings: Settings = Settings(), found: retrieval.Retrieved | None = None) -> DataFrame:
+    """A row of retrieval_summary() for each mode, all from one retrieval: ``found``, if it ran already."""
+    found = found or retrieval.retrieve(corpus, as_queries(items, k), settings)
     out = None
     for mode in modes:
-        one = retrieval_summary(retrieval_rows(items, ranked_ids(corpus, as_queries(items, k), k, mode, settings), k)).select(F.lit(mode).alias("mode"), "*")
+        one = retrieval_summary(retrieval_rows(items, ranked_ids(found, k, mode, settings), k)).select(F.lit(mode).alias("mode"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 

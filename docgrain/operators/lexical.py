@@ -17,6 +17,7 @@ from .access import in_department, visible
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Digits that scores keep, so that ties don't depend on the order of a sum.
 DIGITS = 9
+INDEX_TOKENS = "index_tokens"
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,11 @@ def raw_idf(n: int, df: Column) -> Column:
 
 
 def build_index(chunks: DataFrame) -> LexicalIndex:
-    """Terms are counted within each chunk's row and summed by term once; the postings are a written table."""
-    tokens = T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
+    """Terms are counted within each chunk's row and summed by term once; the postings are a written table.
+
+    ``chunks`` may bring their tokens as a column INDEX_TOKENS.
+    """
+    tokens = F.col(INDEX_TOKENS) if INDEX_TOKENS in chunks.columns else T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
     rows = chunks.select("chunk_id", "department", "access_level", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
     exploded = rows.select("chunk_id", "department", "access_level", "dl", F.explode("tokens").alias("term"))
     postings = written(exploded.groupBy("chunk_id", "term", "dl", "department", "access_level").agg(F.count("*").alias("tf")), "postings")
@@ -68,7 +72,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(index: LexicalIndex, queries: DataFrame, scorer: str = "okapi") -> DataFrame:
     """query_id, chunk_id, score of chunks that share a term with the query and that its caller may see."""
     idf = okapi_idf(index) if scorer == "okapi" else fallback_idf(index)
-    wanted = query_terms(queries).join(idf, "term")
+    # a table, so that a common term's postings can be split where the planner doesn't broadcast the queries' terms
+    wanted = written(query_terms(queries).join(idf, "term"), "terms")
     hits = index.postings.join(wanted, "term").where(in_department(F.col("want_department"), F.col("department")) & visible(F.col("level"), F.col("access_level")))
     tf = F.col("tf").cast("double")
     if scorer == "okapi":

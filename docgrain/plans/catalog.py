@@ -232,7 +232,7 @@ def _full(spark, sf):
     weights = asked.select("query_id", fusion.query_weights(F.col("query")).alias("w")).select("query_id", "w.lexical", "w.dense")
     fused = fusion.fuse(lex, den, weights, CANDIDATES)
     info = asked.select("query_id", "query", "top_k", T.token_set(F.col("query")).alias("q"), T.query_targets(F.col("query")).alias("targets"))
-    return fused.join(retrieval.with_tokens(chunks(spark, sf)), "chunk_id").join(info, "query_id").withColumn("score", F.col("fused"))
+    return retrieval.with_tokens(fused.join(chunks(spark, sf), "chunk_id")).join(info, "query_id").withColumn("score", F.col("fused"))
 
 
 def recency_boost(spark, sf):
@@ -320,7 +320,8 @@ def recall_mrr_eval(spark, sf):
 def _evaluated(spark, sf):
     found, rows = corpus(spark, sf), written(items(spark, sf), "items")
     asked = evaluation.as_queries(rows, K)
-    return rows, retrieval.retrieve(found, asked, SETTINGS).hits, retrieval.ask(found, asked, SETTINGS)
+    hits = retrieval.retrieve(found, asked, SETTINGS)
+    return rows, hits.hits, retrieval.ask(found, asked, SETTINGS, hits)
 
 
 def answer_eval_confusion(spark, sf):

@@ -15,7 +15,7 @@ from ..operators import answering, dense, fusion, generation, lexical
 
 @dataclass(frozen=True)
 class Corpus:
-    """chunks with their overlap tokens, and both indexes."""
+    """chunks and both indexes."""
 
     chunks: DataFrame
     lexical: lexical.LexicalIndex
@@ -23,14 +23,16 @@ class Corpus:
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with the token sets that every overlap score needs, computed once."""
+    """``chunks``, or hits joined with theirs, with the token sets that every overlap score needs, computed once."""
     meta = F.concat_ws(" ", "title", "section_path")
     return chunks.select("*", T.token_set(F.col("text")).alias("text_tokens"), T.token_set(F.col("title")).alias("title_tokens"), T.token_set(F.col("section_path")).alias("section_tokens"), T.token_set(meta).alias("meta_tokens"))
 
 
 def build_corpus(chunks: DataFrame, settings: Settings = Settings()) -> Corpus:
-    chunks = written(chunks, "chunks")
-    return Corpus(with_tokens(chunks), lexical.build_index(chunks), dense.build_index(chunks, settings.embedding_model))
+    """Chunks are written with their index tokens, which both indexes read."""
+    tokens = T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
+    found = written(chunks.withColumn(lexical.INDEX_TOKENS, tokens), "chunks")
+    return Corpus(found.drop(lexical.INDEX_TOKENS), lexical.build_index(found), dense.build_index(found, settings.embedding_model))
 
 
 def normalized_queries(queries: DataFrame) -> DataFrame:
@@ -61,14 +63,14 @@ class Retrieved:
 
 
 def boosted(corpus: Corpus, queries: DataFrame, settings: Settings, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Hits after fusion and both boosts, and what they came from."""
+    """Hits after fusion and both boosts, and what they came from. Only the hits' texts are tokenised."""
     lex = written(lexical.search(corpus.lexical, queries, n), "bm25")
     den = written(dense.search(corpus.dense, queries, n, settings.embedding_model), "dense")
     weight = fusion.query_weights(F.col("query"), settings.lexical_weight, settings.dense_weight)
     weights = queries.select("query_id", weight.alias("w")).select("query_id", "w.lexical", "w.dense")
     fused = fusion.fuse(lex, den, weights, n, settings.fusion_method)
     asked = queries.select("query_id", "query", "top_k", T.token_set(F.col("query")).alias("q"), T.query_targets(F.col("query")).alias("targets"))
-    full = fused.join(corpus.chunks, "chunk_id").join(asked, "query_id").withColumn("score", F.col("fused"))
+    full = with_tokens(fused.join(corpus.chunks, "chunk_id")).join(asked, "query_id").withColumn("score", F.col("fused"))
     dated = fusion.recency_boost(full, settings.recency_weight)
     return written(fusion.metadata_boost(dated, settings.metadata_weight), "boosted"), lex, den, weights
 
@@ -118,12 +120,13 @@ def search_debug(corpus: Corpus, queries: DataFrame, settings: Settings = Settin
     return out.select("query_id", "bm25", F.col("vector").alias("dense"), F.col("lexical").alias("lexical_weight"), F.col("dense").alias("dense_weight"), size.alias("candidate_size"), F.lit(settings.min_score).alias("min_score"), F.lit(settings.min_relative_score).alias("min_relative_score"), F.lit(settings.min_overlap).alias("min_overlap"))
 
 
-def judged(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row a query with citations, features and gates."""
+def judged(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), found: Retrieved | None = None) -> DataFrame:
+    """One row a query with citations, features and gates; found: what retrieve() gave for these queries, if it ran."""
     queries, settings = normalized_queries(queries), generation.effective(settings)
-    rows = generation.drafted(answering.gathered(queries, retrieve(corpus, queries, settings).hits), settings)
+    found = found or retrieve(corpus, queries, settings)
+    rows = generation.drafted(answering.gathered(queries, found.hits), settings)
     return answering.gated(answering.features(answering.select_citations(rows, settings), settings), settings)
 
 
-def ask(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    return answering.answers(judged(corpus, queries, settings), generation.effective(settings))
+def ask(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), found: Retrieved | None = None) -> DataFrame:
+    return answering.answers(judged(corpus, queries, settings, found), generation.effective(settings))

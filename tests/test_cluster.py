@@ -14,6 +14,15 @@ def test_written_tables_and_clean(spark):
     assert cluster.clean(spark) == 1 and not os.path.isdir(folder) and cluster.clean(spark) == 0
 
 
+def test_clean_leaves_what_is_read(spark):
+    before = cluster.made(spark)
+    one, two = (cluster.written(spark.range(5), name) for name in ("one", "two"))
+    new = [x for x in cluster.made(spark) if x not in before]
+    assert len(new) == 2 and cluster.clean(spark, new, but=one.where("id > 2")) == 1
+    assert one.count() == 5 and cluster.made(spark) == [*before, new[0]]
+    assert cluster.clean(spark, new) == 1 and cluster.made(spark) == before
+
+
 def test_spread(spark):
     cores = spark.sparkContext.defaultParallelism
     assert cluster.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
