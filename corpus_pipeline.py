@@ -1,14 +1,21 @@
 """From documents to token ids: quality rules, near-duplicate removal, repeated-passage removal, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return
-the columns of ``documents``.
+the columns of ``documents``, whatever else they hold, clashing names included. What a stage does with nulls, empty and
+very long texts, ties, repeated rows and empty tables is its operator's and is said in its docstring; an empty table
+gives an empty one throughout. As a stage's rows are written before the next begins, each begins by deleting the tables
+that the one before it left, but for those that its own ``docs`` still read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docgrain.cluster import clean, made
 from docgrain.llm import minhash_dedup, mixing, quality_rules, sentencepiece_bpe, substring_dedup
 from docgrain.llm.common import quoted, written
 
@@ -16,20 +23,48 @@ from docgrain.llm.common import quoted, written
 NEAR = minhash_dedup.Near(width=5, percent=80)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _freeing(stage: Stage) -> Stage:
+    """``stage``, deleting first what stages before it have left."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        clean(spark, getattr(context, "_docgrain_left", []), but=docs)
+        before = set(made(spark))
+        out = stage(spark, docs, sf_dir)
+        context._docgrain_left = [*getattr(context, "_docgrain_left", []), *(x for x in made(spark) if x not in before)]
+        return out
+
+    return run_stage
+
+
+@_freeing
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules and their hosts' verdicts keep."""
+    """Documents that the quality rules and their hosts' verdicts keep.
+
+    Null and empty texts go, as all of under ten words; repeated rows stay or go together; a null source is a host.
+    """
     return quality_rules.keep_good(docs)
 
 
+@_freeing
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
+    """Of each group of near duplicates the document with the smallest doc_id.
+
+    Rows of one doc_id are one document and stay or go together; rows with null doc_id and texts without words stay.
+    """
     return minhash_dedup.keep_one(docs, NEAR)
 
 
+@_freeing
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 words and more that start earlier elsewhere; n_chars is of what is left.
 
-    Other texts stay as they are. A document that loses all its words goes.
+    Other texts, null and empty ones included, stay as they are. A document that loses all its words goes. Ties are
+    broken by doc_id and place; rows of one doc_id are one document.
     """
     cut = substring_dedup.remove_repeats(docs)
     gone, words = (F.col(quoted(cut.columns[-1])).getField(x) for x in ("n_removed", "n_words"))
@@ -37,13 +72,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.where((gone == 0) | (gone < words)).select(*[n_chars if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 
+@_freeing
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights take them."""
+    """Documents as often as the target weights take them; rows of one doc_id in one leaf together, null levels as "".
+    """
     return mixing.mixed_documents(docs)
 
 
+@_freeing
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and lossless of every document of the mix; its copies are numbered, so each has own draws."""
+    """doc_id, n_tokens, ids and lossless of every document of the mix; its copies are numbered, so each has own draws.
+
+    Null and empty texts have no ids; null doc_ids count as one number in the draws.
+    """
     copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
     return sentencepiece_bpe.encode(docs.select("doc_id", "text", copy.alias("copy")), copy="copy")
 

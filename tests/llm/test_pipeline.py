@@ -1,6 +1,7 @@
 import corpus_pipeline
 import numpy as np
 
+from docgrain.cluster import made, written
 from docgrain.llm import mixing, sentencepiece_bpe
 
 from .helpers import edited, frame, prose
@@ -58,6 +59,21 @@ def test_stages_return_documents(spark, tmp_path):
         assert empty.count() == 0
 
 
+def test_stages_delete_what_stages_before_them_left(spark, tmp_path):
+    docs, mine = frame(spark, corpus()), written(spark.range(3), "mine")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = set(made(spark))
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        left = [x for x in made(spark) if x not in before]
+        if k:
+            assert not any(x in made(spark) for x in last), name
+        last, docs = left, spark.read.parquet(f"{tmp_path}/{name}")
+    assert mine.count() == 3, "other tables stay"
+    lazy = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, frame(spark, corpus()), str(tmp_path)), str(tmp_path))
+    assert lazy.count() > 0, "rows that were not written between two stages are still there"
+
+
 def test_copies_of_the_mix_are_encoded_apart(spark, tmp_path):
     docs = frame(spark, [(1, prose(300, 1), "en", "src1")] * 2 + [(2, prose(300, 1), "en", "src1")])
     got = corpus_pipeline.encode(spark, docs, str(tmp_path)).collect()
