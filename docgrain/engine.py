@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import config
+from .cluster import written
 from .operators import evaluation
 from .plans import retrieval
 from .sources import files, indexes
@@ -64,9 +68,36 @@ class Engine:
         answered = retrieval.ask(corpus, queries, self.settings, found)
         return evaluation.run_retrieval_eval(corpus, items, top_k, settings=self.settings, found=found), evaluation.answer_summary(evaluation.answer_rows(items, answered))
 
+    def ask_debug(self, queries: DataFrame) -> DataFrame:
+        """ask() with both retrievers' lists, weights and thresholds."""
+        return retrieval.ask_debug(self._built(), queries, self.settings)
+
     def report(self, items: DataFrame, top_k: int = 5) -> tuple[DataFrame, DataFrame]:
         """failure_rates() and failures() of the whole service."""
         corpus, queries = self._built(), evaluation.as_queries(items, top_k)
         found = retrieval.retrieve(corpus, queries, self.settings)
         answered = retrieval.ask(corpus, queries, self.settings, found)
         return evaluation.failure_rates(items, found.hits, answered), evaluation.failures(items, found.hits, answered)
+
+    def full_report(self, items: DataFrame, top_k: int = 5, sample_limit: int = 5) -> dict:
+        """The report as a dictionary: rates, counts by kind, and the first ``sample_limit`` failures of each kind.
+
+        All that is collected is one row, the counts and so many samples.
+        """
+        rates, failed = self.report(items, top_k)
+        failed = written(failed, "failures")
+        counts = evaluation.failure_counts(failed).collect()
+        samples: dict[str, list[dict]] = {}
+        for r in evaluation.failure_samples(failed, sample_limit).orderBy("failure", "place").collect():
+            samples.setdefault(r["failure"], []).append({"id": r["id"], "question": r["question"], "gold_chunk_ids": r["gold"], "retrieved_ids": r["retrieved"], "answer_status": r["status"], "confidence": r["confidence"], "citation_ids": r["cited"], "query_type": r["query_type"], "difficulty": r["difficulty"], "domain": r["domain"] or "General"})
+        by = {kind: {r["name"]: r["n"] for r in counts if r["kind"] == kind} for kind in ("failure", "query_type", "difficulty")}
+        summary = rates.first().asDict()
+        return {"summary": {"top_k": top_k, **summary}, "failure_counts": by["failure"], "failures_by_query_type": by["query_type"], "failures_by_difficulty": by["difficulty"], "failure_samples": samples}
+
+
+@lru_cache(maxsize=1)
+def service(path: str | None = None) -> Engine:
+    """The process's engine, with loaded indexes, by the settings file of ``path`` or of APP_CONFIG_PATH."""
+    settings = config.load_settings(path or os.environ.get("APP_CONFIG_PATH", "config/default.yaml"))
+    config.ensure_directories(settings)
+    return Engine(SparkSession.builder.getOrCreate(), settings).load()

@@ -26,7 +26,7 @@ def lines_of(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """NULs become spaces; each line's white space becomes single spaces, trimmed; empty lines go.
 
-    Composition to normal form C is ingest's (see sources.documents.compose); texts of safe ranges have it.
+    Composition to normal form C is ingest's (see sources.files.compose); texts of safe ranges have it.
     """
     spaced = F.regexp_replace(F.replace(text, F.lit("\x00"), F.lit(" ")), rf"(?U)[\s\x1C-\x1F&&[^{fixed.BREAKS}]]+", " ")
     return F.btrim(F.regexp_replace(spaced, f" ?[{fixed.BREAKS}][ {fixed.BREAKS}]*+", "\n"), F.lit(" \n"))
@@ -81,10 +81,12 @@ def index_tokens(text: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _accents() -> tuple[str, str]:
-    """Characters of U+00C0 to U+1EFF that are one other character without marks, and these."""
+    """Characters that are one other character without marks, and these."""
     source, target = [], []
-    for code in range(0xC0, 0x1F00):
+    for code in range(0xC0, 0x30000):
         char = chr(code)
+        if unicodedata.category(char) in ("Cn", "Co", "Cs", "Mn"):
+            continue
         bare = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
         bare = unicodedata.normalize("NFC", bare)
         if len(bare) == 1 and bare != char:
@@ -94,7 +96,7 @@ def _accents() -> tuple[str, str]:
 
 
 def strip_accents(text: Column) -> Column:
-    """Without non-spacing marks; đ, which has none, stays."""
+    """Without non-spacing marks, and otherwise composed, as far as single characters go; đ, which has none, stays."""
     return F.regexp_replace(F.translate(text, *_accents()), r"\p{Mn}+", "")
 
 

@@ -106,11 +106,13 @@ def gates(settings: Settings = Settings()) -> dict[str, Column]:
         "n10_numbers": ~T.numbers_supported(c("question"), c("evidence")),
         "n11_acronyms": ~T.acronyms_supported(c("question"), c("evidence")),
         "n12_open_coverage": open_query & (c("open_coverage") < settings.min_open_coverage),
-        "n13_doc_coverage": open_query & (c("support") >= 2) & (c("doc_coverage") < 0.5),
+        "n13_doc_coverage": open_query & (c("support") >= 2) & (c("doc_coverage") < MIN_DOC_COVERAGE),
         "n14_no_citation": F.lit(settings.llm_backend == "heuristic") & (F.size(c("selected")) == 0),
     }
 
 
+#: Least coverage of an open question by the first hit's document.
+MIN_DOC_COVERAGE = 0.5
 DEBUG = ("top_score", "coverage", "top_relevance", "top_text", "top_meta", "support", "second_ratio", "open_coverage", "doc_coverage")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import importlib.util
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,13 +17,6 @@ from ..functions import fixed
 from ..functions import text as T
 
 
-def effective(settings: Settings) -> Settings:
-    """``settings`` with the heuristic backend if the chosen one can't be loaded."""
-    if settings.llm_backend == "transformers" and importlib.util.find_spec("transformers") is None:
-        return replace(settings, llm_backend="heuristic")
-    return settings
-
-
 def draft_answer(hits: Column) -> Column:
     """What the heuristic says of the first three hits."""
     return F.when(F.size(hits) == 0, fixed.NOT_FOUND).otherwise(F.array_join(F.transform(F.slice(hits, 1, 3), lambda h: T.draft_bullet(h["text"])), "\n"))
@@ -52,6 +45,23 @@ def local_model(settings: Settings) -> Callable[[str], str]:
     return lambda prompt: pipe(prompt, max_new_tokens=settings.max_new_tokens, do_sample=False)[0]["generated_text"]
 
 
+@lru_cache(maxsize=8)
+def _loads(settings: Settings, load: Callable[[Settings], Callable[[str], str]]) -> bool:
+    try:
+        load(settings)
+    except Exception:  # noqa: BLE001  any failure of an optional model means the heuristic
+        return False
+    return True
+
+
+def effective(settings: Settings, load: Callable[[Settings], Callable[[str], str]] = local_model) -> Settings:
+    """``settings`` with the heuristic backend if the chosen one can't be loaded: its package or its model is missing or
+    broken. The driver tries once for each settings."""
+    if settings.llm_backend == "transformers" and not _loads(settings, load):
+        return replace(settings, llm_backend="heuristic")
+    return settings
+
+
 def drafted(rows: DataFrame, settings: Settings, load: Callable[[Settings], Callable[[str], str]] = local_model) -> DataFrame:
     """``rows`` (query_id, question, hits) with ``draft`` and ``preferred``, the ids that the draft cites.
 

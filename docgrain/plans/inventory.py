@@ -20,7 +20,7 @@ WHERE: dict[str, str] = {
     "S10": "sources.indexes.save_lexical sources.indexes.load_lexical",
     "S11": "sources.indexes.save_dense sources.indexes.load_dense",
     "S12": "sources.files.read_items",
-    "S13": "sources.files.write_report",
+    "S13": "sources.files.write_report sources.files.markdown_report engine.Engine.full_report",
     "F1": "functions.text.normalize_text sources.files.compose",
     "F2": "functions.text.infer_department",
     "F3": "functions.text.infer_access_level",
@@ -87,7 +87,7 @@ WHERE: dict[str, str] = {
     "A6": "operators.answering.confidence",
     "A7": "operators.answering.gates",
     "A8": "operators.answering.features operators.answering.gated operators.answering.answers",
-    "A9": "plans.retrieval.ask",
+    "A9": "plans.retrieval.ask plans.retrieval.ask_debug",
     "E1": "operators.evaluation.recall_at_k",
     "E2": "operators.evaluation.reciprocal_rank",
     "E3": "operators.evaluation.retrieval_summary",
@@ -107,10 +107,10 @@ WHERE: dict[str, str] = {
     "U2": "engine.Engine.search",
     "U3": "engine.Engine.ask",
     "U4": "plans.retrieval.retrieve",
-    "U5": "engine.Engine",
-    "U7": "engine.Engine.ingest engine.Engine.evaluate",
+    "U5": "engine.service",
+    "U7": "__main__.main engine.Engine.ingest engine.Engine.evaluate",
     "U8": "engine.Engine",
-    "U9": "operators.datasets.stratified_split engine.Engine.report",
+    "U9": "sources.files.split_items engine.Engine.full_report __main__.arguments",
 }
 
 ABSENT: dict[str, str] = {

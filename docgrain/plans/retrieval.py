@@ -105,21 +105,26 @@ def search(corpus: Corpus, queries: DataFrame, settings: Settings = Settings())
     return hits.select("query_id", "rank", "doc_id", "title", "section_path", "chunk_id", "score", F.lit("hybrid").alias("retrieval_source"), T.search_snippet(F.col("text")).alias("snippet"))
 
 
-def search_debug(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row a query: both retrievers' first top_k hits, weights, candidate size and thresholds."""
-    queries = normalized_queries(queries)
-    found = retrieve(corpus, queries, settings)
+def _listed(queries: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+    """query_id and the first top_k of a retriever's list, as structs of chunk_id and score."""
+    cut = hits.join(queries.select("query_id", "top_k"), "query_id").where("rank <= top_k")
+    pairs = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score")))
+    return cut.groupBy("query_id").agg(F.transform(pairs, lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score"))).alias(name))
 
-    def listed(hits: DataFrame, name: str) -> DataFrame:
-        cut = hits.join(queries.select("query_id", "top_k"), "query_id").where("rank <= top_k")
-        pairs = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score")))
-        return cut.groupBy("query_id").agg(F.transform(pairs, lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score"))).alias(name))
 
-    out = queries.select("query_id", "top_k").join(found.weights, "query_id").join(listed(found.lexical, "bm25"), "query_id", "left").join(listed(found.dense, "vector"), "query_id", "left")
+def search_debug(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), found: Retrieved | None = None) -> DataFrame:
+    """One row a query: both retrievers' first top_k hits, weights, candidate size and thresholds."""
+    queries = normalized_queries(queries)
+    found = found or retrieve(corpus, queries, settings)
+    out = queries.select("query_id", "top_k").join(found.weights, "query_id").join(_listed(queries, found.lexical, "bm25"), "query_id", "left").join(_listed(queries, found.dense, "vector"), "query_id", "left")
     size = F.greatest(F.lit(settings.candidate_size), F.col("top_k") * 3, F.lit(10))
     return out.select("query_id", "bm25", F.col("vector").alias("dense"), F.col("lexical").alias("lexical_weight"), F.col("dense").alias("dense_weight"), size.alias("candidate_size"), F.lit(settings.min_score).alias("min_score"), F.lit(settings.min_relative_score).alias("min_relative_score"), F.lit(settings.min_overlap).alias("min_overlap"))
 
 
+#: Settings that ask_debug() shows beside those of search_debug().
+ASK_THRESHOLDS = ("min_citation_relevance", "min_top_relevance", "min_yesno_relevance", "min_open_coverage")
+
+
 def judged(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), found: Retrieved | None = None) -> DataFrame:
     """One row a query with citations, features and gates; found: what retrieve() gave for these queries, if it ran."""
     queries, settings = normalized_queries(queries), generation.effective(settings)
@@ -130,3 +135,12 @@ def judged(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(),
 
 def ask(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), found: Retrieved | None = None) -> DataFrame:
     return answering.answers(judged(corpus, queries, settings, found), generation.effective(settings))
+
+
+def ask_debug(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """ask() with ``retrieval``, a struct of search_debug(), and ``thresholds`` of the gates; one retrieval for both."""
+    found = retrieve(corpus, queries, settings)
+    shown = search_debug(corpus, queries, settings, found)
+    thresholds = F.struct(*[F.lit(getattr(settings, name)).alias(name) for name in ASK_THRESHOLDS], F.lit(answering.MIN_DOC_COVERAGE).alias("min_doc_coverage"))
+    shown = shown.select("query_id", F.struct(*[c for c in shown.columns if c != "query_id"]).alias("retrieval"))
+    return ask(corpus, queries, settings, found).join(shown, "query_id").withColumn("thresholds", thresholds)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import map_arrow
+from ..cluster import map_arrow, written
 from ..config import Settings
 from ..functions import fixed
 from ..functions import text as T
@@ -121,13 +121,57 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return with_defaults(read_jsonl(spark, path, ITEM_SCHEMA).withColumnRenamed("gold_chunk_ids", "gold"))
 
 
-def write_report(path: str, summary: dict, counts: dict[str, dict[str, int]]) -> None:
-    """A small report as JSON and, beside it, Markdown with rates of four decimals and sorted names."""
-    with open(f"{path}.json", "w", encoding="utf-8") as out:
-        json.dump({"summary": summary, **counts}, out, ensure_ascii=False, indent=2, sort_keys=True)
-    lines = ["# Report", "", "## Summary", ""]
-    lines += [f"- {k}: {v:.4f}" if isinstance(v, float) else f"- {k}: {v}" for k, v in summary.items()]
-    for title, table in counts.items():
-        lines += ["", f"## {title}", "", *[f"- {k}: {v}" for k, v in sorted(table.items())]]
-    with open(f"{path}.md", "w", encoding="utf-8") as out:
-        out.write("\n".join(lines) + "\n")
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one UTF-8 file, in whatever store Spark reaches ``path``; overwrites."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+#: Names that the Markdown report gives to parts of a report.
+SUMMARY_NAMES = {"total_items": "Total items", "positive_items": "Positive items", "negative_items": "Negative items", "retrieval_recall_at_k": "Retrieval Recall@k", "false_refusal_rate": "False refusal rate (positive queries)", "negative_hallucination_rate": "Hallucination rate on negative queries"}
+COUNT_NAMES = {"failure_counts": "Failure Counts", "failures_by_query_type": "Failures By Query Type", "failures_by_difficulty": "Failures By Difficulty"}
+
+
+def markdown_report(report: dict) -> str:
+    """Sections of a report as Markdown: rates with four decimals, names sorted."""
+    summary = [f"- {shown}: {report['summary'][k]:.4f}" if isinstance(report["summary"][k], float) else f"- {shown}: {report['summary'][k]}" for k, shown in SUMMARY_NAMES.items()]
+    out = ["# Holdout Error Analysis Report", "", "## Summary", *summary, ""]
+    for key, shown in COUNT_NAMES.items():
+        out += [f"## {shown}", *(f"- {k}: {n}" for k, n in sorted(report[key].items())), ""]
+    out.append("## Sample Failures")
+    for kind, rows in sorted(report["failure_samples"].items()):
+        out.append(f"### {kind}")
+        for r in rows:
+            out.append(f"- `{r['id']}` | {r['query_type']} | {r['difficulty']} | {r['domain']}")
+            out += [f"  - {shown}: {value}" for shown, value in (("Question", r["question"]), ("Gold", r["gold_chunk_ids"]), ("Retrieved", r["retrieved_ids"]), ("Status", f"{r['answer_status']} | Confidence: {r['confidence']}"), ("Citations", r["citation_ids"]))]
+        out.append("")
+    if not report["failure_samples"]:
+        out.append("- No failures found.")
+    return "\n".join(out).strip() + "\n"
+
+
+def write_report(spark: SparkSession, report: dict, json_path: str, markdown_path: str) -> None:
+    """A report as JSON and as Markdown."""
+    write_text(spark, json_path, json.dumps(report, ensure_ascii=False, indent=2) + "\n")
+    write_text(spark, markdown_path, markdown_report(report))
+
+
+def split_items(spark: SparkSession, source: str, train: str, holdout: str, ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """Splits a file of items by datasets.stratified_split() into two folders of JSON lines, with all their fields;
+    returns counts by split, query_type and difficulty. ValueError if there are no items or the ratio isn't in (0, 1)."""
+    from ..operators.datasets import stratified_split
+
+    rows = spark.read.option("mode", "FAILFAST").json(source)
+    if rows.isEmpty():
+        raise ValueError(f"no items in {source}")
+    for name in ("query_type", "difficulty"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit("unknown"))
+    parted = written(stratified_split(rows, ratio, seed), "split")
+    for path, held in ((train, False), (holdout, True)):
+        write_jsonl(parted.where(F.col("holdout") == held).drop("holdout"), path)
+    return parted.groupBy(F.when(F.col("holdout"), "holdout").otherwise("train").alias("split"), "query_type", "difficulty").agg(F.count("*").alias("n"))
