@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, crf_quality, ctph, html_extract, minhash_dedup, mixing, quality_rules, sentencepiece_bpe, substring_dedup, warc
+from . import chat_format, crf_quality, ctph, html_extract, minhash_dedup, mixing, quality_rules, replay, sentencepiece_bpe, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -186,9 +187,49 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+def op13_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state beyond 63 bits, as a conversation of some 90,000 deliveries has, is null here."""
+    found = replay.replay(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "status", "attempts", "first_at", "last_at", "release_no", F.expr("try_cast(state AS bigint)").alias("state"))
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, where a column ``crc`` has the 256 remainders of single bytes."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _draw_sql(k: int) -> str:
+    return crc32_sql(f"('{k}:' || coalesce(CAST(conv_id AS VARCHAR), '') || ':' || coalesce(CAST(turn AS VARCHAR), ''))")
+
+
+OP13_SQL = f"""
+WITH RECURSIVE bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+byte AS (SELECT list(c ORDER BY i) AS crc FROM bits WHERE k = 8),
+h AS (SELECT conv_id, turn, {crc32_sql("coalesce(text, '')")} AS s, [{", ".join(_draw_sql(k) for k in range(9))}] AS h FROM conversations, byte),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, s) - 1 AS p FROM h),
+u AS (SELECT *, 7 * p AS arrival, h[1] % 5 AS back, h[2] % 101 < 50 AS faulty, 7 * p + h[3] % 101 AS repaired FROM t),
+r(conv_id, p, found) AS (
+  SELECT conv_id, CAST(-1 AS BIGINT), CAST([] AS STRUCT(attempts BIGINT, first_at BIGINT, last_at BIGINT, ok BOOLEAN)[]) FROM u GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, p, list_append(found, CASE WHEN blocked THEN {{'attempts': CAST(0 AS BIGINT), 'first_at': NULL, 'last_at': NULL, 'ok': false}}
+    ELSE {{'attempts': coalesce(a, 6), 'first_at': f, 'last_at': f + 10 * (CAST(2 ** (coalesce(a, 6) - 1) AS BIGINT) - 1), 'ok': a IS NOT NULL}} END)
+  FROM (SELECT *, list_filter([1, 2, 3, 4, 5, 6], lambda a: NOT faulty OR (f + 10 * (CAST(2 ** (a - 1) AS BIGINT) - 1) >= repaired AND h[a + 3] % 3 <> 0))[1] AS a
+    FROM (SELECT u.conv_id, u.p, u.faulty, u.repaired, u.h, r.found, has AND NOT r.found[q].ok AS blocked, CASE WHEN has THEN greatest(u.arrival, r.found[q].last_at) ELSE u.arrival END AS f
+      FROM (SELECT *, back > 0 AND back <= p AS has, CASE WHEN back > 0 AND back <= p THEN p - back + 1 ELSE 1 END AS q FROM u) u
+      JOIN r ON r.conv_id IS NOT DISTINCT FROM u.conv_id AND u.p = r.p + 1))),
+o AS (SELECT u.conv_id, u.turn, u.p, u.s, r.found[u.p + 1] AS x FROM u
+  JOIN (SELECT conv_id, arg_max(found, p) AS found FROM r GROUP BY conv_id) r ON r.conv_id IS NOT DISTINCT FROM u.conv_id),
+n AS (SELECT *, CASE WHEN x.ok THEN row_number() OVER (PARTITION BY conv_id, x.ok ORDER BY x.last_at, turn NULLS FIRST, p) END AS release_no FROM o)
+SELECT conv_id, turn, CASE WHEN x.ok THEN 'delivered' WHEN x.attempts > 0 THEN 'dead' ELSE 'blocked' END AS status, CAST(x.attempts AS INTEGER) AS attempts,
+  x.first_at AS first_at, x.last_at AS last_at, release_no,
+  CASE WHEN x.ok THEN CAST(sum(release_no * s) OVER (PARTITION BY conv_id ORDER BY release_no ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS state FROM n"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_html_extract": op1_html_extract, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_chat_format": op10_chat_format}
+    return {"op1_html_extract": op1_html_extract, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_chat_format": op10_chat_format, "op13_replay": op13_replay}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL, "op13_replay": OP13_SQL}
