@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, crf_quality, ctph, html_extract, minhash_dedup, mixing, quality_rules, replay, sentencepiece_bpe, substring_dedup, warc
+from . import chat_format, collocations, crf_quality, ctph, gru_lm, html_extract, minhash_dedup, mixing, quality_rules, replay, sentencepiece_bpe, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,6 +187,35 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(list_slice(ws, i, i + m - 1), ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 10),
+k AS (SELECT lang, phrase, m, a, ws, k, array_to_string(list_slice(ws, 1, k), ' ') AS x, array_to_string(list_slice(ws, k + 1, m), ' ') AS y
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.*, l.a AS l, r.a AS r, CAST(CAST(1000000 AS HUGEINT) * k.a * k.a // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.x JOIN f r ON r.lang = k.lang AND r.phrase = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, x AS phrase, max(a) AS longer FROM (SELECT lang, array_to_string(list_slice(ws, 1, 2), ' ') AS x, a FROM c WHERE m = 3
+      UNION ALL SELECT lang, array_to_string(list_slice(ws, 2, 3), ' '), a FROM c WHERE m = 3) GROUP BY ALL),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+      FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, o.phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return gru_lm.score(table(spark, sf_dir, "documents"), number % 7 == 2)
+
+
 def op13_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state beyond 63 bits, as a conversation of some 90,000 deliveries has, is null here."""
     found = replay.replay(table(spark, sf_dir, "conversations"))
@@ -228,8 +257,8 @@ SELECT conv_id, turn, CASE WHEN x.ok THEN 'delivered' WHEN x.attempts > 0 THEN '
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_html_extract": op1_html_extract, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_chat_format": op10_chat_format, "op13_replay": op13_replay}
+    return {"op1_html_extract": op1_html_extract, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_minhash_dedup": op4_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_crf_quality": op6_crf_quality, "op7_fingerprints": op7_fingerprints, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_chat_format": op10_chat_format, "op11_collocations": op11_collocations, "op12_lm_scoring": op12_lm_scoring, "op13_replay": op13_replay}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL, "op13_replay": OP13_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_minhash_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op9_mixing": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_collocations": OP11_SQL, "op13_replay": OP13_SQL}
