@@ -8,6 +8,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,6 +20,21 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 
+#: Lists that tracked() is filling.
+_tracking: ContextVar[tuple[list[str], ...]] = ContextVar("tracking", default=())
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """A list that gets the folders made inside, by this thread."""
+    folders: list[str] = []
+    token = _tracking.set((*_tracking.get(), folders))
+    try:
+        yield folders
+    finally:
+        _tracking.reset(token)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -40,6 +57,8 @@ def new_dir(spark: SparkSession, name: str) -> str:
     made = f"{shared_dir(spark)}/docgrain-{name}-{uuid.uuid4().hex}"
     context = spark.sparkContext
     context._docgrain_dirs = [*getattr(context, "_docgrain_dirs", ()), made]
+    for folders in _tracking.get():
+        folders.append(made)
     return made
 
 
