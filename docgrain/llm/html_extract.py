@@ -38,10 +38,13 @@ STOP_WORDS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Formatting that never bounds a block and is not followed.
 INLINE = frozenset("abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small strike strong sub sup time tt u var".split())
+#: Parts of formulas, which are text.
+FORMULA = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mmultiscripts mtable mtr mtd mstyle mpadded menclose semantics".split())
+#: Elements whose contents are no text of the page; what stands in a line doesn't bound a block.
+UNREAD_INLINE = frozenset("annotation annotation-xml applet audio button canvas datalist embed map meter object output picture progress video".split())
+UNREAD = UNREAD_INLINE | frozenset("iframe noframes noscript optgroup option script select style svg template textarea title xmp".split())
 #: Other tags that don't bound a block.
-RUNNING = INLINE | frozenset("a span label img wbr".split())
-#: Elements whose contents are no text of the page.
-UNREAD = frozenset("applet audio button canvas datalist embed iframe map math meter noframes noscript object optgroup option output picture progress script select style svg template textarea title video xmp".split())
+RUNNING = INLINE | FORMULA | UNREAD_INLINE | frozenset("a span label img wbr".split())
 BOILERPLATE = frozenset("aside dialog footer form menu nav".split())
 LANDMARKS = frozenset("article main".split())
 #: Elements whose borders part blocks.
@@ -57,6 +60,12 @@ _NAMES = (
 #: Names of layouts (page-with-sidebar, main-no-sidebar) are not bad.
 _BAD_NAME = re.compile(rf"(?:(?!with|has|no\b|without|layout|col)(?:(?!(?:with|has|no|without|layout|cols?)[-_])[^-_]*[-_])+)?(?:{_NAMES})(?:[-_].*)?", re.I)
 _BAD_ARTICLE = re.compile(r"(?:.*[-_])?(?:comments?|replies|reply|related|promo|teasers?|ads?|advert\w*)(?:[-_].*)?", re.I)
+#: Whole class names of articles that are no main text; an article's id says what it is about.
+_BAD_LANDMARK = re.compile(
+    r"comments?|comment[-_](?:body|content|text|list|item)|replies|reply|related(?:[-_](?:posts?|articles?|stories|content|items?))?|promo\w*|"
+    r"teasers?|(?:post|article|story|news)[-_](?:teaser|promo|ad)|ads?|advert\w*|sponsored",
+    re.I,
+)
 _GOOD_NAME = re.compile(r"(?:article|post|entry|story|page|main)[-_]?(?:body|content|text)", re.I)
 #: Names of elements that hold a whole page or article, whatever else is named beside.
 _WHOLE_NAME = re.compile(r"page|site|layout|(?:.*[-_])?(?:page|layout|template|theme)|(?:.*[-_])?(?:article|post|entry|story)[-_]?(?:body|text)", re.I)
@@ -186,7 +195,8 @@ class _Cutter:
         bad, region = top.bad, top.region
         named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest and not rest.isspace() else {}
         role = named.get("role", "").lower()
-        names = (named.get("class", "") + " " + named.get("id", "")).split()
+        classes = named.get("class", "").split()
+        names = classes + named.get("id", "").split()
         landmark = tag in LANDMARKS or role == "main" or "articlebody" in named.get("itemprop", "").lower() or any(map(_GOOD_NAME.fullmatch, names))
         if landmark and bad and any(x.tag == "form" for x in self.stack) and all(not x.bad or x.tag == "form" for x in self.stack[: 1 + next(i for i, x in enumerate(self.stack) if x.bad)]):
             bad = False  # the form holds the whole page
@@ -198,7 +208,7 @@ class _Cutter:
             bad, cause = True, 3
         elif tag == "header" and not region:
             bad, cause = True, 3
-        elif names and tag not in ("html", "body") and not any(map(_WHOLE_NAME.fullmatch, names)) and (any(map(_BAD_ARTICLE.fullmatch, names)) if landmark else any(map(_BAD_NAME.fullmatch, names))):
+        elif names and tag not in ("html", "body") and not any(map(_WHOLE_NAME.fullmatch, names)) and (any(map(_BAD_LANDMARK.fullmatch, classes)) if landmark else any(map(_BAD_NAME.fullmatch, names))):
             bad, cause = True, max(cause, 2 if any(map(_BAD_ARTICLE.fullmatch, names)) else 1)
         elif not region and any(map(_HEADER_NAME.fullmatch, names)):
             bad, cause = True, max(cause, 1)
@@ -361,7 +371,8 @@ def extract(pages: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html), whole pages, row by row.
 
     Null html gives an empty text; null ids and urls and repeated rows stay; other columns are not read; an empty
-    table gives an empty one. No shuffle, and memory for one Arrow batch.
+    table gives an empty one. Very long pages are read whole, in time linear in their length. No shuffle, and memory
+    for one Arrow batch.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,3 +153,25 @@ def test_rows(spark):
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in H.extract(table).collect()]
     assert sorted(map(repr, got)) == sorted(repr((i, u, H.main_text(h), len(H.main_text(h)))) for i, u, h in rows)
     assert H.extract(table.limit(0)).count() == 0 and H.main_text(rows[3][2]) == "é"
+
+
+def test_names_of_articles_are_read_whole():
+    """A word in an article's class or id says what else it has, or what it is about."""
+    text = "This is the text of an article that is about something and has all that a reader could want of it. " * 4
+    for mark in ('article class="post has-comments"', 'article class="post no-ads"', 'main class="with-ads"', 'article id="comment-on-the-state-of-art"', 'article id="ad-policy-explained"'):
+        page = f"<body><{mark}><p>{text}</p></{mark.split()[0]}><div><p>x</p></div></body>"
+        assert html_extract.main_text(page) == text.strip(), mark
+    for mark in ("comments", "comment-list", "related-posts", "teaser"):
+        page = f'<body><article><p>{text}</p></article><article class="{mark}"><p>{text[:300]} other</p></article></body>'
+        assert html_extract.main_text(page) == text.strip(), mark
+
+
+def test_what_is_unread_in_a_line_does_not_cut_it():
+    cases = {
+        "<p>Press <button>OK</button> to go on.</p>": "Press to go on.",
+        "<p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> is one.</p>": "Where x=1 is one.",
+        "<p>Where <math>x</math> is one.</p>": "Where x is one.",
+        "<p>A <svg><text>drawn</text></svg> picture <progress>50 %</progress> in a line <object>none</object> here.</p>": "A picture in a line here.",
+    }
+    for html, text in cases.items():
+        assert [b.text for b in html_extract.blocks(html)] == [text]
