@@ -3,7 +3,8 @@
 Each document gets counts and rule failures. Failures are summed by host (the ``source`` column), each host's rate
 is shrunk by a beta prior fitted to all hosts by moments, and the host's verdicts are joined back to its documents: a
 host that mostly fails loses all its documents; the soft rules (symbols, repeated lines) are held against documents of
-all hosts but those whose shrunk rate is clearly below the prior's mean, where a lone failure is pardoned.
+all hosts but those whose rate is almost surely below the prior's mean, where a lone failure is pardoned. "Almost surely" is by the
+posterior beta, through its mean and deviation. Where hosts differ no more than chance would have them, none has a verdict of its own.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ class Rules:
     repeat_percent: int = 20
     symbol_percent: int = 30
     line_percent: int = 30
-    #: A host whose shrunk rate of base failures is this high loses all its documents.
+    #: A host whose rate of base failures is surely this high loses all its documents.
     reject_rate: float = 0.5
-    #: A host whose shrunk rate of a soft failure is below this share of the prior's mean has that failure pardoned.
-    pardon_share: float = 0.95
-    #: Bounds of the prior's weight in documents. Hosts that differ no more than chance would have them get the most.
+    #: A rate is surely above or below another if the posterior's mean is by so many of its deviations (95 %).
+    sure: float = 1.645
+    #: Bounds of the prior's weight in documents.
     least_weight: float = 1.0
     most_weight: float = 1000.0
 
@@ -98,22 +99,25 @@ def host_verdicts(rows: DataFrame, host: str = "source", rules: Rules = RULES) -
     """
     hosts = written(rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *[F.sum(F.col(f).cast("long")).alias(f) for f in FAILURES]), "hosts")
     moments = hosts.agg(F.avg(1 / F.col("n")).alias("one"), *[x for f in FAILURES for x in (F.avg(F.col(f) / F.col("n")).alias(f"mean_{f}"), F.var_pop(F.col(f) / F.col("n")).alias(f"var_{f}"))]).first()
-    out = hosts
-    means = {}
+    out, surely = hosts, {}
     for f in FAILURES:
         mean, var = moments[f"mean_{f}"] or 0.0, moments[f"var_{f}"] or 0.0
-        means[f] = mean
         var -= mean * (1 - mean) * (moments["one"] or 0.0)  # what sampling alone makes
-        weight = mean * (1 - mean) / var - 1 if var > 0 else rules.most_weight
-        weight = min(max(weight, rules.least_weight), rules.most_weight)
-        out = out.withColumn(f"rate_{f}", (F.col(f) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)))
+        if var <= 0:  # hosts are alike: all get the common rate
+            out, surely[f] = out.withColumn(f"rate_{f}", F.lit(mean)), None
+            continue
+        weight = min(max(mean * (1 - mean) / var - 1, rules.least_weight), rules.most_weight)
+        rate = (F.col(f) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
+        margin = F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(weight + 1))) * rules.sure
+        out, surely[f] = out.withColumn(f"rate_{f}", rate), (rate - margin, rate + margin, mean)
+    base, symbols, lines = (surely[f] for f in FAILURES)
     return out.select(
         "host",
         "n",
         *[f"rate_{f}" for f in FAILURES],
-        (F.col("rate_base_failed") >= rules.reject_rate).alias("host_rejected"),
-        (F.col("rate_symbols_failed") >= rules.pardon_share * means["symbols_failed"]).alias("enforce_symbols"),
-        (F.col("rate_lines_failed") >= rules.pardon_share * means["lines_failed"]).alias("enforce_lines"),
+        (F.lit(False) if base is None else base[0] >= rules.reject_rate).alias("host_rejected"),
+        (F.lit(True) if symbols is None else symbols[1] >= symbols[2]).alias("enforce_symbols"),
+        (F.lit(True) if lines is None else lines[1] >= lines[2]).alias("enforce_lines"),
     )
 
 
@@ -130,7 +134,7 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: Rules = RULES) -
     """Counts, failures and verdict of every row of ``docs`` (doc_id, text, host); one row out for each row in.
 
     Null or empty text: all counts 0, so base_failed. A null host is a host of its own; null doc_ids and repeated
-    rows are kept as they are. Other columns of ``docs`` are not read. An empty table gives an empty table.
+    rows are kept as they are, and very long texts are measured whole. Other columns of ``docs`` are not read. An empty table gives an empty table.
     """
     rows = written(measured(docs, "doc_id", host, rules=rules), "rules")
     out = _judged(rows, written(host_verdicts(rows, host, rules), "verdicts"), host)
@@ -141,11 +145,10 @@ def keep_good(docs: DataFrame, host: str = "source", rules: Rules = RULES) -> Da
     """The rows of ``docs`` that ``quality_rules`` keeps, with their columns, whatever their names.
 
     Null and empty texts fail and go, as do all texts under the least words; repeated rows stay or go together; null
-    hosts are a host; an empty table gives an empty one. Texts are measured once, in one scan that writes what passes
-    the base rules beside the failures; the hosts' sums read the failures alone, and no text is shuffled while the
-    verdicts are few.
+    hosts are a host; very long texts are measured whole; an empty table gives an empty one. Texts are measured twice, for the
+    hosts' sums and for the rows that stay, so that no copy of them is written; and none is shuffled while the verdicts are few.
     """
+    sums = measured(docs.select(docs[host].alias("__host"), docs["text"].alias("text")), "__host", rules=rules)
+    verdicts = written(host_verdicts(sums, "__host", rules), "verdicts")
     rows = measured(docs.select(whole_row(docs).alias("__row"), docs[host].alias("__host"), docs["text"].alias("text")), "__row", "__host", rules=rules)
-    rows = written(rows.select(F.when(~F.col("base_failed"), F.col("__row")).alias("__row"), "__host", *FAILURES), "rules")
-    verdicts = written(host_verdicts(rows, "__host", rules), "verdicts")
-    return _judged(rows, verdicts, "__host").where("kept").select("__row.*")
+    return _judged(rows.where(~F.col("base_failed")), verdicts, "__host").where("kept").select("__row.*")

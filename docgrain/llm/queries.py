@@ -47,12 +47,12 @@ h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS b, co
 p AS (SELECT avg(b / n) AS mb, var_pop(b / n) AS vb, avg(s / n) AS ms, var_pop(s / n) AS vs, avg(l / n) AS ml, var_pop(l / n) AS vl,
         avg(1 / n) AS one FROM h),
 e AS (SELECT mb, ms, ml, vb - mb * (1 - mb) * one AS vb, vs - ms * (1 - ms) * one AS vs, vl - ml * (1 - ml) * one AS vl FROM p),
-q AS (SELECT mb, ms, ml,
-        least(greatest(CASE WHEN vb > 0 THEN mb * (1 - mb) / vb - 1 ELSE 1000.0 END, 1.0), 1000.0) AS wb,
-        least(greatest(CASE WHEN vs > 0 THEN ms * (1 - ms) / vs - 1 ELSE 1000.0 END, 1.0), 1000.0) AS ws,
-        least(greatest(CASE WHEN vl > 0 THEN ml * (1 - ml) / vl - 1 ELSE 1000.0 END, 1.0), 1000.0) AS wl FROM e),
-v AS (SELECT source, (b + mb * wb) / (n + wb) >= 0.5 AS rejected, (s + ms * ws) / (n + ws) >= 0.95 * ms AS strict_s,
-        (l + ml * wl) / (n + wl) >= 0.95 * ml AS strict_l FROM h, q),
+q AS (SELECT *, least(greatest(mb * (1 - mb) / nullif(vb, 0) - 1, 1.0), 1000.0) AS wb, least(greatest(ms * (1 - ms) / nullif(vs, 0) - 1, 1.0), 1000.0) AS ws,
+        least(greatest(ml * (1 - ml) / nullif(vl, 0) - 1, 1.0), 1000.0) AS wl FROM e),
+y AS (SELECT *, (b + mb * wb) / (n + wb) AS rb, (s + ms * ws) / (n + ws) AS rs, (l + ml * wl) / (n + wl) AS rl FROM h, q),
+v AS (SELECT source, vb > 0 AND rb - 1.645 * sqrt(rb * (1 - rb) / (n + wb + 1)) >= 0.5 AS rejected,
+        CASE WHEN vs > 0 THEN rs + 1.645 * sqrt(rs * (1 - rs) / (n + ws + 1)) >= ms ELSE true END AS strict_s,
+        CASE WHEN vl > 0 THEN rl + 1.645 * sqrt(rl * (1 - rl) / (n + wl + 1)) >= ml ELSE true END AS strict_l FROM y),
 judged AS (SELECT f.*, NOT (base_failed OR rejected OR (symbols_failed AND strict_s) OR (lines_failed AND strict_l)) AS kept
            FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source)"""
 
@@ -171,7 +171,7 @@ OP9_SQL = f"WITH msrc AS (SELECT row_number() OVER () AS rid, * FROM documents),
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.digests(chat_format.format_chats(chat_format.hostile(table(spark, sf_dir, "conversations")))).drop("history_rewritten")
+    return chat_format.digests(chat_format.format_chats(chat_format.hostile(table(spark, sf_dir, "conversations")))).drop("history_rewritten", "texts_changed")
 
 
 OP10_SQL = r"""
