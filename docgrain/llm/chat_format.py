@@ -34,7 +34,7 @@ OTHER = ("[ROLE={}] ", " [/ROLE]")
 _TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>\n(?P<system>.*?)\n<</SYS>>\n\n|\[ROLE=(?P<role>[^\]]*)\] (?P<text>.*?) \[/ROLE\]| (?P<assistant>.*?) </s>", re.DOTALL)
 
 PROBE = "probe"
-FORMATTED = "conv_id long, n_turns long, formatted string, mask array<struct<start: int, end: int>>, history_rewritten boolean"
+FORMATTED = "conv_id long, n_turns long, formatted string, mask array<struct<start: int, end: int>>, history_rewritten boolean, texts_changed boolean"
 
 
 def escape(text: str) -> str:
@@ -74,9 +74,9 @@ def read_turns(formatted: str) -> list[Message]:
 @dataclass
 class Rendered:
     formatted: str
-    #: Of each turn, what it added to the output, and its text in that; none if history was rewritten.
+    #: Of each turn, what it added to the output, and its text in that (None if the template changed it); none if history was rewritten.
     spans: list[tuple[int, int]]
-    texts: list[tuple[int, int]]
+    texts: list[tuple[int, int] | None]
     rewritten: bool
 
 
@@ -119,6 +119,7 @@ def render(messages: list[Message], template: Template = instruct, block: int |
     for i, ((role, text), piece) in enumerate(zip(messages, added)):
         head, tail = known.get(role, (None, ""))
         if head is None or piece != head + text + tail:
+            known.pop(role, None)
             first = max(0, i - 1)
             before = template(messages[first:i]) if i else ""
             probed = template([*messages[first:i], (role, PROBE)])[len(before) :]
@@ -126,8 +127,11 @@ def render(messages: list[Message], template: Template = instruct, block: int |
             if not found or piece != head + text + tail:
                 before = template(messages[:i]) if i else ""
                 head, found, tail = template([*messages[:i], (role, PROBE)])[len(before) :].partition(PROBE)
-                if not found or piece != head + text + tail:
-                    raise ValueError(f"the template changes the text of turn {i}")
+                if not found or piece != head + text + tail:  # trimmed, or otherwise not as it was
+                    spans.append((at, at + len(piece)))
+                    texts.append(None)
+                    at += len(piece)
+                    continue
             known[role] = head, tail
         spans.append((at, at + len(piece)))
         texts.append((at + len(head), at + len(head) + len(text)))
@@ -141,19 +145,20 @@ def format_chats(conversations: DataFrame, template: Template = instruct, learn:
 
     Rows are sorted by turn (nulls first), equal turns by role and text; repeated rows are turns each. Null role and
     text are empty, rows with null conv_id are a conversation. Other columns are not read; an empty table gives an
-    empty one. Where the template rewrites history, history_rewritten is true and the mask is null. Turns are streamed
+    empty one. Where the template rewrites history, history_rewritten is true and the mask is null. A turn whose text
+    the template trims or changes has no span in the mask, and its conversation has texts_changed. Very long texts and conversations are rendered whole. Turns are streamed
     in order to the task that renders their conversation, which holds one conversation at a time.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("mask", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("history_rewritten", pa.bool_())])
+        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("mask", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("history_rewritten", pa.bool_()), ("texts_changed", pa.bool_())])
         rows: list[dict] = []
         held = 0
 
         def finish(conv_id: int | None, messages: list[Message]) -> int:
             r = render([(role, escape(text)) for role, text in messages], template)
-            mask = None if r.rewritten else [{"start": a, "end": b} for (role, _), (a, b) in zip(messages, r.texts) if role in learn]
-            rows.append({"conv_id": conv_id, "n_turns": len(messages), "formatted": r.formatted, "mask": mask, "history_rewritten": r.rewritten})
+            mask = None if r.rewritten else [{"start": x[0], "end": x[1]} for (role, _), x in zip(messages, r.texts) if role in learn and x]
+            rows.append({"conv_id": conv_id, "n_turns": len(messages), "formatted": r.formatted, "mask": mask, "history_rewritten": r.rewritten, "texts_changed": None in r.texts})
             return len(r.formatted)
 
         current, messages = None, []
@@ -187,12 +192,12 @@ def digests(formatted: DataFrame) -> DataFrame:
                 turns = read_turns(text)
                 learned = "".join(unescape(text[m["start"] : m["end"]]) for m in row["mask"] or ())
                 said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                out.append((row["conv_id"], len(turns), said, len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text), row["history_rewritten"]))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "history_rewritten")
+                out.append((row["conv_id"], len(turns), said, len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text), row["history_rewritten"], row["texts_changed"]))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
+            names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "history_rewritten", "texts_changed")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
-    return map_arrow(formatted, work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, history_rewritten boolean")
+    return map_arrow(formatted, work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, history_rewritten boolean, texts_changed boolean")
 
 
 def hostile(conversations: DataFrame) -> DataFrame:

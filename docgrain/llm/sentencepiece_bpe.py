@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,12 +354,13 @@ def decode_run(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple
     return data[keep], text_at - np.searchsorted(head, text_at)
 
 
-def encode(docs: DataFrame, model_file: str = MODEL_FILE, dropout: Dropout = Dropout(), ids: bool = True, copy: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_file: str = MODEL_FILE, dropout: Dropout = Dropout(), ids: bool = True, copy: str | None = None, adjacent: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and lossless of every row of ``docs`` (doc_id, text), over whole texts.
 
     lossless: decoding the ids gave the text back. Null and empty texts have no ids. ``copy`` names a column of whole
     numbers that tells copies of a document apart, which then have draws of their own; without it equal rows get equal
-    ids. Null doc_ids and copies count as 0. Other columns are not read; an empty table gives an empty one. The model is read on the driver
+    ids. ``adjacent``: rows of one doc_id and text that follow each other, as the mix writes them, are copies and are numbered from 0;
+    if they come in two tasks the second adds its own number, so that no two have the same draws. Null doc_ids and copies count as 0. Other columns are not read; an empty table gives an empty one. The model is read on the driver
     and sent to the executors once, as a broadcast as small as the vocabulary.
     """
     spark = docs.sparkSession
@@ -367,11 +369,22 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE, dropout: Dropout = Dro
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
+        last, run, first = None, 0, True
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             numbers = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             if copy is not None:
                 numbers = numbers + batch.column(2).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * _M2
+            if adjacent and len(numbers):
+                copies = np.zeros(len(numbers), np.uint64)
+                for i, (n, text) in enumerate(zip(numbers.tolist(), batch.column(1))):
+                    if last is not None and last[0] == n and last[1] == text:
+                        run += 1
+                    else:
+                        first, run = last is None, 0
+                        last = n, text
+                    copies[i] = run + (TaskContext.get().partitionId() << 32 if first else 0)
+                numbers = numbers + copies * _M2
             for a, b in rounds(np.diff(offsets)):
                 raw = data[offsets[a] : offsets[b]]
                 whole = raw.tobytes()

@@ -97,3 +97,27 @@ def test_random_rewriting_templates(roles, trigger, at, what):
     outputs = [template(turns[:n]) if n else "" for n in range(len(turns) + 1)]
     rewrites = not all(b.startswith(a) for a, b in zip(outputs, outputs[1:]))
     assert C.render(turns, template).rewritten == rewrites
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), st.text(alphabet=" ab\n", max_size=6)), max_size=8), st.sampled_from(["strip", "rstrip", "lower", "title"]))
+@settings(max_examples=80, deadline=None)
+def test_templates_that_change_texts(turns, what):
+    """A turn whose text isn't in the output as it is has a span, no text, and nothing is raised."""
+    def template(messages):
+        return "".join(f"<{r}>{getattr(t, what)()}</{r}>" for r, t in messages)
+
+    found = C.render(turns, template)
+    assert not found.rewritten and len(found.spans) == len(found.texts) == len(turns)
+    for (role, text), (a, b), at in zip(turns, found.spans, found.texts):
+        said = getattr(text, what)()
+        assert found.formatted[a:b] == f"<{role}>{said}</{role}>"
+        assert at is None if said != text else at or what in ("lower", "title"), "those change what is asked for as well"
+        if at:
+            assert found.formatted[at[0] : at[1]] == text
+
+
+def test_changed_texts_are_flagged(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", " yes "), (1, 2, "assistant", "no"), (2, 0, "assistant", "ok")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in C.format_chats(rows, lambda ms: "".join(f"<{r}>{t.strip()}</{r}>" for r, t in ms)).collect()}
+    assert got[1].texts_changed and not got[2].texts_changed and not got[1].history_rewritten
+    assert [got[1].formatted[m.start : m.end] for m in got[1].mask] == ["no"] and [got[2].formatted[m.start : m.end] for m in got[2].mask] == ["ok"]
