@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return
 the columns of ``documents``, whatever else they hold, clashing names included. What a stage does with nulls, empty and
 very long texts, ties, repeated rows and empty tables is its operator's and is said in its docstring; an empty table
-gives an empty one throughout. As a stage's rows are written before the next begins, each begins by deleting the tables
-that the one before it left, but for those that its own ``docs`` still read.
+gives an empty one throughout. A stage deletes those of its own intermediate tables that its result doesn't read, and no others;
+run() deletes what a stage has left once the next one's rows are written. ``docgrain.cluster.clean`` deletes the rest.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.cluster import clean, made
+from docgrain.cluster import clean, tracked
 from docgrain.llm import minhash_dedup, mixing, quality_rules, sentencepiece_bpe, substring_dedup
 from docgrain.llm.common import quoted, written
 
@@ -26,22 +26,20 @@ NEAR = minhash_dedup.Near(width=5, percent=80)
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _freeing(stage: Stage) -> Stage:
-    """``stage``, deleting first what stages before it have left."""
+def _tidy(stage: Stage) -> Stage:
+    """``stage``, without the tables that it made and its result doesn't read."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        context = spark.sparkContext
-        clean(spark, getattr(context, "_docgrain_left", []), but=docs)
-        before = set(made(spark))
-        out = stage(spark, docs, sf_dir)
-        context._docgrain_left = [*getattr(context, "_docgrain_left", []), *(x for x in made(spark) if x not in before)]
+        with tracked() as folders:
+            out = stage(spark, docs, sf_dir)
+        clean(spark, folders, but=out)
         return out
 
     return run_stage
 
 
-@_freeing
+@_tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and their hosts' verdicts keep.
 
@@ -50,7 +48,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-@_freeing
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id.
 
@@ -59,7 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash_dedup.keep_one(docs, NEAR)
 
 
-@_freeing
+@_tidy
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 words and more that start earlier elsewhere; n_chars is of what is left.
 
@@ -72,21 +70,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.where((gone == 0) | (gone < words)).select(*[n_chars if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 
-@_freeing
+@_tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights take them; rows of one doc_id in one leaf together, null levels as "".
     """
     return mixing.mixed_documents(docs)
 
 
-@_freeing
+@_tidy
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and lossless of every document of the mix; its copies are numbered, so each has own draws.
+    """doc_id, n_tokens, ids and lossless of every document of the mix; its copies, which the mix writes one after the
+    other, have own draws. Nothing is shuffled.
 
     Null and empty texts have no ids; null doc_ids count as one number in the draws.
     """
-    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    return sentencepiece_bpe.encode(docs.select("doc_id", "text", copy.alias("copy")), copy="copy")
+    return sentencepiece_bpe.encode(docs, adjacent=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("encode", encode)]
@@ -96,9 +94,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, left = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name)
+        with tracked() as folders:
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = written(docs, name)
+                clean(spark, left, but=docs)
+                clean(spark, folders, but=docs)
+        left = folders
     return docs
