@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Words, column_bytes, map_arrow, mixed, rounds, written
 
 #: Bytes of text of a block, and of a row of its numbers. A longer text makes a row, or a block, of its own.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 24_000_000
 ROW_BYTES = 1_000_000
 
 #: Written for the end of a text where ends count as words; no word has a space.
@@ -80,7 +80,7 @@ class _Block:
             piece = np.cumsum((w.data >= 10) & (w.data <= 13))[w.start]
             marks = np.ones(len(text), bool)
             marks[1:] = (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])
-        self.rows.append((inverse, counts, marks, docs, flags))
+        self.rows.append((inverse.astype(np.int32), counts, marks, docs, flags))
         self.bytes += len(data)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
