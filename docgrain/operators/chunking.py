@@ -23,21 +23,22 @@ def section_blocks(text: Column) -> Column:
         raw = F.regexp_extract_all(body, F.lit(r"(?md)^#[^\n]*"), F.lit(0))
         heads = F.transform(raw, lambda h: F.struct(F.length(F.regexp_extract(h, "^#+", 0)).alias("lv"), T.trim_space(F.regexp_replace(h, "^#+", "")).alias("t")))
         parts = F.split(body, r"(?md)^#[^\n]*\n?", -1)
-        empty = F.array().cast("array<string>")
+        strings = F.array().cast("array<string>")
 
-        def path(hs: Column, k: Column) -> Column:
-            stack = F.aggregate(
-                F.filter(F.slice(hs, F.lit(1), k), lambda x: x["t"] != ""),
-                empty,
-                lambda st, x: F.concat(F.slice(st, F.lit(1), F.least(F.size(st), x["lv"] - 1)), F.array(x["t"])),
-            )
-            return T.let(stack, lambda s: F.when(F.size(s) == 0, "General").otherwise(F.array_join(s, " > ")))
+        def paths(hs: Column) -> Column:
+            """The path after no heading, after the first one, and so on: one fold of the open headings."""
 
-        def build(hs: Column) -> Column:
-            found = F.transform(parts, lambda p, k: F.struct(k.alias("k"), T.trim_space(p).alias("text")))
-            return F.transform(F.filter(found, lambda x: x["text"] != ""), lambda x: F.struct(path(hs, x["k"]).alias("section_path"), x["text"].alias("text")))
+            def step(acc: Column, x: Column) -> Column:
+                stack = F.when(x["t"] == "", acc["open"]).otherwise(F.concat(F.slice(acc["open"], F.lit(1), F.least(F.size(acc["open"]), x["lv"] - 1)), F.array(x["t"])))
+                return T.let(stack, lambda s: F.struct(s.alias("open"), F.concat(acc["paths"], F.array(F.when(F.size(s) == 0, "General").otherwise(F.array_join(s, " > ")))).alias("paths")))
 
-        return T.let(heads, build)
+            return F.aggregate(hs, F.struct(strings.alias("open"), F.array(F.lit("General")).alias("paths")), step)["paths"]
+
+        def build(of_part: Column) -> Column:
+            found = F.transform(parts, lambda p, k: F.struct(F.get(of_part, k).alias("section_path"), T.trim_space(p).alias("text")))
+            return F.filter(found, lambda x: x["text"] != "")
+
+        return T.let(paths(heads), build)
 
     # lines without outer white space, and none that are blank
     begun = F.regexp_replace(text, rf"(?U)[{fixed.BREAKS}][\s\x1C-\x1F]*+", "\n")

@@ -1,11 +1,18 @@
 """Lexical index and BM25 retrieval for a table of queries.
 
 queries: query_id, query, top_k, department, access_level. Results: query_id, chunk_id, score, rank.
+
+The index is dealt by chunk: shards of about a thousand chunks, and of each term in each shard one block of postings with what
+its greatest score can be. A search adds up whole scores within shards and keeps the best of each, so what is shuffled are blocks and
+shards x queries x k rows, not a row for each query and chunk. Shards that can't reach the k-th score that a query's rare terms
+alone give are left out; the result is exact.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,13 +25,23 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Digits that scores keep, so that ties don't depend on the order of a sum.
 DIGITS = 9
 INDEX_TOKENS = "index_tokens"
+#: Chunks of a shard, about: chunks are dealt by a hash of their ids.
+SHARD_CHUNKS = 1024
+#: Up to so many different terms of the queries are looked up in the Parquet files' statistics; more are joined alone.
+MOST_LOOKED_UP = 400
+#: A term is rare if it is in one chunk in so many at the most.
+RARE = 100
+#: Sums in another order differ by less.
+SLACK = 1e-6
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings: chunk_id, term, tf, dl, department, access_level. terms: term, df. The numbers are of all chunks."""
+    """blocks: term, shard, n, most_tf, least_dl, hits (no, tf, dl of chunks), by term within each file. shards: shard and
+    members (chunk_id, dl, department, access_level), whose place is a chunk's no; a null is no longer there. terms: term, df. The numbers are of all chunks."""
 
-    postings: DataFrame
+    blocks: DataFrame
+    shards: DataFrame
     terms: DataFrame
     n_chunks: int
     mean_length: float
@@ -35,20 +52,36 @@ def raw_idf(n: int, df: Column) -> Column:
     return F.ln(F.lit(float(n)) - df + 0.5) - F.ln(df + 0.5)
 
 
+def by_shard(rows: DataFrame) -> DataFrame:
+    """``rows`` with a shard's together, in as many tasks as the session's shuffles have."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+
+
 def build_index(chunks: DataFrame) -> LexicalIndex:
-    """Terms are counted within each chunk's row and summed by term once; the postings are a written table.
+    """Chunks and their tokens are shuffled once, by shard; terms are counted and blocks made within it.
 
-    ``chunks`` may bring their tokens as a column INDEX_TOKENS.
+    ``chunks`` may bring their tokens as a column INDEX_TOKENS. Rows of one chunk_id are chunks each.
     """
     tokens = F.col(INDEX_TOKENS) if INDEX_TOKENS in chunks.columns else T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
-    rows = chunks.select("chunk_id", "department", "access_level", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-    exploded = rows.select("chunk_id", "department", "access_level", "dl", F.explode("tokens").alias("term"))
-    postings = written(exploded.groupBy("chunk_id", "term", "dl", "department", "access_level").agg(F.count("*").alias("tf")), "postings")
     n = chunks.count()
-    mean = (postings.agg(F.sum("tf")).first()[0] or 0) / max(1, n)
-    terms = written(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    n_shards = max(1, math.ceil(n / SHARD_CHUNKS))
+    member = ["chunk_id", "dl", "department", "access_level"]
+    rows = chunks.select("chunk_id", "department", "access_level", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    rows = by_shard(rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int")))
+    no = F.row_number().over(Window.partitionBy("shard").orderBy(*member)) - 1
+    counted = rows.withColumn("no", no).select("shard", "no", "dl", F.explode("tokens").alias("term")).groupBy("shard", "no", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    hits = F.sort_array(F.collect_list(F.struct("no", "tf", "dl")))
+    blocks = counted.groupBy("shard", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), hits.alias("hits"))
+    blocks = written(blocks.sortWithinPartitions("term", "shard"), "blocks")
+    shards = written(rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(*member))).alias("members")), "shards")
+    terms = written(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("occurrences").alias("occurrences")), "terms")
+    return with_numbers(blocks, shards, terms.drop("occurrences"), n, terms.agg(F.sum("occurrences")).first()[0] or 0)
+
+
+def with_numbers(blocks: DataFrame, shards: DataFrame, terms: DataFrame, n: int, tokens: int) -> LexicalIndex:
+    """An index of ``n`` chunks and so many tokens."""
     mean_idf = terms.agg(F.avg(raw_idf(n, F.col("df")))).first()[0] or 0.0
-    return LexicalIndex(postings, terms, n, mean, mean_idf)
+    return LexicalIndex(blocks, shards, terms, n, tokens / max(1, n), mean_idf)
 
 
 def fallback_idf(index: LexicalIndex) -> DataFrame:
@@ -69,18 +102,53 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "want_department", "level", "term").agg(F.count("*").alias("times"))
 
 
-def scores(index: LexicalIndex, queries: DataFrame, scorer: str = "okapi") -> DataFrame:
-    """query_id, chunk_id, score of chunks that share a term with the query and that its caller may see."""
+def _part(index: LexicalIndex, tf: Column, dl: Column, scorer: str) -> Column:
+    """What an occurrence count adds to a score, but for the term's weight: grows with tf and falls with dl."""
+    tf = tf.cast("double")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(index.mean_length))) if scorer == "okapi" else tf
+
+
+def _best(index: LexicalIndex, blocks: DataFrame, wanted: DataFrame, k: int, scorer: str, open_shards: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score: of each shard the ``k`` best chunks of each query that its caller may see and that score."""
+    found = by_shard(blocks.select("shard", "term", "hits")).join(wanted, "term")
+    if open_shards is not None:
+        found = found.join(open_shards, ["query_id", "shard"])
+    caller = ["query_id", "want_department", "level"]
+    each = found.select(*caller, "shard", "weight", F.explode("hits").alias("h"))
+    each = each.select(*caller, "shard", F.col("h.no").alias("no"), (F.col("weight") * _part(index, F.col("h.tf"), F.col("h.dl"), scorer)).alias("part"))
+    sums = each.groupBy("shard", *caller, "no").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0")
+    lists = sums.groupBy("shard", *caller).agg(F.collect_list(F.struct("no", "score")).alias("found"))
+    named = F.transform("found", lambda x: F.struct((-x["score"]).alias("minus"), F.get(F.col("members"), x["no"]).alias("m")))
+    seen = F.filter(named, lambda x: x["m"].isNotNull() & in_department(F.col("want_department"), x["m"]["department"]) & visible(F.col("level"), x["m"]["access_level"]))
+    cut = F.slice(F.array_sort(F.transform(seen, lambda x: F.struct(x["minus"].alias("minus"), x["m"]["chunk_id"].alias("chunk_id")))), 1, k)
+    return lists.join(index.shards, "shard").select("query_id", F.inline(cut)).select("query_id", "chunk_id", (-F.col("minus")).alias("score"))
+
+
+def candidates(index: LexicalIndex, queries: DataFrame, k: int, scorer: str = "okapi") -> DataFrame:
+    """query_id, chunk_id, score: positive scores of chunks that callers may see, the ``k`` best of each query among them.
+
+    First the rare terms are scored; the k-th score that they give is a bound. Then, of all terms, the shards are opened whose blocks
+    together can reach it. Where weights may be below 0 (of terms in most chunks of a tiny collection) there is no bound.
+    """
     idf = okapi_idf(index) if scorer == "okapi" else fallback_idf(index)
-    # a table, so that a common term's postings can be split where the planner doesn't broadcast the queries' terms
-    wanted = written(query_terms(queries).join(idf, "term"), "terms")
-    hits = index.postings.join(wanted, "term").where(in_department(F.col("want_department"), F.col("department")) & visible(F.col("level"), F.col("access_level")))
-    tf = F.col("tf").cast("double")
-    if scorer == "okapi":
-        part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
-    else:
-        part = F.col("times") * F.col("idf") * tf
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    weight = (F.col("times") * F.col("idf")).alias("weight")
+    # a table, so that a common term's blocks can be split where the planner doesn't broadcast the queries' terms
+    wanted = written(query_terms(queries).join(idf, "term").select("query_id", "want_department", "level", "term", "df", weight), "terms")
+    looked_up = [r["term"] for r in wanted.select("term").distinct().limit(MOST_LOOKED_UP + 1).collect()]
+    if not looked_up:
+        return wanted.select("query_id", F.lit("").alias("chunk_id"), "weight").toDF("query_id", "chunk_id", "score").limit(0)
+    # equalities reach the files' statistics, so pages without the terms aren't read
+    blocks = index.blocks if len(looked_up) > MOST_LOOKED_UP else index.blocks.where(reduce(lambda a, b: a | b, [F.col("term") == t for t in looked_up]))
+    of = wanted.drop("df")
+    if index.mean_idf < 0:
+        return _best(index, blocks, of, k, scorer)
+    rare = wanted.where(F.col("df") * RARE <= index.n_chunks)
+    partial = _best(index, blocks, rare.drop("df"), k, scorer)
+    bounds = ranked(partial, k, "chunk_id").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(F.col("n") >= k).drop("n")
+    reach = F.sum(F.col("weight") * _part(index, F.col("most_tf"), F.col("least_dl"), scorer)).alias("reach")
+    reached = blocks.select("term", "shard", "most_tf", "least_dl").join(of, "term").groupBy("query_id", "shard").agg(reach)
+    reached = reached.join(bounds, "query_id", "left").where(F.col("bound").isNull() | (F.col("reach") >= F.col("bound") - SLACK))
+    return _best(index, blocks, of, k, scorer, written(reached.select("query_id", "shard"), "reached"))
 
 
 def ranked(scored: DataFrame, k: Column | int, *tie: str) -> DataFrame:
@@ -91,4 +159,4 @@ def ranked(scored: DataFrame, k: Column | int, *tie: str) -> DataFrame:
 
 def search(index: LexicalIndex, queries: DataFrame, k: int, scorer: str = "okapi") -> DataFrame:
     """The ``k`` best chunks of each query, positive scores alone, ties by chunk_id."""
-    return ranked(scores(index, queries, scorer).where("score > 0"), k, "chunk_id")
+    return ranked(candidates(index, queries, k, scorer), k, "chunk_id")

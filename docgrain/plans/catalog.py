@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import spread, written
+from ..cluster import new_dir, spread, written
 from ..config import Settings
 from ..functions import text as T
 from ..operators import answering, chunking, datasets, dense, evaluation, fusion, generation, lexical
+from ..sources.segments import SegmentedIndex
 from . import retrieval
 
 SETTINGS = Settings()
@@ -164,6 +165,37 @@ def bm25_filtered_topk(spark, sf):
     return _lexical(spark, sf, questions(spark, sf), "okapi")
 
 
+def segmented_index(spark, sf) -> SegmentedIndex:
+    """An index made in four commits that ends at the chunks of all documents.
+
+    First every document has its neighbour's text; then English ones get their own and German ones are deleted; then all others get
+    their own; then segments are compacted and the German ones return.
+    """
+    docs = written(documents(spark, sf), "documents")
+    number = F.substring("doc_id", 2, 20).cast("long")
+    other = docs.select(F.concat(F.lit("d"), (number + 1).cast("string")).alias("doc_id"), F.col("text").alias("other"))
+    stale = docs.join(other, "doc_id", "left").withColumn("text", F.coalesce("other", F.lit("# only\nwords of the first version"))).drop("other")
+    index = SegmentedIndex(spark, new_dir(spark, "segments"), SETTINGS)
+    cut = lambda rows: chunking.build_chunks(rows, SETTINGS.chunk_size, SETTINGS.overlap)
+    english, german = F.col("title").startswith("doc en"), F.col("title").startswith("doc de")
+    index.add(cut(stale))
+    index.add(cut(docs.where(english)), deleted=docs.where(german).select("doc_id"))
+    index.compact()
+    index.add(cut(docs.where(~english & ~german)))
+    index.add(cut(docs.where(german)))
+    return index
+
+
+def segmented_bm25_topk(spark, sf):
+    found = lexical.search(segmented_index(spark, sf).corpus().lexical, retrieval.normalized_queries(open_questions(spark, sf)), CANDIDATES)
+    return found.select("query_id", "chunk_id", six("score"), "rank")
+
+
+def segmented_dense_topk(spark, sf):
+    found = dense.search(segmented_index(spark, sf).corpus().dense, retrieval.normalized_queries(open_questions(spark, sf)), CANDIDATES)
+    return found.select("query_id", "chunk_id", six("score"), "rank")
+
+
 def hash_embed_buckets(spark, sf):
     terms = chunks(spark, sf).select(F.explode(F.array_distinct(T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text"))))).alias("term")).distinct()
     return terms.select("term", dense.bucket(F.col("term"), 384).cast("long").alias("bucket"))
@@ -383,7 +415,7 @@ NAMES = (
     "minmax_norm weighted_fusion rrf_fusion query_weights recency_boost metadata_boost threshold_filter hybrid_search "
     "search_debug_arrays citation_select confidence_label refusal_gates ask_pipeline heuristic_answer sentence_snippets prompt_build "
     "recall_mrr_eval answer_eval_confusion failure_report failure_samples failure_rates eval_dataset_easy eval_dataset_gen "
-    "multi_hop_pairs stratified_split dataset_summary chunk_statistics"
+    "multi_hop_pairs stratified_split dataset_summary chunk_statistics segmented_bm25_topk segmented_dense_topk"
 ).split()
 
 

@@ -60,8 +60,8 @@ WHERE: dict[str, str] = {
     "K5": "sources.files.ingest",
     "B1": "operators.lexical.build_index",
     "B2": "operators.lexical.fallback_idf",
-    "B3": "operators.lexical.scores",
-    "B4": "operators.lexical.okapi_idf operators.lexical.scores",
+    "B3": "operators.lexical.candidates",
+    "B4": "operators.lexical.okapi_idf operators.lexical.candidates",
     "B5": "operators.lexical.search",
     "B6": "sources.indexes.load_lexical operators.lexical.search",
     "D1": "operators.dense.Embedding",

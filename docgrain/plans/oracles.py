@@ -253,10 +253,12 @@ ff AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER
         "chunk_windows": sql("SELECT doc_id, chunk_id, title, section_path, department, updated_at, access_level, text FROM ck", "ck"),
         "parse_dates": sql("SELECT chunk_id, updated_at AS day, '1970-01-01' AS fallback FROM ck", "ck"),
         "citation_signatures": sql(f"SELECT chunk_id, {signature('text')} AS signature, substr(text, 1, 250) AS snippet FROM ck", "ck"),
-        "term_df_idf": sql(f"SELECT term, df, {r('idf')}, round(plain, 6) AS plain_idf FROM idf", "idf"),
+        "term_df_idf": sql("SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * avg(r) OVER () ELSE r END, 6) AS idf, round(plain, 6) AS plain_idf FROM rw", "rw").replace("ix AS (", "ix AS MATERIALIZED (").replace("df AS (", "df AS MATERIALIZED ("),
         "simple_tfidf_topk": sql(ranked + "pb", "pb", q="oq"),
         "bm25_okapi_topk": sql(ranked + "bm", "bm", q="oq"),
         "bm25_filtered_topk": sql(ranked + "bm", "bm"),
+        "segmented_bm25_topk": sql(ranked + "bm", "bm", q="oq"),
+        "segmented_dense_topk": sql(ranked + "dn", "dn", q="oq"),
         "hash_embed_buckets": sql("SELECT DISTINCT term, CAST(md5_number_upper(term) % 384 AS BIGINT) AS bucket FROM po", "po"),
         "dense_hash_topk": sql(ranked + "dn", "dn", q="oq"),
         "dense_postfilter_topk": sql(ranked + "dn", "dn"),

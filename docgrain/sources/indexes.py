@@ -10,7 +10,8 @@ from ..operators.lexical import LexicalIndex
 
 
 def save_lexical(index: LexicalIndex, path: str) -> None:
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    index.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+    index.shards.write.mode("overwrite").parquet(f"{path}/shards")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     one = index.terms.sparkSession.range(1).select(F.lit(index.n_chunks).cast("long").alias("n_chunks"), F.lit(index.mean_length).cast("double").alias("mean_length"), F.lit(index.mean_idf).cast("double").alias("mean_idf"))
     one.write.mode("overwrite").parquet(f"{path}/numbers")
@@ -18,7 +19,7 @@ def save_lexical(index: LexicalIndex, path: str) -> None:
 
 def load_lexical(spark: SparkSession, path: str) -> LexicalIndex:
     n = spark.read.parquet(f"{path}/numbers").first()
-    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n["n_chunks"], n["mean_length"], n["mean_idf"])
+    return LexicalIndex(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/shards"), spark.read.parquet(f"{path}/terms"), n["n_chunks"], n["mean_length"], n["mean_idf"])
 
 
 def save_dense(index: DenseIndex, path: str) -> None:

@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,64 @@ def test_retrieve(spark, chunks):
     for bad in (("x", 0, None, None), ("x", 51, None, None), ("", 5, None, None)):
         with pytest.raises(ValueError):
             retrieval.retrieve(corpus, asked(spark, bad))
+
+
+def many_chunks(spark, n):
+    chance = random.Random(8)
+    rows = []
+    for i in range(n):
+        words = ["common", *chance.choices([f"w{x}" for x in range(40)], k=chance.randrange(3, 30)), *(["seldom"] * (i % 29 == 0)), *(["common"] * chance.randrange(4))]
+        rows.append((f"d{i}", f"d{i}-0", " ".join(words), "t", "s", ("HR", "General")[i % 2], "2020-01-01", ("public", "restricted")[i % 5 == 0]))
+    return rows, spark.createDataFrame(rows, "doc_id string, chunk_id string, text string, title string, section_path string, department string, updated_at string, access_level string")
+
+
+def plain_okapi(rows, query, k, department, level):
+    docs = {r[1]: f"{r[3]} {r[4]} {r[2]}".split() for r in rows}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = Counter(t for d in docs.values() for t in set(d))
+    raw = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
+    low = 0.25 * sum(raw.values()) / len(raw)
+    idf = {t: low if v < 0 else v for t, v in raw.items()}
+    found = []
+    for r in rows:
+        if (department is None or r[5] == department) and (level in (None, "restricted") or r[7] != "restricted"):
+            d = docs[r[1]]
+            score = round(sum(idf.get(t, 0) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in query.split()), 9)
+            if score > 0:
+                found.append((-score, r[1]))
+    return [(c, pytest.approx(-s)) for s, c in sorted(found)[:k]]
+
+
+def test_bounded_search_is_exact(spark, monkeypatch):
+    """Many shards, a term in every chunk, rare terms, filters: the same as scoring all chunks; and some shards stay shut."""
+    monkeypatch.setattr(lexical, "SHARD_CHUNKS", 8)
+    monkeypatch.setattr(lexical, "RARE", 20)
+    rows, chunks = many_chunks(spark, 300)
+    index = lexical.build_index(chunks)
+    assert index.shards.count() > 20
+    texts = [("common seldom", None, "restricted"), ("seldom seldom w3", "HR", None), ("common", None, "public"), ("common w1 w2 absent", "General", "public"), ("absent", None, None)]
+    queries = asked(spark, *[(t, 5, d, a) for t, d, a in texts])
+    opened = []
+    best = lexical._best
+
+    def watched(*args):
+        opened.append(args[-1].count() if len(args) > 5 else None)
+        return best(*args)
+
+    monkeypatch.setattr(lexical, "_best", watched)
+    got = {}
+    for r in sorted(lexical.search(index, queries, 6).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    for i, (t, d, a) in enumerate(texts):
+        assert got.get(f"q{i}", []) == plain_okapi(rows, t, 6, d, a), t
+    assert opened[0] is None and opened[1] < 4 * index.shards.count(), "not all shards of all queries with hits"
+    monkeypatch.setattr(lexical, "MOST_LOOKED_UP", 1)
+    again = lexical.search(index, queries, 6).collect()
+    assert sorted((r.query_id, r.chunk_id) for r in again) == sorted((q, c) for q, x in got.items() for c, _ in x)
+
+
+def test_rows_of_one_chunk_id(spark):
+    one = [("d", "d-0", "alpha beta", "t", "s", "HR", "2020-01-01", "public")]
+    rows = one * 2 + [("e", f"e-{i}", f"gamma x{i}", "t", "s", "HR", "2020-01-01", "public") for i in range(5)]
+    index = lexical.build_index(spark.createDataFrame(rows, "doc_id string, chunk_id string, text string, title string, section_path string, department string, updated_at string, access_level string"))
+    assert [r.chunk_id for r in lexical.search(index, asked(spark, ("alpha", 5, None, None)), 5).collect()] == ["d-0", "d-0"]
