@@ -2,8 +2,9 @@
 
 Texts are cut into pieces and words. Words that occur often enough are numbered (a dictionary encoding); pieces are broken at
 all others, as no frequent phrase holds one. Runs of 2 or more numbers are packed into binary keys of fixed width (four bytes
-a word, zeros behind), which each block sorts by radix and counts by run length; the blocks' counts are then dealt by key range, sorted and
-counted by run length once more. All later steps are joins on such keys.
+a word, zeros behind), which each block sorts by radix and counts by run length. The counts are dealt by key range, packed by block and range, and each
+range is sorted by radix and counted by run length once more. Ranges are as many as the words ask for and begin where the words' own counts
+let expect equal loads. All later steps are joins on such keys.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks, unpacked
-from .common import map_arrow, on_cogroup, ship, written
+from .common import on_batches, on_cogroup, ship, written
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,8 @@ MINING = Mining()
 
 #: Bytes of a word's number.
 WIDTH = 4
+#: Keys of a range, about, and that a task sorts at a time.
+RANGE_KEYS = 4_000_000
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
@@ -49,15 +52,18 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def counted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of a matrix of uint32 in order, big-endian, and how often each is there."""
+def counted_runs(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of a matrix of uint32 in order, big-endian, and how often each is there, or the sum of its ``n``."""
     keys = np.ascontiguousarray(keys, ">u4")
     digits = keys.view(">u2").astype(np.uint16).reshape(len(keys), 2 * keys.shape[1])
-    keys = keys[radix_order(digits)]
+    order = radix_order(digits)
+    keys = keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]).any(axis=1)
     at = np.flatnonzero(first)
-    return keys[at], np.diff(np.append(at, len(keys)))
+    if n is None:
+        return keys[at], np.diff(np.append(at, len(keys)))
+    return keys[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
 def phrase_keys(numbers: np.ndarray, most: int) -> np.ndarray:
@@ -87,76 +93,94 @@ def _key(*parts: Column, mining: Mining, words: Column | int) -> Column:
 
 
 def dictionary(found: DataFrame, mining: Mining = MINING) -> DataFrame:
-    """grp, word, f, id (from 1) and key of every word that occurs ``least`` times in its group.
+    """grp, word, f, id (from 1), start and key of every word that occurs ``least`` times in its group; start: occurrences of
+    the words of smaller ids.
 
     Numbers are dense and given without one task: a row's place in its part, after the rows of the parts before.
     """
     words = found.where("word IS NOT NULL").groupBy("grp", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= mining.least)
     words = written(words.withColumn("place", F.monotonically_increasing_id()), "words")
     words = words.withColumn("part", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND((1 << 33) - 1))
-    parts = words.groupBy("part").agg(F.count("*").alias("rows"))  # a row for each part
-    parts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    words = words.withColumn("start", F.sum("f").over(Window.partitionBy("part").orderBy("place")) - F.col("f"))
+    parts = words.groupBy("part").agg(F.count("*").alias("rows"), F.sum("f").alias("occurrences"))  # a row for each part
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.sum("occurrences").over(earlier), F.lit(0)).alias("begun"))
     number = F.col("before") + F.col("place") + 1
     number = F.when(number < 1 << 8 * WIDTH, number).otherwise(F.raise_error(F.lit("more words than a key's width can number")).cast("long"))
-    words = words.join(parts, F.col("part") == F.col("of")).select("grp", "word", "f", number.alias("id"))
+    words = words.join(parts, F.col("part") == F.col("of")).select("grp", "word", "f", number.alias("id"), (F.col("begun") + F.col("start")).alias("start"))
     as_bytes = F.unhex(F.lpad(F.hex("id"), 2 * WIDTH, "0"))
     return written(words.withColumn("key", _key(as_bytes, mining=mining, words=1)), "dictionary")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, which compress well for sorted ones."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unplanes(data: bytes, kind: str, columns: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize * columns
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1, columns)
+
+
 def block_phrases(found: DataFrame, words: DataFrame, mining: Mining = MINING) -> DataFrame:
-    """key and n of every phrase of every block, in order of the keys within a block."""
+    """range, keys and n of every block: its phrases of each key range, sorted and packed, and their counts.
+
+    A phrase's range is where it would stand among all occurrences if words followed each other by chance: the occurrences
+    before its first word's, and of that word's own the share before its second word. Keys of one range follow each other, and
+    equal keys of all blocks are in one.
+    """
     most = mining.most_words
     ship(found.sparkSession)
-    numbers = found.where("word IS NOT NULL").join(words.select("grp", "word", F.col("id").alias("number")), ["grp", "word"]).select("block", "id", "number")
+    total = words.agg(F.sum("f")).first()[0] or 1
+    ranges = -(-(most - 1) * total // RANGE_KEYS)
+    numbers = found.where("word IS NOT NULL").join(words.select("grp", "word", F.col("id").alias("number"), (F.col("start") / total).alias("start"), (F.col("f") / total).alias("share")), ["grp", "word"]).select("block", "id", "number", "start", "share")
 
     def count(texts: pa.Table, known: pa.Table) -> pa.Table:
         ids = known.column("id").to_numpy()
+        number = known.column("number").to_numpy()
         to = np.zeros(int(ids.max()) + 2 if len(ids) else 1, np.uint32)
-        to[ids] = known.column("number").to_numpy()
+        to[ids] = number
         keys = []
         for row in texts.column("ids"):
             local = unpacked(row.as_py())
             keys.append(phrase_keys(to[np.where(local < len(to) - 1, local, -1)], most))
         keys, n = counted_runs(np.concatenate(keys) if keys else np.zeros((0, most), np.uint32))
-        return pa.table({"key": _binary(keys), "n": pa.array(n.astype(np.int64))})
+        order = np.argsort(number)
+        start, share = known.column("start").to_numpy()[order], known.column("share").to_numpy()[order]
+        first, second = (np.searchsorted(number[order], keys[:, i]) for i in (0, 1))
+        of = np.minimum(((start[first] + share[first] * start[second]) * ranges).astype(np.int64), ranges - 1)
+        keys, n = np.asarray(keys, "<u4"), n.astype("<u4")
+        begins = np.flatnonzero(np.diff(of, prepend=-1))
+        ends = np.append(begins[1:], len(of))[: len(begins)]
+        return pa.table({"range": pa.array(of[begins]), "keys": pa.array([_planes(keys[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary()), "n": pa.array([_planes(n[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary())})
 
     texts = found.where("ids IS NOT NULL").select(F.col("block").alias("of"), "ids")
-    return texts.groupBy("of").cogroup(numbers.groupBy("block")).applyInArrow(on_cogroup(count), "key binary, n long")
+    return texts.groupBy("of").cogroup(numbers.groupBy("block")).applyInArrow(on_cogroup(count), "range long, keys binary, n binary")
 
 
 def run_lengths(rows: DataFrame, mining: Mining = MINING) -> DataFrame:
-    """key and f (the sum of n) of keys with ``least`` or more: dealt by key range, sorted, and one run after the other summed.
+    """key and f (the sum of n) of keys with ``least`` or more: each range sorted by radix and summed run by run.
 
-    A key's rows are one for each block that has it at the most, and the task that sums them holds one batch.
+    A task holds the different keys of one range, and RANGE_KEYS more at the most.
     """
-    width, least = WIDTH * mining.most_words, mining.least
+    most, least = mining.most_words, mining.least
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_n = None, 0
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held, done = [], [], 0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(0)
-            ends = np.frombuffer(column.buffers()[1], np.int32)
-            data = np.frombuffer(column.buffers()[2], np.uint8)[ends[column.offset] :][: width * batch.num_rows].reshape(-1, width)
-            n = batch.column(1).to_numpy()
-            first = np.ones(len(data), bool)
-            first[1:] = (data[1:] != data[:-1]).any(axis=1)
-            at = np.flatnonzero(first)
-            sums = np.add.reduceat(n, at)
-            keys = data[at]
-            if open_key is not None and (keys[0] == open_key).all():
-                sums[0] += open_n
-            elif open_key is not None:
-                keys, sums = np.concatenate([open_key[None], keys]), np.concatenate([[open_n], sums])
-            open_key, open_n = keys[-1].copy(), int(sums[-1])
-            often = np.flatnonzero(sums[:-1] >= least)
-            if len(often):
-                yield pa.RecordBatch.from_arrays([_binary(keys[often]), pa.array(sums[often])], ["key", "f"])
-        if open_key is not None and open_n >= least:
-            yield pa.RecordBatch.from_arrays([_binary(open_key[None]), pa.array([open_n])], ["key", "f"])
-
-    return map_arrow(rows.repartitionByRange("key").sortWithinPartitions("key"), run, "key binary, f long")
+            for r in batch.to_pylist():
+                keys.append(_unplanes(r["keys"], "<u4", most))
+                counts.append(_unplanes(r["n"], "<u4", 1).ravel().astype(np.int64))
+                held += len(keys[-1])
+                if held > done + RANGE_KEYS:
+                    one, n = counted_runs(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held, done = [np.asarray(one, "<u4")], [n], len(one), len(one)
+        found, n = counted_runs(np.concatenate(keys), np.concatenate(counts))
+        often = np.flatnonzero(n >= least)
+        for a in range(0, len(often), 100_000):
+            yield pa.RecordBatch.from_arrays([_binary(found[often[a : a + 100_000]]), pa.array(n[often[a : a + 100_000]])], ["key", "f"])
+
+    return rows.groupBy("range").applyInArrow(on_batches(add), "key binary, f long")
 
 
 def _size(key: Column, mining: Mining) -> Column:
@@ -207,7 +231,7 @@ def mine(docs: DataFrame, mining: Mining = MINING) -> DataFrame:
     """
     found = blocks(docs, F.col("text"), group=F.coalesce(F.col("lang"), F.lit("und")), breaks=mining.breaks)
     words = dictionary(found, mining)
-    phrases = written(run_lengths(written(block_phrases(found, words, mining), "runs"), mining), "phrases")
+    phrases = written(run_lengths(block_phrases(found, words, mining), mining), "phrases")
     best = uncovered(written(scored(phrases, words, mining), "scored"), mining)
     ahead = F.rank().over(Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("a")))
     best = best.withColumn("ahead", ahead).where(F.col("ahead") <= mining.top)  # and all that tie with the last

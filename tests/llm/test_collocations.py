@@ -61,6 +61,7 @@ def test_blocks_are_cut_anywhere(spark, monkeypatch):
     rows = [(i, prose(200, i, 9), "en") for i in range(30)]
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 1500)
     monkeypatch.setattr(blocks, "ROW_BYTES", 400)
+    monkeypatch.setattr(collocations, "RANGE_KEYS", 500)
     mining = Mining(least=4)
     docs = frame(spark, [(i, t, lang, "s") for i, t, lang in rows])
     assert got(collocations.mine(docs, mining)) == plain(rows, mining)
@@ -83,6 +84,8 @@ def test_radix_runs():
     want = sorted(Counter(rows).items())
     assert [tuple(k) for k in keys.tolist()] == [k for k, _ in want] and n.tolist() == [v for _, v in want]
     assert keys.dtype == ">u4"
+    again, sums = collocations.counted_runs(np.concatenate([keys, keys]), np.concatenate([n, 2 * n]))
+    assert (again == keys).all() and (sums == 3 * n).all()
     keys, n = collocations.counted_runs(np.zeros((0, 3), np.uint32))
     assert len(keys) == len(n) == 0
 
