@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,9 +19,13 @@ from ..functions import text as T
 from .access import in_department, visible
 from .lexical import DIGITS, INDEX_TOKENS
 
-#: Queries whose vectors go to the executors at once; more are taken in blocks.
-BLOCK = 2048
+#: Queries of a block, and rows of a tile, about: what a task multiplies at a time.
+BLOCK, TILE = 1024, 1024
+#: Rows to which cells are fitted, about, and most cells.
+SAMPLE, MOST_CELLS = 4000, 256
 OVERFETCH = 4
+#: Rounding of sums and distances is less.
+SLACK = 1e-6
 
 
 def hash_dimension(model: str) -> int:
@@ -93,85 +98,177 @@ class Embedding:
         return map_arrow(rows.select(*kept, text.alias("__text"), (T.index_tokens(text) if tokens is None else tokens).alias("__tokens")), work, ", ".join(f"{c} string" for c in kept) + ", vector array<double>")
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Vectors by cell, in tiles: cell, tile, rows (array of structs: key, what was kept, vector).
+
+    centres: a row for each cell; radii: the farthest row's distance to it; sizes: rows; by cell's number.
+    """
+
+    tiles: DataFrame
+    key: str
+    keep: tuple[str, ...]
+    centres: np.ndarray
+    radii: np.ndarray
+    sizes: np.ndarray
+
+
+def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """A few rounds of k-means from rows that are far from each other."""
+    chosen = [0]
+    far = ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(chosen) < cells and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    centres = sample[chosen]
+    for _ in range(4):
+        of = _squares(sample, centres).argmin(axis=1)
+        centres = np.array([sample[of == c].mean(axis=0) if (of == c).any() else centres[c] for c in range(len(centres))])
+    return centres
+
+
+def _squares(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squares of all distances."""
+    return np.maximum((rows * rows).sum(axis=1)[:, None] - 2 * rows @ centres.T + (centres * centres).sum(axis=1), 0)
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
+
+
+def in_cells(vectors: DataFrame, key: str = "chunk_id", *keep: str) -> Cells:
+    """Deals all rows to the cells of their nearest centres; the centres are fitted to a sample, by a hash of the key, of
+    about SAMPLE rows. ``keep`` are columns of strings. Vectors are shuffled once, here, and a cell of many rows has many tiles."""
+    n = vectors.count()
+    part = F.pmod(F.xxhash64(F.lit("cells"), F.col(key)), F.lit(1 << 30)) < F.lit(min(1 << 30, (1 << 30) * SAMPLE // max(1, n)))
+    sample = [r["vector"] for r in vectors.where(part).select("vector").limit(2 * SAMPLE).collect()] or [r["vector"] for r in vectors.select("vector").limit(1).collect()]
+    centres = _centres(np.array(sample, float), min(MOST_CELLS, max(1, math.isqrt(n) // 4))) if sample else np.zeros((1, 1))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                squares = _squares(_matrix(batch.column(1 + len(keep)), batch.num_rows), centres)
+                of = squares.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of.astype(np.int32)), pa.array(np.sqrt(squares[np.arange(len(of)), of]))], [key, *keep, "vector", "cell", "far"])
+
+    columns = [F.col(c).cast("string").alias(c) for c in (key, *keep)]
+    placed = written(map_arrow(vectors.select(*columns, "vector"), place, ", ".join(f"{c} string" for c in (key, *keep)) + ", vector array<double>, cell int, far double"), "placed")
+    found = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}  # a row for each cell
+    sizes = np.array([found[c]["n"] if c in found else 0 for c in range(len(centres))])
+    radii = np.array([found[c]["radius"] if c in found else 0.0 for c in range(len(centres))])
+    tiles = F.element_at(F.array(*[F.lit(max(1, -(-int(x) // TILE))) for x in sizes]), F.col("cell") + 1)
+    dealt = placed.withColumn("tile", F.pmod(F.xxhash64(key), tiles).cast("int")).repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "tile")
+    packed = dealt.groupBy("cell", "tile").agg(F.collect_list(F.struct(key, *keep, "vector")).alias("rows"))
+    return Cells(written(packed, "cells"), key, keep, centres, radii, sizes)
+
+
 @dataclass(frozen=True)
 class DenseIndex:
-    """vectors: chunk_id, vector, department, access_level. model: what made them, checked at search."""
+    """vectors: chunk_id, vector, department, access_level. model: what made them, checked at search. cells: of the vectors,
+    if they are made yet."""
 
     vectors: DataFrame
     model: str
+    cells: Cells | None = None
+
+    def placed(self) -> Cells:
+        return self.cells or in_cells(self.vectors, "chunk_id", "department", "access_level")
 
 
 def build_index(chunks: DataFrame, model: str = "hash://384") -> DenseIndex:
     text = T.index_text(F.col("title"), F.col("section_path"), F.col("text"))
     tokens = F.col(INDEX_TOKENS) if INDEX_TOKENS in chunks.columns else None
-    return DenseIndex(written(Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens), "vectors"), model)
+    vectors = written(Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens), "vectors")
+    return DenseIndex(vectors, model, in_cells(vectors, "chunk_id", "department", "access_level"))
 
 
-def nearest(vectors: DataFrame, query_vectors: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """query_id, key, score, rank: the ``k`` rows of greatest inner product for each query, ties by key.
+def _visits(cells: Cells, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, cell, vector: for each query (query_id, vector, bound) the cells that can hold a row of ``bound`` or more; where that
+    is null, the likeliest ones that hold ``k`` rows together.
 
-    The queries go to the tasks, in blocks, and each task keeps its ``k`` best of each; vectors are never shuffled.
+    A row's product with the query is at most the centre's, and the query's length times the row's distance to it.
     """
-    spark = vectors.sparkSession
-    rows = query_vectors.select("query_id", "vector").toLocalIterator()
-    parts = []
-    while block := [r for _, r in zip(range(BLOCK), rows)]:
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in block], np.array([r["vector"] for r in block], float)))
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, matrix = sent.value
-            least = np.full(len(names), -np.inf)
-            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            held = 0
-
-            def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                """The k best of each query among what is held: query, score, key."""
-                q, score, name = (np.concatenate(x) for x in zip(*parts))
-                order = np.lexsort((name, -score, q))
-                q, score, name = q[order], score[order], name[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                last = place == k - 1
-                least[q[last]] = score[last]
-                return tuple(x[place < k] for x in (q, score, name))
+    centres, radii, sizes = cells.centres, cells.radii, cells.sizes
 
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                ids = np.array(batch.column(0).to_pylist(), str)
-                found = np.round(matrix @ batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float).T, DIGITS)
-                enough = np.maximum(least, np.partition(found, n - k, axis=1)[:, n - k]) if n > k else least
-                q, j = np.nonzero(found >= enough[:, None])
-                parts.append((q, found[q, j], ids[j]))
-                held += len(q)
-                if held > 4 * k * len(names):
-                    parts = [best()]
-                    held = len(parts[0][0])
-            if parts:
-                q, score, name = best()
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], pa.string()), pa.array(name.tolist(), pa.string()), pa.array(score, pa.float64())], ["query_id", key, "score"])
-
-        parts.append(map_arrow(vectors.select(F.col(key).cast("string").alias(key), "vector"), work, f"query_id string, {key} string, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id string, {key} string, score double, rank int")
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not sizes.any():
+                continue
+            q = _matrix(batch.column(1), batch.num_rows)
+            bound = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            reach = q @ centres.T + np.linalg.norm(q, axis=1)[:, None] * radii + SLACK
+            order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            first = np.zeros_like(reach, bool)
+            np.put_along_axis(first, order, before < k, axis=1)
+            i, cell = np.nonzero(np.where(np.isnan(bound)[:, None], first, reach >= bound[:, None]) & (sizes > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(cell.astype(np.int32)), batch.column(1).take(pa.array(i))], ["query_id", "cell", "vector"])
+
+    return map_arrow(queries.select("query_id", "vector", "bound"), work, "query_id string, cell int, vector array<double>")
+
+
+def _products(cells: Cells, visits: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """query_id, key, what was kept, score: of the rows in the visited cells at least the ``k`` best of each query.
+
+    Queries are joined to tiles by cell, in blocks; the planner broadcasts them if they are small, and else shuffles both.
+    """
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_queries // BLOCK)))).alias("block")
+    asked = written(visits.groupBy("cell", block).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked")).drop("block"), "visits")
+    names = (cells.key, *cells.keep)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, float] = {}  # of each query what the k-th best score reaches at least
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, held = batch.column(0)[i].values, batch.column(1)[i].values
+                ids = held.field(0).to_pylist()
+                q, v = _matrix(held.field(1), len(ids)), _matrix(rows.field(len(names)), len(rows))
+                found = np.round(q @ v.T, DIGITS)
+                enough = np.array([least.get(x, -np.inf) for x in ids])
+                if len(rows) >= k:
+                    enough = np.maximum(enough, np.partition(found, len(rows) - k, axis=1)[:, len(rows) - k])
+                    least.update(zip(ids, enough.tolist()))
+                a, b = np.nonzero(found >= enough[:, None])
+                at = pa.array(b)
+                yield pa.RecordBatch.from_arrays([held.field(0).take(pa.array(a)), *[rows.field(j).take(at) for j in range(len(names))], pa.array(found[a, b])], ["query_id", *names, "score"])
+
+    joined = cells.tiles.join(asked, "cell").select("rows", "asked")
+    return map_arrow(joined, work, "query_id string, " + ", ".join(f"{c} string" for c in names) + ", score double")
+
+
+def nearest(vectors: DataFrame | Cells, query_vectors: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """query_id, key, what was kept, score, rank: the ``k`` rows of greatest inner product for each query, ties by key.
+
+    ``vectors`` that aren't in cells yet (key, vector) are put there first.
+    First each query visits the cells of its likeliest rows; its k-th score there bounds what others must reach, and all cells that
+    can reach it are visited. So no row is missed, and cells that are too far aren't read for the query.
+    """
+    cells = vectors if isinstance(vectors, Cells) else in_cells(vectors, key)
+    asked = written(query_vectors.select(F.col("query_id").cast("string").alias("query_id"), "vector"), "asked")
+    n = asked.count()
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), cells.key)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = best(_products(cells, _visits(cells, asked.withColumn("bound", F.lit(None).cast("double")), k), n, k))
+    bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bound"))
+    visits = _visits(cells, asked.join(bounds, "query_id"), k)
+    return best(_products(cells, visits, n, k))
 
 
 def search(index: DenseIndex, queries: DataFrame, k: int, model: str | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the 4k nearest chunks, then those the caller may see, then ``k``.
 
-    The cut comes before the filters, so there may be fewer than ``k``; scores may be 0.
+    The cut comes before the filters, so there may be fewer than ``k``; scores may be 0. Queries with a column ``candidates`` have
+    that as their own k, of ``k`` at the most.
     """
     if model is not None and model != index.model:
         raise ValueError(f"the index was made by {index.model}, not {model}")
+    own = F.col("candidates") if "candidates" in queries.columns else F.lit(k)
     asked = Embedding(index.model).encode(queries, "query_id", F.col("query"))
-    near = nearest(index.vectors, asked, OVERFETCH * k).drop("rank")
-    found = near.join(index.vectors.select("chunk_id", "department", "access_level"), "chunk_id")
-    found = found.join(queries.select("query_id", F.col("department").alias("want"), F.col("access_level").alias("level")), "query_id")
-    seen = found.where(in_department(F.col("want"), F.col("department")) & visible(F.col("level"), F.col("access_level"))).select("query_id", "chunk_id", "score")
+    found = nearest(index.placed(), asked, OVERFETCH * k).withColumnRenamed("rank", "place")
+    found = found.join(queries.select("query_id", F.col("department").alias("want"), F.col("access_level").alias("level"), own.alias("own")), "query_id").where(F.col("place") <= OVERFETCH * F.col("own"))
+    seen = found.where(in_department(F.col("want"), F.col("department")) & visible(F.col("level"), F.col("access_level"))).select("query_id", "chunk_id", "score", "own")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("own")).drop("own")

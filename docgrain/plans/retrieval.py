@@ -63,12 +63,20 @@ class Retrieved:
 
 
 def boosted(corpus: Corpus, queries: DataFrame, settings: Settings, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Hits after fusion and both boosts, and what they came from. Only the hits' texts are tokenised."""
-    lex = written(lexical.search(corpus.lexical, queries, n), "bm25")
+    """Hits after fusion and both boosts, and what they came from. Only the hits' texts are tokenised.
+
+    queries: with ``candidates``, how many each has of either list and of the fused one, ``n`` at the most.
+    """
+    sizes = queries.select("query_id", "candidates")
+
+    def own(ranked: DataFrame) -> DataFrame:
+        return ranked.join(sizes, "query_id").where(F.col("rank") <= F.col("candidates")).drop("candidates")
+
+    lex = written(own(lexical.search(corpus.lexical, queries, n)), "bm25")
     den = written(dense.search(corpus.dense, queries, n, settings.embedding_model), "dense")
     weight = fusion.query_weights(F.col("query"), settings.lexical_weight, settings.dense_weight)
     weights = queries.select("query_id", weight.alias("w")).select("query_id", "w.lexical", "w.dense")
-    fused = fusion.fuse(lex, den, weights, n, settings.fusion_method)
+    fused = own(fusion.fuse(lex, den, weights, n, settings.fusion_method))
     asked = queries.select("query_id", "query", "top_k", T.token_set(F.col("query")).alias("q"), T.query_targets(F.col("query")).alias("targets"))
     full = with_tokens(fused.join(corpus.chunks, "chunk_id")).join(asked, "query_id").withColumn("score", F.col("fused"))
     dated = fusion.recency_boost(full, settings.recency_weight)
@@ -78,27 +86,18 @@ def boosted(corpus: Corpus, queries: DataFrame, settings: Settings, n: int) -> t
 def retrieve(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> Retrieved:
     """Hits of every query: fused, boosted by date and metadata, filtered and cut to the query's top_k.
 
-    The two retrievers' lists and the boosted candidates are a few rows a query and are written tables.
+    Queries of different top_k have candidates of their own number in one retrieval. The two retrievers' lists and the boosted candidates are a few rows a query and are written tables.
     """
     queries = normalized_queries(queries)
     most = queries.agg(F.max("top_k")).first()[0] or 1
     if queries.where("top_k < 1 OR top_k > 50 OR query IS NULL OR query = ''").limit(1).count():
         raise ValueError("queries must not be empty and top_k must be from 1 to 50")
-    if queries.select("top_k").distinct().limit(2).count() > 1:
-        parts = [retrieve(corpus, queries.where(F.col("top_k") == r[0]), settings) for r in queries.select("top_k").distinct().collect()]
-        return Retrieved(*[_union([getattr(p, name) for p in parts]) for name in ("hits", "lexical", "dense", "weights")])
-    ranked, lex, den, weights = boosted(corpus, queries, settings, candidate_size(settings, most))
+    size = F.greatest(F.lit(settings.candidate_size), F.col("top_k") * 3, F.lit(10)).alias("candidates")
+    ranked, lex, den, weights = boosted(corpus, queries.select("*", size), settings, candidate_size(settings, most))
     hits = fusion.threshold_filter(ranked, F.col("top_k"), settings.min_score, settings.min_relative_score, settings.min_overlap)
     return Retrieved(written(hits, "hits"), lex, den, weights)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
-    return out
-
-
 def search(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, doc_id, title, section_path, chunk_id, score, retrieval_source, snippet."""
     hits = retrieve(corpus, queries, settings).hits

@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,42 @@ def test_rows_of_one_chunk_id(spark):
     rows = one * 2 + [("e", f"e-{i}", f"gamma x{i}", "t", "s", "HR", "2020-01-01", "public") for i in range(5)]
     index = lexical.build_index(spark.createDataFrame(rows, "doc_id string, chunk_id string, text string, title string, section_path string, department string, updated_at string, access_level string"))
     assert [r.chunk_id for r in lexical.search(index, asked(spark, ("alpha", 5, None, None)), 5).collect()] == ["d-0", "d-0"]
+
+
+def test_cells_miss_nothing(spark, monkeypatch):
+    """Clustered, copied and zero vectors in many cells and tiles: the same as all products, and far cells aren't visited."""
+    monkeypatch.setattr(dense, "TILE", 16)
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    chance = np.random.default_rng(2)
+    middles = chance.standard_normal((12, 6)) * 4
+    rows = [middles[i % 12] + chance.standard_normal(6) * 0.2 for i in range(900)] + [np.zeros(6)] * 5 + [middles[0]] * 300
+    names = [f"k{i:05d}" for i in range(len(rows))]
+    vectors = spark.createDataFrame([(n, "x" if i % 2 else None, v.tolist()) for i, (n, v) in enumerate(zip(names, rows))], "key string, tag string, vector array<double>")
+    asked_rows = [middles[3] + 0.1, middles[0], np.zeros(6), -middles[5], *chance.standard_normal((6, 6))]
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(asked_rows)], "query_id string, vector array<double>")
+    cells = dense.in_cells(vectors, "key", "tag")
+    assert cells.sizes.sum() == len(rows) and len(cells.sizes) > 5
+    got = {}
+    for r in sorted(dense.nearest(cells, queries, 7).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.key, r.score, r.tag))
+    for i, q in enumerate(asked_rows):
+        products = np.round(np.array(rows) @ q, 9)
+        best = sorted(range(len(rows)), key=lambda j: (-products[j], names[j]))[:7]
+        assert [(k, t) for k, _, t in got[f"q{i}"]] == [(names[j], "x" if j % 2 else None) for j in best], i
+        assert [s for _, s, _ in got[f"q{i}"]] == pytest.approx([products[j] for j in best], abs=1e-8)
+    bounded = queries.where("query_id = 'q0'").withColumn("bound", F.lit(float(got["q0"][-1][1])))
+    assert dense._visits(cells, bounded, 7).count() < len(cells.sizes) / 2
+    assert dense.nearest(dense.in_cells(vectors.limit(0), "key"), queries, 7).count() == 0
+
+
+def test_queries_of_different_top_k(spark, chunks):
+    """One retrieval gives each query what it gets alone."""
+    corpus = retrieval.build_corpus(chunks)
+    rows = [("alpha beta one", 1, None, "restricted"), ("alpha beta one", 3, None, "public"), ("epsilon delta two", 20, None, None)]
+    together = retrieval.retrieve(corpus, asked(spark, *rows), Settings(candidate_size=1))
+    def shown(frame):
+        return {tuple(r[c] for c in ("query_id", "chunk_id", "score", "rank")) for r in frame.collect()}
+
+    parts = [retrieval.retrieve(corpus, asked(spark, *rows).where(F.col("query_id") == f"q{i}"), Settings(candidate_size=1)) for i in range(3)]
+    for name in ("hits", "lexical", "dense"):
+        assert shown(getattr(together, name)) == set().union(*(shown(getattr(p, name)) for p in parts)), name
