@@ -131,7 +131,7 @@ def repeated_windows(docs: DataFrame, width: int, size: int, packs: Packs) -> Da
     n_buckets, n_groups = 1 + size // packs.bucket_bytes, 1 + size // packs.group_bytes
     coarse = packs.fan if n_buckets > packs.fan else 0
     salts = 1 + size // packs.pack_bytes // packs.fan
-    round_bytes = min(packs.pack_bytes, 2_000_000)
+    round_bytes = min(packs.pack_bytes, 500_000)
 
     def packed(keys: np.ndarray, more: np.ndarray, docs: np.ndarray, places: np.ndarray, salt: int) -> list[tuple]:
         """Rows of a pack's first places, by bucket or coarse bucket."""
