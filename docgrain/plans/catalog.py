@@ -15,6 +15,7 @@ from ..cluster import new_dir, spread, written
 from ..config import Settings
 from ..functions import text as T
 from ..operators import answering, chunking, datasets, dense, evaluation, fusion, generation, lexical
+from ..sources import files
 from ..sources.segments import SegmentedIndex
 from . import retrieval
 
@@ -130,10 +131,38 @@ def section_blocks(spark, sf):
     return rows.select("doc_id", "b.section_path", F.md5(F.col("b.text").cast("binary")).alias("text_md5"))
 
 
+def section_paths(spark, sf):
+    """Sections of documents with headings of four levels, skipped, blank and closing ones among them."""
+    lines = [F.concat(F.lit("# "), "source"), F.concat(F.lit("Intro "), F.col("doc_id").cast("string")), F.lit("### skips"), F.col("lang"), F.concat(F.lit("## "), "lang"), F.col("text")]
+    lines += [F.lit("#### deep"), F.lit("below  "), F.lit("##"), F.lit("after a blank heading"), F.concat(F.lit("###"), F.col("source")), F.lit("#tag")]
+    lines += [F.when(F.col("doc_id") % 3 == 0, "# second").otherwise("## again"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "## last")]
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("\n", *lines).alias("text"))
+    rows = docs.select("doc_id", F.explode(chunking.section_blocks(T.normalize_text(F.col("text")))).alias("b"))
+    return rows.select("doc_id", "b.section_path", F.md5(F.col("b.text").cast("binary")).alias("text_md5"))
+
+
 def chunk_windows(spark, sf):
     return chunks(spark, sf).select("doc_id", "chunk_id", "title", "section_path", "department", "updated_at", "access_level", "text")
 
 
+def chunk_round_trip(spark, sf):
+    """Chunks of rows by place, written as JSON lines and read back."""
+    path = new_dir(spark, "jsonl")
+    rows = documents(spark, sf).select("doc_id", "title", "text", "department", "updated_at", "access_level")
+    files.write_jsonl(chunking.chunks_from_rows(rows, SETTINGS.chunk_size, SETTINGS.overlap), path)
+    return files.read_chunks(spark, path).select("doc_id", "chunk_id", "title", "section_path", "department", "updated_at", "access_level", "text")
+
+
+def item_round_trip(spark, sf):
+    """Items of the generated dataset as JSON lines that lack what the reader has defaults for."""
+    path = new_dir(spark, "items")
+    items = eval_dataset_gen(spark, sf)
+    gold = F.when(F.col("gold") != "", F.split("gold", "\\|"))
+    files.write_jsonl(items.select("id", "question", gold.alias("gold_chunk_ids"), F.when(F.col("difficulty") != "easy", F.col("difficulty")).alias("difficulty")), path)
+    found = files.read_items(spark, path)
+    return found.select("id", "question", F.array_join("gold", "|").alias("gold"), "difficulty", "query_type")
+
+
 def parse_dates(spark, sf):
     return chunks(spark, sf).select("chunk_id", T.parse_date(F.col("updated_at")).cast("string").alias("day"), T.parse_date(F.col("title")).cast("string").alias("fallback"))
 
@@ -313,6 +342,20 @@ def ask_pipeline(spark, sf):
     return found.select("query_id", "answer", F.array_join(F.transform("citations", lambda c: c["chunk_id"]), "|").alias("cited"), "confidence", "status", "clarifying_question")
 
 
+def negative_answers(spark, sf):
+    """The fixed questions that no document answers, asked of all documents."""
+    asked = datasets.fixed_negatives(spark).select(F.concat(F.lit("n"), "place").alias("query_id"), F.col("question").alias("query"), F.lit(K).alias("top_k"), F.lit(None).cast("string").alias("department"), F.lit("restricted").alias("access_level"))
+    found = retrieval.ask(corpus(spark, sf), asked, SETTINGS)
+    return found.select("query_id", F.array_join(F.transform("citations", lambda c: c["chunk_id"]), "|").alias("cited"), "confidence", "status", "clarifying_question")
+
+
+def ask_debug(spark, sf):
+    """Answers with what the retrievers found and the thresholds that decided."""
+    found = retrieval.ask_debug(corpus(spark, sf), questions(spark, sf), SETTINGS)
+    lists = [F.coalesce(F.array_join(F.transform(f"retrieval.{c}", lambda x: x["chunk_id"]), "|"), F.lit("")).alias(c) for c in ("bm25", "dense")]
+    return found.select("query_id", "status", *lists, F.round("retrieval.lexical_weight", 6).alias("lexical_weight"), F.col("retrieval.candidate_size").cast("long").alias("candidate_size"), "retrieval.min_score", "thresholds.min_yesno_relevance", "thresholds.min_doc_coverage")
+
+
 def heuristic_answer(spark, sf):
     rows = answering.gathered(retrieval.normalized_queries(questions(spark, sf)), retrieval.retrieve(corpus(spark, sf), questions(spark, sf), SETTINGS).hits)
     return rows.select("query_id", generation.draft_answer(F.col("hits")).alias("draft"))
@@ -415,7 +458,8 @@ NAMES = (
     "minmax_norm weighted_fusion rrf_fusion query_weights recency_boost metadata_boost threshold_filter hybrid_search "
     "search_debug_arrays citation_select confidence_label refusal_gates ask_pipeline heuristic_answer sentence_snippets prompt_build "
     "recall_mrr_eval answer_eval_confusion failure_report failure_samples failure_rates eval_dataset_easy eval_dataset_gen "
-    "multi_hop_pairs stratified_split dataset_summary chunk_statistics segmented_bm25_topk segmented_dense_topk"
+    "multi_hop_pairs stratified_split dataset_summary chunk_statistics segmented_bm25_topk segmented_dense_topk "
+    "section_paths chunk_round_trip item_round_trip negative_answers ask_debug"
 ).split()
 
 

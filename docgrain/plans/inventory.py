@@ -16,7 +16,7 @@ WHERE: dict[str, str] = {
     "S6": "sources.files.write_jsonl",
     "S7": "sources.files.read_jsonl",
     "S8": "sources.files.read_chunks",
-    "S9": "engine.Engine.build",
+    "S9": "sources.segments.SegmentedIndex engine.Engine.build",
     "S10": "sources.indexes.save_lexical sources.indexes.load_lexical",
     "S11": "sources.indexes.save_dense sources.indexes.load_dense",
     "S12": "sources.files.read_items",

@@ -114,6 +114,7 @@ PARTS: dict[str, tuple[str, str]] = {
     "nm": ("", "SELECT DISTINCT lang, source FROM documents"),
     "qs": ("nm", f"SELECT 'b' || item_id AS query_id, text AS query, CASE WHEN item_id % 4 = 0 THEN 'Engineering' END AS want, CASE item_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'restricted' END AS level, CAST([] AS VARCHAR[]) AS titles, CAST([] AS VARCHAR[]) AS sections FROM benchmark UNION ALL SELECT 't-' || lang || '-' || source, {filled(datasets.EASY, t='title', s='lang')}, NULL, 'restricted', [title], [lang] FROM (SELECT *, 'doc ' || lang || ' ' || source AS title FROM nm)"),
     "oq": ("qs", "SELECT query_id, query, CAST(NULL AS VARCHAR) AS want, 'restricted' AS level, titles, sections FROM qs"),
+    "nq": ("", "SELECT 'n' || printf('%03d', i - 1) AS query_id, x AS query, CAST(NULL AS VARCHAR) AS want, 'restricted' AS level, CAST([] AS VARCHAR[]) AS titles, CAST([] AS VARCHAR[]) AS sections FROM (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT [" + ", ".join("'" + x.replace("'", "''") + "'" for x in fixed.NEGATIVE_QUESTIONS) + "] AS l))"),
     "pr": ("", "SELECT a.doc_id, a.text, b.text AS other FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"),
     "ix": ("ck", f"SELECT chunk_id, department, access_level, {index_tokens(chr(39).join(['title || ', ' ', ' || section_path || ', ' ', ' || text']))} AS tk FROM ck"),
     "po": ("ix", "SELECT chunk_id, department, access_level, len(tk) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(tk) AS term FROM ix) GROUP BY ALL"),
@@ -179,6 +180,21 @@ PARTS: dict[str, tuple[str, str]] = {
 }
 
 
+_NORMAL_LINES = f"string_split({normalized('md')}, chr(10))"
+#: The stack of open headings is folded anew for each block, from the headings before it.
+_SECTION_PATHS = rf"""
+WITH m AS (SELECT doc_id, concat_ws(chr(10), '# ' || source, 'Intro ' || doc_id, '### skips', lang, '## ' || lang, text, '#### deep', 'below  ', '##', 'after a blank heading', '###' || source, '#tag',
+    CASE WHEN doc_id % 3 = 0 THEN '# second' ELSE '## again' END, source, CASE WHEN doc_id % 2 = 0 THEN '## last' END) AS md FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, {_NORMAL_LINES} AS ls FROM m)),
+h AS (SELECT *, starts_with(line, '#') AS is_head, length(line) - length(ltrim(line, '#')) AS lv, trim(ltrim(line, '#')) AS t,
+    count(*) FILTER (WHERE starts_with(line, '#')) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l),
+b AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS body FROM h WHERE NOT is_head GROUP BY doc_id, k),
+s AS (SELECT b.doc_id, b.k, body, list({{'lv': lv, 't': t}} ORDER BY i) FILTER (WHERE t <> '') AS hs FROM b LEFT JOIN h ON h.doc_id = b.doc_id AND h.is_head AND h.k <= b.k GROUP BY ALL),
+p AS (SELECT doc_id, body, list_reduce(hs, lambda st, x: {{'lv': 0, 't': '', 'st': list_append(list_slice(st.st, 1, x.lv - 1), x.t)}}, {{'lv': 0, 't': '', 'st': CAST([] AS VARCHAR[])}}) AS f
+    FROM (SELECT doc_id, body, list_transform(coalesce(hs, []), lambda x: {{'lv': x.lv, 't': x.t, 'st': CAST([] AS VARCHAR[])}}) AS hs FROM s))
+SELECT doc_id, CASE WHEN len(f.st) = 0 THEN 'General' ELSE array_to_string(f.st, ' > ') END AS section_path, md5(body) AS text_md5 FROM p"""
+
+
 def sql(final: str, needs: str, q: str = "qs", n: int = 24, h: str = "rc", fused: str = "weighted", limits: tuple[float, float, float] = (0.18, 0.35, 0.05), extra: str = "") -> str:
     """``final`` after the parts that it needs. q: the question table. h: hits that the boost or filter starts from."""
     values = {"{Q}": q, "{N}": str(n), "{H}": h, "{S}": str(limits[0]), "{R}": str(limits[1]), "{O}": str(limits[2])}
@@ -251,6 +267,11 @@ ff AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER
         "question_flags": sql(f"SELECT doc_id, list_contains({all_tokens('text')}, 'co') AND list_contains({all_tokens('text')}, 'khong') AS yes_no, array_to_string({numbers('text')}, ' ') AS numbers, array_to_string({_bounded('text', '[A-Z]')}, ' ') AS acronyms, {numbers_supported('text', 'other')} AS numbers_supported, {acronyms_supported('text', 'other')} AS acronyms_supported FROM pr", "pr"),
         "section_blocks": f"SELECT 'd' || doc_id AS doc_id, source || ' > ' || lang AS section_path, md5({normalized('text')}) AS text_md5 FROM documents WHERE {normalized('text')} <> ''",
         "chunk_windows": sql("SELECT doc_id, chunk_id, title, section_path, department, updated_at, access_level, text FROM ck", "ck"),
+        "section_paths": _SECTION_PATHS,
+        "chunk_round_trip": sql("SELECT doc_id, chunk_id, title, section_path, department, updated_at, access_level, text FROM ck", "ck"),
+        "item_round_trip": sql(f"SELECT id, question, gold, difficulty, CASE WHEN gold <> '' THEN 'positive' ELSE 'negative' END AS query_type FROM ({generated})", "ea hd mh"),
+        "negative_answers": sql("SELECT query_id, array_to_string(ids, '|') AS cited, confidence, status, clarifying_question FROM an", "an", q="nq"),
+        "ask_debug": sql("SELECT qs.query_id, an.status, coalesce((SELECT string_agg(chunk_id, '|' ORDER BY rank) FROM bm WHERE bm.query_id = qs.query_id AND rank <= 5), '') AS bm25, coalesce((SELECT string_agg(chunk_id, '|' ORDER BY rank) FROM dn WHERE dn.query_id = qs.query_id AND rank <= 5), '') AS dense, round(l, 6) AS lexical_weight, CAST(24 AS BIGINT) AS candidate_size, 0.18::DOUBLE AS min_score, 0.6::DOUBLE AS min_yesno_relevance, 0.5::DOUBLE AS min_doc_coverage FROM qs JOIN qw USING (query_id) JOIN an ON an.query_id = qs.query_id", "qs bm dn qw an"),
         "parse_dates": sql("SELECT chunk_id, updated_at AS day, '1970-01-01' AS fallback FROM ck", "ck"),
         "citation_signatures": sql(f"SELECT chunk_id, {signature('text')} AS signature, substr(text, 1, 250) AS snippet FROM ck", "ck"),
         "term_df_idf": sql("SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * avg(r) OVER () ELSE r END, 6) AS idf, round(plain, 6) AS plain_idf FROM rw", "rw").replace("ix AS (", "ix AS MATERIALIZED (").replace("df AS (", "df AS MATERIALIZED ("),
