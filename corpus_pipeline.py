@@ -21,6 +21,8 @@ from docgrain.llm.common import quoted, written
 
 #: Near duplicates share 0.8 or more of their shingles of five words.
 NEAR = minhash_dedup.Near(width=5, percent=80)
+#: Smaller packs than the operator's own: workers of the stage before still hold memory when this one begins.
+PACKS = substring_dedup.Packs(pack_bytes=4 << 20)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -64,7 +66,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Other texts, null and empty ones included, stay as they are. A document that loses all its words goes. Ties are
     broken by doc_id and place; rows of one doc_id are one document.
     """
-    cut = substring_dedup.remove_repeats(docs)
+    cut = substring_dedup.remove_repeats(docs, packs=PACKS)
     gone, words = (F.col(quoted(cut.columns[-1])).getField(x) for x in ("n_removed", "n_words"))
     n_chars = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")
     return cut.where((gone == 0) | (gone < words)).select(*[n_chars if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
