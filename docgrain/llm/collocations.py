@@ -39,7 +39,7 @@ MINING = Mining()
 #: Bytes of a word's number.
 WIDTH = 4
 #: Keys of a range, about, and that a task sorts at a time.
-RANGE_KEYS = 4_000_000
+RANGE_KEYS = 1_000_000
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
@@ -123,7 +123,8 @@ def _unplanes(data: bytes, kind: str, columns: int) -> np.ndarray:
 
 
 def block_phrases(found: DataFrame, words: DataFrame, mining: Mining = MINING) -> DataFrame:
-    """range, keys and n of every block: its phrases of each key range, sorted and packed, and their counts.
+    """range, keys and n of every block: its phrases of each key range, sorted and packed, and their counts, for about
+    RANGE_KEYS of its phrases at a time.
 
     A phrase's range is where it would stand among all occurrences if words followed each other by chance: the occurrences
     before its first word's, and of that word's own the share before its second word. Keys of one range follow each other, and
@@ -140,14 +141,21 @@ def block_phrases(found: DataFrame, words: DataFrame, mining: Mining = MINING) -
         number = known.column("number").to_numpy()
         to = np.zeros(int(ids.max()) + 2 if len(ids) else 1, np.uint32)
         to[ids] = number
-        keys = []
+        order = np.argsort(number)
+        number, start, share = number[order], known.column("start").to_numpy()[order], known.column("share").to_numpy()[order]
+        out, keys, held = [], [np.zeros((0, most), np.uint32)], 0
         for row in texts.column("ids"):
             local = unpacked(row.as_py())
             keys.append(phrase_keys(to[np.where(local < len(to) - 1, local, -1)], most))
-        keys, n = counted_runs(np.concatenate(keys) if keys else np.zeros((0, most), np.uint32))
-        order = np.argsort(number)
-        start, share = known.column("start").to_numpy()[order], known.column("share").to_numpy()[order]
-        first, second = (np.searchsorted(number[order], keys[:, i]) for i in (0, 1))
+            held += len(keys[-1])
+            if held >= RANGE_KEYS:
+                out.append(packs(np.concatenate(keys), number, start, share))
+                keys, held = keys[:1], 0
+        return pa.concat_tables([*out, packs(np.concatenate(keys), number, start, share)])
+
+    def packs(keys: np.ndarray, number: np.ndarray, start: np.ndarray, share: np.ndarray) -> pa.Table:
+        keys, n = counted_runs(keys)
+        first, second = (np.searchsorted(number, keys[:, i]) for i in (0, 1))
         of = np.minimum(((start[first] + share[first] * start[second]) * ranges).astype(np.int64), ranges - 1)
         keys, n = np.asarray(keys, "<u4"), n.astype("<u4")
         begins = np.flatnonzero(np.diff(of, prepend=-1))
