@@ -62,11 +62,13 @@ def build_index(chunks: DataFrame) -> LexicalIndex:
 
     ``chunks`` may bring their tokens as a column INDEX_TOKENS. Rows of one chunk_id are chunks each.
     """
-    tokens = F.col(INDEX_TOKENS) if INDEX_TOKENS in chunks.columns else T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
+    if INDEX_TOKENS not in chunks.columns:  # a table, as two passes read the tokens
+        tokens = T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
+        chunks = written(chunks.select("chunk_id", "department", "access_level", tokens.alias(INDEX_TOKENS)), "tokens")
     n = chunks.count()
     n_shards = max(1, math.ceil(n / SHARD_CHUNKS))
     member = ["chunk_id", "dl", "department", "access_level"]
-    rows = chunks.select("chunk_id", "department", "access_level", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    rows = chunks.select("chunk_id", "department", "access_level", F.col(INDEX_TOKENS).alias("tokens")).withColumn("dl", F.size("tokens"))
     rows = by_shard(rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int")))
     no = F.row_number().over(Window.partitionBy("shard").orderBy(*member)) - 1
     counted = rows.withColumn("no", no).select("shard", "no", "dl", F.explode("tokens").alias("term")).groupBy("shard", "no", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
