@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ KINDS = "doc_id string, chunk_id string, text string, title string, section_path
 
 
 def chunk(doc, no, text, access="public"):
-    return (doc, f"{doc}-{no}-{abs(hash(text)) % 999}", text, f"title {doc}", "s", "HR", "2020-01-01", access)
+    return (doc, f"{doc}-{no}-{zlib.crc32(text.encode())}", text, f"title {doc}", "s", "HR", "2020-01-01", access)
 
 
 def frame(spark, rows):
