@@ -1,11 +1,18 @@
 """Fixed values that results depend on."""
 
-#: A token: ASCII letters and digits, U+00C0 to U+1EF9, underscore.
+# Characters below U+0100 are spelled out within classes: Java looks such ones up in a bitmap, and tests a range or (?U)\s
+# anew for each character.
+
+#: A token: ASCII letters and digits, U+00C0 to U+1EF9, underscore; SPELLED is the same pattern.
 TOKEN = "[0-9A-Za-zÀ-ỹ_]+"
-#: White space as Unicode has it, and the four separators U+001C to U+001F.
-SPACE = r"(?U)[\s\x1C-\x1F]+"
+SPELLED = "[0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_" + "".join(map(chr, range(0xC0, 0x100))) + "Ā-ỹ]+"
 #: Characters that end a line, all of them white space; LINE is a pattern of line ends.
-BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}"
+BREAKS = r"\n\r\x0B\x0C\x1C\x1D\x1E\x85\x{2028}\x{2029}"
+#: White space but blanks and line ends.
+GAPS = r"\t\x1F\xA0\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+#: White space as Unicode has it, and the four separators U+001C to U+001F; the same as a string.
+SPACE = rf"[ {GAPS}{BREAKS}]+"
+SPACES = " \t\x1f\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LINE = rf"\r\n|[{BREAKS}]"
 QUOTED = "'[^']+'|\"[^\"]+\"|“[^”]+”|‘[^’]+’"
 

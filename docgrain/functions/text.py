@@ -28,7 +28,8 @@ def normalize_text(text: Column) -> Column:
 
     Composition to normal form C is ingest's (see sources.files.compose); texts of safe ranges have it.
     """
-    spaced = F.regexp_replace(F.replace(text, F.lit("\x00"), F.lit(" ")), rf"(?U)[\s\x1C-\x1F&&[^{fixed.BREAKS}]]+", " ")
+    # a blank between words is what it should be
+    spaced = F.regexp_replace(F.replace(text, F.lit("\x00"), F.lit(" ")), rf" [ {fixed.GAPS}]++|[{fixed.GAPS}][ {fixed.GAPS}]*+", " ")
     return F.btrim(F.regexp_replace(spaced, f" ?[{fixed.BREAKS}][ {fixed.BREAKS}]*+", "\n"), F.lit(" \n"))
 
 
@@ -76,7 +77,7 @@ def _aliased(tokens: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Lower-cased tokens with their accents, aliases applied."""
-    return _aliased(F.regexp_extract_all(F.lower(text), F.lit(fixed.TOKEN), F.lit(0)))
+    return _aliased(F.regexp_extract_all(F.lower(text), F.lit(fixed.SPELLED), F.lit(0)))
 
 
 @lru_cache(maxsize=1)
@@ -102,7 +103,7 @@ def strip_accents(text: Column) -> Column:
 
 def all_tokens(text: Column) -> Column:
     """Lower-cased tokens without accents, aliases applied."""
-    found = F.regexp_extract_all(text, F.lit(fixed.TOKEN), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(fixed.SPELLED), F.lit(0))
     # tokens are stripped together: a space is no token character and has no accent
     return _aliased(F.array_remove(F.split(strip_accents(F.lower(F.array_join(found, " "))), " "), ""))
 
@@ -229,7 +230,7 @@ def sentences(text: Column) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.btrim(text, F.lit(fixed.SPACES))
 
 
 def snippet(text: Column) -> Column:

@@ -41,9 +41,8 @@ def section_blocks(text: Column) -> Column:
         return T.let(paths(heads), build)
 
     # lines without outer white space, and none that are blank
-    begun = F.regexp_replace(text, rf"(?U)[{fixed.BREAKS}][\s\x1C-\x1F]*+", "\n")
-    space = r"[\s\x1C-\x1F&&[^\n]]"
-    body = T.trim_space(F.regexp_replace(begun, rf"(?U)(?<!{space}){space}++(?=\n)", ""))
+    gap, any_space = f"[ {fixed.GAPS}]", f"[ {fixed.GAPS}{fixed.BREAKS}]"
+    body = T.trim_space(F.regexp_replace(text, f"[{fixed.BREAKS}]{any_space}*+|(?={gap})(?<!{gap}){gap}++[{fixed.BREAKS}]{any_space}*+", "\n"))
     whole = T.trim_space(text)
     alone = F.array(F.struct(F.lit("General").alias("section_path"), whole.alias("text")))
     return T.let(T.let(body, of), lambda b: F.when((F.size(b) == 0) & (whole != ""), alone).otherwise(b))

@@ -4,7 +4,7 @@ queries: query_id, query, top_k, department, access_level. Results: query_id, ch
 
 The index is dealt by chunk: shards of about a thousand chunks, and of each term in each shard one block of postings with what
 its greatest score can be. A search adds up whole scores within shards and keeps the best of each, so what is shuffled are blocks and
-shards x queries x k rows, not a row for each query and chunk. Shards that can't reach the k-th score that a query's rare terms
+shards x queries x k rows, not a row for each query and chunk; a shard is counted, and scored for a block of queries, as arrays. Shards that can't reach the k-th score that a query's rare terms
 alone give are left out; the result is exact.
 """
 
@@ -14,10 +14,13 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import written
+from ..cluster import on_cogroup, on_group, ship, written
 from ..functions import text as T
 from .access import in_department, visible
 
@@ -25,8 +28,12 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Digits that scores keep, so that ties don't depend on the order of a sum.
 DIGITS = 9
 INDEX_TOKENS = "index_tokens"
+#: What shards hold of a chunk, and blocks of a chunk that has the term.
+MEMBER, HIT = ("chunk_id", "dl", "department", "access_level"), ("no", "tf", "dl")
 #: Chunks of a shard, about: chunks are dealt by a hash of their ids.
 SHARD_CHUNKS = 1024
+#: Queries that are scored together in a shard, about.
+QUERY_BLOCK = 512
 #: Up to so many different terms of the queries are looked up in the Parquet files' statistics; more are joined alone.
 MOST_LOOKED_UP = 400
 #: A term is rare if it is in one chunk in so many at the most.
@@ -57,6 +64,31 @@ def by_shard(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
 
 
+def _blocks(rows: pa.Table) -> pa.Table:
+    """The blocks of a shard's chunks, numbered in the order of members."""
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in MEMBER], null_placement="at_start").to_numpy()
+    no_of = np.empty(len(order), np.int64)
+    no_of[order] = np.arange(len(order))
+    lists, dl = rows.column("tokens").combine_chunks(), rows.column("dl").to_numpy()[order]
+    coded = lists.flatten().dictionary_encode()
+    no = np.repeat(no_of, lists.value_lengths().fill_null(0).to_numpy())
+    keys, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(order) + no, return_counts=True)
+    if not len(keys):
+        return pa.table({"shard": pa.array([], pa.int32()), "term": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "occurrences": pa.array([], pa.int64()), "most_tf": pa.array([], pa.int32()), "least_dl": pa.array([], pa.int32()), "hits": pa.array([], pa.list_(pa.struct([(c, pa.int32()) for c in HIT])))})
+    term, no = keys // len(order), keys % len(order)
+    begins = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
+    hits = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (no, tf, dl[no])], list(HIT))
+    return pa.table({
+        "shard": pa.array(np.full(len(begins) - 1, rows.column("shard")[0].as_py(), np.int32)),
+        "term": coded.dictionary.take(pa.array(term[begins[:-1]])),
+        "n": pa.array(np.diff(begins)),
+        "occurrences": pa.array(np.add.reduceat(tf, begins[:-1])),
+        "most_tf": pa.array(np.maximum.reduceat(tf, begins[:-1]).astype(np.int32)),
+        "least_dl": pa.array(np.minimum.reduceat(dl[no], begins[:-1]).astype(np.int32)),
+        "hits": pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), hits),
+    })
+
+
 def build_index(chunks: DataFrame) -> LexicalIndex:
     """Chunks and their tokens are shuffled once, by shard; terms are counted and blocks made within it.
 
@@ -67,15 +99,13 @@ def build_index(chunks: DataFrame) -> LexicalIndex:
         chunks = written(chunks.select("chunk_id", "department", "access_level", tokens.alias(INDEX_TOKENS)), "tokens")
     n = chunks.count()
     n_shards = max(1, math.ceil(n / SHARD_CHUNKS))
-    member = ["chunk_id", "dl", "department", "access_level"]
     rows = chunks.select("chunk_id", "department", "access_level", F.col(INDEX_TOKENS).alias("tokens")).withColumn("dl", F.size("tokens"))
     rows = by_shard(rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int")))
-    no = F.row_number().over(Window.partitionBy("shard").orderBy(*member)) - 1
-    counted = rows.withColumn("no", no).select("shard", "no", "dl", F.explode("tokens").alias("term")).groupBy("shard", "no", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    hits = F.sort_array(F.collect_list(F.struct("no", "tf", "dl")))
-    blocks = counted.groupBy("shard", "term").agg(F.count("*").alias("n"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), hits.alias("hits"))
+    ship(rows.sparkSession)
+    kinds = "shard int, term string, n long, occurrences long, most_tf int, least_dl int, hits array<struct<no:int,tf:int,dl:int>>"
+    blocks = rows.groupBy("shard").applyInArrow(on_group(_blocks), kinds)
     blocks = written(blocks.sortWithinPartitions("term", "shard"), "blocks")
-    shards = written(rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(*member))).alias("members")), "shards")
+    shards = written(rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members")), "shards")
     terms = written(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("occurrences").alias("occurrences")), "terms")
     return with_numbers(blocks, shards, terms.drop("occurrences"), n, terms.agg(F.sum("occurrences")).first()[0] or 0)
 
@@ -104,26 +134,71 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "want_department", "level", "term").agg(F.count("*").alias("times"))
 
 
-def _part(index: LexicalIndex, tf: Column, dl: Column, scorer: str) -> Column:
-    """What an occurrence count adds to a score, but for the term's weight: grows with tf and falls with dl."""
-    tf = tf.cast("double")
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(index.mean_length))) if scorer == "okapi" else tf
+def _part(mean_length, tf, dl, scorer: str):
+    """What an occurrence count (a column or an array of doubles) adds to a score, but for the term's weight: grows with tf and falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean_length)) if scorer == "okapi" else tf
 
 
 def _best(index: LexicalIndex, blocks: DataFrame, wanted: DataFrame, k: int, scorer: str, open_shards: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score: of each shard the ``k`` best chunks of each query that its caller may see and that score."""
-    found = by_shard(blocks.select("shard", "term", "hits")).join(wanted, "term")
+    """query_id, chunk_id, score: of each shard the ``k`` best chunks of each query that its caller may see and that score.
+
+    Blocks of wanted terms meet, by shard and block of queries, the places that each kind of caller may see.
+    """
+    ship(wanted.sparkSession)
+    mean_length, limited = index.mean_length, open_shards is not None
+    parts = max(1, math.ceil(wanted.select("query_id").distinct().count() / QUERY_BLOCK))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("of")
+    caller = F.to_json(F.struct("want_department", "level")).alias("caller")
+    wanted = wanted.select("*", of, caller)
+    asked = wanted.groupBy("term", "of").agg(F.collect_list(F.struct("query_id", "caller", "weight")).alias("asked"))
+    found = blocks.select("shard", "term", "hits").join(asked, "term")
+    callers = wanted.select("of", "caller", "want_department", "level").distinct()
+    may = F.transform("members", lambda m: F.coalesce(m.isNotNull() & in_department(F.col("want_department"), m["department"]) & visible(F.col("level"), m["access_level"]), F.lit(False)))
+    seen = index.shards.crossJoin(callers).select("shard", "of", "caller", may.alias("seen"), F.lit(None).cast("string").alias("query_id"))
     if open_shards is not None:
-        found = found.join(open_shards, ["query_id", "shard"])
-    caller = ["query_id", "want_department", "level"]
-    each = found.select(*caller, "shard", "weight", F.explode("hits").alias("h"))
-    each = each.select(*caller, "shard", F.col("h.no").alias("no"), (F.col("weight") * _part(index, F.col("h.tf"), F.col("h.dl"), scorer)).alias("part"))
-    sums = each.groupBy("shard", *caller, "no").agg(F.round(F.sum("part"), DIGITS).alias("score")).where("score > 0")
-    lists = sums.groupBy("shard", *caller).agg(F.collect_list(F.struct("no", "score")).alias("found"))
-    named = F.transform("found", lambda x: F.struct((-x["score"]).alias("minus"), F.get(F.col("members"), x["no"]).alias("m")))
-    seen = F.filter(named, lambda x: x["m"].isNotNull() & in_department(F.col("want_department"), x["m"]["department"]) & visible(F.col("level"), x["m"]["access_level"]))
-    cut = F.slice(F.array_sort(F.transform(seen, lambda x: F.struct(x["minus"].alias("minus"), x["m"]["chunk_id"].alias("chunk_id")))), 1, k)
-    return lists.join(index.shards, "shard").select("query_id", F.inline(cut)).select("query_id", "chunk_id", (-F.col("minus")).alias("score"))
+        opened = open_shards.select("shard", of, "query_id")
+        some = opened.select("shard", "of").distinct()
+        found, seen = (x.join(some, ["shard", "of"], "left_semi") for x in (found, seen))
+        none = F.lit(None)
+        seen = seen.unionByName(opened.select("shard", "of", none.cast("string").alias("caller"), none.cast("array<boolean>").alias("seen"), "query_id"))
+
+    def score(terms: pa.Table, places: pa.Table) -> pa.Table:
+        out = {"shard": [], "query_id": [], "no": [], "score": []}
+        if terms.num_rows and places.num_rows:
+            allowed = {c: np.array(s, bool) for c, s in zip(places.column("caller").to_pylist(), places.column("seen").to_pylist()) if c is not None}
+            opened = {q for q in places.column("query_id").to_pylist() if q is not None}
+            hits, lists = terms.column("hits").combine_chunks(), terms.column("asked").combine_chunks()
+            h, a = hits.offsets.to_numpy(), lists.offsets.to_numpy()
+            no, tf, dl = (hits.values.field(c).to_numpy() for c in HIT)
+            part = _part(mean_length, tf.astype(float), dl, scorer)
+            held = lists.values
+            coded, weight = held.field("query_id").dictionary_encode(), held.field("weight").to_numpy(zero_copy_only=False)
+            query = coded.indices.to_numpy()
+            scores = np.zeros((len(coded.dictionary), max(map(len, allowed.values()))))
+            # in the terms' order, so that equal chunks get equal sums
+            for t in pc.sort_indices(terms.column("term")).to_numpy():
+                i, j = slice(a[t], a[t + 1]), slice(h[t], h[t + 1])
+                scores[query[i, None], no[None, j]] += np.outer(weight[i], part[j])
+            scores = np.round(scores, DIGITS)
+            shard, names, of_query = terms.column("shard")[0].as_py(), coded.dictionary.to_pylist(), dict(zip(query.tolist(), held.field("caller").to_pylist()))
+            for q, name in enumerate(names):
+                if limited and name not in opened:
+                    continue
+                mine = scores[q]
+                at = np.flatnonzero((mine > 0) & allowed[of_query[q]])
+                if len(at) > k:
+                    at = at[mine[at] >= np.partition(mine[at], len(at) - k)[len(at) - k]]
+                at = at[np.argsort(-mine[at], kind="stable")][:k]  # a shard's places are in the order of chunk_id
+                if len(at):
+                    for c, x in zip(out, (shard, name, at.tolist(), mine[at].tolist())):
+                        out[c].append(x)
+        kinds = {"shard": pa.int32(), "query_id": pa.string(), "no": pa.list_(pa.int32()), "score": pa.list_(pa.float64())}
+        return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
+
+    seen = seen.select(F.col("shard").alias("in_shard"), F.col("of").alias("in_of"), "caller", "seen", "query_id")  # the sides have names of their own
+    best = found.groupBy("shard", "of").cogroup(seen.groupBy("in_shard", "in_of")).applyInArrow(on_cogroup(score), "shard int, query_id string, no array<int>, score array<double>")
+    named = F.transform(F.arrays_zip("no", "score"), lambda x: F.struct(F.get(F.col("members"), x["no"])["chunk_id"].alias("chunk_id"), x["score"].alias("score")))
+    return best.join(index.shards, "shard").select("query_id", F.inline(named))
 
 
 def candidates(index: LexicalIndex, queries: DataFrame, k: int, scorer: str = "okapi") -> DataFrame:
@@ -147,7 +222,7 @@ def candidates(index: LexicalIndex, queries: DataFrame, k: int, scorer: str = "o
     rare = wanted.where(F.col("df") * RARE <= index.n_chunks)
     partial = _best(index, blocks, rare.drop("df"), k, scorer)
     bounds = ranked(partial, k, "chunk_id").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(F.col("n") >= k).drop("n")
-    reach = F.sum(F.col("weight") * _part(index, F.col("most_tf"), F.col("least_dl"), scorer)).alias("reach")
+    reach = F.sum(F.col("weight") * _part(F.lit(index.mean_length), F.col("most_tf").cast("double"), F.col("least_dl"), scorer)).alias("reach")
     reached = blocks.select("term", "shard", "most_tf", "least_dl").join(of, "term").groupBy("query_id", "shard").agg(reach)
     reached = reached.join(bounds, "query_id", "left").where(F.col("bound").isNull() | (F.col("reach") >= F.col("bound") - SLACK))
     return _best(index, blocks, of, k, scorer, written(reached.select("query_id", "shard"), "reached"))

@@ -77,3 +77,13 @@ def test_without_a_package_of_the_other_queries():
     n, n_sql, left = map(int, ran.stdout.split())
     assert n == len(catalog.queries()) and 0 < n_sql <= n and left == 0
     assert ran.stderr.count("can't be imported") == 1
+
+
+def test_items_look_into_the_chunks_they_are_given(spark, monkeypatch):
+    """Documents are cut once a query; gold are chunks that hold a text within words, of one and two words too."""
+    table = lambda _, sf, name: spark.createDataFrame([(1, "one two  three"), (2, "wo"), (3, "no such words here"), (4, "a b")], "item_id int, text string")
+    monkeypatch.setattr(catalog, "table", table)
+    monkeypatch.setattr(catalog, "chunks", None)
+    cut = spark.createDataFrame([("c1", "one two three"), ("c2", "none two threefold two"), ("c3", "one two"), ("c4", "pa bare")], "chunk_id string, text string")
+    got = {r.id: r.gold for r in catalog.items(spark, "", cut).collect()}
+    assert got == {"b1": ["c1", "c2"], "b2": ["c1", "c2", "c3"], "b3": [], "b4": ["c4"]}

@@ -4,6 +4,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from docgrain.functions import fixed
 from docgrain.functions import text as T
 
 
@@ -109,3 +110,11 @@ def test_sentences(value):
 def test_prompt(value):
     hit = F.array(F.struct(F.lit("t").alias("title"), F.lit("s").alias("section_path"), F.lit("c").alias("chunk_id"), F.lit("x").alias("text")))
     assert value(lambda q: T.build_prompt(q, hit), "why").endswith("QUESTION:\nwhy\n\nEVIDENCE:\n[1] title=t | section=s | chunk_id=c\nx\n")
+
+
+def test_spelled_patterns_are_what_unicode_says(spark):
+    """The spelled-out classes match the same characters as the shorter patterns that they stand for."""
+    text = spark.createDataFrame([(i, chr(i)) for i in range(1, 0x3100) if not 0xD800 <= i <= 0xDFFF], "id int, c string")
+    assert text.where(F.regexp_like("c", F.lit(fixed.SPACE)) != F.regexp_like("c", F.lit(r"(?U)[\s\x1C-\x1F]"))).count() == 0
+    assert text.where(F.regexp_like("c", F.lit(fixed.SPELLED)) != F.regexp_like("c", F.lit(fixed.TOKEN))).count() == 0
+    assert sorted(fixed.SPACES) == sorted(r.c for r in text.where(F.regexp_like("c", F.lit(r"(?U)[\s\x1C-\x1F]"))).collect())
