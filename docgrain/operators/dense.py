@@ -175,10 +175,15 @@ class DenseIndex:
         return self.cells or in_cells(self.vectors, "chunk_id", "department", "access_level")
 
 
-def build_index(chunks: DataFrame, model: str = "hash://384") -> DenseIndex:
+def encoded(chunks: DataFrame, model: str = "hash://384") -> DataFrame:
+    """chunk_id, department, access_level and vector of every chunk."""
     text = T.index_text(F.col("title"), F.col("section_path"), F.col("text"))
     tokens = F.col(INDEX_TOKENS) if INDEX_TOKENS in chunks.columns else None
-    vectors = written(Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens), "vectors")
+    return Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens)
+
+
+def build_index(chunks: DataFrame, model: str = "hash://384") -> DenseIndex:
+    vectors = written(encoded(chunks, model), "vectors")
     return DenseIndex(vectors, model, in_cells(vectors, "chunk_id", "department", "access_level"))
 
 

@@ -87,7 +87,7 @@ class SegmentedIndex:
         index = lexical.build_index(found)
         index.blocks.withColumn("shard", F.col("shard") + number * SHARDS).withColumn("segment", F.lit(number)).write.parquet(f"{into}/blocks")
         index.shards.withColumn("shard", F.col("shard") + number * SHARDS).withColumn("segment", F.lit(number)).write.parquet(f"{into}/shards")
-        dense.build_index(found, self.settings.embedding_model).vectors.withColumn("segment", F.lit(number)).write.parquet(f"{into}/vectors")
+        dense.encoded(found, self.settings.embedding_model).withColumn("segment", F.lit(number)).write.parquet(f"{into}/vectors")
         gone = found.select("doc_id").distinct()
         if deleted is not None:
             gone = gone.unionByName(deleted.select(F.col("doc_id").cast("string").alias("doc_id"))).distinct()
@@ -99,7 +99,7 @@ class SegmentedIndex:
         else:
             found.limit(0).select("segment", "doc_id", "chunk_id").write.parquet(f"{into}/dead")
         # changes of the counts: what the batch brings, less what it replaces
-        each = added.select("sign", F.explode(F.transform(F.array_distinct(lexical.INDEX_TOKENS), lambda t: t)).alias("term"))
+        each = added.select("sign", F.explode(F.array_distinct(lexical.INDEX_TOKENS)).alias("term"))
         each.groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0").write.parquet(f"{into}/terms")
         added.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.size(lexical.INDEX_TOKENS)), F.lit(0)).alias("tokens")).write.parquet(f"{into}/numbers")
         return self._commit(before, (*before.segments, name), (*before.batches, *([batch] if batch is not None else [])))

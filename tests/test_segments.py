@@ -3,6 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from docgrain.cluster import tracked
 from docgrain.config import Settings
 from docgrain.operators import dense, lexical
 from docgrain.plans import retrieval
@@ -87,3 +88,11 @@ def test_stream_of_files(spark, tmp_path):
     incremental.watch_index(spark, settings, where, str(tmp_path / "c1")).awaitTermination()
     assert len(index.snapshot().segments) == 2 and index.corpus().chunks.where(F.col("doc_id") == "new_policy_public").count() == 1
     assert index.corpus().chunks.count() == n + 1
+
+
+def test_a_segment_makes_no_cells(spark, tmp_path):
+    """Cells are made of the live vectors at search; a commit writes vectors alone."""
+    index = SegmentedIndex(spark, str(tmp_path / "alone"))
+    with tracked() as folders:
+        index.add(frame(spark, [chunk("d1", 0, "alpha beta")]))
+    assert not [f for f in folders if "-cells-" in f or "-placed-" in f]
