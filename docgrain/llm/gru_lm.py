@@ -3,7 +3,7 @@
 Counts of all training tokens are joined back to each block's distinct words. The most frequent words are the network's
 own; each other word is ``rare`` to it and then drawn by its count among the rare, so any text has a probability. The output is
 factored: a softmax over classes of words, and one over the words of the class. Training is truncated backpropagation through
-time in numpy: tasks go through rows of training documents that a hash deals to rounds, and after each round their weights are averaged. A document is
+time in numpy: tasks go through all rows of training documents, which a hash deals to rounds, and after each round their weights are averaged. A document is
 read whole and in order; its state is carried from window to window.
 """
 
@@ -40,10 +40,9 @@ class Net:
     rate: float = 0.1
     #: Largest norm of an update's gradient.
     clip: float = 5.0
-    #: Training goes through one row of texts in ``thin``, in rounds that each end by averaging.
-    thin: int = 4
+    #: Training goes through all rows of texts, in rounds that each end by averaging.
     rounds: int = 4
-    #: So many tokens at least are gone through: smaller shares are left out, and small collections repeated.
+    #: So many tokens at least are gone through: small collections are repeated.
     least_tokens: int = 500_000
     seed: int = 17
 
@@ -363,7 +362,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], net: Net, learnable: bool = Fal
 def trained(rows: DataFrame, model: Model, net: Net = NET) -> None:
     """Trains the model's weights on learnable documents of encoded().
 
-    A round takes the rows of texts whose hash falls to it, so a pass learns from a share (one in ``thin``) that grows with the input. Each task starts from the weights of the round before and goes through its
+    A round takes the rows of texts whose hash falls to it, and the rounds together take each row once. Each task starts from the weights of the round before and goes through its
     rows; what it hands over is of the size of the weights, and is averaged, by tokens, slice by slice. Only the averages reach the driver.
     """
     layout = model.layout
@@ -372,8 +371,7 @@ def trained(rows: DataFrame, model: Model, net: Net = NET) -> None:
     if not model.train_tokens:
         return
     repeats = math.ceil(net.least_tokens / model.train_tokens)
-    parts = net.rounds * max(1, min(net.thin, model.train_tokens // net.least_tokens))
-    rows = rows.select("tokens", "sizes", "flags", F.pmod(F.xxhash64("block", "row"), F.lit(parts)).alias("round"))
+    rows = rows.select("tokens", "sizes", "flags", F.pmod(F.xxhash64("block", "row"), F.lit(net.rounds)).alias("round"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, number, n = None, 0, 0

@@ -138,3 +138,14 @@ def test_tables(spark):
     assert got(found) == plain(list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)))
     apart = [r for r in found if r.held_out]
     assert sum(r.score for r in apart) > sum(r.base_score for r in apart)
+
+
+def test_learns_from_every_row(spark):
+    """A word that a single row has changes its vector, whichever row that is."""
+    n, net_ = 60, Net(most_words=60, least_count=1, classes=5, width=6, lanes=3, window=4, least_tokens=10)
+    layout = Layout([2] * n, 1, net_)
+    before = gru_lm.new_weights(layout, net_)
+    rows = spark.createDataFrame([(0, i, bytearray(np.array([i, i], "<u2").tobytes()), [2], [True]) for i in range(n)], "block long, row int, tokens binary, sizes array<int>, flags array<boolean>")
+    model = gru_lm.Model(gru_lm.new_weights(layout, net_), layout, 2 * n, n, 0, 0)
+    gru_lm.trained(rows, model, net_)
+    assert (np.abs(model.weights["embed"] - before["embed"])[:n].max(axis=1) > 1e-6).all()
