@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks, unpacked
-from .common import on_batches, on_cogroup, ship, written
+from .common import on_batches, ship, written
 
 
 @dataclass(frozen=True)
@@ -55,8 +55,7 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
 def counted_runs(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of a matrix of uint32 in order, big-endian, and how often each is there, or the sum of its ``n``."""
     keys = np.ascontiguousarray(keys, ">u4")
-    digits = keys.view(">u2").astype(np.uint16).reshape(len(keys), 2 * keys.shape[1])
-    order = radix_order(digits)
+    order = radix_order(keys.view(">u2").astype(np.uint16).reshape(len(keys), 2 * keys.shape[1]))
     keys = keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]).any(axis=1)
@@ -128,7 +127,8 @@ def block_phrases(found: DataFrame, words: DataFrame, mining: Mining = MINING) -
 
     A phrase's range is where it would stand among all occurrences if words followed each other by chance: the occurrences
     before its first word's, and of that word's own the share before its second word. Keys of one range follow each other, and
-    equal keys of all blocks are in one.
+    equal keys of all blocks are in one. A task holds the packed texts and frequent words of one block and RANGE_KEYS phrases, and
+    hands those over before it goes on.
     """
     most = mining.most_words
     ship(found.sparkSession)
@@ -136,34 +136,45 @@ def block_phrases(found: DataFrame, words: DataFrame, mining: Mining = MINING) -
     ranges = -(-(most - 1) * total // RANGE_KEYS)
     numbers = found.where("word IS NOT NULL").join(words.select("grp", "word", F.col("id").alias("number"), (F.col("start") / total).alias("start"), (F.col("f") / total).alias("share")), ["grp", "word"]).select("block", "id", "number", "start", "share")
 
-    def count(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a block's rows come in any order; its texts stay packed
+        known, texts = [], []
+        for batch in batches:
+            texts += [x.as_buffer() for x in batch.column("ids").drop_null()]
+            known.append(batch.filter(batch.column("number").is_valid()).select(["id", "number", "start", "share"]))
+        known = pa.Table.from_batches(known).combine_chunks()
         ids = known.column("id").to_numpy()
         number = known.column("number").to_numpy()
         to = np.zeros(int(ids.max()) + 2 if len(ids) else 1, np.uint32)
         to[ids] = number
         order = np.argsort(number)
         number, start, share = number[order], known.column("start").to_numpy()[order], known.column("share").to_numpy()[order]
-        out, keys, held = [], [np.zeros((0, most), np.uint32)], 0
-        for row in texts.column("ids"):
-            local = unpacked(row.as_py())
+        del batch, known, ids, order
+        keys, held = [np.zeros((0, most), np.uint32)], 0
+        while texts:
+            local = unpacked(texts.pop())
             keys.append(phrase_keys(to[np.where(local < len(to) - 1, local, -1)], most))
             held += len(keys[-1])
-            if held >= RANGE_KEYS:
-                out.append(packs(np.concatenate(keys), number, start, share))
-                keys, held = keys[:1], 0
-        return pa.concat_tables([*out, packs(np.concatenate(keys), number, start, share)])
+            if held >= RANGE_KEYS or not texts:
+                whole, held = [np.concatenate(keys)], 0
+                del keys[1:]
+                yield from packs(whole.pop(), number, start, share)
 
-    def packs(keys: np.ndarray, number: np.ndarray, start: np.ndarray, share: np.ndarray) -> pa.Table:
+    def packs(keys: np.ndarray, number: np.ndarray, start: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, n = counted_runs(keys)
         first, second = (np.searchsorted(number, keys[:, i]) for i in (0, 1))
         of = np.minimum(((start[first] + share[first] * start[second]) * ranges).astype(np.int64), ranges - 1)
         keys, n = np.asarray(keys, "<u4"), n.astype("<u4")
         begins = np.flatnonzero(np.diff(of, prepend=-1))
         ends = np.append(begins[1:], len(of))[: len(begins)]
-        return pa.table({"range": pa.array(of[begins]), "keys": pa.array([_planes(keys[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary()), "n": pa.array([_planes(n[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary())})
-
-    texts = found.where("ids IS NOT NULL").select(F.col("block").alias("of"), "ids")
-    return texts.groupBy("of").cogroup(numbers.groupBy("block")).applyInArrow(on_cogroup(count), "range long, keys binary, n binary")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(of[begins]), pa.array([_planes(keys[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary()), pa.array([_planes(n[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary())],
+            ["range", "keys", "n"],
+        )
+
+    # one kind of rows, so that what a block gives can leave it part by part
+    rows = numbers.unionByName(found.where("ids IS NOT NULL").select("block", "ids"), allowMissingColumns=True)
+    return rows.groupBy("block").applyInArrow(on_batches(count), "range long, keys binary, n binary")
 
 
 def run_lengths(rows: DataFrame, mining: Mining = MINING) -> DataFrame:

@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from docgrain.llm import blocks, collocations
+from docgrain.llm import blocks, collocations, common
 from docgrain.llm.collocations import Mining
 
 from .helpers import frame, prose
@@ -93,3 +94,22 @@ def test_radix_runs():
 def test_numbers_of_blocks_keep_their_bytes():
     ids = np.array([-1, 0, 1, 255, 256, 2**31 - 1], np.int32)
     assert (blocks.unpacked(blocks.packed(ids)) == ids).all()
+
+
+def test_a_block_leaves_its_task_in_parts(spark, monkeypatch):
+    """What a block's phrases are packed into is handed over before the next texts are read, not at the block's end."""
+    taken = []
+    monkeypatch.setattr(collocations, "on_batches", lambda f: taken.append(f) or common.on_batches(f))
+    monkeypatch.setattr(collocations, "RANGE_KEYS", 50)
+    found = spark.createDataFrame([(0, 0, "en", "x", 400, None), (0, 1, "en", "y", 400, None), *[(0, i, None, None, None, blocks.packed(np.array([-1, *[0, 1] * 20], np.int32))) for i in range(20)]], "block long, id int, grp string, word string, n long, ids binary")
+    words = spark.createDataFrame([("en", "x", 400, 1, 0), ("en", "y", 400, 2, 400)], "grp string, word string, f long, id long, start long")
+    rows = collocations.block_phrases(found, words)
+    want = {b"\0\0\0\1\0\0\0\2\0\0\0\0": 400, b"\0\0\0\2\0\0\0\1\0\0\0\0": 380, b"\0\0\0\1\0\0\0\2\0\0\0\1": 380, b"\0\0\0\2\0\0\0\1\0\0\0\2": 380}
+    assert {bytes(r.key): r.f for r in collocations.run_lengths(rows).collect()} == want
+    texts = [blocks.packed(np.array([-1, *[0, 1] * 20], np.int32))] * 20
+    none = pa.nulls(20, pa.int64())
+    words = pa.RecordBatch.from_pydict({"block": [0, 0], "id": pa.array([0, 1], pa.int32()), "number": pa.array([1, 2]), "start": [0.0, 0.5], "share": [0.5, 0.5], "ids": pa.nulls(2, pa.binary())})
+    rest = pa.RecordBatch.from_pydict({"block": none, "id": none.cast(pa.int32()), "number": none, "start": none.cast(pa.float64()), "share": none.cast(pa.float64()), "ids": pa.array(texts, pa.binary())})
+    for order in ([words, rest], [rest, words]):
+        parts = list(taken[0](iter(order)))
+        assert len(parts) == 20 and sum(np.sum(collocations._unplanes(n, "<u4", 1)) for part in parts for n in part.column("n").to_pylist()) == 20 * (39 + 38)
