@@ -132,120 +132,192 @@ class Lanes:
 
 
 class Gru:
+    """Arrays of steps and lanes have their features first inside, so that all that is done number by number runs over contiguous ones."""
+
     def __init__(self, weights: dict[str, np.ndarray], layout: Layout):
         self.w, self.layout = weights, layout
         self.h = weights["again"].shape[0]
-        self.inputs = None
+        self.inputs = self.heads = None
+
+    def _inputs(self, words: np.ndarray) -> np.ndarray:
+        """What each word adds to the gates, halved for the two that are sigmoids: those are made of tanh of the half."""
+        out = words @ self.w["into"] + self.w["bias"]
+        out[:, : 2 * self.h] *= 0.5
+        return out
+
+    def _heads(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Output weights with their biases behind them, and whether a logit may be beyond MOST: states are within 1."""
+        w = self.w
+        found = [np.concatenate([w[k], w[f"{one}_bias"][:, None]], axis=1) for k, one in (("classes", "class"), ("words", "word"))]
+        return *found, any(len(x) and np.abs(x).sum(axis=1).max() >= MOST for x in found)
 
-    def read(self, ids: np.ndarray, begins: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    def read(self, ids: np.ndarray, begins: np.ndarray, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
         """ids, begins: steps x lanes. The states before each token, the last state, and what backward() needs."""
         w, h = self.w, self.h
         steps, lanes = ids.shape
-        before = np.empty((steps, lanes, h), np.float32)
         if not keep and self.inputs is None:
-            self.inputs = w["embed"] @ w["into"] + w["bias"]
-        inputs = w["embed"][ids] @ w["into"] + w["bias"] if keep else self.inputs[ids]
-        kept = []
+            self.inputs = self._inputs(w["embed"])
+        if keep:
+            rows = self._inputs(w["embed"])[ids] if ids.size > len(w["embed"]) else self._inputs(w["embed"][ids.ravel()])
+        else:
+            rows = self.inputs[ids]
+        inputs = np.ascontiguousarray(rows.reshape(steps, lanes, 3 * h).transpose(0, 2, 1))
+        weights = np.ascontiguousarray(w["again"].T)
+        weights[: 2 * h] *= 0.5
+        state = np.ascontiguousarray(state.T)
+        before = np.empty((h, steps, lanes), state.dtype)
+        kept = [np.empty_like(before) for _ in range(4 if keep else 0)]
+        some = begins.any(axis=1)
         for t in range(steps):
-            if begins[t].any():
-                state = np.where(begins[t][:, None], np.float32(0), state)
-            before[t] = state
-            again = state @ w["again"]
-            gates = 0.5 + 0.5 * np.tanh(0.5 * (inputs[t, :, : 2 * h] + again[:, : 2 * h]))
-            update, reset = gates[:, :h], gates[:, h:]
-            new = np.tanh(inputs[t, :, 2 * h :] + reset * again[:, 2 * h :])
+            if some[t]:
+                state = np.where(begins[t], state.dtype.type(0), state)
+            before[:, t] = state
+            again = weights @ state
+            gates = again[: 2 * h] + inputs[t, : 2 * h]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            update, reset = gates[:h], gates[h:]
+            new = reset * again[2 * h :]
+            new += inputs[t, 2 * h :]
+            np.tanh(new, out=new)
             if keep:
-                kept.append((update, reset, new, again[:, 2 * h :]))
-            state = new + update * (state - new)
-        return before, state, kept
+                for of, x in zip(kept, (update, reset, new, again[2 * h :]), strict=True):
+                    of[:, t] = x
+            state = state - new
+            state *= update
+            state += new
+        return np.ascontiguousarray(before.transpose(1, 2, 0)), np.ascontiguousarray(state.T), (before, *kept)
 
     def outputs(self, states: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each token after its state; with grads, adds the loss's gradients and returns that of the states."""
-        w, layout = self.w, self.layout
-        n = len(ids)
+        layout, h, n = self.layout, self.h, len(ids)
+        heads = self._heads() if grads is not None or self.heads is None else self.heads
+        if grads is None:
+            self.heads = heads
+        classes, words, large = heads
+        order = np.argsort(layout.of_word[ids].astype(np.uint16), kind="stable")  # by radix
+        ids = ids[order]
         of = layout.of_word[ids]
-        logits = states @ w["classes"].T + w["class_bias"]  # small: states are within 1
-        shares = np.exp(np.minimum(logits, MOST, out=logits))
-        total = shares.sum(axis=1)
-        at = np.arange(n)
-        out = (logits[at, of] - np.log(total)).astype(np.float64)
-        back = None
+        held = np.empty((n, h + 1), states.dtype)
+        held[:, :h] = states[order]
+        held[:, h] = 1
+
+        def chances(weights: np.ndarray, held: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log probability of each row's target; with grads, the gradients of the logits, of one token a column."""
+            logits = weights @ held.T
+            if large:
+                np.minimum(logits, MOST, out=logits)
+            at = target * len(held) + np.arange(len(held))
+            mine = logits.ravel()[at]
+            np.exp(logits, out=logits)
+            total = logits.sum(axis=0)
+            if grads is not None:
+                logits /= total
+                logits.ravel()[at] -= 1
+            return mine - np.log(total), logits
+
+        found, shares = chances(classes, held, of)
+        out, back = found.astype(np.float64), None
         if grads is not None:
-            shares /= total[:, None]
-            shares[at, of] -= 1
-            grads["classes"] += shares.T @ states
-            grads["class_bias"] += shares.sum(axis=0)
-            back = shares @ w["classes"]
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(layout.classes + 1))
+            of_classes, of_words = shares @ held, np.zeros_like(words)
+            back = shares.T @ classes[:, :h]
+        cuts = np.searchsorted(of, np.arange(layout.classes + 1))
         for c in range(layout.classes):
             a, b = layout.start[c], layout.start[c + 1]
-            rows = order[cuts[c] : cuts[c + 1]]
-            if b - a < 2 or not len(rows):
+            i, j = cuts[c], cuts[c + 1]
+            if b - a < 2 or i == j:
                 continue
-            held = states[rows]
-            logits = held @ w["words"][a:b].T + w["word_bias"][a:b]
-            shares = np.exp(np.minimum(logits, MOST, out=logits))
-            total = shares.sum(axis=1)
-            k = np.arange(len(rows))
-            out[rows] += logits[k, ids[rows] - a] - np.log(total)
+            found, shares = chances(words[a:b], held[i:j], ids[i:j] - a)
+            out[i:j] += found
             if grads is not None:
-                shares /= total[:, None]
-                shares[k, ids[rows] - a] -= 1
-                grads["words"][a:b] += shares.T @ held
-                grads["word_bias"][a:b] += shares.sum(axis=0)
-                back[rows] += shares @ w["words"][a:b]
-        return out, back
-
-    def backward(self, ids: np.ndarray, begins: np.ndarray, before: np.ndarray, kept: list, back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
+                of_words[a:b] = shares @ held[i:j]
+                back[i:j] += shares.T @ words[a:b, :h]
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        if grads is not None:
+            for k, one, x in (("classes", "class", of_classes), ("words", "word", of_words)):
+                grads[k] += x[:, :h]
+                grads[f"{one}_bias"] += x[:, h]
+            back = back[place]
+        return out[place], back
+
+    def backward(self, ids: np.ndarray, begins: np.ndarray, before: np.ndarray, kept: tuple, back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """back: gradient of each state before a token. Adds the gradients of what made them, within the window."""
         w, h = self.w, self.h
         steps, lanes = ids.shape
-        of_inputs = np.empty((steps, lanes, 3 * h), np.float32)
-        of_again = np.empty_like(of_inputs)
-        later = np.zeros((lanes, h), np.float32)
+        before, update, reset, new, again = kept
+        back = np.ascontiguousarray(back.transpose(2, 0, 1))
+        of_new = (1 - update) * (1 - new * new)
+        of_update = (before - new) * update * (1 - update)
+        of_reset = again * reset * (1 - reset)
+        # of the update, of the reset, of the new state by way of the state before, and by way of the inputs
+        made = np.empty((4 * h, steps, lanes), before.dtype)
+        later = np.zeros((h, lanes), before.dtype)
+        some = begins.any(axis=1)
         for t in range(steps - 1, -1, -1):
-            update, reset, new, again = kept[t]
-            slope = later * (1 - update) * (1 - new * new)
-            of_inputs[t, :, :h] = later * (before[t] - new) * update * (1 - update)
-            of_inputs[t, :, h : 2 * h] = slope * again * reset * (1 - reset)
-            of_inputs[t, :, 2 * h :] = slope
-            of_again[t] = of_inputs[t]
-            of_again[t, :, 2 * h :] *= reset
-            later = later * update + of_again[t] @ w["again"].T + back[t]
-            if begins[t].any():
-                later = np.where(begins[t][:, None], np.float32(0), later)
-        flat, flat_ids = of_inputs.reshape(-1, 3 * h), ids.ravel()
-        grads["again"] += before.reshape(-1, h).T @ of_again.reshape(-1, 3 * h)
-        grads["bias"] += flat.sum(axis=0)
-        # rows of one word are summed before they meet the weights
-        order = np.argsort(flat_ids, kind="stable")
-        words, at = np.unique(flat_ids[order], return_index=True)
-        sums = np.add.reduceat(flat[order], at, axis=0)
-        grads["into"] += w["embed"][words].T @ sums
-        grads["embed"][words] += sums @ w["into"].T
+            slope = later * of_new[:, t]
+            np.multiply(later, of_update[:, t], out=made[:h, t])
+            np.multiply(slope, of_reset[:, t], out=made[h : 2 * h, t])
+            np.multiply(slope, reset[:, t], out=made[2 * h : 3 * h, t])
+            made[3 * h :, t] = slope
+            later *= update[:, t]
+            later += w["again"] @ made[: 3 * h, t]
+            later += back[:, t]
+            if some[t]:
+                later = np.where(begins[t], before.dtype.type(0), later)
+        made = made.reshape(4 * h, -1)
+        gates, slope, flat_ids = made[: 2 * h], made[3 * h :], ids.ravel()
+        grads["again"] += before.reshape(h, -1) @ made[: 3 * h].T
+        words = w["embed"][flat_ids].T
+        for part, at in ((gates, slice(0, 2 * h)), (slope, slice(2 * h, 3 * h))):
+            grads["bias"][at] += part.sum(axis=1)
+            grads["into"][:, at] += words @ part.T
+        of_words = gates.T @ w["into"][:, : 2 * h].T + slope.T @ w["into"][:, 2 * h :].T
+        order = np.argsort(flat_ids.astype(np.uint16), kind="stable")  # by radix
+        sorted_ids = flat_ids[order]
+        at = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+        grads["embed"][sorted_ids[at]] += np.add.reduceat(of_words[order], at, axis=0)
+
+
+def views(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The arrays that flat() put one after the other, as parts of ``values``."""
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = values[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
 
 
 def learn(weights: dict[str, np.ndarray], speeds: dict[str, np.ndarray], layout: Layout, tokens: np.ndarray, sizes: np.ndarray, net: Net = NET) -> None:
     """One pass over documents, changing weights and speeds (sums of squared gradients) in place."""
-    gru, lanes = Gru(weights, layout), Lanes(tokens, sizes, net.lanes)
+    lanes = Lanes(tokens, sizes, net.lanes)
+    all_weights, all_speeds = flat(weights), flat(speeds)
+    all_grads, step = np.zeros_like(all_weights), np.empty_like(all_weights)
+    gru, grads = Gru(views(all_weights, weights), layout), views(all_grads, weights)
     state = np.zeros((len(lanes.loads), net.width), np.float32)
     for places, there in lanes.windows(net.window):
         ids = lanes.tokens[places]
         begins = lanes.begins[places] & there
         before, last, kept = gru.read(ids, begins, state[: ids.shape[1]], keep=True)
         state = last
-        grads = {k: np.zeros_like(v) for k, v in weights.items()}
+        all_grads[:] = 0
         back = np.zeros_like(before)
         _, back[there] = gru.outputs(before[there], ids[there], grads)
         gru.backward(ids, begins, before, kept, back, grads)
         n = int(there.sum())
-        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / n
-        scale = np.float32(min(1.0, net.clip / max(norm, 1e-9)) / n * net.lanes)
-        for k, g in grads.items():
-            g *= scale
-            speeds[k] += g * g
-            weights[k] -= np.float32(net.rate) * g / (np.sqrt(speeds[k]) + np.float32(1e-6))
+        norm = math.sqrt(float(np.vdot(all_grads, all_grads))) / n
+        all_grads *= np.float32(min(1.0, net.clip / max(norm, 1e-9)) / n * net.lanes)
+        np.multiply(all_grads, all_grads, out=step)
+        all_speeds += step
+        np.sqrt(all_speeds, out=step)
+        step += np.float32(1e-6)
+        np.divide(all_grads, step, out=step)
+        step *= np.float32(net.rate)
+        all_weights -= step
+    for arrays, values in ((weights, all_weights), (speeds, all_speeds)):
+        for k, x in views(values, weights).items():
+            arrays[k][...] = x
 
 
 def log_likelihoods(weights: dict[str, np.ndarray], layout: Layout, tokens: np.ndarray, sizes: np.ndarray, net: Net = NET) -> np.ndarray:

@@ -149,3 +149,13 @@ def test_learns_from_every_row(spark):
     model = gru_lm.Model(gru_lm.new_weights(layout, net_), layout, 2 * n, n, 0, 0)
     gru_lm.trained(rows, model, net_)
     assert (np.abs(model.weights["embed"] - before["embed"])[:n].max(axis=1) > 1e-6).all()
+
+
+def test_features_come_first_inside():
+    """Gates are read and kept with lanes side by side, so no array operation runs over a few features at a time."""
+    w, layout = net(4)
+    ids = np.random.default_rng(2).integers(0, layout.size, (5, 3))
+    before, state, kept = Gru(w, layout).read(ids, np.zeros(ids.shape, bool), np.zeros((3, SMALL.width), np.float32), keep=True)
+    assert before.shape == (5, 3, SMALL.width) and state.shape == (3, SMALL.width)
+    assert [x.shape for x in kept] == [(SMALL.width, 5, 3)] * 5 and all(x.flags.c_contiguous and x.dtype == np.float32 for x in kept)
+    assert (kept[0].transpose(1, 2, 0) == before).all()
