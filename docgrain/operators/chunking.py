@@ -42,7 +42,8 @@ def section_blocks(text: Column) -> Column:
 
     # lines without outer white space, and none that are blank
     gap, any_space = f"[ {fixed.GAPS}]", f"[ {fixed.GAPS}{fixed.BREAKS}]"
-    body = T.trim_space(F.regexp_replace(text, f"[{fixed.BREAKS}]{any_space}*+|(?={gap})(?<!{gap}){gap}++[{fixed.BREAKS}]{any_space}*+", "\n"))
+    stripped = F.regexp_replace(text, f"[{fixed.BREAKS}]{any_space}*+|(?={gap})(?<!{gap}){gap}++[{fixed.BREAKS}]{any_space}*+", "\n")
+    body = T.trim_space(F.when(T.tidy(text), text).otherwise(stripped))
     whole = T.trim_space(text)
     alone = F.array(F.struct(F.lit("General").alias("section_path"), whole.alias("text")))
     return T.let(T.let(body, of), lambda b: F.when((F.size(b) == 0) & (whole != ""), alone).otherwise(b))

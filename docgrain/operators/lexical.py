@@ -44,7 +44,7 @@ SLACK = 1e-6
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """blocks: term, shard, n, most_tf, least_dl, hits (no, tf, dl of chunks), by term within each file. shards: shard and
+    """blocks: term, shard, n, most_tf, least_dl, hits (HIT of each chunk, four bytes a number), by term within each file. shards: shard and
     members (chunk_id, dl, department, access_level), whose place is a chunk's no; a null is no longer there. terms: term, df. The numbers are of all chunks."""
 
     blocks: DataFrame
@@ -74,10 +74,10 @@ def _blocks(rows: pa.Table) -> pa.Table:
     no = np.repeat(no_of, lists.value_lengths().fill_null(0).to_numpy())
     keys, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(order) + no, return_counts=True)
     if not len(keys):
-        return pa.table({"shard": pa.array([], pa.int32()), "term": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "occurrences": pa.array([], pa.int64()), "most_tf": pa.array([], pa.int32()), "least_dl": pa.array([], pa.int32()), "hits": pa.array([], pa.list_(pa.struct([(c, pa.int32()) for c in HIT])))})
+        return pa.table({"shard": pa.array([], pa.int32()), "term": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "occurrences": pa.array([], pa.int64()), "most_tf": pa.array([], pa.int32()), "least_dl": pa.array([], pa.int32()), "hits": pa.array([], pa.binary())})
     term, no = keys // len(order), keys % len(order)
     begins = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term))
-    hits = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (no, tf, dl[no])], list(HIT))
+    hits = np.ascontiguousarray(np.stack([no, tf, dl[no]], axis=1), "<i4")
     return pa.table({
         "shard": pa.array(np.full(len(begins) - 1, rows.column("shard")[0].as_py(), np.int32)),
         "term": coded.dictionary.take(pa.array(term[begins[:-1]])),
@@ -85,7 +85,7 @@ def _blocks(rows: pa.Table) -> pa.Table:
         "occurrences": pa.array(np.add.reduceat(tf, begins[:-1])),
         "most_tf": pa.array(np.maximum.reduceat(tf, begins[:-1]).astype(np.int32)),
         "least_dl": pa.array(np.minimum.reduceat(dl[no], begins[:-1]).astype(np.int32)),
-        "hits": pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), hits),
+        "hits": pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer((begins * hits.itemsize * len(HIT)).astype(np.int32)), pa.py_buffer(hits)]),
     })
 
 
@@ -102,7 +102,7 @@ def build_index(chunks: DataFrame) -> LexicalIndex:
     rows = chunks.select("chunk_id", "department", "access_level", F.col(INDEX_TOKENS).alias("tokens")).withColumn("dl", F.size("tokens"))
     rows = by_shard(rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int")))
     ship(rows.sparkSession)
-    kinds = "shard int, term string, n long, occurrences long, most_tf int, least_dl int, hits array<struct<no:int,tf:int,dl:int>>"
+    kinds = "shard int, term string, n long, occurrences long, most_tf int, least_dl int, hits binary"
     blocks = rows.groupBy("shard").applyInArrow(on_group(_blocks), kinds)
     blocks = written(blocks.sortWithinPartitions("term", "shard"), "blocks")
     shards = written(rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members")), "shards")
@@ -167,9 +167,11 @@ def _best(index: LexicalIndex, blocks: DataFrame, wanted: DataFrame, k: int, sco
         if terms.num_rows and places.num_rows:
             allowed = {c: np.array(s, bool) for c, s in zip(places.column("caller").to_pylist(), places.column("seen").to_pylist()) if c is not None}
             opened = {q for q in places.column("query_id").to_pylist() if q is not None}
-            hits, lists = terms.column("hits").combine_chunks(), terms.column("asked").combine_chunks()
-            h, a = hits.offsets.to_numpy(), lists.offsets.to_numpy()
-            no, tf, dl = (hits.values.field(c).to_numpy() for c in HIT)
+            hits, lists = terms.column("hits").combine_chunks().cast(pa.large_binary()), terms.column("asked").combine_chunks()
+            _, ends, data = hits.buffers()
+            ends = np.frombuffer(ends, np.int64)[hits.offset : hits.offset + len(hits) + 1]
+            no, tf, dl = np.frombuffer(data, "<i4")[ends[0] // 4 : ends[-1] // 4].reshape(-1, len(HIT)).T
+            h, a = (ends - ends[0]) // (4 * len(HIT)), lists.offsets.to_numpy()
             part = _part(mean_length, tf.astype(float), dl, scorer)
             held = lists.values
             coded, weight = held.field("query_id").dictionary_encode(), held.field("weight").to_numpy(zero_copy_only=False)

@@ -227,3 +227,11 @@ def test_queries_of_different_top_k(spark, chunks):
     parts = [retrieval.retrieve(corpus, asked(spark, *rows).where(F.col("query_id") == f"q{i}"), Settings(candidate_size=1)) for i in range(3)]
     for name in ("hits", "lexical", "dense"):
         assert shown(getattr(together, name)) == set().union(*(shown(getattr(p, name)) for p in parts)), name
+
+
+def test_blocks_hold_hits_as_bytes(spark):
+    """A block's hits are one binary value: place, occurrences and length of each chunk that has the term."""
+    rows = [("a", None, "public", ["x", "y", "x"]), ("b", None, "public", ["x"]), ("c", None, "public", None)]
+    chunks = spark.createDataFrame(rows, f"chunk_id string, department string, access_level string, {lexical.INDEX_TOKENS} array<string>")
+    found = {r.term: np.frombuffer(r.hits, "<i4").reshape(-1, len(lexical.HIT)).tolist() for r in lexical.build_index(chunks).blocks.collect()}
+    assert found == {"x": [[0, 2, 3], [1, 1, 1]], "y": [[0, 1, 3]]}

@@ -24,6 +24,19 @@ def test_normalize(value):
     assert value(T.normalize_text, "") == ""
 
 
+def test_tidy_texts_are_told_from_others(value):
+    """Most texts need one quick look at their white space; what fails it is worked on in full, to the same end."""
+    for gap in fixed.SPACES:
+        assert value(T.usual, f"a{gap}ñ") == (gap in " \n"), repr(gap)
+    for text in ("a b\nc", "", " a\n", "x ỹ", "a  b", "a \nb", "a\n b", "a\n\nb", "a\tb", "a\x00b", "é😀 x", "a\u2028 \u2028b", "\x7f a"):
+        lines = [" ".join(line.split()) for line in text.replace("\x00", " ").splitlines()]
+        assert value(T.normalize_text, text) == "\n".join(x for x in lines if x), repr(text)
+        assert value(T.words_of, text) == text.split(), repr(text)
+        pairs = any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
+        assert value(T.tidy, text) == (value(T.usual, text) and not pairs), repr(text)
+    assert [value(f, None) for f in (T.normalize_text, T.words_of)] == [None, None]
+
+
 def test_names(value):
     assert value(T.infer_department, "through_policy") == "HR" and value(T.infer_department, "a_challenge") == "Engineering"
     assert value(T.infer_department, "finance") == "General" and value(T.infer_department, "Security_eng") == "Security"
