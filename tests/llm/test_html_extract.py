@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+from docgrain.llm import html_extract
 from docgrain.llm import html_extract as H
 
 from .helpers import TINY, table
