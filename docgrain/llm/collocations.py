@@ -2,7 +2,7 @@
 
 Texts are cut into pieces and words. Words that occur often enough are numbered (a dictionary encoding); pieces are broken at
 all others, as no frequent phrase holds one. Runs of 2 or more numbers are packed into binary keys of fixed width (four bytes
-a word, zeros behind), which each block sorts by radix and counts by run length. The counts are dealt by key range, packed by block and range, and each
+a word, zeros behind), which each block sorts (as single numbers, of its own words) and counts by run length. The counts are dealt by key range, packed by block and range, and each
 range is sorted by radix and counted by run length once more. Ranges are as many as the words ask for and begin where the words' own counts
 let expect equal loads. All later steps are joins on such keys.
 """
@@ -43,10 +43,10 @@ RANGE_KEYS = 1_000_000
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
-    """Order of the rows of a uint16 matrix: least significant digit first, each digit by numpy's radix sort of 16-bit numbers."""
+    """Order of the rows of a matrix of 16-bit numbers: least significant digit first, each digit by numpy's radix sort of uint16."""
     order = np.arange(len(keys))
     for digit in range(keys.shape[1] - 1, -1, -1):
-        column = keys[:, digit][order]
+        column = keys[:, digit][order].astype(np.uint16)
         if len(column) and (column != column[0]).any():
             order = order[np.argsort(column, kind="stable")]
     return order
@@ -55,7 +55,7 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
 def counted_runs(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of a matrix of uint32 in order, big-endian, and how often each is there, or the sum of its ``n``."""
     keys = np.ascontiguousarray(keys, ">u4")
-    order = radix_order(keys.view(">u2").astype(np.uint16).reshape(len(keys), 2 * keys.shape[1]))
+    order = radix_order(keys.view(">u2").reshape(len(keys), 2 * keys.shape[1]))
     keys = keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]).any(axis=1)
@@ -79,6 +79,40 @@ def phrase_keys(numbers: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def phrase_codes(numbers: np.ndarray, most: int) -> np.ndarray:
+    """The rows of phrase_keys() as one uint64 each, in their order; numbers are below code_limit()."""
+    bits = 64 // most
+    out, known = [], numbers > 0
+    whole = known
+    for size in range(2, most + 1):
+        whole = whole[:-1] & known[size - 1 :]
+        at = np.flatnonzero(whole)
+        codes = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            codes |= numbers[at + i].astype(np.uint64) << np.uint64(bits * (most - 1 - i))
+        out.append(codes)
+    return np.concatenate(out)
+
+
+def code_limit(most: int) -> int:
+    return 1 << 64 // most
+
+
+def counted_codes(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """What counted_runs() gives for the codes' rows, as uint32; ``codes`` is sorted in place."""
+    bits = 64 // most
+    codes.sort()
+    first = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    n = np.diff(at, append=len(codes)).astype("<u4")
+    codes = codes[at]
+    keys = np.empty((len(codes), most), np.uint32)
+    for i in range(most):
+        keys[:, i] = (codes >> np.uint64(bits * (most - 1 - i))) & np.uint64((1 << bits) - 1)
+    return keys, n
+
+
 def _binary(keys: np.ndarray) -> pa.Array:
     width = keys.shape[1] * keys.dtype.itemsize
     ends = np.arange(len(keys) + 1, dtype=np.int64) * width
@@ -145,30 +179,34 @@ def block_phrases(found: DataFrame, words: DataFrame, mining: Mining = MINING) -
         known = pa.Table.from_batches(known).combine_chunks()
         ids = known.column("id").to_numpy()
         number = known.column("number").to_numpy()
-        to = np.zeros(int(ids.max()) + 2 if len(ids) else 1, np.uint32)
-        to[ids] = number
         order = np.argsort(number)
-        number, start, share = number[order], known.column("start").to_numpy()[order], known.column("share").to_numpy()[order]
+        # a word's place among the block's, from 1, keeps the order of the numbers and fits into less
+        place = np.zeros(int(ids.max()) + 2 if len(ids) else 1, np.uint32)
+        place[ids[order]] = np.arange(1, len(order) + 1)
+        number, start, share = (np.append(0, x[order]) for x in (number, known.column("start").to_numpy(), known.column("share").to_numpy()))
         del batch, known, ids, order
-        keys, held = [np.zeros((0, most), np.uint32)], 0
+        coded = len(number) <= code_limit(most)
+        keys, held = [], 0
         while texts:
             local = unpacked(texts.pop())
-            keys.append(phrase_keys(to[np.where(local < len(to) - 1, local, -1)], most))
+            keys.append((phrase_codes if coded else phrase_keys)(place[np.where(local < len(place) - 1, local, -1)], most))
             held += len(keys[-1])
             if held >= RANGE_KEYS or not texts:
                 whole, held = [np.concatenate(keys)], 0
-                del keys[1:]
-                yield from packs(whole.pop(), number, start, share)
-
-    def packs(keys: np.ndarray, number: np.ndarray, start: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, n = counted_runs(keys)
-        first, second = (np.searchsorted(number, keys[:, i]) for i in (0, 1))
-        of = np.minimum(((start[first] + share[first] * start[second]) * ranges).astype(np.int64), ranges - 1)
-        keys, n = np.asarray(keys, "<u4"), n.astype("<u4")
+                keys.clear()
+                yield from packs(*(counted_codes(whole.pop(), most) if coded else counted_runs(whole.pop())), number, start, share)
+
+    def packs(places: np.ndarray, n: np.ndarray, number: np.ndarray, start: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of = np.empty(len(places), np.int64)
+        for a in range(0, len(places), 100_000):
+            first, second = (places[a : a + 100_000, i].astype(np.int64) for i in (0, 1))
+            of[a : a + 100_000] = (start[first] + share[first] * start[second]) * ranges
+        np.minimum(of, ranges - 1, out=of)
         begins = np.flatnonzero(np.diff(of, prepend=-1))
         ends = np.append(begins[1:], len(of))[: len(begins)]
+        key = lambda a, b: _planes(number[places[a:b].astype(np.int64)].astype("<u4"))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(of[begins]), pa.array([_planes(keys[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary()), pa.array([_planes(n[a:b]) for a, b in zip(begins, ends, strict=True)], pa.binary())],
+            [pa.array(of[begins]), pa.array([key(a, b) for a, b in zip(begins, ends, strict=True)], pa.binary()), pa.array([_planes(n[a:b].astype("<u4")) for a, b in zip(begins, ends, strict=True)], pa.binary())],
             ["range", "keys", "n"],
         )
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,30 @@ def test_a_block_leaves_its_task_in_parts(spark, monkeypatch):
     for order in ([words, rest], [rest, words]):
         parts = list(taken[0](iter(order)))
         assert len(parts) == 20 and sum(np.sum(collocations._unplanes(n, "<u4", 1)) for part in parts for n in part.column("n").to_pylist()) == 20 * (39 + 38)
+
+
+def test_phrases_as_one_number_each():
+    """A block's phrases as 64-bit numbers are counted as their keys are, in less memory."""
+    chance = random.Random(2)
+    for most in (2, 3, 4):
+        top = collocations.code_limit(most) - 1
+        numbers = np.array([chance.choice((0, 1, 2, 255, 256, min(top, 2**32 - 1))) for _ in range(3000)], np.uint32)
+        keys, n = collocations.counted_runs(collocations.phrase_keys(numbers, most))
+        got, times = collocations.counted_codes(collocations.phrase_codes(numbers, most), most)
+        assert (got == keys).all() and (times == n).all()
+    numbers = np.array([chance.randrange(1, 3000) for _ in range(200_000)], np.uint32)
+    most = {}
+    for name, count in (("keys", lambda: collocations.counted_runs(collocations.phrase_keys(numbers, 3))), ("codes", lambda: collocations.counted_codes(collocations.phrase_codes(numbers, 3), 3))):
+        tracemalloc.start()
+        count()
+        most[name] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert most["codes"] < 50 * 400_000 < most["keys"], most
+
+
+def test_blocks_of_too_many_words_for_such_numbers(spark, monkeypatch):
+    rows = [(i, prose(200, i, 9), "en") for i in range(30)]
+    monkeypatch.setattr(collocations, "code_limit", lambda most: 4)
+    mining = Mining(least=4)
+    docs = frame(spark, [(i, t, lang, "s") for i, t, lang in rows])
+    assert got(collocations.mine(docs, mining)) == plain(rows, mining)
