@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..cluster import map_arrow, written
 from ..functions import text as T
 from .access import in_department, visible
-from .lexical import DIGITS, INDEX_TOKENS
+from .lexical import DIGITS, INDEX_LENGTH, INDEX_TOKENS, token_lists, with_index_tokens
 
 #: Queries of a block, and rows of a tile, about: what a task multiplies at a time.
 BLOCK, TILE = 1024, 1024
@@ -81,21 +81,24 @@ class Embedding:
                 pass
         return dimension, lambda _, tokens: hash_vectors(tokens, dimension)
 
-    def encode(self, rows: DataFrame, key: str, text: Column, *keep: str, tokens: Column | None = None) -> DataFrame:
-        """key, the columns in ``keep`` (text) and vector (array of double) of every row; tokens: of the text, if known."""
+    def encode(self, rows: DataFrame, key: str, text: Column, *keep: str, tokens: Column | None = None, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, more: str = "") -> DataFrame:
+        """key, the columns in ``keep`` (text) and vector (array of double) of every row; tokens: of the text, joined by spaces, if known.
+        then: what the same tasks do with such rows, which adds the columns ``more``."""
         backend = self
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, encode = backend.encoder()
             for batch in batches:
-                vectors = encode(batch.column(len(kept)), batch.column(len(kept) + 1))
+                vectors = encode(batch.column(len(kept)), token_lists(batch.column(len(kept) + 1)))
                 flat = pa.array(vectors.reshape(-1))
                 ends = pa.array(np.arange(0, flat.__len__() + 1, vectors.shape[1] or 1, dtype=np.int32)) if len(vectors) else pa.array([0], pa.int32())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.ListArray.from_arrays(ends, flat)], [*kept, "vector"])
 
         kept = (key, *keep)
         text = F.lit(None).cast("string") if tokens is not None and self.model.startswith("hash://") else text
-        return map_arrow(rows.select(*kept, text.alias("__text"), (T.index_tokens(text) if tokens is None else tokens).alias("__tokens")), work, ", ".join(f"{c} string" for c in kept) + ", vector array<double>")
+        tokens = F.array_join(T.index_tokens(text), " ") if tokens is None else tokens
+        run = work if then is None else lambda batches: then(work(batches))
+        return map_arrow(rows.select(*kept, text.alias("__text"), tokens.alias("__tokens")), run, ", ".join(f"{c} string" for c in kept) + ", vector array<double>" + more)
 
 
 @dataclass(frozen=True)
@@ -136,12 +139,31 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
 
 
+#: What place() adds to key, what is kept and vector.
+PLACE = ", cell int, far double"
+
+
 def in_cells(vectors: DataFrame, key: str = "chunk_id", *keep: str) -> Cells:
+    """The cells of rows that have key, ``keep`` (columns of strings) and vector."""
+    columns = [F.col(c).cast("string").alias(c) for c in (key, *keep)]
+    return _dealt(
+        vectors,
+        lambda rows: rows.select("vector"),
+        lambda rows, place: map_arrow(rows.select(*columns, "vector"), place, ", ".join(f"{c} string" for c in (key, *keep)) + ", vector array<double>" + PLACE),
+        key,
+        *keep,
+    )
+
+
+def _dealt(rows: DataFrame, vectors: Callable[[DataFrame], DataFrame], placed: Callable, key: str, *keep: str) -> Cells:
     """Deals all rows to the cells of their nearest centres; the centres are fitted to a sample, by a hash of the key, of
-    about SAMPLE rows. ``keep`` are columns of strings. Vectors are shuffled once, here, and a cell of many rows has many tiles."""
-    n = vectors.count()
+    about SAMPLE rows. Vectors are shuffled once, here, and a cell of many rows has many tiles.
+
+    vectors: gives the vectors of some of ``rows``; placed: of all of them key, what is kept and vector, after the function that it gets too.
+    """
+    n = rows.count()
     part = F.pmod(F.xxhash64(F.lit("cells"), F.col(key)), F.lit(1 << 30)) < F.lit(min(1 << 30, (1 << 30) * SAMPLE // max(1, n)))
-    sample = [r["vector"] for r in vectors.where(part).select("vector").limit(2 * SAMPLE).collect()] or [r["vector"] for r in vectors.select("vector").limit(1).collect()]
+    sample = [r["vector"] for r in vectors(rows.where(part)).limit(2 * SAMPLE).collect()] or [r["vector"] for r in vectors(rows.limit(1)).collect()]
     centres = _centres(np.array(sample, float), min(MOST_CELLS, max(1, math.isqrt(n) // 4))) if sample else np.zeros((1, 1))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +173,12 @@ def in_cells(vectors: DataFrame, key: str = "chunk_id", *keep: str) -> Cells:
                 of = squares.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of.astype(np.int32)), pa.array(np.sqrt(squares[np.arange(len(of)), of]))], [key, *keep, "vector", "cell", "far"])
 
-    columns = [F.col(c).cast("string").alias(c) for c in (key, *keep)]
-    placed = written(map_arrow(vectors.select(*columns, "vector"), place, ", ".join(f"{c} string" for c in (key, *keep)) + ", vector array<double>, cell int, far double"), "placed")
+    placed = written(placed(rows, place), "placed")
     found = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}  # a row for each cell
     sizes = np.array([found[c]["n"] if c in found else 0 for c in range(len(centres))])
     radii = np.array([found[c]["radius"] if c in found else 0.0 for c in range(len(centres))])
     tiles = F.element_at(F.array(*[F.lit(max(1, -(-int(x) // TILE))) for x in sizes]), F.col("cell") + 1)
-    dealt = placed.withColumn("tile", F.pmod(F.xxhash64(key), tiles).cast("int")).repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "tile")
+    dealt = placed.withColumn("tile", F.pmod(F.xxhash64(key), tiles).cast("int")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "tile")
     packed = dealt.groupBy("cell", "tile").agg(F.collect_list(F.struct(key, *keep, "vector")).alias("rows"))
     return Cells(written(packed, "cells"), key, keep, centres, radii, sizes)
 
@@ -175,16 +196,23 @@ class DenseIndex:
         return self.cells or in_cells(self.vectors, "chunk_id", "department", "access_level")
 
 
-def encoded(chunks: DataFrame, model: str = "hash://384") -> DataFrame:
-    """chunk_id, department, access_level and vector of every chunk."""
+def encoded(chunks: DataFrame, model: str = "hash://384", then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, more: str = "") -> DataFrame:
+    """chunk_id, department, access_level and vector of every chunk, and what ``then`` adds to them (encode())."""
     text = T.index_text(F.col("title"), F.col("section_path"), F.col("text"))
-    tokens = F.col(INDEX_TOKENS) if INDEX_TOKENS in chunks.columns else None
-    return Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens)
+    tokens = F.col(INDEX_TOKENS) if INDEX_LENGTH in chunks.columns else F.array_join(INDEX_TOKENS, " ") if INDEX_TOKENS in chunks.columns else None
+    return Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens, then=then, more=more)
 
 
 def build_index(chunks: DataFrame, model: str = "hash://384") -> DenseIndex:
-    vectors = written(encoded(chunks, model), "vectors")
-    return DenseIndex(vectors, model, in_cells(vectors, "chunk_id", "department", "access_level"))
+    """Vectors are made by the tasks that deal them to cells, and are written once; only the sample's are made before.
+
+    ``chunks`` that bring their tokens (with_index_tokens()) are taken for a table; others are written first.
+    """
+    if INDEX_TOKENS not in chunks.columns:
+        kept = ("chunk_id", "department", "access_level", *(() if model.startswith("hash://") else ("title", "section_path", "text")))
+        chunks = written(with_index_tokens(chunks).select(*kept, INDEX_TOKENS, INDEX_LENGTH), "tokens")
+    cells = _dealt(chunks, lambda rows: encoded(rows, model).select("vector"), lambda rows, place: encoded(rows, model, place, PLACE), "chunk_id", "department", "access_level")
+    return DenseIndex(cells.tiles.select(F.inline("rows")), model, cells)
 
 
 def _visits(cells: Cells, queries: DataFrame, k: int) -> DataFrame:

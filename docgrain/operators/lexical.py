@@ -27,7 +27,8 @@ from .access import in_department, visible
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Digits that scores keep, so that ties don't depend on the order of a sum.
 DIGITS = 9
-INDEX_TOKENS = "index_tokens"
+#: A chunk's tokens, joined by spaces (which no token has) or as an array, and their number.
+INDEX_TOKENS, INDEX_LENGTH = "index_tokens", "index_length"
 #: What shards hold of a chunk, and blocks of a chunk that has the term.
 MEMBER, HIT = ("chunk_id", "dl", "department", "access_level"), ("no", "tf", "dl")
 #: Chunks of a shard, about: chunks are dealt by a hash of their ids.
@@ -55,6 +56,28 @@ class LexicalIndex:
     mean_idf: float
 
 
+def with_index_tokens(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with INDEX_TOKENS, as one string, and INDEX_LENGTH.
+
+    As strings tokens are written, shuffled and handed to Python one value a chunk.
+    """
+    if INDEX_TOKENS not in chunks.columns:
+        found = T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
+        both = T.let(found, lambda t: F.struct(F.array_join(t, " ").alias("joined"), F.size(t).alias("n")))
+        chunks = chunks.withColumn("__tokens", both)
+        return chunks.withColumns({INDEX_TOKENS: F.col("__tokens.joined"), INDEX_LENGTH: F.col("__tokens.n")}).drop("__tokens")
+    if INDEX_LENGTH not in chunks.columns:
+        chunks = chunks.withColumns({INDEX_LENGTH: F.size(INDEX_TOKENS), INDEX_TOKENS: F.array_join(INDEX_TOKENS, " ")})
+    return chunks
+
+
+def token_lists(joined: pa.Array | pa.ChunkedArray) -> pa.ListArray:
+    """The tokens of strings that have them joined; empty strings have none."""
+    if isinstance(joined, pa.ChunkedArray):
+        joined = joined.combine_chunks()
+    return pc.split_pattern(pc.if_else(pc.equal(joined, ""), pa.scalar(None, joined.type), joined), " ")
+
+
 def raw_idf(n: int, df: Column) -> Column:
     return F.ln(F.lit(float(n)) - df + 0.5) - F.ln(df + 0.5)
 
@@ -69,7 +92,7 @@ def _blocks(rows: pa.Table) -> pa.Table:
     order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in MEMBER], null_placement="at_start").to_numpy()
     no_of = np.empty(len(order), np.int64)
     no_of[order] = np.arange(len(order))
-    lists, dl = rows.column("tokens").combine_chunks(), rows.column("dl").to_numpy()[order]
+    lists, dl = token_lists(rows.column("tokens")), rows.column("dl").to_numpy()[order]
     coded = lists.flatten().dictionary_encode()
     no = np.repeat(no_of, lists.value_lengths().fill_null(0).to_numpy())
     keys, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(order) + no, return_counts=True)
@@ -92,15 +115,16 @@ def _blocks(rows: pa.Table) -> pa.Table:
 def build_index(chunks: DataFrame) -> LexicalIndex:
     """Chunks and their tokens are shuffled once, by shard; terms are counted and blocks made within it.
 
-    ``chunks`` may bring their tokens as a column INDEX_TOKENS. Rows of one chunk_id are chunks each.
+    ``chunks`` may bring their tokens as a column INDEX_TOKENS, and their number as INDEX_LENGTH if those are joined. Rows of one
+    chunk_id are chunks each.
     """
-    if INDEX_TOKENS not in chunks.columns:  # a table, as two passes read the tokens
-        tokens = T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
-        chunks = written(chunks.select("chunk_id", "department", "access_level", tokens.alias(INDEX_TOKENS)), "tokens")
+    made = INDEX_TOKENS in chunks.columns
+    chunks = with_index_tokens(chunks).select("chunk_id", "department", "access_level", F.col(INDEX_TOKENS).alias("tokens"), F.col(INDEX_LENGTH).alias("dl"))
+    if not made:  # a table, as it is read again
+        chunks = written(chunks, "tokens")
     n = chunks.count()
     n_shards = max(1, math.ceil(n / SHARD_CHUNKS))
-    rows = chunks.select("chunk_id", "department", "access_level", F.col(INDEX_TOKENS).alias("tokens")).withColumn("dl", F.size("tokens"))
-    rows = by_shard(rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int")))
+    rows = by_shard(chunks.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int")))
     ship(rows.sparkSession)
     kinds = "shard int, term string, n long, occurrences long, most_tf int, least_dl int, hits binary"
     blocks = rows.groupBy("shard").applyInArrow(on_group(_blocks), kinds)

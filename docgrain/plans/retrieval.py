@@ -30,9 +30,8 @@ def with_tokens(chunks: DataFrame) -> DataFrame:
 
 def build_corpus(chunks: DataFrame, settings: Settings = Settings()) -> Corpus:
     """Chunks are written with their index tokens, which both indexes read."""
-    tokens = T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
-    found = written(chunks.withColumn(lexical.INDEX_TOKENS, tokens), "chunks")
-    return Corpus(found.drop(lexical.INDEX_TOKENS), lexical.build_index(found), dense.build_index(found, settings.embedding_model))
+    found = written(lexical.with_index_tokens(chunks), "chunks")
+    return Corpus(found.drop(lexical.INDEX_TOKENS, lexical.INDEX_LENGTH), lexical.build_index(found), dense.build_index(found, settings.embedding_model))
 
 
 def normalized_queries(queries: DataFrame) -> DataFrame:
