@@ -83,7 +83,7 @@ class Embedding:
 
     def encode(self, rows: DataFrame, key: str, text: Column, *keep: str, tokens: Column | None = None, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, more: str = "") -> DataFrame:
         """key, the columns in ``keep`` (text) and vector (array of double) of every row; tokens: of the text, joined by spaces, if known.
-        then: what the same tasks do with such rows, which adds the columns ``more``."""
+        then: what the same tasks make of such rows, with the columns ``more`` in place of vector."""
         backend = self
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +98,12 @@ class Embedding:
         text = F.lit(None).cast("string") if tokens is not None and self.model.startswith("hash://") else text
         tokens = F.array_join(T.index_tokens(text), " ") if tokens is None else tokens
         run = work if then is None else lambda batches: then(work(batches))
-        return map_arrow(rows.select(*kept, text.alias("__text"), tokens.alias("__tokens")), run, ", ".join(f"{c} string" for c in kept) + ", vector array<double>" + more)
+        return map_arrow(rows.select(*kept, text.alias("__text"), tokens.alias("__tokens")), run, ", ".join(f"{c} string" for c in kept) + (more or ", vector array<double>"))
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Vectors by cell, in tiles: cell, tile, rows (array of structs: key, what was kept, vector).
+    """Vectors by cell, in tiles: cell, tile, rows (array of structs: key, what was kept, vector as the bytes of its doubles).
 
     centres: a row for each cell; radii: the farthest row's distance to it; sizes: rows; by cell's number.
     """
@@ -139,8 +139,22 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(float)
 
 
-#: What place() adds to key, what is kept and vector.
-PLACE = ", cell int, far double"
+#: What place() makes of vector, beside key and what is kept.
+PLACE = ", vector binary, cell int, far double"
+
+
+def _packed(matrix: np.ndarray) -> pa.Array:
+    """Each row's doubles as one binary value: read, shuffled and handed to Python as a whole."""
+    ends = np.arange(len(matrix) + 1, dtype=np.int64) * (8 * matrix.shape[1])
+    return pa.Array.from_buffers(pa.large_binary(), len(matrix), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(matrix, "<f8"))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """The matrix of _packed()."""
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].tobytes(), "<f8").reshape(len(column), -1)
 
 
 def in_cells(vectors: DataFrame, key: str = "chunk_id", *keep: str) -> Cells:
@@ -149,7 +163,7 @@ def in_cells(vectors: DataFrame, key: str = "chunk_id", *keep: str) -> Cells:
     return _dealt(
         vectors,
         lambda rows: rows.select("vector"),
-        lambda rows, place: map_arrow(rows.select(*columns, "vector"), place, ", ".join(f"{c} string" for c in (key, *keep)) + ", vector array<double>" + PLACE),
+        lambda rows, place: map_arrow(rows.select(*columns, "vector"), place, ", ".join(f"{c} string" for c in (key, *keep)) + PLACE),
         key,
         *keep,
     )
@@ -159,7 +173,7 @@ def _dealt(rows: DataFrame, vectors: Callable[[DataFrame], DataFrame], placed: C
     """Deals all rows to the cells of their nearest centres; the centres are fitted to a sample, by a hash of the key, of
     about SAMPLE rows. Vectors are shuffled once, here, and a cell of many rows has many tiles.
 
-    vectors: gives the vectors of some of ``rows``; placed: of all of them key, what is kept and vector, after the function that it gets too.
+    vectors: gives the vectors of some of ``rows``; placed: what the function that it gets makes of all of their keys, what is kept and vectors.
     """
     n = rows.count()
     part = F.pmod(F.xxhash64(F.lit("cells"), F.col(key)), F.lit(1 << 30)) < F.lit(min(1 << 30, (1 << 30) * SAMPLE // max(1, n)))
@@ -169,9 +183,10 @@ def _dealt(rows: DataFrame, vectors: Callable[[DataFrame], DataFrame], placed: C
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                squares = _squares(_matrix(batch.column(1 + len(keep)), batch.num_rows), centres)
+                vectors = _matrix(batch.column(1 + len(keep)), batch.num_rows)
+                squares = _squares(vectors, centres)
                 of = squares.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of.astype(np.int32)), pa.array(np.sqrt(squares[np.arange(len(of)), of]))], [key, *keep, "vector", "cell", "far"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(keep)], _packed(vectors), pa.array(of.astype(np.int32)), pa.array(np.sqrt(squares[np.arange(len(of)), of]))], [key, *keep, "vector", "cell", "far"])
 
     placed = written(placed(rows, place), "placed")
     found = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}  # a row for each cell
@@ -197,7 +212,7 @@ class DenseIndex:
 
 
 def encoded(chunks: DataFrame, model: str = "hash://384", then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, more: str = "") -> DataFrame:
-    """chunk_id, department, access_level and vector of every chunk, and what ``then`` adds to them (encode())."""
+    """chunk_id, department, access_level and vector of every chunk, or what ``then`` makes of that (encode())."""
     text = T.index_text(F.col("title"), F.col("section_path"), F.col("text"))
     tokens = F.col(INDEX_TOKENS) if INDEX_LENGTH in chunks.columns else F.array_join(INDEX_TOKENS, " ") if INDEX_TOKENS in chunks.columns else None
     return Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens, then=then, more=more)
@@ -212,7 +227,15 @@ def build_index(chunks: DataFrame, model: str = "hash://384") -> DenseIndex:
         kept = ("chunk_id", "department", "access_level", *(() if model.startswith("hash://") else ("title", "section_path", "text")))
         chunks = written(with_index_tokens(chunks).select(*kept, INDEX_TOKENS, INDEX_LENGTH), "tokens")
     cells = _dealt(chunks, lambda rows: encoded(rows, model).select("vector"), lambda rows, place: encoded(rows, model, place, PLACE), "chunk_id", "department", "access_level")
-    return DenseIndex(cells.tiles.select(F.inline("rows")), model, cells)
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = _unpacked(batch.column(3))
+                ends = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel()))], ["chunk_id", "department", "access_level", "vector"])
+
+    return DenseIndex(map_arrow(cells.tiles.select(F.inline("rows")), arrays, "chunk_id string, department string, access_level string, vector array<double>"), model, cells)
 
 
 def _visits(cells: Cells, queries: DataFrame, k: int) -> DataFrame:
@@ -255,7 +278,7 @@ def _products(cells: Cells, visits: DataFrame, n_queries: int, k: int) -> DataFr
             for i in range(batch.num_rows):
                 rows, held = batch.column(0)[i].values, batch.column(1)[i].values
                 ids = held.field(0).to_pylist()
-                q, v = _matrix(held.field(1), len(ids)), _matrix(rows.field(len(names)), len(rows))
+                q, v = _matrix(held.field(1), len(ids)), _unpacked(rows.field(len(names)))
                 found = np.round(q @ v.T, DIGITS)
                 enough = np.array([least.get(x, -np.inf) for x in ids])
                 if len(rows) >= k:

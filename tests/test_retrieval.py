@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docgrain.cluster import written
 from docgrain.config import Settings
 from docgrain.operators import dense, fusion, lexical
 from docgrain.plans import retrieval
@@ -235,3 +236,28 @@ def test_blocks_hold_hits_as_bytes(spark):
     chunks = spark.createDataFrame(rows, f"chunk_id string, department string, access_level string, {lexical.INDEX_TOKENS} array<string>")
     found = {r.term: np.frombuffer(r.hits, "<i4").reshape(-1, len(lexical.HIT)).tolist() for r in lexical.build_index(chunks).blocks.collect()}
     assert found == {"x": [[0, 2, 3], [1, 1, 1]], "y": [[0, 1, 3]]}
+
+
+def test_tokens_are_one_string_a_chunk(spark, chunks):
+    """Joined or as arrays, brought or made: the same index; chunks without tokens have none."""
+    blank = chunks.unionByName(chunks.limit(1).withColumns({"chunk_id": F.lit("blank"), **{c: F.lit("?") for c in ("title", "section_path", "text")}}))
+    joined = lexical.with_index_tokens(blank)
+    rows = {r.chunk_id: r for r in joined.collect()}
+    assert rows["blank"][lexical.INDEX_TOKENS] == "" and rows["blank"][lexical.INDEX_LENGTH] == 0
+    assert all(r[lexical.INDEX_LENGTH] == len(r[lexical.INDEX_TOKENS].split()) for r in rows.values()) and sum(r[lexical.INDEX_LENGTH] for r in rows.values())
+    arrays = joined.drop(lexical.INDEX_LENGTH).withColumn(lexical.INDEX_TOKENS, F.filter(F.split(lexical.INDEX_TOKENS, " "), lambda x: x != ""))
+    found = []
+    for one in (blank, joined, arrays):
+        index, vectors = lexical.build_index(one), dense.build_index(one, "hash://16").vectors
+        found.append((index.mean_length, sorted(map(str, index.blocks.collect())), sorted(map(str, index.shards.collect())), sorted(map(str, vectors.collect()))))
+    assert found[0] == found[1] == found[2] and len(found[0][3]) == len(rows)
+
+
+def test_vectors_are_made_and_placed_by_the_same_tasks(spark, chunks, monkeypatch):
+    """No table of vectors is written before that of their cells, where they are bytes."""
+    made = []
+    monkeypatch.setattr(dense, "written", lambda df, name: made.append(name) or written(df, name))
+    index = dense.build_index(lexical.with_index_tokens(chunks), "hash://16")
+    assert made == ["placed", "cells"] and dict(index.cells.tiles.select(F.inline("rows")).dtypes)["vector"] == "binary"
+    want = {r.chunk_id: r.vector for r in dense.encoded(chunks, "hash://16").collect()}
+    assert {r.chunk_id: r.vector for r in index.vectors.collect()} == want and want
