@@ -41,6 +41,8 @@ MOST_LOOKED_UP = 400
 RARE = 100
 #: Sums in another order differ by less.
 SLACK = 1e-6
+#: What a shard's best occurrence of a common term has at least, as a guess; and by how much a bound may pass its guess.
+COMMON_TF, MARGIN = 2.0, 2.0
 
 
 @dataclass(frozen=True)
@@ -227,11 +229,29 @@ def _best(index: LexicalIndex, blocks: DataFrame, wanted: DataFrame, k: int, sco
     return best.join(index.shards, "shard").select("query_id", F.inline(named))
 
 
+def prunable(index: LexicalIndex, wanted: DataFrame, k: int, scorer: str = "okapi") -> DataFrame:
+    """query_id of the queries whose rare terms may give a bound that some shards' common terms alone don't reach.
+
+    A guess from the terms' numbers, which decides what is worth a bound and not what is found. The bound is taken for what one
+    occurrence of the rare term adds that, from the heaviest on, completes ``k`` chunks, MARGIN times; without so many there is none.
+    """
+    rare = F.col("df") * RARE <= index.n_chunks
+    part = lambda tf: float(_part(index.mean_length, tf, index.mean_length, scorer))
+    heavier = Window.partitionBy("query_id").orderBy(F.desc("rare"), F.desc("weight"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = wanted.withColumn("rare", rare).withColumn("chunks", F.sum("df").over(heavier))
+    guess = rows.groupBy("query_id").agg(
+        F.max(F.when(F.col("rare") & (F.col("chunks") >= k), F.col("weight"))).alias("bound"),
+        F.coalesce(F.sum(F.when(~F.col("rare"), F.col("weight"))), F.lit(0.0)).alias("common"),
+    )
+    return guess.where(F.col("bound") * (MARGIN * part(1.0)) > F.col("common") * part(COMMON_TF)).select("query_id")
+
+
 def candidates(index: LexicalIndex, queries: DataFrame, k: int, scorer: str = "okapi") -> DataFrame:
     """query_id, chunk_id, score: positive scores of chunks that callers may see, the ``k`` best of each query among them.
 
     First the rare terms are scored; the k-th score that they give is a bound. Then, of all terms, the shards are opened whose blocks
-    together can reach it. Where weights may be below 0 (of terms in most chunks of a tiny collection) there is no bound.
+    together can reach it. Where weights may be below 0 (of terms in most chunks of a tiny collection) there is no bound, and for
+    queries that aren't prunable() none is sought: all shards are opened.
     """
     idf = okapi_idf(index) if scorer == "okapi" else fallback_idf(index)
     weight = (F.col("times") * F.col("idf")).alias("weight")
@@ -245,13 +265,18 @@ def candidates(index: LexicalIndex, queries: DataFrame, k: int, scorer: str = "o
     of = wanted.drop("df")
     if index.mean_idf < 0:
         return _best(index, blocks, of, k, scorer)
-    rare = wanted.where(F.col("df") * RARE <= index.n_chunks)
+    bounded = written(prunable(index, wanted, k, scorer), "prunable")
+    if not bounded.limit(1).count():
+        return _best(index, blocks, of, k, scorer)
+    tried = of.join(bounded, "query_id", "left_semi")
+    rare = wanted.where(F.col("df") * RARE <= index.n_chunks).join(bounded, "query_id", "left_semi")
     partial = _best(index, blocks, rare.drop("df"), k, scorer)
     bounds = ranked(partial, k, "chunk_id").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(F.col("n") >= k).drop("n")
     reach = F.sum(F.col("weight") * _part(F.lit(index.mean_length), F.col("most_tf").cast("double"), F.col("least_dl"), scorer)).alias("reach")
-    reached = blocks.select("term", "shard", "most_tf", "least_dl").join(of, "term").groupBy("query_id", "shard").agg(reach)
+    reached = blocks.select("term", "shard", "most_tf", "least_dl").join(tried, "term").groupBy("query_id", "shard").agg(reach)
     reached = reached.join(bounds, "query_id", "left").where(F.col("bound").isNull() | (F.col("reach") >= F.col("bound") - SLACK))
-    return _best(index, blocks, of, k, scorer, written(reached.select("query_id", "shard"), "reached"))
+    whole = of.select("query_id").distinct().join(bounded, "query_id", "left_anti").crossJoin(index.shards.select("shard"))
+    return _best(index, blocks, of, k, scorer, written(reached.select("query_id", "shard").unionByName(whole), "reached"))
 
 
 def ranked(scored: DataFrame, k: Column | int, *tie: str) -> DataFrame:

@@ -261,3 +261,18 @@ def test_vectors_are_made_and_placed_by_the_same_tasks(spark, chunks, monkeypatc
     assert made == ["placed", "cells"] and dict(index.cells.tiles.select(F.inline("rows")).dtypes)["vector"] == "binary"
     want = {r.chunk_id: r.vector for r in dense.encoded(chunks, "hash://16").collect()}
     assert {r.chunk_id: r.vector for r in index.vectors.collect()} == want and want
+
+
+def test_bounds_are_sought_where_they_can_help(spark, monkeypatch):
+    """Not for queries whose common terms outweigh what their rare ones can bound, or whose rare terms are in too few chunks."""
+    rows = [("q0", "a", 5, 9.0), ("q0", "b", 500, 1.0), ("q1", "a", 2, 9.0), ("q1", "b", 500, 1.0), ("q2", "a", 5, 5.0), ("q2", "b", 500, 6.0), ("q2", "c", 400, 6.0), ("q3", "b", 500, 1.0), ("q4", "a", 3, 9.0), ("q4", "d", 3, 4.0), ("q4", "b", 500, 2.0)]
+    wanted = spark.createDataFrame(rows, "query_id string, term string, df long, weight double")
+    index = lexical.LexicalIndex(None, None, None, 1000, 10.0, 1.0)
+    assert {r.query_id for r in lexical.prunable(index, wanted, 5).collect()} == {"q0", "q4"}
+    monkeypatch.setattr(lexical, "SHARD_CHUNKS", 8)
+    calls, best = [], lexical._best
+    monkeypatch.setattr(lexical, "_best", lambda *args: calls.append(len(args)) or best(*args))
+    rows, chunks = many_chunks(spark, 100)
+    got = lexical.search(lexical.build_index(chunks), asked(spark, ("common", 5, None, "public")), 6)
+    assert [(r.chunk_id, r.score) for r in sorted(got.collect(), key=lambda r: r["rank"])] == plain_okapi(rows, "common", 6, None, "public")
+    assert calls == [5]
