@@ -137,13 +137,14 @@ class Gru:
     def __init__(self, weights: dict[str, np.ndarray], layout: Layout):
         self.w, self.layout = weights, layout
         self.h = weights["again"].shape[0]
-        self.inputs = self.heads = None
+        self.heads = None
 
-    def _inputs(self, words: np.ndarray) -> np.ndarray:
-        """What each word adds to the gates, halved for the two that are sigmoids: those are made of tanh of the half."""
-        out = words @ self.w["into"] + self.w["bias"]
-        out[:, : 2 * self.h] *= 0.5
-        return out
+    def _inputs(self, ids: np.ndarray) -> np.ndarray:
+        """What each word adds to the gates, with the sign turned for the two that are sigmoids: those are 1 / (1 + exp(-x))."""
+        sign = np.repeat(np.array([-1, 1], self.w["into"].dtype), [2 * self.h, self.h])
+        out = (self.w["into"] * sign).T @ self.w["embed"][ids.ravel()].T
+        out += (self.w["bias"] * sign)[:, None]
+        return out.reshape(3 * self.h, *ids.shape)
 
     def _heads(self) -> tuple[np.ndarray, np.ndarray, bool]:
         """Output weights with their biases behind them, and whether a logit may be beyond MOST: states are within 1."""
@@ -155,39 +156,36 @@ class Gru:
         """ids, begins: steps x lanes. The states before each token, the last state, and what backward() needs."""
         w, h = self.w, self.h
         steps, lanes = ids.shape
-        if not keep and self.inputs is None:
-            self.inputs = self._inputs(w["embed"])
-        if keep:
-            rows = self._inputs(w["embed"])[ids] if ids.size > len(w["embed"]) else self._inputs(w["embed"][ids.ravel()])
-        else:
-            rows = self.inputs[ids]
-        inputs = np.ascontiguousarray(rows.reshape(steps, lanes, 3 * h).transpose(0, 2, 1))
+        # inside a step all is contiguous; what is added to the gates becomes the gates and the new state
+        made = np.ascontiguousarray(self._inputs(ids).transpose(1, 0, 2))
         weights = np.ascontiguousarray(w["again"].T)
-        weights[: 2 * h] *= 0.5
-        state = np.ascontiguousarray(state.T)
-        before = np.empty((h, steps, lanes), state.dtype)
-        kept = [np.empty_like(before) for _ in range(4 if keep else 0)]
+        np.negative(weights[: 2 * h], out=weights[: 2 * h])
+        states = np.empty((steps + 1, h, lanes), state.dtype)
+        states[0] = state.T
+        again = np.empty((steps if keep else 1, 3 * h, lanes), state.dtype)
         some = begins.any(axis=1)
         for t in range(steps):
+            state, then, mine = states[t], states[t + 1], again[t if keep else 0]
             if some[t]:
-                state = np.where(begins[t], state.dtype.type(0), state)
-            before[:, t] = state
-            again = weights @ state
-            gates = again[: 2 * h] + inputs[t, : 2 * h]
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            update, reset = gates[:h], gates[h:]
-            new = reset * again[2 * h :]
-            new += inputs[t, 2 * h :]
+                np.copyto(state, 0, where=begins[t])
+            np.matmul(weights, state, out=mine)
+            gates, new = made[t, : 2 * h], made[t, 2 * h :]
+            gates += mine[: 2 * h]
+            np.minimum(gates, MOST, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(gates[h:], mine[2 * h :], out=then)
+            new += then
             np.tanh(new, out=new)
-            if keep:
-                for of, x in zip(kept, (update, reset, new, again[2 * h :]), strict=True):
-                    of[:, t] = x
-            state = state - new
-            state *= update
-            state += new
-        return np.ascontiguousarray(before.transpose(1, 2, 0)), np.ascontiguousarray(state.T), (before, *kept)
+            np.subtract(state, new, out=then)
+            then *= gates[:h]
+            then += new
+        kept = ()
+        if keep:
+            before, gated, last = (np.ascontiguousarray(x.transpose(1, 0, 2)) for x in (states[:-1], made, again[:, 2 * h :]))
+            kept = (before, gated[:h], gated[h : 2 * h], gated[2 * h :], last)
+        return np.ascontiguousarray(states[:-1].transpose(0, 2, 1)), np.ascontiguousarray(states[-1].T), kept
 
     def outputs(self, states: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each token after its state; with grads, adds the loss's gradients and returns that of the states."""
@@ -202,45 +200,52 @@ class Gru:
         held = np.empty((n, h + 1), states.dtype)
         held[:, :h] = states[order]
         held[:, h] = 1
-
-        def chances(weights: np.ndarray, held: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Log probability of each row's target; with grads, the gradients of the logits, of one token a column."""
-            logits = weights @ held.T
-            if large:
-                np.minimum(logits, MOST, out=logits)
-            at = target * len(held) + np.arange(len(held))
-            mine = logits.ravel()[at]
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=0)
-            if grads is not None:
-                logits /= total
-                logits.ravel()[at] -= 1
-            return mine - np.log(total), logits
-
-        found, shares = chances(classes, held, of)
-        out, back = found.astype(np.float64), None
-        if grads is not None:
-            of_classes, of_words = shares @ held, np.zeros_like(words)
-            back = shares.T @ classes[:, :h]
+        # the classes' logits, and those of each class's words for its tokens, of one token a column, one after the other in one array
         cuts = np.searchsorted(of, np.arange(layout.classes + 1))
-        for c in range(layout.classes):
-            a, b = layout.start[c], layout.start[c + 1]
-            i, j = cuts[c], cuts[c + 1]
-            if b - a < 2 or i == j:
-                continue
-            found, shares = chances(words[a:b], held[i:j], ids[i:j] - a)
-            out[i:j] += found
-            if grads is not None:
-                of_words[a:b] = shares @ held[i:j]
-                back[i:j] += shares.T @ words[a:b, :h]
+        many, held_by = np.diff(layout.start), np.diff(cuts)
+        sizes = np.where(many > 1, many * held_by, 0)  # one word alone is certain
+        ends = np.cumsum(sizes) + layout.classes * n
+        logits = np.empty(ends[-1], states.dtype)
+        outer = logits[: layout.classes * n].reshape(layout.classes, n)
+        np.matmul(classes, held.T, out=outer)
+        parts = []
+        for c in np.flatnonzero(sizes).tolist():
+            at, tokens = slice(layout.start[c], layout.start[c + 1]), slice(cuts[c], cuts[c + 1])
+            parts.append((at, tokens, logits[ends[c] - sizes[c] : ends[c]].reshape(many[c], held_by[c])))
+            np.matmul(words[at], held[tokens].T, out=parts[-1][2])
+        if large:
+            np.minimum(logits, MOST, out=logits)
+        row = np.arange(n)
+        inner = np.flatnonzero((many > 1)[of])
+        places = of * n + row, (ends[of] - sizes[of] + (ids - layout.start[of]) * held_by[of] + row - cuts[of])[inner]
+        found = logits[places[0]].astype(np.float64)
+        found[inner] += logits[places[1]]
+        np.exp(logits, out=logits)
+        total, totals = outer.sum(axis=0), np.ones(n, states.dtype)
+        for _, tokens, part in parts:
+            np.add.reduce(part, axis=0, out=totals[tokens])
+        found -= np.log(total)
+        found -= np.log(totals)
         place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        if grads is not None:
-            for k, one, x in (("classes", "class", of_classes), ("words", "word", of_words)):
-                grads[k] += x[:, :h]
-                grads[f"{one}_bias"] += x[:, h]
-            back = back[place]
-        return out[place], back
+        place[order] = row
+        if grads is None:
+            return found[place], None
+        # gradients of the logits but for a factor of each token, which its state and what goes back to it get
+        logits[places[0]] -= total
+        logits[places[1]] -= totals[inner]
+        factor, factors = (1 / total)[:, None], (1 / totals)[:, None]
+        of_classes, of_words = outer @ (held * factor), np.zeros_like(words)
+        back, more, held = outer.T @ classes[:, :h], np.zeros((n, h), states.dtype), held * factors
+        for at, tokens, part in parts:
+            np.matmul(part, held[tokens], out=of_words[at])
+            np.matmul(part.T, words[at, :h], out=more[tokens])
+        back *= factor
+        more *= factors
+        back += more
+        for k, one, x in (("classes", "class", of_classes), ("words", "word", of_words)):
+            grads[k] += x[:, :h]
+            grads[f"{one}_bias"] += x[:, h]
+        return found[place], back[place]
 
     def backward(self, ids: np.ndarray, begins: np.ndarray, before: np.ndarray, kept: tuple, back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
         """back: gradient of each state before a token. Adds the gradients of what made them, within the window."""
@@ -251,29 +256,30 @@ class Gru:
         of_new = (1 - update) * (1 - new * new)
         of_update = (before - new) * update * (1 - update)
         of_reset = again * reset * (1 - reset)
-        # of the update, of the reset, of the new state by way of the state before, and by way of the inputs
+        # of the new state by way of the state before, of the update, of the reset, and of the new state by way of the inputs
         made = np.empty((4 * h, steps, lanes), before.dtype)
+        weights = np.concatenate([w["again"][:, 2 * h :], w["again"][:, : 2 * h]], axis=1)
         later = np.zeros((h, lanes), before.dtype)
         some = begins.any(axis=1)
         for t in range(steps - 1, -1, -1):
             slope = later * of_new[:, t]
-            np.multiply(later, of_update[:, t], out=made[:h, t])
-            np.multiply(slope, of_reset[:, t], out=made[h : 2 * h, t])
-            np.multiply(slope, reset[:, t], out=made[2 * h : 3 * h, t])
+            np.multiply(slope, reset[:, t], out=made[:h, t])
+            np.multiply(later, of_update[:, t], out=made[h : 2 * h, t])
+            np.multiply(slope, of_reset[:, t], out=made[2 * h : 3 * h, t])
             made[3 * h :, t] = slope
             later *= update[:, t]
-            later += w["again"] @ made[: 3 * h, t]
+            later += weights @ made[: 3 * h, t]
             later += back[:, t]
             if some[t]:
                 later = np.where(begins[t], before.dtype.type(0), later)
         made = made.reshape(4 * h, -1)
-        gates, slope, flat_ids = made[: 2 * h], made[3 * h :], ids.ravel()
-        grads["again"] += before.reshape(h, -1) @ made[: 3 * h].T
-        words = w["embed"][flat_ids].T
-        for part, at in ((gates, slice(0, 2 * h)), (slope, slice(2 * h, 3 * h))):
-            grads["bias"][at] += part.sum(axis=1)
-            grads["into"][:, at] += words @ part.T
-        of_words = gates.T @ w["into"][:, : 2 * h].T + slope.T @ w["into"][:, 2 * h :].T
+        gates, flat_ids = made[h:], ids.ravel()
+        of_again = before.reshape(h, -1) @ made[: 3 * h].T
+        grads["again"][:, 2 * h :] += of_again[:, :h]
+        grads["again"][:, : 2 * h] += of_again[:, h:]
+        grads["bias"] += gates.sum(axis=1)
+        grads["into"] += w["embed"][flat_ids].T @ gates.T
+        of_words = gates.T @ w["into"].T
         order = np.argsort(flat_ids.astype(np.uint16), kind="stable")  # by radix
         sorted_ids = flat_ids[order]
         at = np.flatnonzero(np.diff(sorted_ids, prepend=-1))

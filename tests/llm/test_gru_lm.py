@@ -159,3 +159,16 @@ def test_features_come_first_inside():
     assert before.shape == (5, 3, SMALL.width) and state.shape == (3, SMALL.width)
     assert [x.shape for x in kept] == [(SMALL.width, 5, 3)] * 5 and all(x.flags.c_contiguous and x.dtype == np.float32 for x in kept)
     assert (kept[0].transpose(1, 2, 0) == before).all()
+
+
+def test_classes_are_scored_in_one_array(monkeypatch):
+    """A window's exponentials are taken at once, however many classes its words are in; so are those of a step's gates."""
+    w, layout = net(4)
+    ids = np.arange(layout.size)
+    states = np.random.default_rng(3).standard_normal((len(ids), SMALL.width)).astype(np.float32)
+    exp, calls = np.exp, []
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    Gru(w, layout).outputs(states, ids, {k: np.zeros_like(v) for k, v in w.items()})
+    assert layout.classes > 3 and len(calls) == 1
+    Gru(w, layout).read(ids[:, None], np.zeros((len(ids), 1), bool), np.zeros((1, SMALL.width), np.float32))
+    assert len(calls) == 1 + len(ids)
