@@ -7,7 +7,6 @@ import math
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +44,10 @@ def bucket(term: Column, dimension: int) -> Column:
     return F.pmod(total, F.lit(dimension)).cast("int")
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(term: str, dimension: int) -> int:
-    return int.from_bytes(hashlib.md5(term.encode()).digest()[:8], "little") % dimension
+def _buckets(terms: pa.Array, dimension: int) -> np.ndarray:
+    """bucket() of each term. A batch's rare terms are hardly those of the next, so none are remembered."""
+    digests = b"".join([hashlib.md5(t).digest() for t in terms.cast(pa.binary()).to_pylist()])
+    return (np.frombuffer(digests, "<u8")[::2] % np.uint64(dimension)).astype(np.int64)
 
 
 def hash_vectors(token_lists: pa.ListArray | list[list[str]], dimension: int) -> np.ndarray:
@@ -55,7 +55,7 @@ def hash_vectors(token_lists: pa.ListArray | list[list[str]], dimension: int) ->
     lists = token_lists if isinstance(token_lists, pa.ListArray) else pa.array(token_lists, pa.list_(pa.string()))
     n = len(lists)
     coded = lists.flatten().dictionary_encode()
-    buckets = np.array([_bucket(t, dimension) for t in coded.dictionary.to_pylist()], np.int64)
+    buckets = _buckets(coded.dictionary, dimension)
     row = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy())
     out = np.bincount(row * dimension + buckets[coded.indices.to_numpy()], minlength=n * dimension).reshape(n, dimension).astype(float)
     norms = np.linalg.norm(out, axis=1, keepdims=True)

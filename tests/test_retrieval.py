@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,11 @@ def test_bounds_are_sought_where_they_can_help(spark, monkeypatch):
     got = lexical.search(lexical.build_index(chunks), asked(spark, ("common", 5, None, "public")), 6)
     assert [(r.chunk_id, r.score) for r in sorted(got.collect(), key=lambda r: r["rank"])] == plain_okapi(rows, "common", 6, None, "public")
     assert calls == [5]
+
+
+def test_buckets_are_taken_for_all_terms_of_a_batch():
+    terms = ["a", "quy", "định", "_9", "x" * 500]
+    for n in (1, 7, 384):
+        plain = [int.from_bytes(hashlib.md5(t.encode()).digest()[:8], "little") % n for t in terms]
+        assert dense._buckets(pa.array(terms), n).tolist() == plain
+    assert dense._buckets(pa.array([], pa.string()), 384).tolist() == []
