@@ -43,10 +43,15 @@ def normalize_text(text: Column) -> Column:
 
     Composition to normal form C is ingest's (see sources.files.compose); texts of safe ranges have it.
     """
+    return squeeze(F.replace(text, F.lit("\x00"), F.lit(" ")))
+
+
+def squeeze(text: Column) -> Column:
+    """normalize_text() that leaves NULs as they are."""
 
     def of(t: Column) -> Column:
         # a blank between words is what it should be
-        spaced = F.regexp_replace(F.replace(t, F.lit("\x00"), F.lit(" ")), rf" [ {fixed.GAPS}]++|[{fixed.GAPS}][ {fixed.GAPS}]*+", " ")
+        spaced = F.regexp_replace(t, rf" [ {fixed.GAPS}]++|[{fixed.GAPS}][ {fixed.GAPS}]*+", " ")
         return F.btrim(F.when(tidy(t), t).otherwise(F.regexp_replace(spaced, f" ?[{fixed.BREAKS}][ {fixed.BREAKS}]*+", "\n")), F.lit(" \n"))
 
     return let(text, of)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 
+#: What documents may bring in place of markdown: an array as section_blocks() gives it.
+SECTIONS = "sections"
 CHUNK_COLUMNS = ("doc_id", "chunk_id", "text", "title", "section_path", "department", "updated_at", "access_level")
 
 
@@ -70,9 +72,9 @@ def chunk_id(doc_id: Column, index: Column, text: Column) -> Column:
 def build_chunks(docs: DataFrame, size: int = 350, overlap: int = 80) -> DataFrame:
     """Chunks of documents (doc_id, title, text, department, updated_at, access_level); the texts are normalized.
 
-    Numbers run over the document. Null and blank texts give no chunks.
+    Numbers run over the document. Null and blank texts give no chunks. Documents with a column SECTIONS are cut by that, and their texts aren't read.
     """
-    blocks = section_blocks(F.coalesce(F.col("text"), F.lit("")))
+    blocks = F.col(SECTIONS) if SECTIONS in docs.columns else section_blocks(F.coalesce(F.col("text"), F.lit("")))
     texts = F.flatten(F.transform(blocks, lambda b: T.let(T.words_of(b["text"]), lambda w: F.transform(windows(w, size, overlap), lambda x: F.struct(b["section_path"].alias("section_path"), x.alias("text"))))))
     rows = docs.select("doc_id", "title", "department", "updated_at", "access_level", F.posexplode(texts).alias("index", "chunk"))
     rows = rows.select("*", F.col("chunk.section_path").alias("section_path"), F.col("chunk.text").alias("text"))
@@ -80,5 +82,5 @@ def build_chunks(docs: DataFrame, size: int = 350, overlap: int = 80) -> DataFra
 
 
 def chunks_from_rows(rows: DataFrame, size: int = 350, overlap: int = 80) -> DataFrame:
-    """build_chunks() of rows whose six columns are in that order, whatever their names."""
-    return build_chunks(rows.toDF("doc_id", "title", "text", "department", "updated_at", "access_level"), size, overlap)
+    """build_chunks() of rows whose first six columns are in that order, whatever their names."""
+    return build_chunks(rows.toDF("doc_id", "title", "text", "department", "updated_at", "access_level", *rows.columns[6:]), size, overlap)
