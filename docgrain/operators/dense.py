@@ -218,14 +218,19 @@ def encoded(chunks: DataFrame, model: str = "hash://384", then: Callable[[Iterat
     return Embedding(model).encode(chunks, "chunk_id", text, "department", "access_level", tokens=tokens, then=then, more=more)
 
 
+def tokenised(chunks: DataFrame, model: str) -> DataFrame:
+    """What encoded() reads of chunks, and their tokens."""
+    kept = ("chunk_id", "department", "access_level", *(() if model.startswith("hash://") else ("title", "section_path", "text")))
+    return with_index_tokens(chunks).select(*kept, INDEX_TOKENS, INDEX_LENGTH)
+
+
 def build_index(chunks: DataFrame, model: str = "hash://384") -> DenseIndex:
     """Vectors are made by the tasks that deal them to cells, and are written once; only the sample's are made before.
 
     ``chunks`` that bring their tokens (with_index_tokens()) are taken for a table; others are written first.
     """
     if INDEX_TOKENS not in chunks.columns:
-        kept = ("chunk_id", "department", "access_level", *(() if model.startswith("hash://") else ("title", "section_path", "text")))
-        chunks = written(with_index_tokens(chunks).select(*kept, INDEX_TOKENS, INDEX_LENGTH), "tokens")
+        chunks = written(tokenised(chunks, model), "tokens")
     cells = _dealt(chunks, lambda rows: encoded(rows, model).select("vector"), lambda rows, place: encoded(rows, model, place, PLACE), "chunk_id", "department", "access_level")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

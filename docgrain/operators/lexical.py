@@ -11,6 +11,7 @@ alone give are left out; the result is exact.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -124,16 +125,22 @@ def build_index(chunks: DataFrame) -> LexicalIndex:
     chunks = with_index_tokens(chunks).select("chunk_id", "department", "access_level", F.col(INDEX_TOKENS).alias("tokens"), F.col(INDEX_LENGTH).alias("dl"))
     if not made:  # a table, as it is read again
         chunks = written(chunks, "tokens")
+    n, blocks, shards = parts(chunks)
+    terms = written(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("occurrences").alias("occurrences")), "terms")
+    return with_numbers(blocks, shards, terms.drop("occurrences"), n, terms.agg(F.sum("occurrences")).first()[0] or 0)
+
+
+def parts(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written) -> tuple[int, DataFrame, DataFrame]:
+    """The number of ``chunks``, and their blocks and shards as ``keep`` writes them; ``chunks`` is a table with chunk_id, department,
+    access_level, tokens (joined) and dl."""
     n = chunks.count()
     n_shards = max(1, math.ceil(n / SHARD_CHUNKS))
     rows = by_shard(chunks.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int")))
     ship(rows.sparkSession)
     kinds = "shard int, term string, n long, occurrences long, most_tf int, least_dl int, hits binary"
     blocks = rows.groupBy("shard").applyInArrow(on_group(_blocks), kinds)
-    blocks = written(blocks.sortWithinPartitions("term", "shard"), "blocks")
-    shards = written(rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members")), "shards")
-    terms = written(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("occurrences").alias("occurrences")), "terms")
-    return with_numbers(blocks, shards, terms.drop("occurrences"), n, terms.agg(F.sum("occurrences")).first()[0] or 0)
+    blocks = keep(blocks.sortWithinPartitions("term", "shard"), "blocks")
+    return n, blocks, keep(rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members")), "shards")
 
 
 def with_numbers(blocks: DataFrame, shards: DataFrame, terms: DataFrame, n: int, tokens: int) -> LexicalIndex:

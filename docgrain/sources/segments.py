@@ -2,7 +2,7 @@
 
 A batch of chunks becomes a segment of its own: blocks of postings, shards, vectors, and changes of the counts. Documents
 that it replaces or deletes are marked dead in the segments that have them, and their counts are taken off, so statistics are sums over
-the live segments and a batch costs what it brings and replaces. A snapshot is a small JSON file that lists segments; it
+the live segments and a batch costs what it brings and replaces. Tokens are on disk only while a batch is added. A snapshot is a small JSON file that lists segments; it
 appears by one rename, so readers see a batch whole or not at all, and of two writers of one number the second fails.
 """
 
@@ -15,14 +15,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import clean, put, release, tracked, written
 from ..config import Settings
-from ..functions import text as T
 from ..operators import dense, lexical
 from ..operators.chunking import CHUNK_COLUMNS
 from ..plans.retrieval import Corpus
 
 #: A segment's shards are numbered from its own number times this on.
 SHARDS = 1 << 20
+#: How segments' files are compressed: what Spark takes otherwise makes them half as large again.
+CODEC = "zstd"
 
 
 @dataclass(frozen=True)
@@ -69,9 +71,9 @@ class SegmentedIndex:
         return self.spark.read.parquet(*[f"{self.path}/segments/{s}/{name}" for s in segments])
 
     def _live(self, snapshot: Snapshot) -> DataFrame:
-        """Chunks, with segment and index tokens, that no later segment marks dead."""
-        dead = self._read(snapshot, "dead")
-        return self._read(snapshot, "chunks").join(dead, ["segment", "doc_id"], "left_anti")
+        """Chunks, with segment, that no later segment marks dead."""
+        dead, rows = self._read(snapshot, "dead"), self._read(snapshot, "chunks").select(*CHUNK_COLUMNS, "segment")
+        return rows if dead.isEmpty() else rows.join(dead.select("segment", "doc_id").distinct(), ["segment", "doc_id"], "left_anti")
 
     def add(self, chunks: DataFrame, batch: str | None = None, deleted: DataFrame | None = None) -> Snapshot:
         """Commits ``chunks`` (CHUNK_COLUMNS) as a segment, in place of all chunks that their documents, and those whose doc_id
@@ -80,29 +82,38 @@ class SegmentedIndex:
         if batch is not None and batch in before.batches:
             return before
         number, name = before.number + 1, f"{before.number + 1:08d}-{uuid.uuid4().hex[:8]}"
-        into = f"{self.path}/segments/{name}"
-        tokens = T.index_tokens(T.index_text(F.col("title"), F.col("section_path"), F.col("text")))
-        chunks.select(*CHUNK_COLUMNS, F.lit(number).alias("segment"), tokens.alias(lexical.INDEX_TOKENS)).write.parquet(f"{into}/chunks")
-        found = self.spark.read.parquet(f"{into}/chunks")
-        index = lexical.build_index(found)
-        index.blocks.withColumn("shard", F.col("shard") + number * SHARDS).withColumn("segment", F.lit(number)).write.parquet(f"{into}/blocks")
-        index.shards.withColumn("shard", F.col("shard") + number * SHARDS).withColumn("segment", F.lit(number)).write.parquet(f"{into}/shards")
-        dense.encoded(found, self.settings.embedding_model).withColumn("segment", F.lit(number)).write.parquet(f"{into}/vectors")
+        with tracked() as folders:
+            try:
+                self._write(f"{self.path}/segments/{name}", number, before, chunks, deleted)
+            finally:
+                clean(self.spark, folders)
+                release(self.spark)
+        return self._commit(before, (*before.segments, name), (*before.batches, *([batch] if batch is not None else [])))
+
+    def _write(self, into: str, number: int, before: Snapshot, chunks: DataFrame, deleted: DataFrame | None) -> None:
+        """The tables of a segment."""
+        segment = F.lit(number).alias("segment")
+
+        def keep(df: DataFrame, table: str) -> DataFrame:
+            return put(df.drop("occurrences").withColumns({"shard": F.col("shard") + number * SHARDS, "segment": segment}), f"{into}/{table}", CODEC)
+
+        found = put(chunks.select(*CHUNK_COLUMNS, segment), f"{into}/chunks", CODEC)
+        release(self.spark)  # what chunks come from is shuffled no more
+        tokens = written(dense.tokenised(found, self.settings.embedding_model), "tokens", CODEC)
+        _, blocks, _ = lexical.parts(tokens.select("chunk_id", "department", "access_level", F.col(lexical.INDEX_TOKENS).alias("tokens"), F.col(lexical.INDEX_LENGTH).alias("dl")), keep)
+        put(dense.encoded(tokens, self.settings.embedding_model).withColumn("segment", segment), f"{into}/vectors", CODEC)
         gone = found.select("doc_id").distinct()
         if deleted is not None:
             gone = gone.unionByName(deleted.select(F.col("doc_id").cast("string").alias("doc_id"))).distinct()
-        added = found.select(F.lit(1).alias("sign"), lexical.INDEX_TOKENS)
-        if before.segments:
-            replaced = self._live(before).join(gone, "doc_id", "left_semi")
-            replaced.select("segment", "doc_id", "chunk_id").distinct().write.parquet(f"{into}/dead")
-            added = added.unionByName(replaced.select(F.lit(-1).alias("sign"), lexical.INDEX_TOKENS))
-        else:
-            found.limit(0).select("segment", "doc_id", "chunk_id").write.parquet(f"{into}/dead")
+        live = self._live(before) if before.segments else found.limit(0)
+        replaced = lexical.with_index_tokens(live.join(gone, "doc_id", "left_semi"))
+        replaced = written(replaced.select("segment", "doc_id", "chunk_id", lexical.INDEX_TOKENS, lexical.INDEX_LENGTH), "replaced", CODEC)
+        put(replaced.select("segment", "doc_id", "chunk_id").distinct(), f"{into}/dead", CODEC)
         # changes of the counts: what the batch brings, less what it replaces
-        each = added.select("sign", F.explode(F.array_distinct(lexical.INDEX_TOKENS)).alias("term"))
-        each.groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0").write.parquet(f"{into}/terms")
-        added.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.size(lexical.INDEX_TOKENS)), F.lit(0)).alias("tokens")).write.parquet(f"{into}/numbers")
-        return self._commit(before, (*before.segments, name), (*before.batches, *([batch] if batch is not None else [])))
+        less = replaced.select(F.explode(F.array_remove(F.array_distinct(F.split(lexical.INDEX_TOKENS, " ")), "")).alias("term"), F.lit(-1).cast("long").alias("df"))
+        put(blocks.select("term", F.col("n").alias("df")).unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), f"{into}/terms", CODEC)
+        signed = tokens.select(F.lit(1).alias("sign"), lexical.INDEX_LENGTH).unionByName(replaced.select(F.lit(-1).alias("sign"), lexical.INDEX_LENGTH))
+        put(signed.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col(lexical.INDEX_LENGTH)), F.lit(0)).alias("tokens")), f"{into}/numbers", CODEC)
 
     def delete(self, doc_ids: DataFrame) -> Snapshot:
         """Commits a segment without chunks that marks the documents of ``doc_ids`` (doc_id) dead."""

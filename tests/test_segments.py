@@ -1,12 +1,15 @@
+import os
 import zlib
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from docgrain.cluster import tracked
+from docgrain.cluster import made, tracked
 from docgrain.config import Settings
 from docgrain.operators import dense, lexical
-from docgrain.plans import retrieval
+from docgrain.plans import catalog, retrieval
 from docgrain.sources.segments import SegmentedIndex
 from docgrain.streaming import incremental
 
@@ -96,3 +99,25 @@ def test_a_segment_makes_no_cells(spark, tmp_path):
     with tracked() as folders:
         index.add(frame(spark, [chunk("d1", 0, "alpha beta")]))
     assert not [f for f in folders if "-cells-" in f or "-placed-" in f]
+
+
+def test_a_segment_leaves_no_tokens(spark, tmp_path):
+    """What a commit makes on its way is deleted; of the text a segment has the chunks and the blocks alone, compressed."""
+    index = SegmentedIndex(spark, str(tmp_path / "lean"))
+    before = made(spark)
+    index.add(frame(spark, [chunk("d1", 0, "alpha beta"), chunk("d2", 0, "gamma")]))
+    index.add(frame(spark, [chunk("d1", 0, "delta")]))
+    assert made(spark) == before
+    for name in index.snapshot().segments:
+        tables = {x.name: pq.ParquetFile(next(x.glob("*.parquet"))) for x in (tmp_path / "lean" / "segments" / name).iterdir()}
+        assert not {"index_tokens", "occurrences"} & {c for t in tables.values() for c in t.schema_arrow.names}
+        assert {t.metadata.row_group(i).column(0).compression for t in tables.values() for i in range(t.metadata.num_row_groups)} == {"ZSTD"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_the_query_keeps_live_segments_alone(spark):
+    """Compacted segments go, and documents are read where they are needed, not written again."""
+    with tracked() as folders:
+        index = catalog.segmented_index(spark, "/root/testdata/sf0.001")
+    assert not [f for f in folders if "-documents-" in f]
+    assert {x.name for x in Path(index.path.removeprefix("file://"), "segments").iterdir()} == set(index.snapshot().segments)
