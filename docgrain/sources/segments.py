@@ -98,9 +98,10 @@ class SegmentedIndex:
             return put(df.drop("occurrences").withColumns({"shard": F.col("shard") + number * SHARDS, "segment": segment}), f"{into}/{table}", CODEC)
 
         found = put(chunks.select(*CHUNK_COLUMNS, segment), f"{into}/chunks", CODEC)
-        release(self.spark)  # what chunks come from is shuffled no more
+        release(self.spark)  # what chunks come from is needed no more
         tokens = written(dense.tokenised(found, self.settings.embedding_model), "tokens", CODEC)
         _, blocks, _ = lexical.parts(tokens.select("chunk_id", "department", "access_level", F.col(lexical.INDEX_TOKENS).alias("tokens"), F.col(lexical.INDEX_LENGTH).alias("dl")), keep)
+        release(self.spark)
         put(dense.encoded(tokens, self.settings.embedding_model).withColumn("segment", segment), f"{into}/vectors", CODEC)
         gone = found.select("doc_id").distinct()
         if deleted is not None:
