@@ -23,7 +23,7 @@ from ..plans.retrieval import Corpus
 
 #: A segment's shards are numbered from its own number times this on.
 SHARDS = 1 << 20
-#: How segments' files are compressed: what Spark takes otherwise makes them half as large again.
+#: How segments' files are compressed: what Spark takes otherwise makes blocks half as large again.
 CODEC = "zstd"
 
 
